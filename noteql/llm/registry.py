@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
 from .mixing import op9_mixing
+from .simhash import op3_simhash
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op6_bpe": op6_bpe,
     "op9_mixing": op9_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}

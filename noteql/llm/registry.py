@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .embedding_dedup import op4_embeddings
 from .mixing import op9_mixing
 from .simhash import op3_simhash
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_embeddings": op4_embeddings,
     "op6_bpe": op6_bpe,
     "op9_mixing": op9_mixing,
 }

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .embedding_dedup import op4_embeddings
+from .fingerprints import op2_fingerprints
 from .mixing import op9_mixing
 from .simhash import op3_simhash
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_fingerprints": op2_fingerprints,
     "op3_simhash": op3_simhash,
     "op4_embeddings": op4_embeddings,
     "op6_bpe": op6_bpe,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .embedding_dedup import op4_embeddings
 from .fingerprints import op2_fingerprints
+from .language_id import op8_language_id
 from .line_dedup import op10_lines
 from .mixing import op9_mixing
 from .simhash import op3_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_embeddings": op4_embeddings,
     "op6_bpe": op6_bpe,
+    "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_lines": op10_lines,
 }

@@ -6,10 +6,13 @@ from .bpe import op6_bpe
 from .embedding_dedup import op4_embeddings
 from .fingerprints import op2_fingerprints
 from .language_id import op8_language_id
+from .licenses import op7_licenses
+from .licenses import oracle as op7_sql
 from .line_dedup import op10_lines
 from .mixing import op9_mixing
 from .simhash import op3_simhash
 from .substring_dedup import op1_substring_dedup
+from .url_filter import op5_url_filter
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -17,11 +20,13 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_embeddings": op4_embeddings,
     "op6_bpe": op6_bpe,
+    "op5_url_filter": op5_url_filter,
+    "op7_licenses": op7_licenses,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_lines": op10_lines,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_licenses": op7_sql()}
 
 
 def queries() -> dict:

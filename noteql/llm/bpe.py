@@ -18,6 +18,7 @@ import hashlib
 import json
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -198,8 +199,8 @@ def decode(tokens: DataFrame, vocabulary: str | None = None, id_col="doc_id", id
     return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, vocabulary: str | None = None, id_col="doc_id", text_col="text") -> DataFrame:
-    """Both ways in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256 for each row, in bounded memory."""
+def digests(docs: DataFrame, vocabulary: str | None = None, id_col="doc_id", text_col="text", with_ids: bool = False) -> DataFrame:
+    """Both ways in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for, for each row."""
     path = vocabulary or default_path()
 
     def run(batches):
@@ -211,11 +212,13 @@ def digests(docs: DataFrame, vocabulary: str | None = None, id_col="doc_id", tex
             for t in text_bytes(b.column(1)):
                 ids = enc.encode(t.decode())
                 listed = ",".join(map(shown.__getitem__, ids))
-                rows.append((len(ids), sha(listed.encode()).hexdigest(), sha(enc.automaton.decode(ids)).hexdigest()))
-            n, a, d = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((len(ids), sha(listed.encode()).hexdigest(), sha(enc.automaton.decode(ids)).hexdigest(), np.array(ids, np.int32) if with_ids else None))
+            n, a, d, i = zip(*rows) if rows else ((),) * 4
+            made = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+            yield pa.RecordBatch.from_arrays(made + [pa.array(i, pa.list_(pa.int32()))] * with_ids, names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 

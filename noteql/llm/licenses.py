@@ -2,7 +2,7 @@
 
 A text is cut into sentences, the sentences are normalised and looked up among known licence sentences, and the
 sequence of the identifiers found is matched against ordered licence rules, longest first; each match uses up its
-sentences. Line ends both do and do not end sentences: the text is read once either way, and what either finds counts.
+sentences. Single line ends both do and do not end sentences, blank lines do: the text is read once either way, and what either finds counts.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ RULES = [
     ("Unlicense", ["unlicense"]),
     ("LicenseRef-All-Rights-Reserved", ["reserved"]),
 ]
-ENDS = "[.!?:;]+(?:[\\x20\\x09-\\x0D]+|$)"
+ENDS = "[.!?:;]+(?:[\\x20\\x09-\\x0D]+|$)|\\x0A[\\x20\\x09\\x0D]*\\x0A"
 ENDS_OR_LINES = ENDS + "|[\\x0A\\x0D]+"
 #: Sentences without one of these words are not looked up.
 HINT = "licen|permi|redistrib|warrant|copyright|rights|software|written"

@@ -221,19 +221,21 @@ def _strip(key, docs, marks):
         for x, y, z in zip(h.tolist(), _order(d).view(np.int64).tolist(), p.tolist()):
             gone.setdefault(y, {}).setdefault(z, set()).add(x)
     out = []
-    for d, n, text in zip(*(docs.column(c).to_pylist() for c in ("doc", "row", "text"))):
+    for d, text in zip(*(docs.column(c).to_pylist() for c in ("doc", "text"))):
         mine, have = gone.get(d, {}), lines(text)
         kept = have
         if mine:
             # Rows that share a doc_id are told apart by their lines' hashes.
             kept = [x for k, x in enumerate(have) if k not in mine or xxhash.xxh3_64_intdigest(normal(x).encode("utf-8", "surrogatepass")) not in mine[k]]
-        out.append((d, n, len(have), len(have) - len(kept), "\n".join(kept)))
-    cols = list(zip(*out)) if out else [()] * 5
-    return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()])], ["doc", "row", "n_lines", "n_removed", "kept_text"])
+        out.append((len(have), len(have) - len(kept), "\n".join(kept)))
+    cols = list(zip(*out)) if out else [()] * 3
+    made = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()))]
+    return pa.table([docs.column("doc"), docs.column("row"), docs.column("rest"), *made], ["doc", "row", "rest", "n_lines", "n_removed", "kept_text"])
 
 
-def dedup(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, n_lines, n_removed and kept_text (the text without the lines that repeat or nearly repeat others).
+def dedup(docs: DataFrame, id_col="doc_id", text_col="text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_lines, n_removed and kept_text (the text without the lines that repeat or nearly repeat others), after
+    the columns named in ``keep``, doc_id if none are.
 
     A null text has one blank line and stays null. A null doc_id sorts before all others. Rows that share a doc_id
     share its places: a repeated row is no repetition, so both come out alike. An empty table gives an empty result;
@@ -241,7 +243,7 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """
     spark = docs.sparkSession
     shards, parts = shard_count(spark), partitions(spark)
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).isNull().cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).isNull().cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*(keep or [F.col(id_col).alias("doc_id")])).alias("rest"))
     placed = d.withColumn("shard", doc_shard_column(F.col("doc"), shards)).repartition(parts, "shard")
     key = F.col("shard") + F.col("kind") * shards
     dealt = d.select("doc", "text").mapInArrow(_first_stage(shards), PACKED).withColumn("at", key).repartition(parts, "at")
@@ -262,8 +264,8 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             yield from _table(_emit(GONE, np.mod(doc, shards), [h.view(np.uint64), _order(doc), place.view(np.uint64)], shards)).to_batches()
 
     marks = found.where(F.col("kind") == GONE).unionByName(lost.mapInArrow(packed, PACKED)).repartition(parts, "shard")
-    out = placed.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_strip, "doc long, row long, n_lines long, n_removed long, kept_text string")
-    return out.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "n_lines", "n_removed", F.when(F.col("row") == 0, F.col("kept_text")).alias("kept_text"))
+    out = placed.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_strip, d.select("doc", "row", "rest").schema.add("n_lines", "long").add("n_removed", "long").add("kept_text", "string"))
+    return out.select("rest.*", "n_lines", "n_removed", F.when(F.col("row") == 0, F.col("kept_text")).alias("kept_text"))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

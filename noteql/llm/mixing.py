@@ -38,8 +38,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> D
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, epochs: int = EPOCHS, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of ``docs``.
+def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, epochs: int = EPOCHS, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of ``docs``; the columns named in ``keep`` come first in
+    the place of doc_id, if any are.
 
     Each source is passed over ``floor(target / source_size)`` times whole; of the rest, rows are taken by ascending
     hash key until the running sum of sizes meets the budget, where the last row is cut to the words still wanted.
@@ -52,6 +53,7 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.length(text_col)).alias("key"),
+        F.struct(*(keep or [F.col(id_col).alias("doc_id")])).alias("rest"),
     )
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
     # The keys are uniform, so equal ranges of them hold equal shares of a source, and no sampling need find them.
@@ -68,7 +70,7 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - passes * F.col("source_size")
     partial = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("above")))
-    return out.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + partial).cast("long").alias("taken"))
+    return out.select("rest.*", "size", "source_size", "target", (passes * F.col("size") + partial).cast("long").alias("taken"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

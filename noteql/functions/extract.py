@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import tokens
 
@@ -84,7 +85,7 @@ def content_document(note_id: Column, title_: Column, text: Column) -> Column:
     return F.concat_ws("\n\n", note_id, title_, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def metadata_document(meta: pd.Series) -> pd.Series:
     """``key:value value`` lines of a metadata object given as JSON: arrays flattened, objects both whole and by path."""
 
@@ -134,7 +135,7 @@ def preview(text: Column, size: int = 240) -> Column:
     return F.when(F.char_length(t) > size, F.concat(F.left(t, F.lit(size)), F.lit("..."))).otherwise(t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def snippet(text: pd.Series, words: pd.Series) -> pd.Series:
     """About 20 tokens around the first query word (words: joined by spaces), which is put in brackets."""
     import regex

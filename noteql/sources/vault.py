@@ -12,6 +12,7 @@ import pandas as pd
 from noteql.functions import extract
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 INVENTORY = "kind string, relative_path string, file_modified_at timestamp, created_at timestamp, raw string"
@@ -240,7 +241,7 @@ def _plain_yaml(text: str) -> dict | None:
     return data if isinstance(data, dict) and at == len(rows) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def yaml_json(block: pd.Series) -> pd.Series:
     """JSON of YAML blocks; null where a block is no YAML mapping."""
 
@@ -282,7 +283,8 @@ def metadata_dates(notes: DataFrame) -> DataFrame:
     """(note_id, key, value): every metadata text, or element of an array, that is a date."""
     rows = metadata_rows(notes)
     texts = F.coalesce(F.from_json("value_json", "array<string>"), F.array("value_json"))
-    return rows.select("note_id", "key", extract.instant(F.explode(texts)).alias("value")).where("value is not null")
+    each = rows.select("note_id", "key", F.explode(texts).alias("text"))
+    return each.select("note_id", "key", extract.instant(F.col("text")).alias("value")).where("value is not null")
 
 
 def compose(metadata: dict, body: str) -> str:

@@ -55,8 +55,10 @@ class Automaton:
         self.arcs: dict[tuple[int, int], bool] = {}
         for number, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if u not in self.after or v not in self.after or w in self.after:
-                raise ValueError(f"merge {number} has a part that is not there yet, or a result that is")
+            if w in self.after:
+                raise ValueError(f"merge {number} makes a token that is there already")
+            if u not in self.after or v not in self.after or not self.has_arc(self.after[u], v):
+                continue  # earlier merges keep these two from meeting, so no text has this token
             self.left[w], self.born[w] = u, number
             self.after[w] = self.after[v]
             self.parent.append(self.after[u])
@@ -79,7 +81,7 @@ class Automaton:
         """Whether ``token`` may follow in ``state``; answers are kept, so this is a table once it is warm."""
         known = self.arcs.get((state, token))
         if known is None:
-            known = self.arcs[state, token] = self._walk(state, token, len(self.parent))
+            known = self.arcs[state, token] = self._walk(state, token, 1 << 60)
             if len(self.arcs) > 2_000_000:
                 self.arcs.clear()
         return known

@@ -21,7 +21,8 @@ from .common import materialize, read
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 ORDER = 4
 BACK_OFF = 4.0
-SYMBOLS = 35
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0/.:?-*^$"
+SYMBOLS = len(ALPHABET)
 
 
 def host_of(url: Column) -> Column:
@@ -67,7 +68,10 @@ def model(labelled: DataFrame, order: int = ORDER, back_off: float = BACK_OFF) -
     n = n.withColumn("k", F.char_length("gram"))
     # Order 1: shares of single symbols, over all symbols equally likely.
     total = n.where("k = 1").agg(F.sum("a").alias("ta"), F.sum("r").alias("tr"))
-    level = n.where("k = 1").join(F.broadcast(total))
+    symbols = labelled.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ALPHABET))).alias("gram"))
+    seen = symbols.join(n.where("k = 1"), "gram", "left").select("gram", F.lit(1).alias("k"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("r", F.lit(0.0)).alias("r"))
+    total = total.select(F.coalesce("ta", F.lit(0.0)).alias("ta"), F.coalesce("tr", F.lit(0.0)).alias("tr"))
+    level = seen.join(F.broadcast(total))
     p = lambda x, t: (F.col(x) + F.lit(back_off / SYMBOLS)) / (F.col(t) + F.lit(back_off))
     level = level.select("gram", "k", "a", "r", p("a", "ta").alias("pa"), p("r", "tr").alias("pr"), F.lit(0.0).alias("below"), F.lit(0.0).alias("back"))
     levels = [level]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import partitions
+
 #: Rows of one piece. A task holds two pieces at most.
 PIECE = 1024
 
@@ -22,3 +26,33 @@ def pieces(keyed: DataFrame, key: list[str], row: str, piece: int = PIECE) -> Da
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     met = met.withColumn("q", F.explode(others))
     return met.withColumn("i", F.least("p", "q")).withColumn("j", F.greatest("p", "q")).drop("group_n", "parts", "q")
+
+
+def each_piece(met: DataFrame, key: list[str], work, schema: str) -> DataFrame:
+    """Run ``work`` over the pairs of pieces that ``pieces`` made. It gets an Arrow table of many whole pairs, sorted
+    by column ``gid``, a hash of the group's key and the pair, and returns record batches; a table has one batch and
+    the rest of one pair, so memory is bounded. Groups whose hashes collide come as one, which ``work`` must bear."""
+    spark = met.sparkSession
+    dealt = met.withColumn("gid", F.xxhash64(*key, "i", "j")).repartition(partitions(spark), "gid").sortWithinPartitions("gid")
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            gid = t.column("gid").to_numpy()
+            if not len(gid):
+                continue
+            cut = int(np.searchsorted(gid, gid[-1]))
+            held = t.slice(cut)
+            if cut:
+                yield from work(t.slice(0, cut))
+        if held is not None and len(held):
+            yield from work(held)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def group_bounds(gid: np.ndarray) -> np.ndarray:
+    """Where groups begin in a sorted array, and its length at the end."""
+    return np.concatenate([[0], np.flatnonzero(gid[1:] != gid[:-1]) + 1, [len(gid)]])

@@ -6,13 +6,12 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import pieces
+from .buckets import each_piece, group_bounds, pieces
 from .common import materialize, read, text_bytes
 from .components import connected_components
 
@@ -51,10 +50,10 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int
 
 
 def layout(count: int, distance: int = DISTANCE) -> int:
-    """Number of blocks m for so many fingerprints: the fewest whose keys of m - distance blocks have as many bits as
-    the count, so that unrelated fingerprints seldom share a key, however many there are."""
+    """Number of blocks m for so many fingerprints: the fewest whose keys of m - distance blocks have six bits more than
+    the count, so that unrelated fingerprints seldom share a key, however many there are. Whatever m, no pair is lost."""
     m = distance + 2
-    while 64 * (m - distance) / m < math.log2(max(2, count)) and m < distance + 8:
+    while 64 * (m - distance) / m < math.log2(max(2, count)) + 6 and m < distance + 8:
         m += 1
     return m
 
@@ -72,21 +71,44 @@ def block_keys(fp, blocks: int, distance: int = DISTANCE):
     return F.array(*structs)
 
 
-def forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that connect whatever pairs of ``a`` and ``b`` within ``distance`` connect; fewer than there are nodes."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    ia, ib = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    links = []
-    for x, v in zip(ia, a):
-        near = ib[np.bitwise_count(b ^ v) <= distance]
-        near = near[root[near] != root[x]]
-        while len(near):
-            y = near[0]
-            links.append((int(nodes[x].view(np.int64)), int(nodes[y].view(np.int64))))
-            root[root == root[y]] = root[x]
-            near = near[root[near] != root[x]]
-    return links
+#: Groups up to this size are compared shift by shift, many at once.
+SMALL = 32
+
+
+def near_pairs(gid: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever pairs of a group within ``distance`` connect, for groups sorted by ``gid``."""
+    bounds = group_bounds(gid)
+    sizes = np.diff(bounds)
+    src, dst = [], []
+    small = np.repeat(sizes <= SMALL, sizes)
+    g, f = gid[small], fp[small]
+    for shift in range(1, min(SMALL, int(sizes.max()))):
+        hit = (g[shift:] == g[:-shift]) & (np.bitwise_count(f[shift:] ^ f[:-shift]) <= distance)
+        src.append(f[:-shift][hit])
+        dst.append(f[shift:][hit])
+    for k in np.flatnonzero(sizes > SMALL):
+        a, b = forest(fp[bounds[k] : bounds[k + 1]], distance)
+        src.append(a)
+        dst.append(b)
+    return np.concatenate(src) if src else fp[:0], np.concatenate(dst) if dst else fp[:0]
+
+
+def forest(f: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of one group: rows are visited from row to near row, and each is compared with the rows not
+    reached yet, so what is near most others is soon done."""
+    left = np.arange(len(f))
+    src, dst = [], []
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            at = front.pop()
+            near = np.bitwise_count(f[left] ^ f[at]) <= distance
+            found = left[near]
+            src += [f[at]] * len(found)
+            dst += f[found].tolist()
+            front += found.tolist()
+            left = left[~near]
+    return np.array(src, np.uint64), np.array(dst, np.uint64)
 
 
 def link_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -97,16 +119,13 @@ def link_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     blocks = layout(distinct.count(), distance)
     keyed = distinct.select("fp", F.explode(block_keys(F.col("fp"), blocks, distance)).alias("k")).select("k.table", "k.key", "fp")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        fp = group["fp"].to_numpy().view(np.uint64)
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        p = group["p"].to_numpy()
-        a, b = fp[p == i], fp[p == j]
-        if len(a) > len(b):
-            a, b = b, a
-        return pd.DataFrame(forest(a, b, distance), columns=["src", "dst"], dtype="int64")
+    def run(table: pa.Table):
+        a, b = near_pairs(table.column("gid").to_numpy(), table.column("fp").to_numpy().view(np.uint64), distance)
+        pairs = np.unique(np.stack([a.view(np.int64), b.view(np.int64)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
-    return pieces(keyed, ["table", "key"], "fp").groupBy("table", "key", "i", "j").applyInPandas(run, "src long, dst long").distinct()
+    met = pieces(keyed, ["table", "key"], "fp").select("table", "key", "i", "j", "fp")
+    return each_piece(met, ["table", "key"], run, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

@@ -94,3 +94,29 @@ def test_stream_sees_edits_deletions_and_renames(spark, root, tmp_path):
         until(lambda: {"_x.md", "y.md", "B.MD"} <= set().union(*seen[1:]))
     finally:
         stream.stop()
+
+
+def test_workspace(spark, root):
+    from datetime import date
+
+    from noteql.api import Workspace
+    from noteql.functions.dates import QueryError
+
+    w = Workspace(spark, root, settings=vault.Settings(ignored=["Templates"]))
+    assert w.reindex() == {"add": 7} and w.reindex() == {}
+    assert [r.note_id for r in w.call("search", query="frontmatter").collect()] == ["sub/Note"]
+    assert [r.note_id for r in w.search("tags:a").collect()] == ["Hub"]
+    assert w.search("kept", mode="hybrid").count() >= 1 and w.search("kept", mode="semantic").count() >= 1
+    assert [r.source_id for r in w.backlinks("sub/note").collect()] == ["Hub"] and w.resolve("project hub") == "Hub"
+    assert {r.raw for r in w.unresolved().collect()} == {"missing"} and "Hub" not in {r.note_id for r in w.orphans().collect()}
+    assert w.create_note("missing.md", {}, "x") == {"add": 1} and w.unresolved().isEmpty()
+    assert w.stats().first().total_notes == 8 and w.conventions()["naming"].count() > 0
+    w.metrics_create("metrics/a.ndjson", {"id": "9", "ts": "2024-04-01T01:00:00Z", "key": "body.weight", "value": 1.5, "source": "s"})
+    w.metrics_update("9", {"note": "n"})
+    assert [r.id for r in w.metrics_search("key:body.weight").collect()] == ["9"] and w.metrics_read("metric:9").first().note == "n"
+    assert [r.id for r in w.context_metric("metric:9")["records"].collect()] == ["9"]
+    assert w.context_day(date(2024, 4, 1))["metrics"].count() == 1 and w.context_note("Hub")["related"].count() >= 1
+    w.metrics_delete("9")
+    assert w.metrics_search().isEmpty() and w.metrics_files().first().row_count == 2
+    with pytest.raises(QueryError):
+        w.call("_table")

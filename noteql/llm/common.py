@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: The words of every contract: runs of anything but space and U+0009 to U+000D. ``bytes.split()`` cuts at the same characters.
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
 NULL_ID = -(1 << 63)
-SHARDS_PER_PARTITION = 8
+SHARDS_PER_PARTITION = 2
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,7 +43,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shard_count(spark: SparkSession) -> int:
-    """Shards of a packed exchange: a few for each shuffle partition, so one shard stays small in memory."""
+    """Shards of a packed exchange: a few for each shuffle partition, so that one stays small in memory, and not more, as
+    every batch sends a packet to every shard."""
     return max(8, SHARDS_PER_PARTITION * partitions(spark))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .embedding_dedup import ORACLE as OP4_SQL
 from .embedding_dedup import op4_embeddings
 from .fingerprints import op2_fingerprints
 from .language_id import op8_language_id
@@ -11,6 +12,7 @@ from .licenses import oracle as op7_sql
 from .line_dedup import op10_lines
 from .mixing import op9_mixing
 from .simhash import op3_simhash
+from .substring_dedup import ORACLE as OP1_SQL
 from .substring_dedup import op1_substring_dedup
 from .url_filter import op5_url_filter
 
@@ -26,7 +28,8 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_lines": op10_lines,
 }
-ORACLE_SQL = {"op7_licenses": op7_sql()}
+#: Hashes, models and random keys are beyond SQL; those operators are tested against brute force.
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op4_embeddings": OP4_SQL, "op7_licenses": op7_sql()}
 
 
 def queries() -> dict:

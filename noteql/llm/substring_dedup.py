@@ -362,3 +362,12 @@ def _pass_or(look):
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read(spark, sf_dir, "documents")).drop("factors", "kept_text")
+
+
+ORACLE = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ p AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+ d AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+ g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM d),
+ a AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+ t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept FROM a ANTI JOIN g USING (doc_id, k) GROUP BY doc_id)
+ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, (SELECT count(*) FROM g WHERE g.doc_id = w.doc_id) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t ON t.doc_id = w.doc_id"""

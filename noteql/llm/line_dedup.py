@@ -13,22 +13,21 @@ occurrence, and a band of very many lines is cut into pieces whose pairs are che
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import pieces
+from .buckets import each_piece, group_bounds, pieces
 from .common import NULL_ID, by_shard, doc_shard, doc_shard_column, group_starts, materialize, mix, pack, partitions, read, shard_count, unpack
-from .components import connected_components, find
+from .components import connected_components
 
 SHINGLE = 7
 THRESHOLD = 0.8
 ROWS, BANDS = 4, 10
 PIECE = 256
 SLAB = 1 << 16
-LINE, BAND, GONE = 0, 1, 2
+LINE, BAND, GONE, MET = 0, 1, 2, 3
 PACKED = "kind int, shard int, payload binary"
 SCHEMA = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("payload", pa.binary())])
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 6)]
@@ -131,33 +130,36 @@ def _first_stage(shards: int):
             rows += _emit(GONE, _shard_of(doc[gone], shards), [h[gone], doc[gone], place[gone]], shards)
             keys = bands(list(first.values())).ravel()
             node = np.repeat(np.fromiter(first, np.uint64, len(first)), BANDS)
-            # Of lines of the batch that share a band the first stands for it, and its payload says that there are more.
+            # Of lines of the batch that share a band one looks it up, saying that there are more; the others have met it.
             order = np.lexsort((node, keys))
             keys, node = keys[order], node[order]
             start = group_starts(keys)
-            more = ~start | np.append(~start[1:], False)
-            for chosen, flag in ((start & ~more, 0), (more, 1)):
-                rows += _emit(BAND, (keys[chosen] % np.uint64(shards)).astype(np.int64), [keys[chosen], node[chosen], np.full(chosen.sum(), flag, np.uint64)], shards)
+            several = np.append(~start[1:], False)[start].astype(np.uint64)
+            rows += _emit(BAND, (keys[start] % np.uint64(shards)).astype(np.int64), [keys[start], node[start], several], shards)
+            rows += _emit(MET, (node[~start] % np.uint64(shards)).astype(np.int64), [keys[~start], node[~start]], shards)
             yield from _table(rows).to_batches()
 
     return run
 
 
 def _lookups(shards: int):
-    """Of LINE blocks: first occurrences (still LINE) and the others (GONE). Of BAND blocks: lines that meet others."""
+    """Of LINE blocks: first occurrences (still LINE) and the others (GONE). Of BAND blocks: lines that meet others.
+    What is settled passes."""
 
     def run(key, table):
         kind = table.column("kind")[0].as_py()
-        if kind == GONE:
+        if kind in (GONE, MET):
             return table.select(["kind", "shard", "payload"])
         a, b, c = unpack(table.column("payload").to_pylist(), 3)
         if kind == BAND:
             order = np.lexsort((b, a))
             a, b, c = a[order], b[order], c[order]
             twin = ~group_starts(a, b)
+            # A line that several batches have is there once, with what any of them says.
+            c = np.maximum.reduceat(c, np.flatnonzero(~twin))
             a, b = a[~twin], b[~twin]
             start = group_starts(a)
-            met = ~(start & np.append(start[1:], True))
+            met = ~(start & np.append(start[1:], True)) | (c > 0)
             return _table([(BAND, 0, pack(a[met], b[met]))] if met.any() else [])
         order, repeats, new = _repeats(a, b, c)
         gone, kept = order[repeats], order[new]
@@ -195,22 +197,26 @@ def _fetch(key, docs, wanted):
     return pa.table([pa.array(h, pa.int64()), pa.array(text, pa.string())], ["h", "line"])
 
 
-def _verify(group: pd.DataFrame) -> pd.DataFrame:
-    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-    rows = list(zip(group["h"].tolist(), [shingles(x) for x in group["line"]], group["p"].tolist()))
-    left, right = [r for r in rows if r[2] == i], [r for r in rows if r[2] == j]
-    parent: dict = {}
-    links = []
-    for a, x, _ in left:
-        for b, y, _ in right:
-            if a != b and (i != j or a < b) and len(x) >= THRESHOLD * len(y) and len(y) >= THRESHOLD * len(x):
-                u, v = find(parent, a), find(parent, b)
-                if u != v:
+def _verify(table: pa.Table):
+    """Links that connect whatever near lines of a group connect; a pair that is connected already is not compared."""
+    bounds = group_bounds(table.column("gid").to_numpy())
+    h, text = table.column("h").to_pylist(), table.column("line").to_pylist()
+    links = set()
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        sets = [shingles(x) for x in text[lo:hi]]
+        root = list(range(hi - lo))
+        for b in range(1, hi - lo):
+            y = sets[b]
+            for a in range(b):
+                x = sets[a]
+                if root[a] != root[b] and len(x) >= THRESHOLD * len(y) and len(y) >= THRESHOLD * len(x):
                     both = len(x & y)
                     if both >= THRESHOLD * (len(x) + len(y) - both) - 1e-9:
-                        parent[u] = v
-                        links.append((a, b))
-    return pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
+                        old, new = root[b], root[a]
+                        root = [new if r == old else r for r in root]
+                        links.add((h[lo + a], h[lo + b]))
+    src, dst = zip(*links) if links else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
 def _strip(key, docs, marks):
@@ -249,10 +255,10 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", keep: list[str] | N
     dealt = d.select("doc", "text").mapInArrow(_first_stage(shards), PACKED).withColumn("at", key).repartition(parts, "at")
     found = materialize(dealt.groupBy("at").applyInArrow(_lookups(shards), PACKED))
     first = materialize(_rows(found.where(F.col("kind") == LINE), 3, "h long, doc long, place long")).withColumn("doc", F.col("doc").bitwiseXOR(F.lit(NULL_ID)))
-    met = materialize(_rows(found.where(F.col("kind") == BAND), 2, "band long, h long"))
+    met = materialize(_rows(found.where(F.col("kind").isin(BAND, MET)), 2, "band long, h long").distinct())
     wanted = first.join(met.select("h").distinct(), "h", "left_semi").withColumn("shard", doc_shard_column(F.col("doc"), shards)).repartition(parts, "shard")
     texts = materialize(placed.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_fetch, "h long, line string"))
-    links = pieces(met, ["band"], "h", PIECE).join(texts, "h").groupBy("band", "i", "j").applyInPandas(_verify, "src long, dst long")
+    links = each_piece(pieces(met, ["band"], "h", PIECE).join(texts, "h"), ["band"], _verify, "src long, dst long")
     comp = connected_components(links)
     members = comp.withColumnRenamed("node", "h").join(first, "h")
     keepers = members.groupBy("component").agg(F.min(F.struct("doc", "place", "h")).alias("keeper"))

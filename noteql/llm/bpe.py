@@ -1,11 +1,11 @@
 """BPE encoding and decoding with a tokenization automaton compiled from the merges.
 
-States are reached by tokens: after token ``t`` the automaton is in state ``after[t]``, whatever came before. The
-first state allows every byte. A merge ``u v -> w`` applies one gadget: the state after ``u`` is copied without its
-arc ``v``, all arcs ``u`` lead to the copy, and an arc ``w`` is laid beside every arc ``u`` whose target had an arc
-``v``, to where that arc led. The token sequences the finished automaton accepts are exactly the BPE tokenizations,
-one for each string. Copies differ from their parents by one arc, so states are kept as (parent, missing arc, merge
-number) and their arcs are worked out when first asked for and kept in a table.
+States are reached by tokens: after token ``t`` the automaton is in state ``t``, whatever came before. The first state
+allows every byte. A merge ``u v -> w`` applies one gadget: state ``u`` is replaced by a copy of it without its arc
+``v``, and an arc ``w`` is laid beside every arc ``u`` whose target had an arc ``v``, to where that arc led, which is
+the state ``v`` as it was then. The token sequences the finished automaton accepts are exactly the BPE tokenizations,
+one for each string. So a state is what its own merges took from the state of its right part at its birth, and is kept
+as those arcs alone; whether an arc is there is worked out when first asked for, then kept in the transition table.
 
 Encoding cuts a text into words as the vocabulary's pre-tokenizer does, then runs each distinct word through the
 table: at each end position there is one token whose arc leaves the state reached at its start. Decoding emits the
@@ -31,6 +31,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: The byte-level pre-tokenizer's word pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 CACHE_WORDS = 300_000
+START = -1
 
 
 def byte_letters() -> dict[str, int]:
@@ -49,25 +50,24 @@ class Automaton:
         self.added = added or {}
         self.label |= {i: s.encode() for s, i in self.added.items()}
         self.left: dict[int, int] = {}
+        self.right: dict[int, int] = {}
         self.born: dict[int, int] = {}
-        self.parent, self.missing, self.since = [-1], [-1], [-1]
-        self.after: dict[int, int] = {i: 0 for i in vocab.values() if len(self.label[i]) == 1}
+        self.states: set[int] = {START, *(i for i in vocab.values() if len(self.label[i]) == 1)}
+        #: Arcs taken from a state, with the number of the merge that took them.
+        self.taken: dict[int, dict[int, int]] = {}
         self.arcs: dict[tuple[int, int], bool] = {}
         for number, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if w in self.after:
+            if w in self.states:
                 raise ValueError(f"merge {number} makes a token that is there already")
-            if u not in self.after or v not in self.after or not self.has_arc(self.after[u], v):
+            if u not in self.states or v not in self.states or not self.has_arc(u, v):
                 continue  # earlier merges keep these two from meeting, so no text has this token
-            self.left[w], self.born[w] = u, number
-            self.after[w] = self.after[v]
-            self.parent.append(self.after[u])
-            self.missing.append(v)
-            self.since.append(number)
-            self.after[u] = len(self.parent) - 1
-        self.by_bytes = {self.label[i]: i for i in self.after}
+            self.left[w], self.right[w], self.born[w] = u, v, number
+            self.taken.setdefault(u, {})[v] = number
+            self.arcs[u, v] = False
+            self.states.add(w)
+        self.by_bytes = {self.label[i]: i for i in self.states if i != START}
         self.longest = max(map(len, self.by_bytes), default=1)
-        self._heads = None
 
     @classmethod
     def load(cls, path: str) -> Automaton:
@@ -81,44 +81,59 @@ class Automaton:
         """Whether ``token`` may follow in ``state``; answers are kept, so this is a table once it is warm."""
         known = self.arcs.get((state, token))
         if known is None:
-            known = self.arcs[state, token] = self._walk(state, token, 1 << 60)
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > 1_000_000:
                 self.arcs.clear()
+            known = self.arcs[state, token] = self._laid(state, token)
         return known
 
-    def _walk(self, state: int, token: int, before: int) -> bool:
+    def _laid(self, state: int, token: int) -> bool:
+        before = 1 << 60
         while True:
-            # No copy made after merge ``before`` counts; of the others, none may lack the arc.
-            while self.since[state] > before:
-                state = self.parent[state]
+            # No merge after ``before`` counts; of the others, none may have taken the arc since it was laid.
             born = self.born.get(token, -1)
-            at = state
-            while self.since[at] > born:
-                if self.missing[at] == token:
+            at: int | None = state
+            until = before
+            while at is not None:
+                gone = self.taken[at].get(token) if at in self.taken else None
+                if gone is not None and born < gone <= until:
                     return False
-                at = self.parent[at]
+                until = min(until, self.born.get(at, 0) - 1)
+                at = self.right.get(at)
             if born < 0:
                 return True
             # The arc was laid by its merge where the left part had one.
-            state, token, before = at, self.left[token], born
+            token, before = self.left[token], born
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        token, start, state = [0] * (len(word) + 1), [0] * (len(word) + 1), [-1] * (len(word) + 1)
-        state[0] = 0
-        by_bytes, after, has_arc = self.by_bytes, self.after, self.has_arc
-        for end in range(1, len(word) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                t = by_bytes.get(word[begin:end])
-                if t is not None and state[begin] >= 0 and has_arc(state[begin], t):
-                    token[end], start[end], state[end] = t, begin, after[t]
-                    break
-            else:
+        """The one accepted path: from each state the longest token with an arc that is not known to lead nowhere. A
+        position is reached by one path only, so one that leads nowhere need not be tried again."""
+        n, longest, token_of, arcs = len(word), self.longest, self.by_bytes.get, self.arcs.get
+        path: list[int] = []
+        ends = [0]
+        dead: set[int] = set()
+        at, state = 0, START
+        end = min(n, longest)
+        while at < n:
+            while end > at:
+                if end not in dead and (t := token_of(word[at:end])) is not None:
+                    arc = arcs((state, t))
+                    if arc if arc is not None else self.has_arc(state, t):
+                        break
+                end -= 1
+            if end > at:
+                path.append(t)
+                ends.append(end)
+                at, state = end, t
+                end = min(n, at + longest)
+            elif not path:
                 raise ValueError("a byte is not in the vocabulary")
-        out, at = [], len(word)
-        while at:
-            out.append(token[at])
-            at = start[at]
-        return tuple(out[::-1])
+            else:
+                dead.add(at)
+                path.pop()
+                end = ends.pop() - 1
+                at = ends[-1]
+                state = path[-1] if path else START
+        return tuple(path)
 
     def decode(self, ids) -> bytes:
         """The labels of ``ids``, as text in UTF-8: bytes that are no text become U+FFFD."""

@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import pieces
+from .buckets import each_piece, group_bounds, pieces
 from .common import materialize, read
 from .components import connected_components
 
@@ -72,34 +71,49 @@ def near_duplicates(vectors: DataFrame, id_col="vec_id", vector_col="embedding",
     keyed = signed.select("label", F.size("v").alias("dim"), "node", F.posexplode("s").alias("t", "key"))
     met = pieces(keyed, ["label", "dim", "t", "key"], "node").join(signed.select("node", "v", "copies", "s"), "node")
 
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        t, i, j = (int(group[c].iloc[0]) for c in ("t", "i", "j"))
-        p = group["p"].to_numpy()
-        names, copies = group["node"].to_numpy(), group["copies"].to_numpy()
-        x, s = unit(np.stack(group["v"].to_list())), np.stack(group["s"].to_list())
-        ia, ib = np.flatnonzero(p == i), np.flatnonzero(p == j)
-        hits = np.argwhere(x[ia] @ x[ib].T >= threshold - 1e-9)
-        a, b = ia[hits[:, 0]], ib[hits[:, 1]]
-        keep = a < b if i == j else np.ones(len(a), bool)
-        a, b = a[keep], b[keep]
-        # The verdict is by one formula, whatever pieces the pair met in.
-        keep = np.einsum("nd,nd->n", x[a], x[b]) >= threshold
-        a, b = a[keep], b[keep]
-        first = np.ones(len(a), bool)
-        for at in range(0, len(a), 1 << 14):
-            first[at : at + (1 << 14)] = (s[a[at : at + (1 << 14)]] == s[b[at : at + (1 << 14)]]).argmax(1) == t
-        a, b = a[first], b[first]
-        n = np.bincount(a, copies[b], len(p)) + np.bincount(b, copies[a], len(p))
-        count = pd.DataFrame({"node": names, "n": n.astype(np.int64), "other": None})
-        root = np.arange(len(p))
-        links = []
-        for y, z in zip(a, b):
-            if root[y] != root[z]:
-                links.append((names[y], 0, names[z]))
-                root[root == root[z]] = root[y]
-        return pd.concat([count[count.n > 0], pd.DataFrame(links, columns=["node", "n", "other"])])
-
-    found = materialize(met.groupBy("label", "dim", "t", "key", "i", "j").applyInPandas(verify, "node string, n long, other string"))
+    def verify(table: pa.Table):
+        bounds = group_bounds(table.column("gid").to_numpy())
+        nodes, labels = table.column("node").to_pylist(), table.column("label").to_pylist()
+        t, copies = table.column("t").to_numpy(), table.column("copies").to_numpy()
+        vectors = table.column("v").combine_chunks()
+        sizes = np.diff(vectors.offsets.to_numpy())
+        s = table.column("s").combine_chunks().flatten().to_numpy().reshape(-1, tables)
+        flat, at = vectors.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+        side = (table.column("p").to_numpy() == table.column("i").to_numpy(), table.column("p").to_numpy() == table.column("j").to_numpy())
+        counts: dict = {}
+        links = set()
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            # Pairs of groups whose hashes collide are held apart by label, size and table.
+            if len(set(labels[lo:hi])) > 1 or len(set(sizes[lo:hi])) > 1 or len(set(t[lo:hi])) > 1:
+                kinds = sorted(set(zip(labels[lo:hi], sizes[lo:hi], t[lo:hi])))
+                rows = [[k for k in range(lo, hi) if (labels[k], sizes[k], t[k]) == kind] for kind in kinds]
+            else:
+                rows = [np.arange(lo, hi)]
+            for r in map(np.asarray, rows):
+                x = unit(np.stack([flat[at[k] : at[k + 1]] for k in r]))
+                ia, ib = np.flatnonzero(side[0][r]), np.flatnonzero(side[1][r])
+                hits = np.argwhere(x[ia] @ x[ib].T >= threshold - 1e-9)
+                a, b = ia[hits[:, 0]], ib[hits[:, 1]]
+                # The verdict is by one formula, whatever pieces the pair met in.
+                keep = r[a] < r[b] if len(ia) == len(r) == len(ib) else a != b
+                a, b = a[keep], b[keep]
+                keep = np.einsum("nd,nd->n", x[a], x[b]) >= threshold
+                a, b = r[a[keep]], r[b[keep]]
+                first = np.concatenate([(s[a[k : k + (1 << 14)]] == s[b[k : k + (1 << 14)]]).argmax(1) == t[r[0]] for k in range(0, len(a), 1 << 14)] or [np.empty(0, bool)])
+                a, b = a[first], b[first]
+                n = np.bincount(a - lo, copies[b], hi - lo) + np.bincount(b - lo, copies[a], hi - lo)
+                for k in np.flatnonzero(n):
+                    counts[nodes[lo + k]] = counts.get(nodes[lo + k], 0) + int(n[k])
+                root = np.arange(hi - lo)
+                for y, z in zip((a - lo).tolist(), (b - lo).tolist()):
+                    if root[y] != root[z]:
+                        links.add((nodes[lo + y], nodes[lo + z]))
+                        root[root == root[z]] = root[y]
+        rows = [(k, n, None) for k, n in counts.items()] + [(a, 0, b) for a, b in links]
+        cols = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string()))], ["node", "n", "other"])
+
+    found = materialize(each_piece(met, ["label", "dim", "t", "key"], verify, "node string, n long, other string"))
     number = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
     ids = nodes.select("node", "least", "copies")
     ends = found.where("other is not null").select("node", "other").distinct()

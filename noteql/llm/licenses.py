@@ -81,7 +81,7 @@ RULES = [
 ]
 ENDS = "[.!?:;]+(?:[\\x20\\x09-\\x0D]+|$)|\\x0A[\\x20\\x09\\x0D]*\\x0A"
 ENDS_OR_LINES = ENDS + "|[\\x0A\\x0D]+"
-#: Sentences without one of these words are not looked up.
+#: Sentences without one of these words are not looked up by the SQL.
 HINT = "licen|permi|redistrib|warrant|copyright|rights|software|written"
 
 
@@ -90,13 +90,15 @@ def normal(sentence: str) -> str:
 
 
 KNOWN = {normal(s): name for name, texts in SENTENCES.items() for s in texts}
+#: Sentences without one of these words are not looked up: every known sentence has one, if only its longest word.
+HINTS = "|".join([HINT, *sorted({max(s.split(), key=len) for s in KNOWN if not re.search(HINT, s)})])
 PATTERNS = sorted(((name, "".join(f" {s} " for s in ids)) for name, ids in RULES), key=lambda r: (-r[1].count("  "), RULES.index(next(x for x in RULES if "".join(f" {s} " for s in x[1]) == r[1]))))
 
 
 def _sequence(text, ends: str):
     """Identifiers of the known sentences of a lower-cased text, each between two spaces."""
     table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    sentences = F.filter(F.split(text, ends), lambda s: s.rlike(HINT))
+    sentences = F.filter(F.split(text, ends), lambda s: s.rlike(HINTS))
     found = F.transform(sentences, lambda s: F.element_at(table, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
     return F.array_join(F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: F.concat(F.lit(" "), x, F.lit(" "))), "")
 
@@ -124,7 +126,7 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     # Most texts have none of the words, and are not cut.
-    some = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(HINT), text).otherwise(F.lit("")).alias("t"))
+    some = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(HINTS), text).otherwise(F.lit("")).alias("t"))
     seqs = some.select("doc_id", _sequence(F.col("t"), ENDS_OR_LINES).alias("a"), _sequence(F.col("t"), ENDS).alias("b"))
     both = F.array_sort(F.array_union(_licences(F.col("a")), _licences(F.col("b"))))
     return seqs.select("doc_id", F.filter(F.split(F.col("a"), " +"), lambda s: s != "").alias("sentences"), both.alias("licenses"))

@@ -310,6 +310,12 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_every_hint_lets_known_sentences_through(spark):
+    rows = [(k, f"Some words.\n\n{s}.\n\nMore words.") for k, s in enumerate(licenses.SENTENCES["cc0"])]
+    got = licenses.scan(docs(spark, rows)).collect()
+    assert len(got) == 2 and all(r.sentences == ["cc0"] and r.licenses == ["CC0-1.0"] for r in got)
+
+
 # Languages
 
 

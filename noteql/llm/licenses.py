@@ -81,6 +81,8 @@ RULES = [
 ]
 ENDS = "[.!?:;]+(?:[\\x20\\x09-\\x0D]+|$)|\\x0A[\\x20\\x09\\x0D]*\\x0A"
 ENDS_OR_LINES = ENDS + "|[\\x0A\\x0D]+"
+#: A full stop that ends no sentence: of "v." before a number. No known sentence ends in v or begins with a digit.
+VERSION_STOP = "(?<![a-z0-9])v\\.(?=[^a-z0-9]+[0-9])"
 #: Sentences without one of these words are not looked up by the SQL.
 HINT = "licen|permi|redistrib|warrant|copyright|rights|software|written"
 
@@ -126,7 +128,7 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     # Most texts have none of the words, and are not cut.
-    some = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(HINTS), text).otherwise(F.lit("")).alias("t"))
+    some = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(HINTS), F.regexp_replace(text, VERSION_STOP, "v")).otherwise(F.lit("")).alias("t"))
     seqs = some.select("doc_id", _sequence(F.col("t"), ENDS_OR_LINES).alias("a"), _sequence(F.col("t"), ENDS).alias("b"))
     both = F.array_sort(F.array_union(_licences(F.col("a")), _licences(F.col("b"))))
     return seqs.select("doc_id", F.filter(F.split(F.col("a"), " +"), lambda s: s != "").alias("sentences"), both.alias("licenses"))

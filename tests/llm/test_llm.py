@@ -316,6 +316,17 @@ def test_every_hint_lets_known_sentences_through(spark):
     assert len(got) == 2 and all(r.sentences == ["cc0"] and r.licenses == ["CC0-1.0"] for r in got)
 
 
+def test_every_known_sentence_is_recognised(spark):
+    known = [(name, s) for name, texts in licenses.SENTENCES.items() for s in texts]
+    rows = [(k, f"Some words.\n\n{s}.\n\nMore words.") for k, (_, s) in enumerate(known)]
+    header = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one. */"
+    rows += [(1000, header), (1001, header.replace("v. ", "v.\n * ")), (1002, header.replace("2.0", "1.1")), (1003, header.replace("v. ", "v.\n\n"))]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [got[k].sentences for k in range(len(known))] == [[name] for name, _ in known]
+    assert [got[k].licenses for k in range(1000, 1004)] == [["MPL-2.0"], ["MPL-2.0"], [], []]
+    assert not any(n.endswith(" v") or n[0].isdigit() for n in licenses.KNOWN)
+
+
 # Languages
 
 

@@ -482,6 +482,11 @@ def evidence_prune(spark, d):
     return context.prune(context.best_evidence(e, "note_id", "at"), "note_id", "at", 5).select("note_id", "kind")
 
 
+@register("evidence_prune_all", f"WITH b AS (SELECT note_id, kind, t_at FROM ({_EV}) QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY kind, t_at DESC NULLS LAST, reason) = 1), n AS (SELECT least(count(*), 5) AS n FROM b WHERE kind < 2), r AS (SELECT note_id, kind, row_number() OVER (PARTITION BY kind < 2 ORDER BY kind, t_at DESC NULLS LAST, note_id) AS r FROM b) SELECT note_id, kind FROM r, n WHERE r <= CASE WHEN kind < 2 THEN 5 ELSE least(CASE WHEN n >= 2 THEN 1 ELSE 2 END, 5 - n) END")
+def evidence_prune_all(spark, d):
+    return context.prune(context.best_evidence(_evidence(spark, d), "note_id", "at"), "note_id", "at", 5).select("note_id", "kind")
+
+
 def _evidence(spark, d) -> DataFrame:
     i = F.col("doc_id")
     at = F.when(i % 9 != 0, F.timestamp_seconds(F.lit(1704067200) + i * 600))

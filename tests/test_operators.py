@@ -188,3 +188,28 @@ def test_profiles(spark):
     assert {r.pattern: r["count"] for r in notes.naming_histogram(n, F.col("leaf")).collect()} == {"kebab-case": 2, "ISO date": 1, "Title Case": 1, "numeric": 1, "Misc": 1}
     empty = notes.stats(spark.createDataFrame([], "raw string")).first()
     assert (empty.total_notes, empty.total_words, empty.average_words) == (0, 0, None)
+
+
+@pytest.mark.parametrize("strong,inferred,want", [(0, 4, (0, 2)), (1, 4, (1, 2)), (2, 4, (2, 1)), (4, 4, (4, 1)), (5, 4, (5, 0)), (9, 4, (5, 0)), (3, 0, (3, 0))])
+def test_prune(spark, strong, inferred, want):
+    rows = [(f"s{k}", k % 2, datetime(2024, 5, 1 + k)) for k in range(strong)] + [(f"w{k}", 2, None) for k in range(inferred)]
+    got = context.prune(spark.createDataFrame(rows, "note_id string, kind int, at timestamp"), "note_id", "at", 5).collect()
+    assert (sum(r.kind < 2 for r in got), sum(r.kind == 2 for r in got)) == want
+
+
+def test_the_registered_prune_has_a_form_over_all_evidence(spark, tmp_path):
+    import duckdb
+    from noteql import queries
+
+    ids = range(60, 400)
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    best = {}
+    for i in ids:
+        if i % 40 != i % 3:
+            row = (i % 3, i % 9 == 0, -i if i % 9 else 0, str(i))
+            best[str(i % 40)] = min(best.get(str(i % 40), row), row)
+    strong = sorted((*row[:3], note) for note, row in best.items() if row[0] < 2)
+    got = [tuple(r) for r in queries.QUERIES["evidence_prune_all"](spark, str(tmp_path)).collect()]
+    assert len(strong) > 5 and got == [(note, kind) for kind, _, _, note in strong[:5]]
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(duckdb.sql(queries.ORACLE_SQL["evidence_prune_all"]).fetchall()) == sorted(got)

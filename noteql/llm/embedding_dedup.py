@@ -47,7 +47,7 @@ def near_duplicates(vectors: DataFrame, id_col="vec_id", vector_col="embedding",
     Rows link if their labels are equal and not null, their vectors have one length and their cosine in double
     precision is at least ``threshold``. Null and zero vectors and those with a null or non-finite component link with
     nothing. Equal vectors of one label are one node with a multiplicity, so copies are counted but never paired; a
-    repeated row is a vector of its own. Of rows without vec_id none is the name of a component. Buckets of any size
+    repeated row is a vector of its own. A row without vec_id carries links, but is not the name of a component. Buckets of any size
     are cut into pieces; a pair found in several tables counts in the first only. An empty table gives an empty result.
     """
     rows = materialize(usable(vectors, id_col, vector_col, label_col))
@@ -115,12 +115,11 @@ def near_duplicates(vectors: DataFrame, id_col="vec_id", vector_col="embedding",
 
     found = materialize(each_piece(met, ["label", "dim", "t", "key"], verify, "node string, n long, other string"))
     number = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
-    ids = nodes.select("node", "least", "copies")
-    ends = found.where("other is not null").select("node", "other").distinct()
-    ends = ends.join(ids.select("node", F.col("least").alias("src")), "node").join(ids.select(F.col("node").alias("other"), F.col("least").alias("dst")), "other")
-    comp = connected_components(ends.select("src", "dst"))
-    classes = ids.join(number, "node", "left").join(comp.withColumnRenamed("node", "least"), "least", "left")
-    classes = classes.select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
+    # Components are of nodes, as a node without a vec_id carries links too.
+    comp = connected_components(found.where("other is not null").select("node", "other"), "node", "other")
+    classes = nodes.select("node", "least", "copies").join(number, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = classes.join(of, "component").select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     linked = rows.select("vec_id", named.alias("node")).join(classes, "node").select("vec_id", "n_links", "component_id")
     v = F.col(vector_col).cast("array<double>")
     rest = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))

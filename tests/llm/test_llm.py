@@ -190,6 +190,13 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_linked_by_a_row_without_id(spark):
+    at = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+    rows = [(2, at(10), 0), (None, at(19), 0), (1, at(28), 0), (3, at(90), 0), (None, at(200), 0)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(2, 1, 1), (None, 2, 1), (1, 1, 1), (3, 0, 3), (None, 0, None)], key=str)
+
+
 def test_enough_tables_for_the_recall():
     for count in (10, 10**5, 10**10):
         bits, tables = embedding_dedup.layout(count)

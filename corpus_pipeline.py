@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents whose language is told by less than this score are rejected, as are those without a letter.
+#: Documents whose language is told by less than this score are rejected, as are those without a letter. With two
+#: classes a level no text with a letter scores less, so only those without one are.
 MIN_SCORE = 0.5
 
 

@@ -97,12 +97,20 @@ HINTS = "|".join([HINT, *sorted({max(s.split(), key=len) for s in KNOWN if not r
 PATTERNS = sorted(((name, "".join(f" {s} " for s in ids)) for name, ids in RULES), key=lambda r: (-r[1].count("  "), RULES.index(next(x for x in RULES if "".join(f" {s} " for s in x[1]) == r[1]))))
 
 
-def _sequence(text, ends: str):
-    """Identifiers of the known sentences of a lower-cased text, each between two spaces."""
+def _known(sentence):
     table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    sentences = F.filter(F.split(text, ends), lambda s: s.rlike(HINTS))
-    found = F.transform(sentences, lambda s: F.element_at(table, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
-    return F.array_join(F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: F.concat(F.lit(" "), x, F.lit(" "))), "")
+    return F.when(sentence.rlike(HINTS), F.element_at(table, F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))))
+
+
+def _readings(text):
+    """For each sentence of a lower-cased text: its identifier and those of its lines."""
+    lines = lambda s: F.filter(F.transform(F.split(s, "[\\x0A\\x0D]+"), _known), lambda x: x.isNotNull())
+    return F.transform(F.split(text, ENDS), lambda s: F.struct(_known(s).alias("whole"), lines(s).alias("lines")))
+
+
+def _sequence(names):
+    """Identifiers, each between two spaces."""
+    return F.array_join(F.transform(names, lambda x: F.concat(F.lit(" "), x, F.lit(" "))), "")
 
 
 def _licences(sequence):
@@ -121,7 +129,7 @@ def _licences(sequence):
 
 
 def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, sentences (array: known sentences in order), licenses (array, sorted, distinct) for each row.
+    """doc_id, sentences (array: known sentences of either reading, in order), licenses (array, sorted, distinct) for each row.
 
     Null and empty texts have none. Repeated rows come out alike; an empty table gives an empty result; other columns
     are not looked at. There is no shuffle: every row is judged where it is read.
@@ -129,9 +137,13 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     # Most texts have none of the words, and are not cut.
     some = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(HINTS), F.regexp_replace(text, VERSION_STOP, "v")).otherwise(F.lit("")).alias("t"))
-    seqs = some.select("doc_id", _sequence(F.col("t"), ENDS_OR_LINES).alias("a"), _sequence(F.col("t"), ENDS).alias("b"))
+    read_ = some.select("doc_id", _readings(F.col("t")).alias("r"))
+    wholes = F.filter(F.col("r.whole"), lambda x: x.isNotNull())
+    # In the order of the text; what a sentence is as a whole is not counted for its lines again.
+    merged = F.flatten(F.transform("r", lambda x: F.when(x["whole"].isNull(), x["lines"]).otherwise(F.concat(F.array(x["whole"]), F.filter(x["lines"], lambda y: y != x["whole"])))))
+    seqs = read_.select("doc_id", merged.alias("sentences"), _sequence(F.flatten("r.lines")).alias("a"), _sequence(wholes).alias("b"))
     both = F.array_sort(F.array_union(_licences(F.col("a")), _licences(F.col("b"))))
-    return seqs.select("doc_id", F.filter(F.split(F.col("a"), " +"), lambda s: s != "").alias("sentences"), both.alias("licenses"))
+    return seqs.select("doc_id", "sentences", both.alias("licenses"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

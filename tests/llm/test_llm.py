@@ -334,6 +334,14 @@ def test_every_known_sentence_is_recognised(spark):
     assert not any(n.endswith(" v") or n[0].isdigit() for n in licenses.KNOWN)
 
 
+def test_sentences_of_both_readings(spark):
+    grant, notice = licenses.SENTENCES["mit_grant"][0], licenses.SENTENCES["mit_notice"][0]
+    wrapped = f"All rights reserved.\n{grant.replace('deal in', 'deal' + chr(10) + 'in')}:\n\n{notice.replace(' shall', chr(10) + 'shall')}.\nReleased under the MIT License\nor not"
+    got = licenses.scan(docs(spark, [(1, wrapped), (2, "Licensed under the Apache License, Version 2.0\n(the \"License\")")])).collect()
+    assert {r.doc_id: r.sentences for r in got} == {1: ["reserved", "mit_grant", "mit_notice", "mit_short"], 2: ["apache_short"]}
+    assert {r.doc_id: r.licenses for r in got} == {1: ["LicenseRef-All-Rights-Reserved", "MIT"], 2: ["Apache-2.0"]}
+
+
 # Languages
 
 

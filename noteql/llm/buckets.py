@@ -7,20 +7,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import materialize, partitions
 
 #: Rows of one piece. A task holds two pieces at most.
 PIECE = 1024
 
 
-def pieces(keyed: DataFrame, key: list[str], row: str, piece: int = PIECE) -> DataFrame:
+def pieces(keyed: DataFrame, key: list[str], row: str, piece: int = PIECE, least: int = 2) -> DataFrame:
     """Rows of ``keyed`` (key columns, a ``row`` identifier, unique in its group, and any more) whose group has at
-    least two rows, with columns ``i`` and ``j``: a group of n rows falls into c = ceil(n / piece) parts by hash, and
+    least ``least`` rows, with columns ``i`` and ``j``: a group of n rows falls into c = ceil(n / piece) parts by hash, and
     part p appears in the pairs of parts (i, j), i <= j, that it belongs to, as side 0 and 1. Every two rows of a group
-    meet in at least one pair; the pairs of one large group go to different tasks.
+    meet in at least one pair; the pairs of one large group go to different tasks. The counts are a table of their own,
+    so that adaptive execution may split their join with the rows of a hot key.
     """
-    counts = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("group_n")).where("group_n > 1")
-    met = keyed.join(counts, key)
+    counts = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("group_n")).where(F.col("group_n") >= least)
+    met = keyed.join(materialize(counts), key)
     parts = F.ceil(F.col("group_n") / F.lit(piece)).cast("int")
     met = met.withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64(F.lit(7), row), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)

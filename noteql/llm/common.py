@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
 NULL_ID = -(1 << 63)
 SHARDS_PER_PARTITION = 2
+#: Names the scratch tables of this process.
+RUN = f"noteql-{uuid.uuid4().hex[:12]}"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,9 +25,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Only a session of one process, as in tests, may name none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "noteql-shared")
     return path.rstrip("/")
 
@@ -33,11 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write a table to the shared folder and read it back, so lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/noteql-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{RUN}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete the scratch tables that this process wrote to the shared folder; returns their number. Results that still
+    read them must be stored before."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.globStatus(jvm.org.apache.hadoop.fs.Path(top, f"{RUN}-*")) or ()]
+    for path in found:
+        fs.delete(path, True)
+    return len(found)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -111,13 +128,23 @@ def by_shard(shard: np.ndarray, columns: list[np.ndarray], shards: int):
         yield int(s), pack(*(c[ends[s] : ends[s + 1]] for c in columns))
 
 
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
 def doc_shard(ids: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of a document id, the same as ``doc_shard_column``."""
-    return np.mod(ids.view(np.int64), shards)
+    """Shard of a document id by its XXH64 (of 8 bytes, seed 42), the same as ``doc_shard_column``. Ids in steps of any
+    width fall into all shards alike."""
+    h = _rotated(ids.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), 31) * np.uint64(0x9E3779B185EBCA87)
+    h ^= np.uint64(42 + 0x27D4EB2F165667C5 + 8)
+    h = _rotated(h, 27) * np.uint64(0x9E3779B185EBCA87) + np.uint64(0x85EBCA77C2B2AE63)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+    return np.mod((h ^ (h >> np.uint64(32))).view(np.int64), shards)
 
 
 def doc_shard_column(ids, shards: int):
-    return F.pmod(ids, F.lit(shards)).cast("int")
+    return F.pmod(F.xxhash64(ids), F.lit(shards)).cast("int")
 
 
 def group_starts(*keys: np.ndarray) -> np.ndarray:

@@ -7,7 +7,11 @@ one shingle), and of every component one line stays, the earliest by doc_id and
 Equal lines are one node, named by a 64-bit hash: what a batch has twice is settled there, and first occurrences are
 looked up in packed blocks. Bands of four minima, ten of them, meet in blocks as well; pairs exactly at the threshold
 share a band with probability 0.995. Texts of lines that meet others are fetched once by the document of their first
-occurrence, and a band of very many lines is cut into pieces whose pairs are checked in different tasks.
+occurrence.
+
+The lines of a band form a star around one of them, so a band of n lines gives n - 1 candidate pairs, and a pair that
+several bands give is checked once. Where every pair of a star is near, the band is settled. Only the other bands, of
+three lines or more, are gone through pair by pair, cut into pieces that different tasks check.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .buckets import each_piece, group_bounds, pieces
 from .common import NULL_ID, by_shard, doc_shard, doc_shard_column, group_starts, materialize, mix, pack, partitions, read, shard_count, unpack
-from .components import connected_components
+from .components import connected_components, find
 
 SHINGLE = 7
 THRESHOLD = 0.8
@@ -72,7 +76,12 @@ def bands(norm: list[str]) -> np.ndarray:
             inside[stop - k] = False
         h = h[inside[: len(h)]]
         offsets = np.cumsum(count) - count
-        least = np.stack([np.minimum.reduceat(h * a + c, offsets) for a, c in zip(_A, _B)]).astype(np.uint64)
+        least = np.empty((ROWS * BANDS, len(count)), np.uint64)
+        permuted = np.empty_like(h)
+        for k, (a, c) in enumerate(zip(_A, _B)):
+            np.multiply(h, a, out=permuted)
+            permuted += c
+            least[k] = np.minimum.reduceat(permuted, offsets)
         for band in range(BANDS):
             m = least[band * ROWS : (band + 1) * ROWS]
             key = mix((m[0] << np.uint64(32)) | m[1]) + ((m[2] << np.uint64(32)) | m[3])
@@ -130,37 +139,36 @@ def _first_stage(shards: int):
             rows += _emit(GONE, _shard_of(doc[gone], shards), [h[gone], doc[gone], place[gone]], shards)
             keys = bands(list(first.values())).ravel()
             node = np.repeat(np.fromiter(first, np.uint64, len(first)), BANDS)
-            # Of lines of the batch that share a band one looks it up, saying that there are more; the others have met it.
+            # Of lines of the batch that share a band the least looks it up; the others form a star around it.
             order = np.lexsort((node, keys))
             keys, node = keys[order], node[order]
             start = group_starts(keys)
-            several = np.append(~start[1:], False)[start].astype(np.uint64)
-            rows += _emit(BAND, (keys[start] % np.uint64(shards)).astype(np.int64), [keys[start], node[start], several], shards)
-            rows += _emit(MET, (node[~start] % np.uint64(shards)).astype(np.int64), [keys[~start], node[~start]], shards)
+            hub = node[start][np.cumsum(start) - 1]
+            rows += _emit(BAND, (keys[start] % np.uint64(shards)).astype(np.int64), [keys[start], node[start]], shards)
+            rows += _emit(MET, (node[~start] % np.uint64(shards)).astype(np.int64), [keys[~start], hub[~start], node[~start]], shards)
             yield from _table(rows).to_batches()
 
     return run
 
 
 def _lookups(shards: int):
-    """Of LINE blocks: first occurrences (still LINE) and the others (GONE). Of BAND blocks: lines that meet others.
-    What is settled passes."""
+    """Of LINE blocks: first occurrences (still LINE) and the others (GONE). Of BAND blocks: stars of the batches' lines
+    around the least (MET). What is settled passes."""
 
     def run(key, table):
         kind = table.column("kind")[0].as_py()
         if kind in (GONE, MET):
             return table.select(["kind", "shard", "payload"])
-        a, b, c = unpack(table.column("payload").to_pylist(), 3)
         if kind == BAND:
-            order = np.lexsort((b, a))
-            a, b, c = a[order], b[order], c[order]
-            twin = ~group_starts(a, b)
-            # A line that several batches have is there once, with what any of them says.
-            c = np.maximum.reduceat(c, np.flatnonzero(~twin))
-            a, b = a[~twin], b[~twin]
-            start = group_starts(a)
-            met = ~(start & np.append(start[1:], True)) | (c > 0)
-            return _table([(BAND, 0, pack(a[met], b[met]))] if met.any() else [])
+            band, node = unpack(table.column("payload").to_pylist(), 2)
+            order = np.lexsort((node, band))
+            band, node = band[order], node[order]
+            start = group_starts(band)
+            hub = node[start][np.cumsum(start) - 1]
+            # A line that several batches have is there once.
+            met = group_starts(band, node) & ~start
+            return _table([(MET, 0, pack(band[met], hub[met], node[met]))] if met.any() else [])
+        a, b, c = unpack(table.column("payload").to_pylist(), 3)
         order, repeats, new = _repeats(a, b, c)
         gone, kept = order[repeats], order[new]
         return _table(_emit(GONE, _shard_of(b[gone], shards), [a[gone], b[gone], c[gone]], shards) + [(LINE, 0, pack(a[kept], b[kept], c[kept]))])
@@ -197,6 +205,26 @@ def _fetch(key, docs, wanted):
     return pa.table([pa.array(h, pa.int64()), pa.array(text, pa.string())], ["h", "line"])
 
 
+def _near(x: set[str], y: set[str]) -> bool:
+    both = len(x & y)
+    return both >= THRESHOLD * (len(x) + len(y) - both) - 1e-9
+
+
+def _check(batches):
+    """Whether the lines of each row (src, dst, a, b) are near. Rows of one ``src`` come together, so that its shingles
+    are made once."""
+    held, x = None, set()
+    for batch in batches:
+        src, a, b = (batch.column(k).to_pylist() for k in (0, 2, 3))
+        near = []
+        for s, m, n in zip(src, a, b):
+            if s != held:
+                held, x = s, shingles(m)
+            # A line has no more shingles than characters allow.
+            near.append(max(1, len(n) - SHINGLE + 1) >= THRESHOLD * len(x) - 1e-9 and _near(x, shingles(n)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["src", "dst", "near"])
+
+
 def _verify(table: pa.Table):
     """Links that connect whatever near lines of a group connect; a pair that is connected already is not compared."""
     bounds = group_bounds(table.column("gid").to_numpy())
@@ -204,21 +232,38 @@ def _verify(table: pa.Table):
     links = set()
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         sets = [shingles(x) for x in text[lo:hi]]
-        root = list(range(hi - lo))
+        root: dict = {}
         for b in range(1, hi - lo):
             y = sets[b]
             for a in range(b):
                 x = sets[a]
-                if root[a] != root[b] and len(x) >= THRESHOLD * len(y) and len(y) >= THRESHOLD * len(x):
-                    both = len(x & y)
-                    if both >= THRESHOLD * (len(x) + len(y) - both) - 1e-9:
-                        old, new = root[b], root[a]
-                        root = [new if r == old else r for r in root]
+                if len(x) >= THRESHOLD * len(y) and len(y) >= THRESHOLD * len(x):
+                    old, new = find(root, b), find(root, a)
+                    if old != new and _near(x, y):
+                        root[old] = new
                         links.add((h[lo + a], h[lo + b]))
     src, dst = zip(*links) if links else ((), ())
     yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
+def near_links(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """(src, dst): links with the components that all near pairs within bands have, from the bands' stars (band, src,
+    dst) and the lines (h, line).
+
+    Many lines may have one ``src``: its rows are dealt last, after the texts of ``dst`` are joined, and adaptive
+    execution may split them, as both sides of that join are plain exchanges.
+    """
+    pairs = stars.select("src", "dst").distinct()
+    met = pairs.join(texts.select(F.col("h").alias("dst"), F.col("line").alias("b")), "dst")
+    met = met.join(texts.select(F.col("h").alias("src"), F.col("line").alias("a")), "src").select("src", "dst", "a", "b")
+    checked = materialize(met.mapInArrow(_check, "src long, dst long, near boolean"))
+    # Bands with a pair that is not near, if others of the band might be.
+    open_bands = materialize(stars.join(checked.where(~F.col("near")), ["src", "dst"], "left_semi").select("band").distinct())
+    members = stars.join(open_bands, "band", "left_semi").select("band", F.explode(F.array("src", "dst")).alias("h")).distinct()
+    rest = pieces(materialize(members), ["band"], "h", PIECE, least=3).join(texts, "h")
+    return checked.where("near").select("src", "dst").unionByName(each_piece(rest, ["band"], _verify, "src long, dst long"))
+
+
 def _strip(key, docs, marks):
     """Documents without the marked lines."""
     gone: dict = {}
@@ -255,11 +300,11 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", keep: list[str] | N
     dealt = d.select("doc", "text").mapInArrow(_first_stage(shards), PACKED).withColumn("at", key).repartition(parts, "at")
     found = materialize(dealt.groupBy("at").applyInArrow(_lookups(shards), PACKED))
     first = materialize(_rows(found.where(F.col("kind") == LINE), 3, "h long, doc long, place long")).withColumn("doc", F.col("doc").bitwiseXOR(F.lit(NULL_ID)))
-    met = materialize(_rows(found.where(F.col("kind").isin(BAND, MET)), 2, "band long, h long").distinct())
-    wanted = first.join(met.select("h").distinct(), "h", "left_semi").withColumn("shard", doc_shard_column(F.col("doc"), shards)).repartition(parts, "shard")
+    stars = materialize(_rows(found.where(F.col("kind") == MET), 3, "band long, src long, dst long"))
+    met = stars.select(F.explode(F.array("src", "dst")).alias("h")).distinct()
+    wanted = first.join(met, "h", "left_semi").withColumn("shard", doc_shard_column(F.col("doc"), shards)).repartition(parts, "shard")
     texts = materialize(placed.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_fetch, "h long, line string"))
-    links = each_piece(pieces(met, ["band"], "h", PIECE).join(texts, "h"), ["band"], _verify, "src long, dst long")
-    comp = connected_components(links)
+    comp = connected_components(near_links(stars, texts))
     members = comp.withColumnRenamed("node", "h").join(first, "h")
     keepers = members.groupBy("component").agg(F.min(F.struct("doc", "place", "h")).alias("keeper"))
     lost = materialize(members.join(keepers, "component").where(F.col("h") != F.col("keeper.h")).select("h", "doc", "place"))
@@ -267,7 +312,7 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", keep: list[str] | N
     def packed(batches):
         for b in batches:
             h, doc, place = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-            yield from _table(_emit(GONE, np.mod(doc, shards), [h.view(np.uint64), _order(doc), place.view(np.uint64)], shards)).to_batches()
+            yield from _table(_emit(GONE, doc_shard(doc, shards), [h.view(np.uint64), _order(doc), place.view(np.uint64)], shards)).to_batches()
 
     marks = found.where(F.col("kind") == GONE).unionByName(lost.mapInArrow(packed, PACKED)).repartition(parts, "shard")
     out = placed.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_strip, d.select("doc", "row", "rest").schema.add("n_lines", "long").add("n_removed", "long").add("kept_text", "string"))

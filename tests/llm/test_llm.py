@@ -466,3 +466,31 @@ def test_components(spark):
     good = [(a, b) for a, b in pairs if a is not None and a != b]
     assert got == union(good, {x for p in good for x in p})
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_shards_of_ids(spark):
+    """The two forms agree, and ids in steps of the shard count are spread."""
+    from noteql.llm import common
+
+    ids = [0, 1, -1, 2**62, -(2**63), *range(0, 102 * 5000, 102)]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(common.doc_shard_column(F.col("i"), 102)).collect()]
+    assert got == common.doc_shard(np.array(ids), 102).tolist()
+    assert max(np.bincount(got, minlength=102)) < 3 * len(ids) / 102
+
+
+def test_lines_of_documents_that_share_an_id(spark):
+    rows = [(1, "first line here\ncommon words of both"), (1, "other line there\ncommon words of both"), (2, "first line here\nother line there")]
+    got = sorted((r.doc_id, r.kept_text) for r in line_dedup.dedup(docs(spark, rows)).collect())
+    assert got == [(1, "first line here\ncommon words of both"), (1, "other line there\ncommon words of both"), (2, "")]
+
+
+def test_stars_lose_no_link(spark):
+    """A band whose hub is near to none of two lines that are near each other, and one too large for a piece."""
+    a = "the quick brown fox jumps over the lazy dog and runs away from here"
+    near = [a + x for x in ("", " a", " b", " c")]
+    lines_ = {1: "nothing like the others at all", **{k + 2: x for k, x in enumerate(near)}, **{k + 100: f"{a} {a} {k:04d}" for k in range(600)}}
+    texts = spark.createDataFrame(list(lines_.items()), "h long, line string")
+    stars = [(7, 1, k) for k in range(2, 6)] + [(8, 1, 100 + k) for k in range(600)] + [(9, 2, 3)]
+    links = [(r.src, r.dst) for r in line_dedup.near_links(spark.createDataFrame(stars, "band long, src long, dst long"), texts).collect()]
+    comp = union(links, lines_)
+    assert comp[1] == 1 and {comp[k] for k in range(2, 6)} == {2} and {comp[100 + k] for k in range(600)} == {100}

@@ -55,6 +55,11 @@ def clean(spark: SparkSession) -> int:
     return len(found)
 
 
+def kept_columns(keep: list[str] | None, own) -> list[str]:
+    """The columns to keep but those that are named like results, which take their place."""
+    return [c for c in keep or () if c.lower() not in own]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

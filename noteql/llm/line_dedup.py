@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import each_piece, group_bounds, pieces
-from .common import NULL_ID, by_shard, doc_shard, doc_shard_column, group_starts, materialize, mix, pack, partitions, read, shard_count, unpack
+from .common import NULL_ID, by_shard, doc_shard, doc_shard_column, group_starts, kept_columns, materialize, mix, pack, partitions, read, shard_count, unpack
 from .components import connected_components, find
 
 SHINGLE = 7
 THRESHOLD = 0.8
 ROWS, BANDS = 4, 10
 PIECE = 256
+OWN = ("n_lines", "n_removed", "kept_text")
 SLAB = 1 << 16
 LINE, BAND, GONE, MET = 0, 1, 2, 3
 PACKED = "kind int, shard int, payload binary"
@@ -286,7 +287,7 @@ def _strip(key, docs, marks):
 
 def dedup(docs: DataFrame, id_col="doc_id", text_col="text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_text (the text without the lines that repeat or nearly repeat others), after
-    the columns named in ``keep``, doc_id if none are.
+    the columns named in ``keep``, doc_id if none are; a kept column named like a result gives way to it.
 
     A null text has one blank line and stays null. A null doc_id sorts before all others. Rows that share a doc_id
     share its places: a repeated row is no repetition, so both come out alike. An empty table gives an empty result;
@@ -294,7 +295,7 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", keep: list[str] | N
     """
     spark = docs.sparkSession
     shards, parts = shard_count(spark), partitions(spark)
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).isNull().cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*(keep or [F.col(id_col).alias("doc_id")])).alias("rest"))
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).isNull().cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*(kept_columns(keep, OWN) or [F.col(id_col).alias("doc_id")])).alias("rest"))
     placed = d.withColumn("shard", doc_shard_column(F.col("doc"), shards)).repartition(parts, "shard")
     key = F.col("shard") + F.col("kind") * shards
     dealt = d.select("doc", "text").mapInArrow(_first_stage(shards), PACKED).withColumn("at", key).repartition(parts, "at")

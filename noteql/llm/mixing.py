@@ -1,8 +1,10 @@
 """Mixing sources to target weights: hash-random order within each source, distributed prefix sums, exact cuts.
 
-Rows of a null source form a source of their own, last in order; a null text has no words. Rows are told apart by
-(doc_id, text), so repeated rows with one doc_id are separate candidates; equal rows tie and are cut in any order
-with equal totals. An empty table gives an empty result. Other columns of the input are not looked at.
+Rows of a null source form a source of their own, last in order; a null text has no words. Rows are ordered by a hash
+of (doc_id, text), so the mix is the same whatever order the rows come in. Rows equal in both are separate candidates
+that tie: which of them the cut falls on is open, but together they give the same rows in every run. Texts may be of
+any length, as only their hash and size are kept. An empty table gives an empty result. Other columns of the input are
+not looked at.
 """
 
 from __future__ import annotations
@@ -10,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, partitions, read
+from .common import WORD_RE, kept_columns, materialize, partitions, read
 
 #: Weights dealt to the sources in order, again and again.
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
+OWN = ("size", "source_size", "target", "taken")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -40,27 +43,30 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> D
 
 def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, epochs: int = EPOCHS, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of ``docs``; the columns named in ``keep`` come first in
-    the place of doc_id, if any are.
+    the place of doc_id, if any are; one that is named like a result gives way to it.
 
     Each source is passed over ``floor(target / source_size)`` times whole; of the rest, rows are taken by ascending
     hash key until the running sum of sizes meets the budget, where the last row is cut to the words still wanted.
     Running sums come in two steps: ranges of (source, key) are summed apart, and each range starts from the sum of
-    the ranges before it, so one source of any size is spread over many tasks.
+    the ranges before it, so one source of any size is spread over many tasks. Texts are read twice if columns are
+    kept, for the sums of the ranges and for the result, and once if not, as sizes and keys are then written out.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.length(text_col)).alias("key"),
-        F.struct(*(keep or [F.col(id_col).alias("doc_id")])).alias("rest"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("key"),
+        F.struct(*(kept_columns(keep, OWN) or [F.col(id_col).alias("doc_id")])).alias("rest"),
     )
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
+    rows = rows if keep else materialize(rows)
     # The keys are uniform, so equal ranges of them hold equal shares of a source, and no sampling need find them.
     ranges = partitions(spark)
     dealt = rows.withColumn("part", F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * ranges).cast("int"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("source", "part").agg(F.sum("size").alias("part_size")).withColumn("start", F.coalesce(F.sum("part_size").over(before), F.lit(0)))
+    sums = materialize(dealt.groupBy("source", "part").agg(F.sum("size").alias("part_size")))
+    targets = source_targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, epochs)
+    starts = sums.withColumn("start", F.coalesce(F.sum("part_size").over(before), F.lit(0)))
     # One row a source and range of keys.
     known = starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "part", "start", "source_size", "target")
     within = Window.partitionBy("source", "part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,8 +1,10 @@
 """Licence scans by sentence rules, by DataFrame functions alone.
 
-A text is cut into sentences, the sentences are normalised and looked up among known licence sentences, and the
-sequence of the identifiers found is matched against ordered licence rules, longest first; each match uses up its
-sentences. Single line ends both do and do not end sentences, blank lines do: the text is read once either way, and what either finds counts.
+A text is normalised: A-Z lowered, words of a-z and 0-9 with one space between, and ``|`` where a sentence ends.
+Sentences end at . ! ? : ; before white space or the end and at blank lines; a line end alone ends none, nor does the
+stop of "v." before a number. Known licence sentences are recognised wherever their words stand within a text's, under
+a heading, in a comment or before "see LICENSE" as well, the longest of those that begin at a word. The sequence of
+their identifiers is matched against ordered licence rules, longest first; each match uses up its sentences.
 """
 
 from __future__ import annotations
@@ -16,62 +18,106 @@ from .common import read
 
 #: Sentences of public licences and of usual licence notices, by identifier.
 SENTENCES = {
-    "mit_short": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "This software is released under the MIT License"],
+    "mit_short": ["Released under the MIT License", "Licensed under the MIT License", "Distributed under the MIT License", "Available under the MIT License", "Licensed under the terms of the MIT License"],
     "mit_grant": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'],
-    "mit_notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
+    "mit0_grant": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.'],
+    "mit_notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"],
     "mit_as_is": ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'],
     "bsd_redist": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "bsd_source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd_binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
-    "bsd_endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "bsd_short_2": ["Licensed under the BSD 2-Clause License", "Released under the BSD 2-Clause License"],
-    "bsd_short_3": ["Licensed under the BSD 3-Clause License", "Released under the BSD 3-Clause License"],
-    "apache_short": ["Licensed under the Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License")', "Released under the Apache License, Version 2.0", "This work is licensed under the Apache License, Version 2.0"],
-    "apache_terms": ["you may not use this file except in compliance with the License"],
+    "bsd_advert": ["All advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "bsd_endorse": ["nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may not be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd_short_2": ["Licensed under the BSD 2-Clause License", "Released under the BSD 2-Clause License", 'Licensed under the BSD 2-Clause "Simplified" License'],
+    "bsd_short_3": ["Licensed under the BSD 3-Clause License", "Released under the BSD 3-Clause License", 'Licensed under the BSD 3-Clause "New" or "Revised" License'],
+    "apache_short": ["Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0", "Distributed under the Apache License, Version 2.0", "Licensed under the Apache License 2.0", "Released under the Apache License 2.0", "Licensed under the Apache 2.0 License"],
+    "apache_terms": ["you may not use this file except in compliance with the License", "you may not use these files except in compliance with the License"],
     "apache_copy": ["You may obtain a copy of the License at"],
     "apache_as_is": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'],
-    "gpl3_short": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Released under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0"],
-    "gpl2_short": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "Released under the GNU General Public License, version 2", "Licensed under the GNU General Public License v2.0"],
-    "gpl_free": ["This program is free software"],
-    "gpl3_later": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl2_later": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "either version 2 of the License, or (at your option) any later version"],
-    "gpl_hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
-    "lgpl_short": ["Licensed under the GNU Lesser General Public License, version 3", "This work is licensed under the GNU Lesser General Public License, version 3"],
-    "agpl_short": ["Licensed under the GNU Affero General Public License, version 3", "This work is licensed under the GNU Affero General Public License, version 3"],
-    "mpl_short": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, version 2.0"],
-    "isc_grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "apache_title": ["Apache License\nVersion 2.0, January 2004"],
+    "gpl3_short": ["Licensed under the GNU General Public License, version 3", "Released under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0", "Released under the GNU General Public License v3.0"],
+    "gpl2_short": ["Licensed under the GNU General Public License, version 2", "Released under the GNU General Public License, version 2", "Licensed under the GNU General Public License v2.0", "Released under the GNU General Public License v2.0"],
+    "gpl_terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "lgpl_terms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "agpl_terms": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "later_2": ["either version 2 of the License, or (at your option) any later version"],
+    "later_21": ["either version 2.1 of the License, or (at your option) any later version"],
+    "later_3": ["either version 3 of the License, or (at your option) any later version"],
+    "gpl3_title": ["GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"],
+    "gpl2_title": ["GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991"],
+    "lgpl3_title": ["GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"],
+    "lgpl21_title": ["GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"],
+    "agpl3_title": ["GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"],
+    "gpl_hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "lgpl_short": ["Licensed under the GNU Lesser General Public License, version 3", "Licensed under the GNU Lesser General Public License v3.0"],
+    "lgpl21_short": ["Licensed under the GNU Lesser General Public License, version 2.1", "Licensed under the GNU Lesser General Public License v2.1"],
+    "agpl_short": ["Licensed under the GNU Affero General Public License, version 3", "Licensed under the GNU Affero General Public License v3.0"],
+    "mpl_short": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, version 2.0", "Licensed under the Mozilla Public License 2.0"],
+    "mpl_title": ["Mozilla Public License Version 2.0"],
+    "epl_short": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License 2.0"],
+    "isc_grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
     "isc_as_is": ['THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS'],
-    "cc_by_nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc_by_nc_sa": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
-    "cc_by_nd": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
-    "cc_by_sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "cc_by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc0": ["Licensed under CC0 1.0", "This work is dedicated to the public domain under CC0 1.0"],
+    "isc_short": ["Licensed under the ISC License", "Released under the ISC License"],
+    "zlib_as_is": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib_grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "boost_short": ["Distributed under the Boost Software License, Version 1.0"],
+    "boost_title": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "cc_by_nc": ["Licensed under CC BY-NC 4.0", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc_by_nc_sa": ["Licensed under CC BY-NC-SA 4.0", "Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "cc_by_nc_nd": ["Licensed under CC BY-NC-ND 4.0", "Licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+    "cc_by_nd": ["Licensed under CC BY-ND 4.0", "Licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "cc_by_sa": ["Licensed under CC BY-SA 4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc_by": ["Licensed under CC BY 4.0", "Licensed under a Creative Commons Attribution 4.0 International License"],
+    "cc0": ["Licensed under CC0 1.0", "dedicated to the public domain under CC0 1.0", "CC0 1.0 Universal"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
     "reserved": ["All rights reserved"],
 }
 #: Ordered rules, the licence and its sentences in their order.
 RULES = [
+    ("BSD-4-Clause", ["bsd_redist", "bsd_source", "bsd_binary", "bsd_advert", "bsd_endorse"]),
     ("BSD-3-Clause", ["bsd_redist", "bsd_source", "bsd_binary", "bsd_endorse"]),
     ("Apache-2.0", ["apache_short", "apache_terms", "apache_copy", "apache_as_is"]),
     ("BSD-2-Clause", ["bsd_redist", "bsd_source", "bsd_binary"]),
     ("MIT", ["mit_grant", "mit_notice", "mit_as_is"]),
-    ("GPL-3.0-or-later", ["gpl_free", "gpl3_later", "gpl_hope"]),
-    ("GPL-2.0-or-later", ["gpl_free", "gpl2_later", "gpl2_later", "gpl_hope"]),
+    ("GPL-3.0-or-later", ["gpl_terms", "later_3", "gpl_hope"]),
+    ("GPL-2.0-or-later", ["gpl_terms", "later_2", "gpl_hope"]),
+    ("LGPL-3.0-or-later", ["lgpl_terms", "later_3", "gpl_hope"]),
+    ("LGPL-2.1-or-later", ["lgpl_terms", "later_21", "gpl_hope"]),
+    ("AGPL-3.0-or-later", ["agpl_terms", "later_3", "gpl_hope"]),
+    ("MIT-0", ["mit0_grant", "mit_as_is"]),
     ("ISC", ["isc_grant", "isc_as_is"]),
-    ("GPL-3.0-or-later", ["gpl_free", "gpl3_later"]),
+    ("Zlib", ["zlib_as_is", "zlib_grant"]),
+    ("GPL-3.0-or-later", ["gpl_terms", "later_3"]),
+    ("GPL-2.0-or-later", ["gpl_terms", "later_2"]),
+    ("LGPL-3.0-or-later", ["lgpl_terms", "later_3"]),
+    ("LGPL-2.1-or-later", ["lgpl_terms", "later_21"]),
+    ("AGPL-3.0-or-later", ["agpl_terms", "later_3"]),
     ("MIT", ["mit_grant", "mit_notice"]),
     ("MIT", ["mit_short"]),
     ("BSD-2-Clause", ["bsd_short_2"]),
     ("BSD-3-Clause", ["bsd_short_3"]),
     ("Apache-2.0", ["apache_short"]),
+    ("Apache-2.0", ["apache_title"]),
     ("GPL-3.0-only", ["gpl3_short"]),
     ("GPL-2.0-only", ["gpl2_short"]),
     ("LGPL-3.0-only", ["lgpl_short"]),
+    ("LGPL-2.1-only", ["lgpl21_short"]),
     ("AGPL-3.0-only", ["agpl_short"]),
+    ("GPL-3.0-only", ["gpl3_title"]),
+    ("GPL-2.0-only", ["gpl2_title"]),
+    ("LGPL-3.0-only", ["lgpl3_title"]),
+    ("LGPL-2.1-only", ["lgpl21_title"]),
+    ("AGPL-3.0-only", ["agpl3_title"]),
     ("MPL-2.0", ["mpl_short"]),
+    ("MPL-2.0", ["mpl_title"]),
+    ("EPL-2.0", ["epl_short"]),
+    ("ISC", ["isc_grant"]),
+    ("ISC", ["isc_short"]),
+    ("BSL-1.0", ["boost_short"]),
+    ("BSL-1.0", ["boost_title"]),
     ("CC-BY-NC-4.0", ["cc_by_nc"]),
     ("CC-BY-NC-SA-4.0", ["cc_by_nc_sa"]),
+    ("CC-BY-NC-ND-4.0", ["cc_by_nc_nd"]),
     ("CC-BY-ND-4.0", ["cc_by_nd"]),
     ("CC-BY-SA-4.0", ["cc_by_sa"]),
     ("CC-BY-4.0", ["cc_by"]),
@@ -79,38 +125,30 @@ RULES = [
     ("Unlicense", ["unlicense"]),
     ("LicenseRef-All-Rights-Reserved", ["reserved"]),
 ]
-ENDS = "[.!?:;]+(?:[\\x20\\x09-\\x0D]+|$)|\\x0A[\\x20\\x09\\x0D]*\\x0A"
-ENDS_OR_LINES = ENDS + "|[\\x0A\\x0D]+"
-#: A full stop that ends no sentence: of "v." before a number. No known sentence ends in v or begins with a digit.
+#: A full stop that ends no sentence: of "v." before a number.
 VERSION_STOP = "(?<![a-z0-9])v\\.(?=[^a-z0-9]+[0-9])"
-#: Sentences without one of these words are not looked up by the SQL.
-HINT = "licen|permi|redistrib|warrant|copyright|rights|software|written"
+ENDS = "[.!?:;]+(?:[\\x20\\x09-\\x0D]+|$)|\\x0A[\\x20\\x09\\x0D]*\\x0A"
 
 
-def normal(sentence: str) -> str:
-    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+def normal(text: str) -> str:
+    """What ``normalised`` makes of a text, in Python."""
+    t = re.sub(ENDS, "|", re.sub(VERSION_STOP, "v", text.lower().replace("|", " ")))
+    return re.sub(" ?[|][| ]*", " | ", re.sub("[^a-z0-9|]+", " ", t)).strip(" |")
 
 
 KNOWN = {normal(s): name for name, texts in SENTENCES.items() for s in texts}
-#: Sentences without one of these words are not looked up: every known sentence has one, if only its longest word.
-HINTS = "|".join([HINT, *sorted({max(s.split(), key=len) for s in KNOWN if not re.search(HINT, s)})])
-PATTERNS = sorted(((name, "".join(f" {s} " for s in ids)) for name, ids in RULES), key=lambda r: (-r[1].count("  "), RULES.index(next(x for x in RULES if "".join(f" {s} " for s in x[1]) == r[1]))))
-
-
-def _known(sentence):
-    table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    return F.when(sentence.rlike(HINTS), F.element_at(table, F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))))
-
+#: One word of every known sentence: a text without any of them has none of the sentences, so that it is not looked at.
+#: Most have one of the stems, the others give their longest word.
+STEMS = "licen|permi|redistrib|warrant|copyright|software|public"
+HINTS = "|".join([STEMS, *sorted({max(re.findall("[a-z0-9]+", s), key=len) for s in KNOWN if not re.search(STEMS, s)})])
+#: The longest sentence that begins at a word.
+ANY_KNOWN = "\\b(?:" + "|".join(re.escape(s).replace("\\ ", " ") for s in sorted(KNOWN, key=lambda s: (-len(s), s))) + ")\\b"
+PATTERNS = [(name, "".join(f" {s} " for s in ids)) for name, ids in sorted(RULES, key=lambda r: -len(r[1]))]
 
-def _readings(text):
-    """For each sentence of a lower-cased text: its identifier and those of its lines."""
-    lines = lambda s: F.filter(F.transform(F.split(s, "[\\x0A\\x0D]+"), _known), lambda x: x.isNotNull())
-    return F.transform(F.split(text, ENDS), lambda s: F.struct(_known(s).alias("whole"), lines(s).alias("lines")))
 
-
-def _sequence(names):
-    """Identifiers, each between two spaces."""
-    return F.array_join(F.transform(names, lambda x: F.concat(F.lit(" "), x, F.lit(" "))), "")
+def normalised(text):
+    lowered = F.regexp_replace(F.translate(F.lower(text), "|", " "), VERSION_STOP, "v")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(lowered, ENDS, "|"), "[^a-z0-9|]+", " "), " ?[|][| ]*", " | ")
 
 
 def _licences(sequence):
@@ -129,21 +167,20 @@ def _licences(sequence):
 
 
 def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, sentences (array: known sentences of either reading, in order), licenses (array, sorted, distinct) for each row.
+    """doc_id, sentences (array: identifiers of the known sentences, in text order), licenses (array, sorted, distinct)
+    for each row.
 
-    Null and empty texts have none. Repeated rows come out alike; an empty table gives an empty result; other columns
-    are not looked at. There is no shuffle: every row is judged where it is read.
+    Null and empty texts have none; whole texts count, however long. Repeated rows come out alike; an empty table gives
+    an empty result; other columns are not looked at. There is no shuffle: every row is judged where it is read.
     """
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    # Most texts have none of the words, and are not cut.
-    some = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(HINTS), F.regexp_replace(text, VERSION_STOP, "v")).otherwise(F.lit("")).alias("t"))
-    read_ = some.select("doc_id", _readings(F.col("t")).alias("r"))
-    wholes = F.filter(F.col("r.whole"), lambda x: x.isNotNull())
-    # In the order of the text; what a sentence is as a whole is not counted for its lines again.
-    merged = F.flatten(F.transform("r", lambda x: F.when(x["whole"].isNull(), x["lines"]).otherwise(F.concat(F.array(x["whole"]), F.filter(x["lines"], lambda y: y != x["whole"])))))
-    seqs = read_.select("doc_id", merged.alias("sentences"), _sequence(F.flatten("r.lines")).alias("a"), _sequence(wholes).alias("b"))
-    both = F.array_sort(F.array_union(_licences(F.col("a")), _licences(F.col("b"))))
-    return seqs.select("doc_id", "sentences", both.alias("licenses"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    found = F.transform(F.regexp_extract_all(normalised(text), F.lit(ANY_KNOWN), F.lit(0)), lambda x: F.element_at(table, x))
+    some = docs.select(F.col(id_col).alias("doc_id"), F.when(F.lower(text).rlike(HINTS), found).otherwise(F.array().cast("array<string>")).alias("sentences"))
+    # Identifiers, each between two spaces.
+    sequence = F.array_join(F.transform("sentences", lambda x: F.concat(F.lit(" "), x, F.lit(" "))), "")
+    seqs = some.select("doc_id", "sentences", sequence.alias("sequence"))
+    return seqs.select("doc_id", "sentences", F.array_sort(F.array_distinct(_licences(F.col("sequence")))).alias("licenses"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,29 +193,25 @@ def _quoted(s: str) -> str:
 
 
 def oracle() -> str:
-    """The same by DuckDB SQL."""
-    table = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in KNOWN.items()) + "}"
-
-    def sequence(ends: str) -> str:
-        cut = f"list_filter(string_split_regex(t, '{ends}'), lambda s: regexp_matches(s, '{HINT}'))"
-        names = f"list_transform({cut}, lambda s: {table}[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))])"
-        return f"coalesce(array_to_string(list_transform(list_filter({names}, lambda x: x IS NOT NULL), lambda x: ' ' || x || ' '), ''), '')"
-
-    def found(col: str) -> str:
-        left, parts = col, []
-        ctes = []
-        for k, (name, pattern) in enumerate(PATTERNS):
-            parts.append(f"CASE WHEN contains({left}, {_quoted(pattern)}) THEN {_quoted(name)} END")
-            ctes.append(f"replace({left}, {_quoted(pattern)}, ' # ')")
-            left = f"{col}{k}"
-        return parts, ctes
-
-    sql = f"WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{HINT}') THEN lower(text) ELSE '' END AS t FROM documents), s_ AS (SELECT doc_id, {sequence(ENDS_OR_LINES)} AS a, {sequence(ENDS)} AS b FROM d)"
-    parts_a, steps_a = found("a")
-    parts_b, steps_b = found("b")
-    previous = "s_"
-    for k, (x, y) in enumerate(zip(steps_a, steps_b)):
-        sql += f", s{k} AS (SELECT *, {x} AS a{k}, {y} AS b{k} FROM {previous})"
+    """The same by DuckDB SQL, from the two tables: every known sentence is looked for in every text by its words, of
+    those that begin at one place the longest stays, and what stands within one found before it goes."""
+    # Spaces are doubled, so that of two sentences side by side each has its own.
+    known = ", ".join(f"({_quoted(' ' + s.replace(' ', '  ') + ' ')}, {_quoted(name)})" for s, name in KNOWN.items())
+    # In DuckDB, without look-behind: a "v." is preceded by what is no word character.
+    words = "regexp_replace(' ' || replace(lower(coalesce(text, '')), '|', ' '), '([^a-z0-9])v\\.([^a-z0-9]+[0-9])', '\\1v\\2', 'g')"
+    ends = f"regexp_replace({words}, '{ENDS}', '|', 'g')"
+    plain = f"regexp_replace(regexp_replace({ends}, '[^a-z0-9|]+', ' ', 'g'), ' ?[|][| ]*', ' | ', 'g')"
+    sql = f"""WITH known(words, name) AS (VALUES {known}),
+ d AS (SELECT row_number() OVER () AS row, doc_id, replace({plain} || ' ', ' ', '  ') AS t FROM documents),
+ hits AS (SELECT row, name, length(words) AS n, unnest(list_transform(range(1, len(string_split(t, words))), lambda k: (k - 1) * length(words) + list_sum(list_transform(string_split(t, words)[1:k], lambda x: length(x))))) AS place
+  FROM d JOIN known ON contains(t, words)),
+ longest AS (SELECT row, place, max(n) AS n, arg_max(name, n) AS name FROM hits GROUP BY row, place),
+ apart AS (SELECT *, max(place + n) OVER (PARTITION BY row ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM longest),
+ s AS (SELECT row, array_to_string(list(name ORDER BY place), ',') AS sentences, array_to_string(list(' ' || name || ' ' ORDER BY place), '') AS q0 FROM apart WHERE busy IS NULL OR place >= busy GROUP BY row)"""
+    previous, parts = "s", []
+    for k, (name, pattern) in enumerate(PATTERNS):
+        parts.append(f"CASE WHEN contains(q{k}, {_quoted(pattern)}) THEN {_quoted(name)} END")
+        sql += f", s{k} AS (SELECT *, replace(q{k}, {_quoted(pattern)}, ' # ') AS q{k + 1} FROM {previous})"
         previous = f"s{k}"
-    every = ", ".join(parts_a + parts_b)
-    return sql + f" SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(a, ' +', ' ', 'g')), ' '), lambda x: x <> ''), ',') AS sentences, coalesce(array_to_string(list_sort(list_distinct(list_filter([{every}], lambda x: x IS NOT NULL))), ','), '') AS licenses FROM {previous}"
+    every = ", ".join(parts)
+    return sql + f" SELECT d.doc_id, coalesce(sentences, '') AS sentences, coalesce(array_to_string(list_sort(list_distinct(list_filter([{every}], lambda x: x IS NOT NULL))), ','), '') AS licenses FROM d LEFT JOIN {previous} USING (row)"

@@ -1,15 +1,20 @@
 """BPE encoding and decoding with a tokenization automaton compiled from the merges.
 
-States are reached by tokens: after token ``t`` the automaton is in state ``t``, whatever came before. The first state
-allows every byte. A merge ``u v -> w`` applies one gadget: state ``u`` is replaced by a copy of it without its arc
-``v``, and an arc ``w`` is laid beside every arc ``u`` whose target had an arc ``v``, to where that arc led, which is
-the state ``v`` as it was then. The token sequences the finished automaton accepts are exactly the BPE tokenizations,
-one for each string. So a state is what its own merges took from the state of its right part at its birth, and is kept
-as those arcs alone; whether an arc is there is worked out when first asked for, then kept in the transition table.
-
-Encoding cuts a text into words as the vocabulary's pre-tokenizer does, then runs each distinct word through the
-table: at each end position there is one token whose arc leaves the state reached at its start. Decoding emits the
-arc labels, the tokens' bytes.
+The automaton over tokens has a state for every token and a first one, which allows every byte: after token ``t`` it is
+in state ``t``, whatever came before. A merge ``u v -> w`` applies one gadget: state ``u`` is replaced by a copy of it
+without its arc ``v``, and an arc ``w`` is laid beside every arc ``u`` whose target had an arc ``v``, to where that arc
+led, which is the state ``v`` as it was then. The token sequences the finished automaton accepts are exactly the BPE
+tokenizations, one for each string. So a state is what its own merges took from the state of its right part at its
+birth, and is kept as those arcs alone.
+
+Its arcs spelled out in bytes, the automaton is made deterministic by the subset construction: a state of the byte table
+is the token that ends at this byte and the set of arcs under way, each with the state it left and its place among
+the tokens' spellings. Exactly one arc under way ends at every byte, as every string has one tokenization. The table's
+entries are made when they are first stepped on, as in any lazy subset construction, and stay.
+
+Encoding cuts a text into words as the vocabulary's pre-tokenizer does and steps through the table, one entry a byte; the
+tokens that end at the last byte, where that token began, and so on are the word's. Decoding emits the arc labels, the
+tokens' bytes.
 """
 
 from __future__ import annotations
@@ -30,7 +35,10 @@ from .common import read, text_bytes
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The byte-level pre-tokenizer's word pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-CACHE_WORDS = 300_000
+#: Words, and runs between spaces, whose ids are remembered.
+CACHE_WORDS, CACHE_RUNS = 150_000, 600_000
+#: States of the byte table that are kept; it is begun anew beyond, which costs time alone.
+TABLE_STATES = 300_000
 START = -1
 
 
@@ -55,7 +63,6 @@ class Automaton:
         self.states: set[int] = {START, *(i for i in vocab.values() if len(self.label[i]) == 1)}
         #: Arcs taken from a state, with the number of the merge that took them.
         self.taken: dict[int, dict[int, int]] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
         for number, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
             if w in self.states:
@@ -64,10 +71,20 @@ class Automaton:
                 continue  # earlier merges keep these two from meeting, so no text has this token
             self.left[w], self.right[w], self.born[w] = u, v, number
             self.taken.setdefault(u, {})[v] = number
-            self.arcs[u, v] = False
             self.states.add(w)
-        self.by_bytes = {self.label[i]: i for i in self.states if i != START}
-        self.longest = max(map(len, self.by_bytes), default=1)
+        # The tokens' spellings: where each byte leads from a place, and the token that ends there.
+        self.spelled: list[dict[int, int]] = [{}]
+        self.ends: dict[int, int] = {}
+        for token in self.states - {START}:
+            at = 0
+            for byte in self.label[token]:
+                if byte not in self.spelled[at]:
+                    self.spelled[at][byte] = len(self.spelled)
+                    self.spelled.append({})
+                at = self.spelled[at][byte]
+            self.ends[at] = token
+        self.length = {token: len(self.label[token]) for token in self.states - {START}}
+        self._begin_table()
 
     @classmethod
     def load(cls, path: str) -> Automaton:
@@ -78,15 +95,7 @@ class Automaton:
         return cls(model["vocab"], merges, {x["content"]: x["id"] for x in spec.get("added_tokens") or []})
 
     def has_arc(self, state: int, token: int) -> bool:
-        """Whether ``token`` may follow in ``state``; answers are kept, so this is a table once it is warm."""
-        known = self.arcs.get((state, token))
-        if known is None:
-            if len(self.arcs) > 1_000_000:
-                self.arcs.clear()
-            known = self.arcs[state, token] = self._laid(state, token)
-        return known
-
-    def _laid(self, state: int, token: int) -> bool:
+        """Whether ``token`` may follow in ``state``."""
         before = 1 << 60
         while True:
             # No merge after ``before`` counts; of the others, none may have taken the arc since it was laid.
@@ -104,36 +113,53 @@ class Automaton:
             # The arc was laid by its merge where the left part had one.
             token, before = self.left[token], born
 
+    def _begin_table(self) -> None:
+        self.table: list[dict[int, int]] = [{}]
+        self.token: list[int] = [START]
+        #: Of each state the arcs under way, place * 2^32 + state left + 1.
+        self.under_way: list[tuple[int, ...]] = [()]
+        self.numbers: dict[tuple, int] = {}
+
+    def _step(self, number: int, byte: int) -> int:
+        """Make the table's entry for a state and a byte."""
+        moved, ended = [], None
+        for arc in (*self.under_way[number], self.token[number] + 1):
+            state = (arc & 0xFFFFFFFF) - 1
+            place = self.spelled[arc >> 32].get(byte)
+            if place is None:
+                continue
+            token = self.ends.get(place)
+            if token is not None and ended is None and self.has_arc(state, token):
+                ended = token
+            if self.spelled[place]:
+                moved.append(place << 32 | state + 1)
+        if ended is None:
+            raise ValueError("a byte is not in the vocabulary")
+        key = (ended, tuple(moved))
+        found = self.numbers.get(key)
+        if found is None:
+            found = self.numbers[key] = len(self.table)
+            self.table.append({})
+            self.token.append(ended)
+            self.under_way.append(key[1])
+        self.table[number][byte] = found
+        return found
+
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """The one accepted path: from each state the longest token with an arc that is not known to lead nowhere. A
-        position is reached by one path only, so one that leads nowhere need not be tried again."""
-        n, longest, token_of, arcs = len(word), self.longest, self.by_bytes.get, self.arcs.get
-        path: list[int] = []
-        ends = [0]
-        dead: set[int] = set()
-        at, state = 0, START
-        end = min(n, longest)
-        while at < n:
-            while end > at:
-                if end not in dead and (t := token_of(word[at:end])) is not None:
-                    arc = arcs((state, t))
-                    if arc if arc is not None else self.has_arc(state, t):
-                        break
-                end -= 1
-            if end > at:
-                path.append(t)
-                ends.append(end)
-                at, state = end, t
-                end = min(n, at + longest)
-            elif not path:
-                raise ValueError("a byte is not in the vocabulary")
-            else:
-                dead.add(at)
-                path.pop()
-                end = ends.pop() - 1
-                at = ends[-1]
-                state = path[-1] if path else START
-        return tuple(path)
+        """The one accepted path that spells ``word``."""
+        if len(self.table) > TABLE_STATES:
+            self._begin_table()
+        table, at, states = self.table, 0, []
+        for byte in word:
+            to = table[at].get(byte)
+            at = self._step(at, byte) if to is None else to
+            states.append(at)
+        path, end, token, length = [], len(word), self.token, self.length
+        while end:
+            t = token[states[end - 1]]
+            path.append(t)
+            end -= length[t]
+        return tuple(reversed(path))
 
     def decode(self, ids) -> bytes:
         """The labels of ``ids``, as text in UTF-8: bytes that are no text become U+FFFD."""
@@ -141,36 +167,53 @@ class Automaton:
         return data.decode("utf-8", "replace").encode()
 
 
+class Memory(dict):
+    """Answers of ``work``, remembered while they are few."""
+
+    def __init__(self, work, most: int):
+        super().__init__()
+        self.work, self.most = work, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        found = self[key] = self.work(key)
+        return found
+
+
 class Encoder:
-    """Cuts texts into words and remembers the ids of recent words."""
+    """Cuts texts into words and remembers the ids of recent words and of recent runs between single spaces.
+
+    No word goes on across a space, and a space between two characters that are no white space belongs to the word after
+    it. So the ids of what stands between such spaces do not depend on what is around it."""
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pattern = regex.compile(PATTERN)
+        self.words = Memory(lambda word: automaton.encode_word(word.encode()), CACHE_WORDS)
+        self.runs = Memory(lambda run: self._words(" " + run), CACHE_RUNS)
+        self.find = regex.compile(PATTERN).findall
+        self.wide = regex.compile(f" [{SPACE}]|[{SPACE}] |^ | $").search
         added = sorted(automaton.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        outer = self
 
-        class Words(dict):
-            def __missing__(self, word: str):
-                if len(self) >= CACHE_WORDS:
-                    self.clear()
-                ids = self[word] = outer.automaton.encode_word(word.encode())
-                return ids
+    def _words(self, text: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.words.__getitem__, self.find(text))))
 
-        self.words = Words()
+    def _plain(self, text: str):
+        if self.wide(text):
+            return self._words(text)
+        first, *runs = text.split(" ")
+        return chain(self._words(first), chain.from_iterable(map(self.runs.__getitem__, runs)))
 
     def encode(self, text: str) -> list[int]:
-        lookup, find = self.words.__getitem__, self.pattern.findall
         if self.added is None or not any(a in text for a in self.automaton.added):
-            return list(chain.from_iterable(map(lookup, find(text))))
+            return list(self._plain(text))
         out: list[int] = []
         for part in self.added.split(text):
             if part in self.automaton.added:
                 out.append(self.automaton.added[part])
             else:
-                out.extend(chain.from_iterable(map(lookup, find(part))))
+                out.extend(self._plain(part))
         return out
 
 

@@ -189,7 +189,7 @@ def _rows(packed: DataFrame, width: int, schema: str) -> DataFrame:
 
 
 def _fetch(key, docs, wanted):
-    """Texts of lines by the place of their first occurrence."""
+    """Texts and bands of lines by the place of their first occurrence."""
     want: dict = {}
     for h, d, p in zip(*(wanted.column(c).to_pylist() for c in ("h", "doc", "place"))):
         want.setdefault(d, []).append((p, h))
@@ -203,7 +203,8 @@ def _fetch(key, docs, wanted):
                     seen.add(h)
                     out.append((h, line))
     h, text = zip(*out) if out else ((), ())
-    return pa.table([pa.array(h, pa.int64()), pa.array(text, pa.string())], ["h", "line"])
+    keys = [k.tobytes() for k in bands(list(text))]
+    return pa.table([pa.array(h, pa.int64()), pa.array(text, pa.string()), pa.array(keys, pa.binary())], ["h", "line", "keys"])
 
 
 def _near(x: set[str], y: set[str]) -> bool:
@@ -227,29 +228,42 @@ def _check(batches):
 
 
 def _verify(table: pa.Table):
-    """Links that connect whatever near lines of a group connect; a pair that is connected already is not compared."""
-    bounds = group_bounds(table.column("gid").to_numpy())
-    h, text = table.column("h").to_pylist(), table.column("line").to_pylist()
+    """Links that connect whatever near lines of a group connect. A pair is compared in the first band that it shares,
+    and not if it is connected already; shingles are made of the lines that are compared."""
+    gid = table.column("gid").to_numpy()
+    bounds = group_bounds(gid)
+    h, text = table.column("h").to_pylist(), table.column("line")
+    band, part = table.column("band").to_numpy(), table.column("p").to_numpy()
+    apart = table.column("i").to_numpy() != table.column("j").to_numpy()
+    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
     links = set()
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        sets = [shingles(x) for x in text[lo:hi]]
-        root: dict = {}
-        for b in range(1, hi - lo):
-            y = sets[b]
-            for a in range(b):
-                x = sets[a]
-                if len(x) >= THRESHOLD * len(y) and len(y) >= THRESHOLD * len(x):
-                    old, new = find(root, b), find(root, a)
-                    if old != new and _near(x, y):
-                        root[old] = new
-                        links.add((h[lo + a], h[lo + b]))
+        k = keys[lo:hi]
+        here = (k == band[lo:hi, None]).argmax(1)
+        first = (k[:, None] == k[None]).argmax(2)
+        chosen = np.triu((first == here[:, None]) & (band[lo:hi, None] == band[None, lo:hi]), 1)
+        if apart[lo]:
+            chosen &= part[lo:hi, None] != part[None, lo:hi]
+        sets: dict[int, set[str]] = {}
+        root: dict[int, int] = {}
+        for a, b in np.argwhere(chosen).tolist():
+            old, new = find(root, b), find(root, a)
+            if old == new:
+                continue
+            for c in (a, b):
+                if c not in sets:
+                    sets[c] = shingles(text[lo + c].as_py())
+            x, y = sets[a], sets[b]
+            if len(x) >= THRESHOLD * len(y) and len(y) >= THRESHOLD * len(x) and _near(x, y):
+                root[old] = new
+                links.add((h[lo + a], h[lo + b]))
     src, dst = zip(*links) if links else ((), ())
     yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
 def near_links(stars: DataFrame, texts: DataFrame) -> DataFrame:
     """(src, dst): links with the components that all near pairs within bands have, from the bands' stars (band, src,
-    dst) and the lines (h, line).
+    dst) and the lines (h, line, keys).
 
     Many lines may have one ``src``: its rows are dealt last, after the texts of ``dst`` are joined, and adaptive
     execution may split them, as both sides of that join are plain exchanges.
@@ -304,7 +318,7 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", keep: list[str] | N
     stars = materialize(_rows(found.where(F.col("kind") == MET), 3, "band long, src long, dst long"))
     met = stars.select(F.explode(F.array("src", "dst")).alias("h")).distinct()
     wanted = first.join(met, "h", "left_semi").withColumn("shard", doc_shard_column(F.col("doc"), shards)).repartition(parts, "shard")
-    texts = materialize(placed.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_fetch, "h long, line string"))
+    texts = materialize(placed.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_fetch, "h long, line string, keys binary"))
     comp = connected_components(near_links(stars, texts))
     members = comp.withColumnRenamed("node", "h").join(first, "h")
     keepers = members.groupBy("component").agg(F.min(F.struct("doc", "place", "h")).alias("keeper"))

@@ -12,8 +12,10 @@ from datetime import UTC, date, datetime
 from noteql.functions import extract
 from noteql.functions.dates import QueryError
 from noteql.operators import context, fts, links, metrics, mutations, notes, vectors
+from noteql.plans.query import clean_for_embedding
 from noteql.sources import vault
-from noteql.streaming.incremental import Catalog, reindex, watch
+from noteql.streaming.incremental import Catalog, kept_index, reindex, reindex_metrics, watch
+from noteql.streaming.progress import Progress
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,15 +29,26 @@ class Workspace:
 
     # The index
 
-    def reindex(self, paths: list[str] | None = None, force: bool = False) -> dict[str, int]:
-        """Brings notes and links up to date, for some paths or all; then vectors of notes that changed."""
+    def reindex(self, paths: list[str] | None = None, force: bool = False, progress: Progress | None = None) -> dict[str, int]:
+        """Brings notes, links and terms up to date, for some paths or all; then metric logs, and vectors of notes that
+        changed. ``progress`` is told of every phase."""
+        tell = progress or Progress()
         scopes = None if paths is None else vault.scopes(paths)
+        tell("notes", "running")
         found = vault.load_notes(vault.inventory(vault.read_vault(self.spark, self.root, settings=self.settings, subtrees=scopes)))
         counts = reindex(self.catalog, found, scopes, force)
+        tell("notes", "done", counts)
+        logs = reindex_metrics(self.catalog, self._logs(), force)
+        tell("metrics", "done", logs)
         if counts:
+            tell("vectors", "running")
             self._embed()
+        tell("vectors", "done")
         return counts
 
+    def _logs(self) -> DataFrame:
+        return vault.read_vault(self.spark, self.root, "metrics", self.settings).select("relative_path", "file_modified_at", "raw")
+
     def _embed(self) -> None:
         current = self.notes.withColumn("indexed_at", F.coalesce("file_modified_at", F.lit(datetime(1970, 1, 1, tzinfo=UTC))))
         old = self.catalog.table("vectors")
@@ -43,9 +56,11 @@ class Workspace:
             old = self.spark.createDataFrame([], "note_id string, vector array<float>, model string, indexed_at timestamp")
         stale = vectors.stale(current, old, self.model)
         fresh = current.join(stale, "note_id", "left_semi")
-        text = extract.embedding_text(F.col("title"), F.array().cast("array<string>"), F.col("tags"), F.col("content"))
+        fields = F.from_json("metadata_json", "map<string,string>")
+        lines = F.transform(F.map_entries(F.map_filter(fields, lambda k, v: v.isNotNull() & ~k.isin("title", "tags"))), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+        text = extract.embedding_text(F.col("title"), F.coalesce(lines, F.array().cast("array<string>")), F.col("tags"), F.col("content"))
         made = vectors.embed_notes(fresh, text, self.embedder, self.model, F.col("indexed_at"))
-        kept = vectors.collect_garbage(old.join(stale, "note_id", "left_anti"), current)
+        kept = vectors.collect_garbage(old.where(F.col("model") == self.model).join(stale, "note_id", "left_anti"), current)
         self.catalog.commit({"vectors": kept.unionByName(made)})
 
     def watch(self, checkpoint: str, trigger: dict | None = None):
@@ -68,36 +83,49 @@ class Workspace:
 
     @property
     def parsed(self) -> DataFrame:
-        files = vault.read_vault(self.spark, self.root, "metrics", self.settings)
-        return metrics.parse_lines(metrics.read_lines(files.select(F.col("relative_path").alias("path"), F.col("raw").alias("value"))))
+        """Parsed rows of the logs, from the index."""
+        found = self.catalog.table("metric_rows")
+        none = "source_file string, source_line int, raw_line string"
+        return metrics.parse_lines(self.spark.createDataFrame([], none)) if found is None else found
 
     @property
     def records(self) -> DataFrame:
         return metrics.records(self.parsed)
 
     def knowledge(self) -> context.Knowledge:
-        return context.Knowledge(self.notes, self.records, self.edges, self.catalog.table("vectors"))
+        files = self.catalog.table("metric_files")
+        files = None if files is None else files.withColumnRenamed("source_file", "relative_path")
+        return context.Knowledge(self.notes, self.records, self.edges, self.catalog.table("vectors"), metrics.issues(self.parsed), files)
 
     # Search
 
-    def _indexed(self) -> DataFrame:
-        return fts.index_text(self.notes, extract.content_document(F.col("note_id"), F.col("title"), F.col("content")), extract.metadata_document(F.col("metadata_json")), stem=True)
+    def _indexed(self) -> fts.Kept:
+        found = kept_index(self.catalog)
+        if found is None:
+            raise QueryError("nothing is indexed yet")
+        return found
 
     def search(self, query: str, mode: str = "fts", limit: int = fts.DEFAULT_LIMIT, now: datetime | None = None) -> DataFrame:
         dates = vault.metadata_dates(self.notes)
         if mode == "fts":
-            found = fts.search(self._indexed(), query, limit, now, dates, stem=True)
+            found = fts.search(self._indexed(), query, limit, now, dates)
         elif mode == "semantic":
             q = fts.parse(query, now)
-            found = vectors.semantic_search(self._indexed(), self._table("vectors"), self.embedder(query), limit, q.filters, q.excludes, dates)
+            found = vectors.semantic_search(self._indexed(), self._table("vectors"), self.embedder(clean_for_embedding(query)), limit, q.filters, q.excludes, dates, stem=True)
         elif mode == "hybrid":
             found = vectors.hybrid_search(self._indexed(), self._table("vectors"), query, self.embedder, limit, now, dates)
         else:
             raise QueryError(f"unknown mode {mode!r}")
-        return found.join(self.notes.select("note_id", "title", "relative_path"), "note_id", "left")
+        words = F.lit(" ".join(sorted(fts.words_of([fts.parse(query, now).expr]))))
+        noted = self.notes.select("note_id", "title", "relative_path", F.col("metadata_json").alias("metadata"), "content")
+        # As many rows as the limit.
+        out = found.join(noted, "note_id", "left").withColumn("preview", extract.snippet(F.coalesce("content", F.lit("")), words)).drop("content")
+        return out.orderBy(F.col("score" if "score" in found.columns else "similarity").desc(), "note_id")
 
     def related(self, note: str, strategy: str = "auto", limit: int = fts.DEFAULT_LIMIT) -> DataFrame:
-        return vectors.related_notes(strategy, self.resolve(note), limit, self._table("vectors"), self.edges)
+        found = self.catalog.table("vectors")
+        indexed = None if found is None else self._indexed()
+        return vectors.related_notes(strategy, self.resolve(note), limit, self.notes, self.edges, indexed, found, self.embedder, metadata_dates=vault.metadata_dates(self.notes))
 
     # Links
 
@@ -149,8 +177,7 @@ class Workspace:
 
     def conventions(self) -> dict[str, DataFrame]:
         eav = vault.metadata_rows(self.notes)
-        leaf = F.element_at(F.split("note_id", "/"), -1)
-        return {"naming": notes.naming_histogram(self.notes, leaf), "metadata": notes.metadata_profile(eav)}
+        return {"naming": notes.naming_histogram(self.notes, F.col("note_id")), "metadata": notes.metadata_profile(eav), "kinds": notes.kinds(eav)}
 
     # Metric logs
 
@@ -169,38 +196,63 @@ class Workspace:
     def metrics_files(self) -> DataFrame:
         return metrics.file_summary(self.parsed)
 
+    # Changes to logs. Every one holds the lock from its first read to the index's last write.
+
+    def _changing(self):
+        return mutations.exclusive(os.path.join(self.root, self.settings.internal, "metrics.lock"))
+
     def _lines(self) -> DataFrame:
-        return self.parsed.select("source_file", "source_line", "raw_line")
-
-    def _rewrite(self, before: DataFrame, after: DataFrame) -> None:
-        """Files whose rows changed; one log's rows at a time come to the driver, as it writes the file."""
-        keep = lambda df: df.select("source_file", "source_line", "raw_line")
-        changed = keep(before).exceptAll(keep(after)).unionByName(keep(after).exceptAll(keep(before))).select("source_file").distinct()
-        for name in [r.source_file for r in changed.collect()]:
-            rows = [r.raw_line for r in after.where(F.col("source_file") == name).orderBy("source_line").collect()]
-            full = os.path.join(self.root, name)
-            if rows:
-                mutations.write_file(full, rows)
-            else:
-                os.remove(full)
+        files = self._logs().select(F.col("relative_path").alias("path"), F.col("raw").alias("value"))
+        return metrics.read_lines(files).select("source_file", F.col("source_line").cast("int"), "raw_line")
+
+    def _store(self, before: DataFrame, after: DataFrame) -> None:
+        """Write what differs; changed rows alone come to the driver."""
+        gone = {(r.source_file, r.source_line) for r in before.exceptAll(after).collect()}
+        self._edit(gone, [(r.source_file, r.source_line, r.raw_line) for r in after.exceptAll(before).collect()])
+
+    def _edit(self, gone: set, new: list) -> None:
+        for name in sorted({f for f, _ in gone} | {f for f, _, _ in new}):
+            changed = {line: None for f, line in gone if f == name} | {line: text for f, line, text in new if f == name and (f, line) in gone}
+            mutations.edit_file(os.path.join(self.root, name), changed, [text for f, line, text in sorted(new) if f == name and (f, line) not in gone])
+        reindex_metrics(self.catalog, self._logs())
 
     def metrics_create(self, source_file: str, record: dict) -> None:
-        before = self._lines()
-        self._rewrite(before, mutations.create(before, source_file, record))
+        with self._changing():
+            before = self._lines()
+            self._store(before, mutations.create(before, source_file, record))
 
     def metrics_update(self, record_id: str, patch: dict) -> None:
-        before = self._lines()
-        self._rewrite(before, mutations.update(before, record_id, patch))
+        with self._changing():
+            before = self._lines()
+            self._store(before, mutations.update(before, record_id, patch))
 
     def metrics_delete(self, record_id: str) -> None:
-        before = self._lines()
-        self._rewrite(before, mutations.delete(before, record_id))
-
-    def metrics_assign_ids(self) -> None:
-        before = self._lines()
-        # New ids are random, so they are drawn once.
-        after = self.spark.createDataFrame(mutations.assign_missing_ids(before).collect(), before.schema)
-        self._rewrite(before, after)
+        with self._changing():
+            before = self._lines()
+            self._store(before, mutations.delete(before, record_id))
+
+    def metrics_assign_ids(self) -> int:
+        """Gives rows without an id one; returns how many."""
+        with self._changing():
+            # Those rows alone come to the driver, and are given their random ids once.
+            rows = mutations.without_id(self._lines()).collect()
+            self._edit({(r.source_file, r.source_line) for r in rows}, [(r.source_file, r.source_line, mutations.new_id_for(r.raw_line)) for r in rows])
+            return len(rows)
+
+    def metrics_create_file(self, name: str) -> None:
+        with self._changing():
+            vault.create_file(self.root, name)
+            reindex_metrics(self.catalog, self._logs())
+
+    def metrics_rename_file(self, old: str, new: str) -> None:
+        with self._changing():
+            vault.rename_file(self.root, old, new)
+            reindex_metrics(self.catalog, self._logs())
+
+    def metrics_delete_file(self, name: str) -> None:
+        with self._changing():
+            vault.delete_file(self.root, name)
+            reindex_metrics(self.catalog, self._logs())
 
     # Context
 
@@ -229,7 +281,7 @@ class Workspace:
                 raise QueryError(f"no record is called {target!r}")
             key = found.key
         rows = metrics.search(k.records, f'key:"{key}"' + (f" date:{dates}" if dates else ""), None, now)
-        return context.metric_view(k, rows, **limits)
+        return context.metric_view(k, rows, name=target, span=dates, **limits)
 
     def context_source(self, source: str, **limits) -> dict[str, DataFrame]:
         return context.source_view(self.knowledge(), source, **limits)

@@ -9,8 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import tokens
-
+#: Fixed values here and below: the patterns of frontmatter, tags, links, days and metric references and keys.
 LETTER = r"\p{IsAlphabetic}\p{N}"
 FRONTMATTER = r"\A---\r?\n([\s\S]*?)\r?\n---\r?\n?"
 #: Files that instruct programs rather than hold notes; callers may name more.
@@ -176,23 +175,31 @@ def metric_keys(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*)+)\b"), F.lit(1)))
 
 
-def naming_class(leaf: Column) -> Column:
-    """The first naming pattern that a file's leaf name follows."""
-    patterns = [
-        ("ISO date", r"^\d{4}-\d{2}-\d{2}$"),
-        ("ISO week", r"^\d{4}-W\d{2}$"),
-        ("numeric", r"^\d+$"),
-        ("kebab-case", r"^[a-z0-9]+(-[a-z0-9]+)+$"),
-        ("snake_case", r"^[a-z0-9]+(_[a-z0-9]+)+$"),
-        ("PascalCase", r"^([A-Z][a-z0-9]+){2,}$"),
-        ("Title Case", r"^[A-Z][^\s]*(\s+([A-Z0-9][^\s]*))+$"),
-        ("UPPERCASE", r"^[A-Z0-9][A-Z0-9 _-]*$"),
-        ("Mixed case", r"^[A-Za-z0-9]+$"),
-    ]
-    out = None
-    for name, pattern in patterns:
-        out = F.when(leaf.rlike(pattern), name) if out is None else out.when(leaf.rlike(pattern), name)
-    return out.otherwise("Misc")
+#: The naming classes and the patterns that decide them, in their order. A title is words that begin with
+#: a capital and go on in small letters, hyphens and apostrophes.
+NAMING = [
+    ("ISO date (YYYY-MM-DD)", r"^\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}$"),
+    ("ISO week (YYYY-Www)", r"^\p{Nd}{4}-W\p{Nd}{2}$"),
+    ("Numeric identifiers", r"^[0-9]+$"),
+    ("kebab-case", r"^[a-z0-9]+(-[a-z0-9]+)+$"),
+    ("snake_case", r"^[a-z0-9]+(_[a-z0-9]+)+$"),
+    ("PascalCase", r"^([A-Z][a-z0-9]+){2,}$"),
+    ("Title Case", r"^\p{IsUppercase}[\p{IsLowercase}'-]*(\s+\p{IsUppercase}[\p{IsLowercase}'-]*)*$"),
+    ("Uppercase identifiers", r"^[A-Z0-9][A-Z0-9 _-]*$"),
+]
+
+
+def leaf(note_id: Column) -> Column:
+    """The last part of an id's path."""
+    return F.trim(F.element_at(F.split(note_id, "/"), -1))
+
+
+def naming_class(name: Column) -> Column:
+    """The first naming class that a leaf name falls into; the rest is Mixed, and an empty name Misc."""
+    out = F.when(name == "", "Misc")
+    for label, pattern in NAMING:
+        out = out.when(name.rlike(pattern), label)
+    return out.otherwise("Mixed")
 
 
 def word_count(raw: Column) -> Column:
@@ -200,8 +207,10 @@ def word_count(raw: Column) -> Column:
 
 
 def similarity_text(title_: Column, tags: Column, text: Column, size: int = 512) -> Column:
-    """Title and #tags, and the first 40 words of the body if there is but one of them; cut on characters."""
+    """Title and #tags, and the first 40 words of the body if there is but one of them; at most ``size`` bytes of UTF-8,
+    cut before a character that does not fit."""
     tag = F.when(F.size(tags) > 0, F.array_join(F.transform(tags, lambda t: F.concat(F.lit("#"), t)), " "))
-    few = (F.coalesce(title_, F.lit("")) == "") | tag.isNull()
-    words = F.when(few, F.array_join(F.slice(tokens(text), 1, 40), " "))
-    return F.left(F.concat_ws(" ", title_, tag, words), F.lit(size))
+    words = F.nullif(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), 1, 40), " "), F.lit(""))
+    whole = F.concat_ws(" ", title_, tag, F.when(title_.isNull() | tag.isNull(), words))
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(whole, "UTF-8"), 1, size).cast("string")), "\uFFFD+$", "")
+    return F.when(F.octet_length(whole) <= size, whole).otherwise(cut)

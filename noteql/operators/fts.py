@@ -1,12 +1,14 @@
 """Full-text search: boolean matching, BM25 ranking, filters, exclusions and top-k over indexed notes.
 
-An indexed note carries its tokens as one string a column (``content_terms``, ``metadata_terms``) and its length, so a
-boolean tree of terms and phrases is one predicate on the scan and needs no shuffle. Ranking needs one row of corpus
-statistics, which is broadcast, and a top-k that every task cuts for itself.
+There are two indexes with one set of questions. A ``Kept`` index holds, for every term of every note, the term's
+positions, and the length of every note; it is written by ``build`` and read by its terms, so a query costs the
+postings of its own words, however large the collection. For a table that is not indexed, ``index_text`` puts a note's
+tokens into one string a column, and a boolean tree is one predicate on the scan.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
@@ -20,6 +22,40 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 DEFAULT_LIMIT = 10
 COLUMNS = ("content_terms", "metadata_terms")
+POSTINGS = "part int, term string, field string, note_id string, positions array<int>"
+
+
+@dataclass
+class Kept:
+    """postings: (term, field, note_id, positions), field being content or metadata. lengths: note_id, dl,
+    file_modified_at, created_at, one row a note."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    stem: bool = False
+
+    def rows(self, words: set[str], every: bool = False) -> DataFrame:
+        """Notes that hold one of the words, or every note, with ``hits``: positions by field and word."""
+        # As many entries a note as there are words and fields.
+        found = self.postings.where(F.col("term").isin(sorted(words))) if words else self.postings.limit(0)
+        found = found.groupBy("note_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "field", "term"), "positions"))).alias("hits"))
+        return self.lengths.join(found, "note_id", "left" if every else "inner")
+
+    def statistics(self) -> DataFrame:
+        return self.lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def build(notes: DataFrame, content: Column, metadata: Column, stem: bool = False, part: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of notes (note_id, file_modified_at, created_at). A note's text is shuffled once, whole, and
+    its tokens are grouped where it is; ``part`` is the part of the tables that a note belongs to."""
+    made = (lambda c: stems(tokens(c))) if stem else tokens
+    part = F.lit(0) if part is None else part
+    placed = notes.repartition("note_id").select(part.cast("int").alias("part"), "note_id", "file_modified_at", "created_at", made(content).alias("content"), made(metadata).alias("metadata"))
+    lengths = placed.select("part", "note_id", (F.size("content") + F.size("metadata")).alias("dl"), "file_modified_at", "created_at")
+    fields = F.explode(F.create_map(F.lit("content"), "content", F.lit("metadata"), "metadata")).alias("field", "tokens")
+    each = placed.select("part", "note_id", fields).select("part", "note_id", "field", F.posexplode("tokens").alias("position", "term"))
+    postings = each.groupBy("note_id", "field", "term", "part").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    return postings.select("part", "term", "field", "note_id", "positions"), lengths
 
 
 def index_text(notes: DataFrame, content: Column, metadata: Column, stem: bool = False) -> DataFrame:
@@ -40,38 +76,55 @@ def leaves(node) -> list[Term]:
     return [node] if isinstance(node, Term) else [t for p in node.parts for t in leaves(p)]
 
 
-def frequency(term: Term, stem: bool = False) -> Column:
+def words_of(nodes: list, stem: bool = False) -> set[str]:
+    return {w for node in nodes for t in leaves(node) for w in tokenize(t.text, stem)}
+
+
+def frequency(term: Term, stem: bool = False, kept: bool = False) -> Column:
     """How often a term or phrase stands in the columns it is scoped to."""
     words = tokenize(term.text, stem)
     if not words:
         return F.lit(0)
     cols = COLUMNS if term.column is None else (f"{term.column}_terms",)
-    return reduce(lambda a, b: a + b, [occurrences(F.col(c), words) for c in cols])
+    count = _by_positions if kept else lambda c, w: occurrences(F.col(c), w)
+    return reduce(lambda a, b: a + b, [count(c, words) for c in cols])
+
 
+def _by_positions(column: str, words: list[str]) -> Column:
+    """Places where the words of a phrase follow each other, by their positions."""
+    at = [F.coalesce(F.try_element_at(F.col("hits"), F.lit(f"{column.removesuffix('_terms')}:{w}")), F.array().cast("array<int>")) for w in words]
+    begun = lambda k: F.transform(at[k], lambda x: x - k)
+    return F.size(reduce(F.array_intersect, [begun(k) for k in range(1, len(at))], at[0]))
 
-def matches(node, stem: bool = False) -> Column:
+
+def matches(node, stem: bool = False, kept: bool = False) -> Column:
     """Whether a note matches a boolean tree; no tree matches every note, a term without tokens none."""
     if node is None:
         return F.lit(True)
     if isinstance(node, Term):
-        return frequency(node, stem) > 0
-    parts = [matches(p, stem) for p in node.parts]
+        return frequency(node, stem, kept) > 0
+    parts = [matches(p, stem, kept) for p in node.parts]
     return reduce(lambda a, b: a & b, parts) if isinstance(node, And) else reduce(lambda a, b: a | b, parts)
 
 
-def excluded(excludes: list, stem: bool = False) -> Column:
-    return reduce(lambda a, b: a | b, [matches(x, stem) for x in excludes], F.lit(False))
+def excluded(excludes: list, stem: bool = False, kept: bool = False) -> Column:
+    return reduce(lambda a, b: a | b, [matches(x, stem, kept) for x in excludes], F.lit(False))
 
 
-def rank(indexed: DataFrame, node, stem: bool = False) -> DataFrame:
-    """``indexed`` notes that match, with ``rank``: BM25 over all notes, negated, so less is better."""
+def rank(indexed: DataFrame | Kept, node, stem: bool = False, excludes: list = ()) -> DataFrame:
+    """Indexed notes that match and are not excluded, with ``rank``: BM25 over all notes, negated, so less is better."""
     terms = leaves(node)
-    tf = indexed
+    kept = isinstance(indexed, Kept)
+    tf = indexed.rows(words_of([node, *excludes], stem)) if kept else indexed
     for k, t in enumerate(terms):
-        tf = tf.withColumn(f"tf{k}", frequency(t, stem).cast("double"))
+        tf = tf.withColumn(f"tf{k}", frequency(t, stem, kept).cast("double"))
     hits = [F.sum((F.col(f"tf{k}") > 0).cast("int")).cast("double").alias(f"n{k}") for k in range(len(terms))]
-    stats = tf.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *hits)
-    found = tf.where(_by_frequency(node, iter(range(len(terms))))).join(F.broadcast(stats))
+    # One row each.
+    if kept:
+        stats = indexed.statistics().crossJoin(F.broadcast(tf.agg(*hits)))
+    else:
+        stats = tf.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *hits)
+    found = tf.where(_by_frequency(node, iter(range(len(terms))))).where(~excluded(list(excludes), stem, kept)).join(F.broadcast(stats))
     total = F.lit(0.0)
     for k in range(len(terms)):
         idf = F.log((F.col("n") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5))
@@ -110,26 +163,36 @@ def date_filtered(notes: DataFrame, filters: dict[str, DateRange], metadata_date
     return notes
 
 
-def search(indexed: DataFrame, query: str | ParsedQuery, limit: int = DEFAULT_LIMIT, now: datetime | None = None, metadata_dates: DataFrame | None = None, stem: bool = False) -> DataFrame:
+def passing(indexed: DataFrame | Kept, filters: dict[str, DateRange], excludes: list, metadata_dates: DataFrame | None = None, stem: bool = False) -> DataFrame:
+    """Notes within the ranges that are not excluded."""
+    kept = isinstance(indexed, Kept)
+    rows = indexed if not kept else indexed.rows(words_of(excludes, stem), every=True) if excludes else indexed.lengths
+    return date_filtered(rows, filters, metadata_dates).where(~excluded(list(excludes), stem, kept))
+
+
+def search(indexed: DataFrame | Kept, query: str | ParsedQuery, limit: int = DEFAULT_LIMIT, now: datetime | None = None, metadata_dates: DataFrame | None = None, stem: bool = False) -> DataFrame:
     """note_id, rank, score and reason of the best notes, best first. Filters and exclusions come before the limit;
     statistics are those of all notes. A query of filters alone ranks by file time, newest first, with score 0."""
     q = parse(query, now) if isinstance(query, str) else query
+    stem = stem or isinstance(indexed, Kept) and indexed.stem
     if limit < 1:
         raise QueryError("a limit is at least 1")
     if q.expr is None:
-        found = date_filtered(indexed, q.filters, metadata_dates).where(~excluded(q.excludes, stem))
+        found = passing(indexed, q.filters, q.excludes, metadata_dates, stem)
         top = found.orderBy(F.col("file_modified_at").desc_nulls_last(), "note_id").limit(limit)
         return top.select("note_id", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"), F.lit("Filter match").alias("reason"))
-    found = rank(indexed, q.expr, stem).where(~excluded(q.excludes, stem))
-    found = date_filtered(found, q.filters, metadata_dates)
+    found = date_filtered(rank(indexed, q.expr, stem, q.excludes), q.filters, metadata_dates)
     top = found.orderBy("rank", "note_id").limit(limit)
     return top.select("note_id", "rank", score(F.col("rank")).alias("score"), F.lit("Full-text match").alias("reason"))
 
 
-def matching_ids(indexed: DataFrame, query: str, now: datetime | None = None, stem: bool = False) -> DataFrame:
+def matching_ids(indexed: DataFrame | Kept, query: str, now: datetime | None = None, stem: bool = False) -> DataFrame:
     """Every matching id, without a limit."""
     q = parse(query, now)
-    return indexed.where(matches(q.expr, stem) & ~excluded(q.excludes, stem)).select("note_id")
+    kept = isinstance(indexed, Kept)
+    stem = stem or kept and indexed.stem
+    rows = indexed.rows(words_of([q.expr, *q.excludes], stem), every=q.expr is None) if kept else indexed
+    return rows.where(matches(q.expr, stem, kept) & ~excluded(q.excludes, stem, kept)).select("note_id")
 
 
 def within(notes: DataFrame, ids: DataFrame, filters: dict[str, DateRange], metadata_dates: DataFrame | None = None) -> DataFrame:

@@ -105,9 +105,10 @@ def unresolved(edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, note_id) -> DataFrame:
-    """Notes one link away by number of distinct reasons, then id; reasons joined by "; "."""
-    out = edges.where((F.col("source_id") == note_id) & F.col("target_id").isNotNull()).select(F.col("target_id").alias("note_id"), F.concat(F.lit("links to by "), "reason").alias("why"))
-    back = edges.where(F.col("target_id") == note_id).select(F.col("source_id").alias("note_id"), F.concat(F.lit("linked from by "), "reason").alias("why"))
+    """Notes one link away by number of distinct reasons, then id; reasons joined by "; ". Every raw link that leads
+    to a note is a reason, and so is that the note links back, however often it does."""
+    out = edges.where((F.col("source_id") == note_id) & F.col("target_id").isNotNull()).select(F.col("target_id").alias("note_id"), F.concat(F.lit("Outbound link via [["), "raw", F.lit("]]")).alias("why"))
+    back = edges.where(F.col("target_id") == note_id).select(F.col("source_id").alias("note_id"), F.concat(F.lit("Backlink from "), "source_id").alias("why"))
     both = out.unionByName(back).where(F.col("note_id") != note_id)
     ranked = both.groupBy("note_id").agg(F.countDistinct("why").alias("reasons_n"), F.array_join(F.array_sort(F.collect_set("why")), "; ").alias("reasons"))
     return ranked.orderBy(F.col("reasons_n").desc(), "note_id")

@@ -40,6 +40,14 @@ def read_lines(files: DataFrame) -> DataFrame:
     return lines.where(F.trim("raw_line") != "").select("source_file", (F.col("pos") + 1).alias("source_line"), "raw_line")
 
 
+def fingerprint(raw: Column) -> Column:
+    """SHA-256 of a log's lines that are not blank: each one's number from 1 in 8 bytes, lowest first, its text and a
+    line feed. Equal fingerprints mean equal rows."""
+    number = lambda i: F.regexp_replace(F.lpad(F.hex((i + 1).cast("long")), 16, "0"), "(..)(..)(..)(..)(..)(..)(..)(..)", "$8$7$6$5$4$3$2$1")
+    lines = F.transform(F.split(raw, "\r?\n"), lambda x, i: F.when(x.rlike(r"^\s*$"), "").otherwise(F.concat(number(i), F.hex(F.encode(x, "UTF-8")), F.lit("0A"))))
+    return F.sha2(F.unhex(F.array_join(lines, "")), 256)
+
+
 def _issue(severity: str, code: str, field: str | None, message) -> Column:
     text = F.lit(message) if isinstance(message, str) else message
     return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(field).cast("string").alias("field"), text.alias("message"))
@@ -101,8 +109,10 @@ def parse_lines(lines: DataFrame, units: dict[str, list[str]] = UNITS) -> DataFr
     unknown = F.transform(F.coalesce("extra", F.array().cast("array<string>")), lambda k: F.struct(F.lit("warning").alias("severity"), F.lit("unknown_field").alias("code"), k.alias("field"), F.lit("unknown field").alias("message")))
     whole = [_bad(F.col("v").isNull(), "invalid_json", None, "not JSON"), _bad(F.col("v").isNotNull() & ~obj, "invalid_row_type", None, "not an object")]
     r = r.withColumn("issues", F.concat(F.array_compact(F.array(*whole, *checks)), unknown))
+    r = r.join(_duplicates(lines), ["source_file", "source_line"], "left")
     for name, severity in (("id", "error"), ("origin_id", "warning")):
-        r = _with_duplicates(r, name, severity)
+        more = F.when(F.col(f"twice_{name}"), F.array(_issue(severity, f"duplicate_{name}", name, f"{name} is there more than once in the file"))).otherwise(F.array().cast(f"array<{ISSUE}>"))
+        r = r.withColumn("issues", F.concat("issues", more))
     r = r.withColumn("status", F.when(F.exists("issues", lambda x: x["severity"] == "error"), "invalid").when(F.size("issues") > 0, "warning").otherwise("valid"))
     extra = F.when(F.size("extra") > 0, F.to_json(F.map_filter(F.from_json("raw_line", "map<string,string>"), lambda k, _: F.array_contains("extra", k))))
     r = r.withColumn("tags_json", F.when(F.size("tags") > 0, F.to_json("tags"))).withColumn("extra_fields_json", extra)
@@ -110,12 +120,16 @@ def parse_lines(lines: DataFrame, units: dict[str, list[str]] = UNITS) -> DataFr
     return r.select(*keep)
 
 
-def _with_duplicates(rows: DataFrame, name: str, severity: str) -> DataFrame:
-    """Flags all rows of a file that share an id. Counts are aggregated before they are shuffled."""
-    twice = rows.where(F.col(name).isNotNull()).groupBy("source_file", name).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    out = rows.join(twice, ["source_file", name], "left")
-    more = F.when(F.col("__n").isNotNull(), F.array(_issue(severity, f"duplicate_{name}", name, f"{name} is there more than once in the file"))).otherwise(F.array().cast(f"array<{ISSUE}>"))
-    return out.withColumn("issues", F.concat("issues", more)).drop("__n")
+def _duplicates(lines: DataFrame) -> DataFrame:
+    """(source_file, source_line, twice_id, twice_origin_id) of the lines that share an id with others of their file. A
+    narrow pass of its own: counts are aggregated before they are shuffled, and few lines are joined to the rest."""
+    v = F.try_parse_json("raw_line")
+    text = lambda name: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING", F.nullif(F.trim(F.try_variant_get(v, f"$.{name}", "string")), F.lit("")))
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), text(n).alias("text")) for n in ("id", "origin_id")])
+    narrow = lines.select("source_file", "source_line", F.inline(pairs)).where("text is not null")
+    twice = narrow.groupBy("source_file", "name", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = narrow.join(twice, ["source_file", "name", "text"], "left_semi")
+    return met.groupBy("source_file", "source_line").agg(*[F.max(F.col("name") == n).alias(f"twice_{n}") for n in ("id", "origin_id")])
 
 
 def records(parsed: DataFrame) -> DataFrame:
@@ -158,10 +172,10 @@ def entries(recs: DataFrame, issue_rows: DataFrame) -> DataFrame:
 
 
 def daily_sum(recs: DataFrame, limit: int) -> DataFrame:
-    """(bucket, total, record_count), newest first; several keys or units are an error."""
+    """(bucket, total, record_count), newest first; no records, several keys or several units are an error."""
     kinds = recs.agg(F.countDistinct("key").alias("k"), F.countDistinct(F.coalesce("unit", F.lit("\0"))).alias("u")).first()
-    if kinds.k > 1 or kinds.u > 1:
-        raise QueryError("a sum needs one key and one unit")
+    if kinds.k != 1 or kinds.u != 1:
+        raise QueryError("a sum needs records, of one key and one unit")
     return recs.groupBy(bucket().alias("bucket")).agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("record_count")).orderBy(F.col("bucket").desc()).limit(limit)
 
 
@@ -202,7 +216,8 @@ def prefix_length(a: Column, b: Column) -> Column:
 
 
 def co_recorded(recs: DataFrame, target: DataFrame, limit: int | None = None) -> DataFrame:
-    """Other keys on the days of ``target`` records: overlap_days counts records, as the field has always done."""
+    """Other keys on the days of ``target`` records, those of the nearest namespace first: overlap_days counts records,
+    as the field has always done."""
     t = target.withColumn("day", bucket())
     days = t.groupBy("day").agg(F.collect_set("source").alias("sources"))
     key = t.agg(F.min("key").alias("target_key"))
@@ -211,10 +226,10 @@ def co_recorded(recs: DataFrame, target: DataFrame, limit: int | None = None) ->
         F.count(F.lit(1)).alias("overlap_days"),
         F.count_if(F.array_contains("sources", F.col("source"))).alias("same_source_overlap_days"),
         F.first(prefix_length(F.col("key"), F.col("target_key"))).alias("shared_prefix"),
-        F.max(F.struct("ts_utc", "id")).alias("latest"),
+        F.max(F.struct("ts_utc", "id", "source")).alias("latest"),
     )
-    out = out.select("key", "overlap_days", "same_source_overlap_days", "shared_prefix", F.col("latest.ts_utc").alias("latest_ts"), F.col("latest.id").alias("latest_id"))
-    order = [F.col("same_source_overlap_days").desc(), F.col("overlap_days").desc(), F.col("shared_prefix").desc(), F.col("latest_ts").desc(), F.col("key")]
+    out = out.select("key", "overlap_days", "same_source_overlap_days", "shared_prefix", F.col("latest.ts_utc").alias("latest_ts"), F.col("latest.id").alias("latest_id"), F.col("latest.source").alias("latest_source"))
+    order = [F.col("shared_prefix").desc(), F.col("same_source_overlap_days").desc(), F.col("overlap_days").desc(), F.col("latest_ts").desc(), F.col("key"), F.col("latest_source")]
     return out if limit is None else out.orderBy(*order).limit(limit)
 
 

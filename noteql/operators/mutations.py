@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import secrets
 import time
+from contextlib import contextmanager
 
 from noteql.functions.dates import QueryError
 from noteql.operators.metrics import FIELDS, parse_lines
@@ -87,31 +89,61 @@ def delete_file(lines: DataFrame, name: str) -> DataFrame:
     return lines.where(F.col("source_file") != name)
 
 
-def assign_missing_ids(lines: DataFrame) -> DataFrame:
-    """Objects whose id is absent, null or blank get one, in front; other rows keep their text."""
-    make = F.udf(new_id_for, "string").asNondeterministic()
+def without_id(lines: DataFrame) -> DataFrame:
+    """Rows that are objects whose id is absent, null or blank."""
     v = F.try_parse_json("raw_line")
     kind = F.schema_of_variant(F.try_variant_get(v, "$.id", "variant"))
     blank = kind.isNull() | (kind == "VOID") | ((kind == "STRING") & (F.trim(F.try_variant_get(v, "$.id", "string")) == ""))
-    missing = F.startswith(F.schema_of_variant(v), F.lit("OBJECT")) & blank
-    return lines.withColumn("raw_line", F.when(missing, make("raw_line")).otherwise(F.col("raw_line")))
+    return lines.where(F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")) & blank, F.lit(False)))
+
 
+def assign_missing_ids(lines: DataFrame) -> DataFrame:
+    """Rows without an id get one, in front; other rows keep their text. Ids are random, so whoever needs them twice
+    stores the result. Only the rows without an id pass Python, in Arrow batches."""
+    made = F.pandas_udf(lambda texts: texts.map(new_id_for), "string").asNondeterministic()
+    missing = without_id(lines)
+    rest = lines.join(missing.select("source_file", "source_line"), ["source_file", "source_line"], "left_anti")
+    return rest.select(*lines.columns).unionByName(missing.withColumn("raw_line", made("raw_line")))
 
-def new_id_for(line: str | None) -> str | None:
-    """A line with a new id; called for few rows."""
-    if line is None:
-        return None
+
+def new_id_for(line: str) -> str:
+    """A line with a new id."""
     record = json.loads(line)
     return json.dumps({"id": new_id()} | {k: v for k, v in record.items() if k != "id"}, ensure_ascii=False, separators=(",", ":"))
 
 
-def write_file(path: str, rows: list[str]) -> None:
-    """Replace a log file at once, under a lock beside it."""
-    import fcntl
+@contextmanager
+def exclusive(lock: str):
+    """One writer at a time, over all that it reads, checks and writes."""
+    os.makedirs(os.path.dirname(lock) or ".", exist_ok=True)
+    with open(lock, "w") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        try:
+            yield
+        finally:
+            fcntl.flock(f, fcntl.LOCK_UN)
+
 
+def edit_file(path: str, changed: dict[int, str | None], appended: list[str] = ()) -> int:
+    """Replace lines of a log by number, remove those that are None, and append some; all others, blank ones too, stay as
+    they are. The file is replaced at once, and removed if no line but blank ones is left. Returns the lines left."""
+    left = 0
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path + ".lock", "w") as lock:
-        fcntl.flock(lock, fcntl.LOCK_EX)
-        with open(path + ".new", "w", encoding="utf-8") as f:
-            f.writelines(r + "\n" for r in rows)
+    with open(path + ".new", "w", encoding="utf-8", newline="") as out:
+        if os.path.exists(path):
+            with open(path, encoding="utf-8", newline="") as have:
+                for k, line in enumerate(have, 1):
+                    line = changed.get(k, line) if k not in changed or changed[k] is None else changed[k] + "\n"
+                    if line is not None:
+                        left += bool(line.strip())
+                        out.write(line if line.endswith("\n") else line + "\n")
+        for line in appended:
+            left += 1
+            out.write(line + "\n")
+    if left:
         os.replace(path + ".new", path)
+    else:
+        os.remove(path + ".new")
+        if os.path.exists(path):
+            os.remove(path)
+    return left

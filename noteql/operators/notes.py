@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from noteql.functions import extract
-from noteql.functions.dates import DateRange, QueryError, day_range, midnight, range_of
+from noteql.functions.dates import DateRange, QueryError, range_of
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +26,6 @@ def list_notes(notes: DataFrame, category: str | None = None, status: str | None
     return out if limit is None else out.limit(limit)
 
 
-def list_by_id(notes: DataFrame, limit: int) -> DataFrame:
-    return notes.orderBy("note_id").limit(limit)
-
-
 def list_range(text: str, now: datetime) -> DateRange:
     """The simpler date grammar of lists: a literal or start..end."""
     if ".." in text:
@@ -38,10 +34,6 @@ def list_range(text: str, now: datetime) -> DateRange:
     return range_of(None, text.strip(), None, now)
 
 
-def day_of(at: datetime) -> DateRange:
-    return day_range(midnight(at.date()))
-
-
 def stats(notes: DataFrame) -> DataFrame:
     """One row: total_notes, total_words, average_words (null without notes)."""
     out = notes.agg(F.count(F.lit(1)).alias("total_notes"), F.coalesce(F.sum(extract.word_count(F.col("raw"))), F.lit(0)).cast("long").alias("total_words"))
@@ -52,12 +44,13 @@ def recent(notes: DataFrame, n: int) -> DataFrame:
     return notes.orderBy(F.col("file_modified_at").desc_nulls_last(), "note_id").limit(n)
 
 
-def naming_histogram(notes: DataFrame, leaf: Column, examples: int = 3) -> DataFrame:
-    """(pattern, count, examples): the first examples by name are kept by rank, so no class is gathered whole."""
-    named = notes.select(extract.naming_class(leaf).alias("pattern"), leaf.alias("leaf"))
+def naming_histogram(notes: DataFrame, note_id: Column, examples: int = 3) -> DataFrame:
+    """(pattern, count, examples) of the last parts of ids: the first ids are kept by rank, so no class is gathered
+    whole."""
+    named = notes.select(extract.naming_class(extract.leaf(note_id)).alias("pattern"), note_id.alias("note_id"))
     counts = named.groupBy("pattern").agg(F.count(F.lit(1)).alias("count"))
-    ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy("leaf"))).where(F.col("r") <= examples)
-    shown = ranked.groupBy("pattern").agg(F.array_sort(F.collect_list("leaf")).alias("examples"))
+    ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy("note_id"))).where(F.col("r") <= examples)
+    shown = ranked.groupBy("pattern").agg(F.array_sort(F.collect_list("note_id")).alias("examples"))
     return counts.join(shown, "pattern").orderBy(F.col("count").desc(), "pattern")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from noteql.functions import extract
 from noteql.functions.dates import QueryError
 from noteql.functions.text import tokenize
 from noteql.operators import fts
@@ -66,9 +67,10 @@ def similarity(v: Column, query: list[float]) -> Column:
     return F.when(n > 0, F.greatest(dot(v, literal) / n, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def knn(vectors: DataFrame, query: list[float], k: int, notes: DataFrame | None = None, threshold: float = 0.0) -> DataFrame:
-    """(note_id, similarity) of the k nearest vectors; ids without a note row are dropped after the look-up, so fewer
+def knn(vectors: DataFrame, query: list[float], k: int, notes: DataFrame | None = None, threshold: float = 0.0, model: str | None = None) -> DataFrame:
+    """(note_id, similarity) of the k nearest vectors, of one model if it is named; ids without a note row are dropped after the look-up, so fewer
     may come back."""
+    vectors = vectors if model is None else vectors.where(F.col("model") == model)
     near = vectors.select("note_id", similarity(F.col("vector"), query).alias("similarity")).orderBy(F.col("similarity").desc(), "note_id").limit(k)
     if notes is not None:
         near = near.join(notes.select("note_id"), "note_id", "left_semi")
@@ -92,10 +94,10 @@ def related(vectors: DataFrame, anchor, limit: int, notes: DataFrame | None = No
     return near.orderBy(F.col("similarity").desc(), "note_id").limit(limit)
 
 
-def semantic_search(indexed: DataFrame, vectors: DataFrame, query: list[float], limit: int, filters=None, excludes=(), metadata_dates=None) -> DataFrame:
+def semantic_search(indexed: DataFrame | fts.Kept, vectors: DataFrame, query: list[float], limit: int, filters=None, excludes=(), metadata_dates=None, stem: bool = False) -> DataFrame:
     """Nearest notes; filters and exclusions come after twice the limit is looked up, so fewer may come back."""
     near = knn(vectors, query, 2 * limit)
-    kept = fts.date_filtered(indexed, filters or {}, metadata_dates).where(~fts.excluded(list(excludes)))
+    kept = fts.passing(indexed, filters or {}, list(excludes), metadata_dates, stem)
     near = near.join(kept.select("note_id"), "note_id", "left_semi")
     return near.orderBy(F.col("similarity").desc(), "note_id").limit(limit)
 
@@ -112,33 +114,47 @@ def fuse(text_hits: DataFrame, vector_hits: DataFrame, limit: int) -> DataFrame:
     return kept.orderBy(F.col("score").desc(), "note_id").limit(limit).select("note_id", "score", "reason", "f", "s")
 
 
-def hybrid_search(indexed: DataFrame, vectors: DataFrame, query: str, embedder: Embedder, limit: int, now=None, metadata_dates=None) -> DataFrame:
+def hybrid_search(indexed: DataFrame | fts.Kept, vectors: DataFrame, query: str, embedder: Embedder, limit: int, now=None, metadata_dates=None, stem: bool = False) -> DataFrame:
     """Both searches at three times the limit, fused."""
     from noteql.plans.query import clean_for_embedding, parse
 
     q = parse(query, now)
-    text_hits = fts.search(indexed, q, 3 * limit, now, metadata_dates)
+    text_hits = fts.search(indexed, q, 3 * limit, now, metadata_dates, stem)
     near = knn(vectors, embedder(clean_for_embedding(query)), 3 * limit)
-    kept = fts.date_filtered(indexed, q.filters, metadata_dates).where(~fts.excluded(q.excludes))
+    kept = fts.passing(indexed, q.filters, q.excludes, metadata_dates, stem)
     return fuse(text_hits, near.join(kept.select("note_id"), "note_id", "left_semi"), limit)
 
 
-def related_notes(strategy: str, anchor, limit: int, vectors: DataFrame, edges: DataFrame) -> DataFrame:
-    """(note_id, score, reason) by one of auto, semantic, graph, hybrid; an empty semantic result gives the graph's."""
+def related_notes(strategy: str, anchor, limit: int, notes: DataFrame, edges: DataFrame, indexed: DataFrame | fts.Kept | None = None, vectors: DataFrame | None = None, embedder: Embedder | None = None, now=None, metadata_dates=None, stem: bool = False) -> DataFrame:
+    """(note_id, score, reason) by one of auto, semantic, graph and hybrid.
+
+    Semantic and hybrid search for a text made of the anchor's title, tags and first words, twice the limit, the anchor
+    left out. Auto is semantic if there are vectors and an embedder; without them, or if nothing is found, the graph
+    answers.
+    """
     from noteql.operators.links import neighbours
+    from noteql.plans.query import clean_for_embedding
 
-    by_graph = neighbours(edges, anchor).select("note_id", F.col("reasons_n").cast("double").alias("score"), F.col("reasons").alias("reason")).limit(limit)
-    if strategy == "graph":
-        return by_graph
-    if strategy not in ("auto", "semantic", "hybrid"):
+    if strategy not in ("auto", "semantic", "graph", "hybrid"):
         raise QueryError(f"unknown strategy {strategy!r}")
-    if vector_of(vectors, anchor) is None:
+    by_graph = neighbours(edges, anchor).select("note_id", F.lit(None).cast("double").alias("score"), F.col("reasons").alias("reason")).limit(limit)
+    if strategy == "graph" or vectors is None or embedder is None or indexed is None:
         return by_graph
-    near = related(vectors, anchor, limit).select("note_id", F.col("similarity").alias("score"), F.lit("Semantic similarity").alias("reason"))
+    tags = F.col("tags") if "tags" in notes.columns else F.array().cast("array<string>")
+    row = notes.where(F.col("note_id") == anchor).select(extract.similarity_text(F.col("title"), tags, F.col("content")).alias("text")).first()
+    if row is None:
+        raise QueryError(f"no note is called {anchor!r}")
     if strategy == "hybrid":
-        both = near.unionByName(by_graph).groupBy("note_id").agg(F.sum("score").alias("score"), F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reason"))
-        return both.orderBy(F.col("score").desc(), "note_id").limit(limit)
-    return by_graph if near.isEmpty() else near
+        # The text is words to find, whatever the query language makes of its signs.
+        literal = " ".join(tokenize(row.text)) if row.text else ""
+        found = hybrid_search(indexed, vectors, literal, embedder, 2 * limit, now, metadata_dates, stem) if literal else None
+    else:
+        near = semantic_search(indexed, vectors, embedder(clean_for_embedding(row.text)), 2 * limit)
+        found = near.select("note_id", F.col("similarity").alias("score"), F.lit("Semantic match").alias("reason"))
+    if found is None:
+        return by_graph
+    found = found.where(F.col("note_id") != anchor).select("note_id", "score", "reason").orderBy(F.col("score").desc(), "note_id").limit(limit)
+    return by_graph if found.isEmpty() else found
 
 
 def stale(notes: DataFrame, vectors: DataFrame, model: str) -> DataFrame:

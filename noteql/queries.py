@@ -49,9 +49,28 @@ def note_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = F.concat(F.lit("lang:"), F.col("metadata.lang"), F.lit(" "), F.col("metadata.lang"), F.lit("\nsource:"), F.col("metadata.source"), F.lit(" "), F.col("metadata.source"))
-    return fts.index_text(note_table(spark, sf_dir), F.col("content"), meta)
+def indexed(spark: SparkSession, sf_dir: str) -> fts.Kept:
+    """The search index of the documents, kept in the shared folder under the state of their files: it is built for the
+    first question and read by all others."""
+    files = incremental.file_states(spark, f"{sf_dir}/documents.parquet")
+    catalog = incremental.Catalog(spark, f"{incremental.shared_folder(spark)}/noteql-index-{files}", parts=max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+    if catalog.table("lengths") is None:
+        meta = _metadata_words()
+        postings, lengths = fts.build(note_table(spark, sf_dir), F.col("content"), meta)
+        try:
+            catalog.commit({"postings": postings, "lengths": lengths}, based_on=0)
+        except incremental.Conflict:  # built by somebody else meanwhile
+            pass
+    return fts.Kept(catalog.table("postings"), catalog.table("lengths"))
+
+
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same notes without an index."""
+    return fts.index_text(note_table(spark, sf_dir), F.col("content"), _metadata_words())
+
+
+def _metadata_words():
+    return F.concat(F.lit("lang:"), F.col("metadata.lang"), F.lit(" "), F.col("metadata.lang"), F.lit("\nsource:"), F.col("metadata.source"), F.lit(" "), F.col("metadata.source"))
 
 
 #: The index in SQL: note_id, c and m (term strings), dl, modified.
@@ -91,6 +110,11 @@ def fts_boolean(spark, d):
     return _ranked(fts.search(indexed(spark, d), "the AND (hand OR reatti)", 20, NOW))
 
 
+@register("fts_scan", _bm25([("reatti", "cm"), ("hand", "cm")], "t0 > 0 OR t1 > 0", 20))
+def fts_scan(spark, d):
+    return _ranked(fts.search(scanned(spark, d), "reatti OR hand", 20, NOW))
+
+
 @register("fts_phrase", _bm25([("of the", "cm")], "t0 > 0", 25))
 def fts_phrase(spark, d):
     return _ranked(fts.search(indexed(spark, d), '"of the"', 25, NOW))
@@ -255,7 +279,7 @@ def unresolved(spark, d):
     return links.unresolved(page_edges(spark, d)).select("source_id", "raw")
 
 
-@register("neighbour_rank", f"WITH {EDGES}, b AS (SELECT target_id AS note_id, 'links to by ' || reason AS why FROM edges WHERE source_id = 'Page 1' AND target_id IS NOT NULL UNION ALL SELECT source_id, 'linked from by ' || reason FROM edges WHERE target_id = 'Page 1') SELECT note_id, count(DISTINCT why) AS reasons_n, array_to_string(list_sort(list_distinct(list(why))), '; ') AS reasons FROM b WHERE note_id <> 'Page 1' GROUP BY note_id")
+@register("neighbour_rank", f"WITH {EDGES}, b AS (SELECT target_id AS note_id, 'Outbound link via [[' || raw || ']]' AS why FROM edges WHERE source_id = 'Page 1' AND target_id IS NOT NULL UNION ALL SELECT source_id, 'Backlink from ' || source_id FROM edges WHERE target_id = 'Page 1') SELECT note_id, count(DISTINCT why) AS reasons_n, array_to_string(list_sort(list_distinct(list(why))), '; ') AS reasons FROM b WHERE note_id <> 'Page 1' GROUP BY note_id")
 def neighbour_rank(spark, d):
     return links.neighbours(page_edges(spark, d), "Page 1")
 
@@ -307,7 +331,7 @@ def recent_notes(spark, d):
 
 
 _LEAF = "CASE doc_id % 6 WHEN 0 THEN '2024-01-' || (10 + doc_id % 20) WHEN 1 THEN 'a-' || doc_id WHEN 2 THEN 'a_' || doc_id WHEN 3 THEN 'AbcDef' WHEN 4 THEN CAST(doc_id AS VARCHAR) ELSE 'Ab ' || doc_id END"
-_CLASS = "CASE doc_id % 6 WHEN 0 THEN 'ISO date' WHEN 1 THEN 'kebab-case' WHEN 2 THEN 'snake_case' WHEN 3 THEN 'PascalCase' WHEN 4 THEN 'numeric' ELSE 'Title Case' END"
+_CLASS = "CASE doc_id % 6 WHEN 0 THEN 'ISO date (YYYY-MM-DD)' WHEN 1 THEN 'kebab-case' WHEN 2 THEN 'snake_case' WHEN 3 THEN 'PascalCase' WHEN 4 THEN 'Numeric identifiers' ELSE 'Mixed' END"
 
 
 @register("naming_histogram", f"SELECT p AS pattern, count(*) AS count, array_to_string(list_sort(list(leaf))[1:3], ',') AS examples FROM (SELECT {_LEAF} AS leaf, {_CLASS} AS p FROM documents) GROUP BY p")
@@ -384,7 +408,7 @@ def rollup_top_buckets(spark, d):
 def co_recorded_keys(spark, d):
     r = event_records(spark, d)
     out = metrics.co_recorded(r, r.where("key = 'web.click' AND source = 'u1'"))
-    return out.drop("latest_id").withColumn("latest_ts", F.unix_micros("latest_ts"))
+    return out.drop("latest_id", "latest_source").withColumn("latest_ts", F.unix_micros("latest_ts"))
 
 
 @register("activity_window", f"WITH {RECS} SELECT CAST(min(bucket) AS VARCHAR) AS first_day, CAST(max(bucket) AS VARCHAR) AS last_day FROM recs WHERE key = 'web.view'")
@@ -443,7 +467,7 @@ def snapshot_diff_plan(spark, d):
     return incremental.plan(f.where(i != 1), old.where(i != 0))
 
 
-@register("context_day_updated", "SELECT CAST(doc_id AS VARCHAR) AS note_id FROM documents WHERE doc_id * 600 >= 86400 AND doc_id * 600 < 2 * 86400 AND doc_id % 10 <> 0 ORDER BY doc_id DESC, note_id LIMIT 5")
+@register("context_day_created", "SELECT CAST(doc_id AS VARCHAR) AS note_id FROM documents WHERE doc_id * 600 >= 86400 AND doc_id * 600 < 2 * 86400 AND doc_id % 10 <> 0 ORDER BY doc_id DESC, note_id LIMIT 5")
 def context_day_created(spark, d):
     k = context.Knowledge(note_table(spark, d), event_records(spark, d), page_edges(spark, d))
     return context.day_view(k, date(2024, 1, 2))["created"].select("note_id")
@@ -461,14 +485,12 @@ def anchor_window_45d(spark, d):
     return o.where(context.near_anchor(o, (date(1995, 3, 1), date(1995, 3, 10)))).select("note_id")
 
 
-@register("latest_per_key", f"WITH {RECS}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, id) AS k FROM recs) SELECT key, id FROM r WHERE k = 1")
+@register("latest_per_key", f"WITH {RECS}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, source_file, event_id) AS k FROM recs) SELECT key, id FROM r WHERE k = 1")
 def latest_per_key(spark, d):
-    # The latest is an aggregate, so a frequent key is reduced before it is shuffled.
-    r = event_records(spark, d)
-    return r.groupBy("key").agg(F.min_by("id", F.struct(-F.unix_micros("ts_utc"), F.col("id"))).alias("id"))
+    return context.latest_per_key(event_records(spark, d)).select("key", "id")
 
 
-_EV = "SELECT CAST(doc_id % 40 AS VARCHAR) AS note_id, CAST(doc_id % 3 AS INT) AS kind, CASE WHEN doc_id % 9 <> 0 THEN to_timestamp(1704067200 + doc_id * 600) END AS t_at, CAST(doc_id AS VARCHAR) AS reason FROM documents WHERE doc_id % 40 <> doc_id % 3"
+_EV = "SELECT CAST(doc_id % 40 AS VARCHAR) AS note_id, CAST(CASE WHEN doc_id % 7 = 0 THEN 2 ELSE doc_id % 40 % 3 END AS INT) AS kind, CASE WHEN doc_id % 9 <> 0 THEN to_timestamp(1704067200 + doc_id * 600) END AS t_at, CAST(doc_id AS VARCHAR) AS reason FROM documents"
 
 
 @register("evidence_best", f"SELECT note_id, kind, reason FROM (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY kind, t_at DESC NULLS LAST, reason) AS k FROM ({_EV})) WHERE k = 1")
@@ -476,21 +498,16 @@ def evidence_best(spark, d):
     return context.best_evidence(_evidence(spark, d), "note_id", "at").select("note_id", "kind", "reason")
 
 
-@register("evidence_prune", f"SELECT note_id, kind FROM (SELECT note_id, kind, row_number() OVER (PARTITION BY kind < 2 ORDER BY kind, t_at DESC NULLS LAST, note_id) AS r, kind < 2 AS strong FROM (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY kind, t_at DESC NULLS LAST, reason) AS k FROM ({_EV}) WHERE kind = 2 OR doc_id_small) WHERE k = 1) WHERE r <= 5 AND (strong OR r <= 1)".replace("CAST(doc_id AS VARCHAR) AS reason", "CAST(doc_id AS VARCHAR) AS reason, doc_id < 60 AND doc_id % 40 < 4 AS doc_id_small"))
+@register("evidence_prune", f"WITH b AS (SELECT note_id, kind, t_at FROM ({_EV}) QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY kind, t_at DESC NULLS LAST, reason) = 1), n AS (SELECT least(count(*), 5) AS n FROM b WHERE kind < 2), r AS (SELECT note_id, kind, row_number() OVER (PARTITION BY kind < 2 ORDER BY kind, t_at DESC NULLS LAST, note_id) AS r FROM b) SELECT note_id, kind FROM r, n WHERE r <= CASE WHEN kind < 2 THEN 5 ELSE least(CASE WHEN n >= 2 THEN 1 ELSE 2 END, 5 - n) END")
 def evidence_prune(spark, d):
-    e = _evidence(spark, d).where((F.col("kind") == 2) | ((F.col("reason").cast("long") < 60) & (F.col("note_id").cast("long") < 4)))
-    return context.prune(context.best_evidence(e, "note_id", "at"), "note_id", "at", 5).select("note_id", "kind")
-
-
-@register("evidence_prune_all", f"WITH b AS (SELECT note_id, kind, t_at FROM ({_EV}) QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY kind, t_at DESC NULLS LAST, reason) = 1), n AS (SELECT least(count(*), 5) AS n FROM b WHERE kind < 2), r AS (SELECT note_id, kind, row_number() OVER (PARTITION BY kind < 2 ORDER BY kind, t_at DESC NULLS LAST, note_id) AS r FROM b) SELECT note_id, kind FROM r, n WHERE r <= CASE WHEN kind < 2 THEN 5 ELSE least(CASE WHEN n >= 2 THEN 1 ELSE 2 END, 5 - n) END")
-def evidence_prune_all(spark, d):
     return context.prune(context.best_evidence(_evidence(spark, d), "note_id", "at"), "note_id", "at", 5).select("note_id", "kind")
 
 
 def _evidence(spark, d) -> DataFrame:
     i = F.col("doc_id")
     at = F.when(i % 9 != 0, F.timestamp_seconds(F.lit(1704067200) + i * 600))
-    return table(spark, d, "documents").where(i % 40 != i % 3).select((i % 40).cast("string").alias("note_id"), (i % 3).cast("int").alias("kind"), at.alias("at"), i.cast("string").alias("reason"))
+    kind = F.when(i % 7 == 0, 2).otherwise(i % 40 % 3).cast("int")
+    return table(spark, d, "documents").select((i % 40).cast("string").alias("note_id"), kind.alias("kind"), at.alias("at"), i.cast("string").alias("reason"))
 
 
 @register("ordered_merge_cap", "SELECT note_id FROM (SELECT note_id, min(g * 1000 + p) AS o FROM (SELECT CAST(doc_id AS VARCHAR) AS note_id, 0 AS g, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS p FROM documents WHERE lang = 'es' QUALIFY p <= 8 UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS p FROM documents WHERE source = 'src1' QUALIFY p <= 8) GROUP BY note_id ORDER BY o LIMIT 8)")

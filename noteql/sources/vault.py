@@ -39,7 +39,7 @@ def _json(path: str) -> dict:
         return {}
 
 
-def load_settings(root: str, editor_dir: str = ".editor") -> Settings:
+def load_settings(root: str, editor_dir: str = ".obsidian") -> Settings:
     """Settings from ``<editor_dir>/{app,daily-notes,metrics}.json`` and ``noteql.toml``; the metrics plugin's come
     first, then the workspace's, then defaults."""
     app, daily, plugin = (_json(os.path.join(root, editor_dir, f"{n}.json")) for n in ("app", "daily-notes", "metrics"))
@@ -323,3 +323,25 @@ def delete_note(root: str, relative: str) -> None:
     while folder != os.path.realpath(root) and not os.listdir(folder):
         os.rmdir(folder)
         folder = os.path.dirname(folder)
+
+
+def create_file(root: str, relative: str) -> None:
+    """An empty file; one that is there is an error."""
+    full = _inside(root, relative)
+    os.makedirs(os.path.dirname(full), exist_ok=True)
+    with open(full, "x", encoding="utf-8"):
+        pass
+
+
+def rename_file(root: str, old: str, new: str) -> None:
+    """Moves a file to a name that is free: the new name is made by a link, which fails if it is there."""
+    a, b = _inside(root, old), _inside(root, new)
+    if a == b:
+        raise ValueError("the names must differ")
+    os.makedirs(os.path.dirname(b), exist_ok=True)
+    os.link(a, b)
+    os.remove(a)
+
+
+def delete_file(root: str, relative: str) -> None:
+    os.remove(_inside(root, relative))

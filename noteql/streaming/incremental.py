@@ -1,63 +1,155 @@
 """Keeping the index current: snapshot differences, their application, and a stream of change batches.
 
-An index is a folder of versions: every commit writes the tables that changed to a new folder and then swaps one
-pointer file, so readers see a whole version or the one before.
+An index is a folder of versions. Its tables are cut into parts by a hash of the note's id; a commit writes the parts
+that changed to a new folder and then a new version file, which names the folder of every part, so readers see a whole
+version or the one before. Files are reached by Hadoop's file systems alone, so the folder may be in any store.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from noteql.functions import extract
 from noteql.functions.dates import QueryError
-from noteql.operators import links
+from noteql.operators import fts, links, metrics
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.types import StructType
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+#: Parts of every table of a new index.
+PARTS = 32
+#: Versions whose files stay for readers that are still at them.
+KEPT_VERSIONS = 4
+
+
+class Conflict(QueryError):
+    """Somebody else has committed since the version that a commit rests on."""
 
 
 class Catalog:
-    """Versioned tables under a folder."""
+    """Versioned tables under a folder, in parts by note_id, or by source_id or source_file where there is none."""
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
+        self.spark, self.path, self.parts = spark, path, parts
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def _at(self, *names: str):
+        return self._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
 
-    def _pointer(self) -> dict:
+    def _versions(self) -> list[int]:
+        found = self._fs.globStatus(self._at("version-*.json")) or ()
+        return sorted(int(f.getPath().getName()[8:-5]) for f in found)
+
+    def _pointer(self, version: int | None = None) -> dict:
+        versions = self._versions()
+        if not versions:
+            return {"schema": SCHEMA_VERSION, "version": 0, "parts": self.parts, "tables": {}}
+        stream = self._fs.open(self._at(f"version-{version or versions[-1]:012d}.json"))
         try:
-            with open(os.path.join(self.path, "CURRENT"), encoding="utf-8") as f:
-                current = json.load(f)
-        except FileNotFoundError:
-            return {"schema": SCHEMA_VERSION, "version": 0, "tables": {}}
+            current = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
         if current["schema"] > SCHEMA_VERSION:
             raise QueryError("the index is of a newer version than this program")
-        return current if current["schema"] == SCHEMA_VERSION else {"schema": SCHEMA_VERSION, "version": current["version"], "tables": {}}
+        return current if current["schema"] == SCHEMA_VERSION else current | {"schema": SCHEMA_VERSION, "parts": self.parts, "tables": {}}
 
     @property
     def version(self) -> int:
         return self._pointer()["version"]
 
-    def table(self, name: str) -> DataFrame | None:
-        folder = self._pointer()["tables"].get(name)
-        return None if folder is None else self.spark.read.parquet(os.path.join(self.path, folder))
+    def part(self, name: str) -> Column:
+        """The part that rows with this id belong to."""
+        return F.pmod(F.xxhash64(F.col(name)), F.lit(self._pointer()["parts"])).cast("int")
 
-    def commit(self, tables: dict[str, DataFrame]) -> int:
+    def table(self, name: str) -> DataFrame | None:
+        current = self._pointer()["tables"].get(name)
+        if current is None:
+            return None
+        schema = StructType.fromJson(current["schema"])
+        reader = self.spark.read.schema(schema)
+        folders = sorted(f"{self.path}/{f}" for f in current["parts"].values())
+        return reader.parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def commit(self, tables: dict[str, DataFrame], changed: dict[str, list[int]] | None = None, based_on: int | None = None) -> int:
+        """A new version with these tables. For tables named in ``changed`` only those parts are written, of the rows
+        given, and the others stay; other tables are written whole. Raises Conflict if the version is not the one after
+        ``based_on``, or if another writer was first."""
         current = self._pointer()
+        if based_on is not None and current["version"] != based_on:
+            raise Conflict(f"version {current['version']} was committed meanwhile")
         for name, df in tables.items():
             folder = f"{name}-{uuid.uuid4().hex}"
-            df.write.parquet(os.path.join(self.path, folder))
-            current["tables"][name] = folder
+            by = next(c for c in ("note_id", "source_id", "source_file") if c in df.columns)
+            placed = df.drop("part").withColumn("part", F.pmod(F.xxhash64(by), F.lit(current["parts"])).cast("int"))
+            order = [c for c in ("term", by) if c in df.columns]
+            # A part goes to a few tasks, and terms come in order, so that a scan for some reads few row groups.
+            placed = placed.repartition("part", F.pmod(F.xxhash64(F.lit(3), *order), F.lit(4))).sortWithinPartitions("part", *order)
+            placed.write.partitionBy("part").parquet(f"{self.path}/{folder}")
+            made = {f.getPath().getName()[5:]: f"{folder}/{f.getPath().getName()}" for f in self._fs.globStatus(self._at(folder, "part=*")) or ()}
+            only = (changed or {}).get(name)
+            before = current["tables"].get(name, {"parts": {}})["parts"]
+            kept = {} if only is None else {p: f for p, f in before.items() if int(p) not in set(only)}
+            current["tables"][name] = {"parts": kept | made, "schema": df.drop("part").schema.jsonValue()}
         current["version"] += 1
-        os.makedirs(self.path, exist_ok=True)
-        with open(os.path.join(self.path, "CURRENT.new"), "w", encoding="utf-8") as f:
-            json.dump(current, f)
-        os.replace(os.path.join(self.path, "CURRENT.new"), os.path.join(self.path, "CURRENT"))
+        self._write(current)
+        self.vacuum()
         return current["version"]
 
+    def _write(self, current: dict) -> None:
+        """The version file appears at once, by a rename that fails if another writer was first."""
+        draft, final = self._at(f"draft-{uuid.uuid4().hex}"), self._at(f"version-{current['version']:012d}.json")
+        self._fs.mkdirs(self._at())
+        stream = self._fs.create(draft, False)
+        try:
+            stream.write(bytearray(json.dumps(current).encode()))
+        finally:
+            stream.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(draft, False)
+            raise Conflict(f"version {current['version']} was committed by another writer")
+
+    def vacuum(self, keep: int = KEPT_VERSIONS) -> int:
+        """Remove the version files but the last ones and the folders that those do not name; returns how many."""
+        versions = self._versions()
+        named = {f.split("/")[0] for v in versions[-keep:] for t in self._pointer(v)["tables"].values() for f in t["parts"].values()}
+        old = [self._at(f"version-{v:012d}.json") for v in versions[:-keep]]
+        used = {f.split("/")[0] for v in versions[:-keep] for t in self._pointer(v)["tables"].values() for f in t["parts"].values()}
+        old += [self._at(f) for f in used - named]
+        for path in old:
+            self._fs.delete(path, True)
+        return len(old)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a session of one process, as in tests, may name none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise QueryError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = "file://" + os.path.join(tempfile.gettempdir(), "noteql-shared")
+    return path.rstrip("/")
+
+
+def file_states(spark: SparkSession, path: str) -> str:
+    """A name for the files at a path as they are now: their paths, sizes and times of change, hashed."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    found = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
+    states = []
+    while found.hasNext():
+        f = found.next()
+        states.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(states)).encode()).hexdigest()[:24]
+
 
 def below(path: Column, scope: str) -> Column:
     """Paths at or under a scope, as a prefix that reaches the scan."""
@@ -119,41 +211,95 @@ def targets_changed(before: DataFrame, after: DataFrame) -> bool:
 
 
 def reindex(catalog: Catalog, notes: DataFrame, scopes: list[str] | None = None, force: bool = False) -> dict[str, int]:
-    """One pass: plan, apply, and resolve links anew if their targets changed, else those of changed notes alone.
+    """One pass: plan, apply, and resolve links anew if their targets changed, else those of changed notes alone. The
+    notes, links, terms and lengths of the parts that changed notes are in are written anew, all else stays.
     Returns the number of notes by action; nothing is written if nothing is to be done."""
     notes = fingerprinted(notes)
+    version = catalog.version
     index = catalog.table("notes")
-    if index is None:
+    first = index is None
+    if first:
         index = notes.limit(0)
     actions = plan(notes, index, scopes, force).persist()
     try:
         counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
         if not counts:
             return {}
+        # At most as many as there are parts.
+        parts = [r.part for r in actions.select(catalog.part("note_id").alias("part")).distinct().collect()]
+        here = lambda df, name="note_id": df.where(catalog.part(name).isin(parts))
         after = apply(index, notes, actions)
         old = catalog.table("edges")
-        if old is None or targets_changed(index, after):
+        everywhere = old is None or targets_changed(index, after)
+        if everywhere:
             edges = links.edges_of(after)
         else:
-            edges = old.join(actions.select(F.col("note_id").alias("source_id")), "source_id", "left_anti")
+            edges = here(old, "source_id").join(actions.select(F.col("note_id").alias("source_id")), "source_id", "left_anti")
             fresh = after.join(actions.where("action <> 'remove'").select("note_id"), "note_id", "left_semi")
             edges = edges.unionByName(links.resolve(links.extract_links(fresh), after))
-        catalog.commit({"notes": after, "edges": edges})
+        changed = {} if first else {n: parts for n in ("notes", "postings", "lengths", *([] if everywhere else ["edges"]))}
+        # Terms of changed notes are made anew, those of their neighbours in a part are taken over.
+        fresh = after.join(actions.where("action in ('add', 'update')").select("note_id"), "note_id", "left_semi")
+        postings, lengths = fts.build(fresh, extract.content_document(F.col("note_id"), F.col("title"), F.col("content")), extract.metadata_document(F.col("metadata_json")), stem=True)
+        postings, lengths = postings.drop("part"), lengths.drop("part")
+        if not first and catalog.table("postings") is not None:
+            gone = actions.select("note_id")
+            postings = here(catalog.table("postings")).join(gone, "note_id", "left_anti").unionByName(postings)
+            lengths = here(catalog.table("lengths")).join(gone, "note_id", "left_anti").unionByName(lengths)
+        catalog.commit({"notes": after if first else here(after), "edges": edges, "postings": postings, "lengths": lengths}, changed, version)
+        return counts
+    finally:
+        actions.unpersist()
+
+
+def reindex_metrics(catalog: Catalog, files: DataFrame, force: bool = False) -> dict[str, int]:
+    """The same for metric logs, from files (relative_path, file_modified_at, raw): a log is parsed again if its
+    fingerprint differs or that is forced. Tables metric_files (source_file, fingerprint, file_modified_at, counts) and
+    metric_rows, the parsed rows with their issues."""
+    version = catalog.version
+    now = files.select(F.col("relative_path").alias("source_file"), metrics.fingerprint(F.col("raw")).alias("fingerprint"), "file_modified_at")
+    old, rows = catalog.table("metric_files"), catalog.table("metric_rows")
+    before = now.limit(0) if old is None else old.select("source_file", "fingerprint", "file_modified_at")
+    both = now.alias("a").join(before.alias("b"), "source_file", "full").select("source_file", F.col("a.fingerprint").alias("f1"), F.col("b.fingerprint").alias("f0"))
+    action = F.when(F.col("f1").isNull(), "remove").when(F.col("f0").isNull(), "add").when(F.lit(force) | (F.col("f1") != F.col("f0")), "update")
+    actions = both.select("source_file", action.alias("action")).where("action is not null").persist()
+    try:
+        counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
+        if not counts:
+            return {}
+        parts = [r.part for r in actions.select(catalog.part("source_file").alias("part")).distinct().collect()]
+        touched = actions.select("source_file")
+        fresh = files.withColumnRenamed("relative_path", "source_file").join(actions.where("action <> 'remove'").select("source_file"), "source_file", "left_semi")
+        parsed = metrics.parse_lines(metrics.read_lines(fresh.select(F.col("source_file").alias("path"), F.col("raw").alias("value"))))
+        summary = now.join(fresh.select("source_file"), "source_file", "left_semi").join(metrics.file_summary(parsed), "source_file", "left")
+        changed = None
+        if old is not None and rows is not None:
+            here = lambda df: df.where(catalog.part("source_file").isin(parts)).join(touched, "source_file", "left_anti")
+            parsed, summary = here(rows).unionByName(parsed), here(old).unionByName(summary)
+            changed = {"metric_files": parts, "metric_rows": parts}
+        catalog.commit({"metric_files": summary, "metric_rows": parsed}, changed, version)
         return counts
     finally:
         actions.unpersist()
 
 
+def kept_index(catalog: Catalog) -> fts.Kept | None:
+    postings, lengths = catalog.table("postings"), catalog.table("lengths")
+    return None if postings is None or lengths is None else fts.Kept(postings, lengths, stem=True)
+
+
 def model_changed(meta: dict | None, model: dict) -> bool:
     """Whether stored vectors are of another preset, repository or dimension, and must all go."""
     return meta is None or any(meta.get(k) != model.get(k) for k in ("preset", "repository", "dimension"))
 
 
 class _ChangeReader(SimpleDataSourceStreamReader):
-    """Differences between snapshots of (path, mtime, size) of a folder: edits, deletions and renames alike."""
+    """Differences between snapshots of (path, mtime, size) of a folder: edits, deletions and renames alike. An offset is
+    a snapshot's number; the snapshots are files of the ``state`` folder, those before the last committed one removed.
+    Without that folder an offset holds its snapshot."""
 
     def __init__(self, options: dict):
-        self.root = options["path"]
+        self.root, self.state = options["path"], options.get("state")
 
     def _snapshot(self) -> dict:
         out = {}
@@ -168,20 +314,44 @@ class _ChangeReader(SimpleDataSourceStreamReader):
                 out[os.path.relpath(full, self.root)] = [st.st_mtime_ns, st.st_size]
         return out
 
+    def _file(self, n: int) -> str:
+        return os.path.join(self.state, f"snapshot-{n}.json")
+
+    def _load(self, offset: dict) -> dict:
+        if "files" in offset or not offset["n"]:
+            return json.loads(offset.get("files", "{}"))
+        with open(self._file(offset["n"]), encoding="utf-8") as f:
+            return json.load(f)
+
+    def _save(self, n: int, files: dict) -> dict:
+        if not self.state:
+            return {"n": n, "files": json.dumps(files)}
+        os.makedirs(self.state, exist_ok=True)
+        with open(self._file(n) + ".new", "w", encoding="utf-8") as f:
+            json.dump(files, f)
+        os.replace(self._file(n) + ".new", self._file(n))
+        return {"n": n}
+
     def initialOffset(self):
-        return {"n": 0, "files": "{}"}
+        return {"n": 0}
 
     def read(self, start):
-        before, now = json.loads(start["files"]), self._snapshot()
-        changed = sorted({*before, *now} - {p for p in before if now.get(p) == before[p]})
-        return iter([(p,) for p in changed]), {"n": start["n"] + bool(changed), "files": json.dumps(now)}
+        before, now = self._load(start), self._snapshot()
+        changed = _differences(before, now)
+        return iter([(p,) for p in changed]), self._save(start["n"] + 1, now) if changed else start
 
     def readBetweenOffsets(self, start, end):
-        before, now = json.loads(start["files"]), json.loads(end["files"])
-        return iter([(p,) for p in sorted({*before, *now} - {p for p in before if now.get(p) == before[p]})])
+        return iter([(p,) for p in _differences(self._load(start), self._load(end))])
 
     def commit(self, end):
-        pass
+        for n in range(end["n"] - 1, 0, -1) if self.state else ():
+            if not os.path.exists(self._file(n)):
+                break
+            os.remove(self._file(n))
+
+
+def _differences(before: dict, now: dict) -> list[str]:
+    return sorted({*before, *now} - {p for p in before if now.get(p) == before[p]})
 
 
 class ChangeSource(DataSource):
@@ -210,5 +380,5 @@ def watch(spark: SparkSession, root: str, handle: Callable[[list[str]], None], c
             except Exception as e:  # noqa: BLE001  the stream outlives a bad batch
                 print(f"batch {number} failed: {e}")
 
-    writer = spark.readStream.format("changes").option("path", root).load().writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = spark.readStream.format("changes").option("path", root).option("state", os.path.join(checkpoint, "snapshots")).load().writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

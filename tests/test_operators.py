@@ -163,6 +163,8 @@ def knowledge(spark):
     notes_ = spark.createDataFrame(rows, "note_id string, title string, content string, relative_path string, file_modified_at timestamp, created_at timestamp")
     r = metrics.records(parsed(spark, line(), line(id="2", key="sleep.duration", date="2024-04-01"), line(id="3", date="2024-04-02")))
     e = links.edges_of(notes_.withColumn("aliases", F.lit(None).cast("array<string>")))
+    # Small plans: the tables as they are stored.
+    r, e = (spark.createDataFrame(df.collect(), df.schema) for df in (r, e))
     return context.Knowledge(notes_, r, e)
 
 
@@ -184,8 +186,14 @@ def test_context_views(spark):
 
 
 def test_profiles(spark):
-    n = spark.createDataFrame([("a-b",), ("2024-01-01",), ("Ab Cd",), ("7",), ("c-d",), ("é",)], "leaf string")
-    assert {r.pattern: r["count"] for r in notes.naming_histogram(n, F.col("leaf")).collect()} == {"kebab-case": 2, "ISO date": 1, "Title Case": 1, "numeric": 1, "Misc": 1}
+    want = {
+        "Misc": ["", "x/ "], "ISO date (YYYY-MM-DD)": ["2024-01-01", "d/2024-13-99"], "ISO week (YYYY-Www)": ["2024-W01"], "Numeric identifiers": ["7"], "kebab-case": ["a-b", "c-d"], "snake_case": ["a_b"],
+        "PascalCase": ["AbCd"], "Title Case": ["Abc", "Ab Cd", "Él D'ö"], "Uppercase identifiers": ["AB 1"], "Mixed": ["abc", "AbC1 foo", "Mixed-Case Thing", "é"],
+    }
+    n = spark.createDataFrame([(x,) for v in want.values() for x in v], "id string")
+    got = notes.naming_histogram(n, F.col("id")).collect()
+    assert {r.pattern: r.examples for r in got} == {k: sorted(v)[:3] for k, v in want.items()} and all(r["count"] == len(want[r.pattern]) for r in got)
+    assert [(r["count"], r.pattern) for r in got] == sorted(((r["count"], r.pattern) for r in got), key=lambda r: (-r[0], r[1]))
     empty = notes.stats(spark.createDataFrame([], "raw string")).first()
     assert (empty.total_notes, empty.total_words, empty.average_words) == (0, 0, None)
 
@@ -197,19 +205,65 @@ def test_prune(spark, strong, inferred, want):
     assert (sum(r.kind < 2 for r in got), sum(r.kind == 2 for r in got)) == want
 
 
-def test_the_registered_prune_has_a_form_over_all_evidence(spark, tmp_path):
-    import duckdb
-    from noteql import queries
-
-    ids = range(60, 400)
-    spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
-    best = {}
-    for i in ids:
-        if i % 40 != i % 3:
-            row = (i % 3, i % 9 == 0, -i if i % 9 else 0, str(i))
-            best[str(i % 40)] = min(best.get(str(i % 40), row), row)
-    strong = sorted((*row[:3], note) for note, row in best.items() if row[0] < 2)
-    got = [tuple(r) for r in queries.QUERIES["evidence_prune_all"](spark, str(tmp_path)).collect()]
-    assert len(strong) > 5 and got == [(note, kind) for kind, _, _, note in strong[:5]]
-    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    assert sorted(duckdb.sql(queries.ORACLE_SQL["evidence_prune_all"]).fetchall()) == sorted(got)
+def test_evidence_of_notes_and_records(spark):
+    """Keys narrow a note's days, stronger keys are skipped, references are not narrowed by sources, inferred notes of
+    other times go where there is stronger evidence, and limits hold."""
+    k = knowledge(spark)
+    old = datetime(2023, 1, 1, tzinfo=UTC)
+    extra = spark.createDataFrame([("Old", None, "body weight of old", "Old.md", old, old), ("Near", None, "body weight again", "Near.md", datetime(2024, 4, 20, tzinfo=UTC), None)], k.notes.schema)
+    k.notes = k.notes.unionByName(extra)
+    got = context.notes_for_metric(k, k.records.where("key = 'body.weight'"), 9).collect()
+    assert [(r.note_id, r.kind) for r in got] == [("Hub", 0), ("2024-04-01", 0), ("Near", 2)]
+    assert got[1].reason == "Note explicitly references matching metric record `metric:1`" and got[2].confidence == 0.35
+    none = k.records.where("key = 'body.weight'").withColumns({"id": F.lit("x"), "key": F.lit("weight.of"), "date": F.lit(None).cast("date")})
+    assert [r.note_id for r in context.notes_for_metric(k, none, 9).collect()] == ["Old"]
+    found = lambda text, note="2024-04-02": [(r.id, r.kind) for r in context.metrics_for_note(k, k.notes.limit(1).withColumns({"note_id": F.lit(note), "content": F.lit(text)}), 9).collect()]
+    assert found("sleep.duration") == [("2", 2)] and found("nothing") == [("3", 1)]
+    assert found("body.weight metric:2") == [("2", 0), ("3", 1)] and found("of 2024-04-01 body.weight sleep.duration") == [("1", 1), ("3", 1), ("2", 1)]
+
+
+def test_sources_named_by_a_note(spark):
+    rows = [("a b my-log c", "my-log", True), ("only my c", "my-log", False), ("run data", "run-log", True), ("the fit tracker", "fit tracker_health_log", True), ("x", "-log", False)]
+    df = spark.createDataFrame(rows, "text string, source string, want boolean")
+    assert df.where(context.names_source(F.col("text"), F.col("source")) != F.col("want")).isEmpty()
+
+
+def test_links_and_pivots(spark):
+    k = knowledge(spark)
+    k.files = spark.createDataFrame([("f", datetime(2024, 4, 1, tzinfo=UTC)), ("g", datetime(2024, 4, 2, tzinfo=UTC))], "relative_path string, file_modified_at timestamp")
+    day = context.day_view(k, date(2024, 4, 1))
+    assert [(p["kind"], p["target"]) for p in day["pivots"]] == [("note", "2024-04-01"), ("context_metric", day["metrics"].first().key), ("context_day", "2024-04-02")]
+    assert {(r["from"], r["to"]) for r in day["links"].collect()} >= {("day:2024-04-01", "note:2024-04-01"), ("day:2024-04-01", "metric:2")}
+    note = context.note_view(k, "Hub")
+    assert [p["kind"] for p in note["pivots"]] == ["note", "context_metric", "context_note"] and note["pivots"][1]["evidence"] == "inferred"
+    m = context.metric_view(k, k.records.where("key = 'body.weight'"), name="body.weight", span="2024-04")
+    assert m["pivots"][-1]["question"].startswith("key:body.weight") and m["pivots"][-1]["question"].endswith("date:2024-04")
+    assert ("note:Hub", "body.weight", "explicit") in {(r["from"], r["to"], r["kind"]) for r in m["links"].collect()}
+    s = context.source_view(k, k.records.first().source)
+    assert s["pivots"][0]["kind"] == "context_metric" and {r.relative_path for r in s["files"].collect()} <= {"f", "g"}
+    out = context.Pivots()
+    out.add("note", "a", "x")
+    out.add("note", "a", "y")
+    assert len(out) == 1
+    for view in (lambda: context.metric_view(k, k.records.limit(0), name="no"), lambda: context.source_view(k, "no"), lambda: metrics.daily_sum(k.records.limit(0), 3)):
+        with pytest.raises(QueryError):
+            view()
+
+
+def test_related_notes(spark):
+    embed = vectors.hashing_embedder(64)
+    rows = [("a", "apple tart", "sugar and apples", ["food"]), ("b", "apple pie", "apples and sugar #food", []), ("c", "stone wall", "rocks", []), ("d", "é" * 600, None, ["x"])]
+    n = spark.createDataFrame(rows, "note_id string, title string, content string, tags array<string>").withColumn("file_modified_at", F.lit(datetime(2024, 1, 1, tzinfo=UTC)))
+    text = extract.similarity_text(F.col("title"), F.col("tags"), F.col("content"))
+    got = {r.note_id: r.t for r in n.select("note_id", text.alias("t")).collect()}
+    assert got == {"a": "apple tart #food", "b": "apple pie apples and sugar #food", "c": "stone wall rocks", "d": "é" * 256}
+    v = vectors.embed_notes(n, F.concat_ws(" ", "title", "content"), embed, "m", F.col("file_modified_at"))
+    e = spark.createDataFrame([("a", "C", "c", "direct"), ("a", "the c", "c", "alias"), ("b", "a", "a", "direct")], "source_id string, raw string, target_id string, reason string")
+    indexed = fts.index_text(n, F.concat_ws(" ", "title", "content"), F.lit(""))
+    graph = vectors.related_notes("graph", "a", 5, n, e).collect()
+    assert [(r.note_id, r.reason) for r in graph] == [("c", "Outbound link via [[C]]; Outbound link via [[the c]]"), ("b", "Backlink from b")]
+    assert vectors.related_notes("auto", "a", 1, n, e, indexed, v, embed).first().note_id == "b"
+    assert [r.note_id for r in vectors.related_notes("hybrid", "b", 3, n, e, indexed, v, embed).collect()][:1] == ["a"]
+    assert [r.note_id for r in vectors.related_notes("semantic", "a", 5, n, e).collect()] == ["c", "b"]
+    with pytest.raises(QueryError):
+        vectors.related_notes("odd", "a", 1, n, e)

@@ -2,9 +2,11 @@ import os
 import time
 
 import pytest
-from noteql.operators import links
+from noteql.functions import extract
+from noteql.operators import fts, links, metrics, mutations
 from noteql.sources import vault
 from noteql.streaming import incremental
+from pyspark.sql import functions as F
 
 FILES = {
     "Hub.md": "---\ntitle: Project Hub\ntags: [a, b]\nwhen: 2024-01-15\nn: 012\nok: yes\n---\n[[sub/Note]] [[missing]] #c\n",
@@ -120,3 +122,128 @@ def test_workspace(spark, root):
     assert w.metrics_search().isEmpty() and w.metrics_files().first().row_count == 2
     with pytest.raises(QueryError):
         w.call("_table")
+
+
+def test_commits_write_the_parts_that_changed(spark, root, tmp_path):
+    c = incremental.Catalog(spark, str(tmp_path / "c"), parts=8)
+    incremental.reindex(c, loaded(spark, root))
+    before = c._pointer()["tables"]
+    vault.replace_note(root, "Hub.md", {"title": "Project Hub", "tags": ["a"], "aliases": ["HQ"]}, "[[sub/note]] fresh words")
+    assert incremental.reindex(c, loaded(spark, root), scopes=["Hub.md"]) == {"update": 1}
+    after = c._pointer()["tables"]
+    for name in ("notes", "postings", "lengths"):
+        changed = [p for p in after[name]["parts"] if after[name]["parts"][p] != before[name]["parts"].get(p)]
+        assert len(changed) == 1 and c.table(name).count() == incremental.Catalog(spark, c.path).table(name).count()
+    kept = incremental.kept_index(c)
+    assert [r.note_id for r in fts.search(kept, '"fresh words"').collect()] == ["Hub"]
+    text = fts.index_text(c.table("notes"), extract.content_document(F.col("note_id"), F.col("title"), F.col("content")), extract.metadata_document(F.col("metadata_json")), stem=True)
+    for query in ("note", "fresh OR note", "kept NOT fresh", "NOT fresh", "content:words", '"fresh words" OR tags:a'):
+        a, b = fts.search(kept, query, 9), fts.search(text, query, 9, stem=True)
+        rounded = lambda df: [(r.note_id, round(r.rank, 9)) for r in df.collect()]
+        assert rounded(a) == rounded(b)
+        assert {r.note_id for r in fts.matching_ids(kept, query).collect()} == {r.note_id for r in fts.matching_ids(text, query, stem=True).collect()}
+    with pytest.raises(incremental.Conflict):
+        c.commit({"lengths": c.table("lengths")}, based_on=c.version - 1)
+
+
+def test_old_versions_go(spark, tmp_path):
+    c = incremental.Catalog(spark, str(tmp_path / "c"))
+    for k in range(7):
+        c.commit({"t": spark.createDataFrame([(str(k), k)], "note_id string, n int")})
+    assert c.version == 7 and c.table("t").first().n == 6
+    folders = [f for f in os.listdir(c.path) if f.startswith("t-")]
+    assert len(folders) == incremental.KEPT_VERSIONS and len(c._versions()) == incremental.KEPT_VERSIONS
+
+
+def test_metric_logs_are_kept_in_the_index(spark, root, tmp_path):
+    """A log is parsed again when its text changes, whatever its time says."""
+    c = incremental.Catalog(spark, str(tmp_path / "c"))
+    logs = lambda: vault.read_vault(spark, root, "metrics").select("relative_path", "file_modified_at", "raw")
+    first = incremental.reindex_metrics(c, logs())
+    assert first["add"] >= 1 and incremental.reindex_metrics(c, logs()) == {}
+    path = os.path.join(root, "metrics/a.ndjson")
+    stat, before = os.stat(path), c.table("metric_rows").where("source_file = 'metrics/a.ndjson'").count()
+    with open(path, "a") as f:
+        f.write('{"id":"77","ts":"2024-04-01T01:00:00Z","key":"body.weight","value":1.5,"source":"s"}\n')
+    os.utime(path, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    assert incremental.reindex_metrics(c, logs()) == {"update": 1}
+    assert c.table("metric_rows").where("source_file = 'metrics/a.ndjson'").count() == before + 1
+    os.remove(path)
+    assert incremental.reindex_metrics(c, logs())["remove"] == 1 and c.table("metric_rows").where("source_file = 'metrics/a.ndjson'").isEmpty()
+
+
+def test_metric_fingerprint(spark):
+    import hashlib
+    import struct
+
+    for raw in ("a\n\nb\r\n \t\nc", "", "\n", "é\n"):
+        lines = [(k, x) for k, x in enumerate(raw.replace("\r\n", "\n").split("\n"), 1) if x.strip()]
+        want = hashlib.sha256(b"".join(struct.pack("<Q", k) + x.encode() + b"\n" for k, x in lines)).hexdigest()
+        assert spark.createDataFrame([(raw,)], "r string").select(metrics.fingerprint(F.col("r"))).first()[0] == want
+
+
+def test_concurrent_creates_keep_every_record_and_blank_lines_stay(spark, root):
+    from threading import Thread
+
+    from noteql.api import Workspace
+
+    path = os.path.join(root, "metrics/a.ndjson")
+    with open(path, "a") as f:
+        f.write("\n\n")
+    w = Workspace(spark, root, settings=vault.Settings(ignored=["Templates"]))
+    w.reindex()
+    have = w.metrics_files().where("source_file = 'metrics/a.ndjson'").first().row_count
+    record = lambda k: {"id": f"c{k}", "ts": "2024-04-01T01:00:00Z", "key": "body.weight", "value": k, "source": "s"}
+    threads = [Thread(target=w.metrics_create, args=("metrics/a.ndjson", record(k))) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert {r.id for r in w.records.where("id like 'c%'").collect()} == {"c0", "c1"}
+    assert w.metrics_files().where("source_file = 'metrics/a.ndjson'").first().row_count == have + 2
+    with open(path) as f:
+        assert "\n\n\n" in f.read()
+    w.metrics_rename_file("metrics/a.ndjson", "metrics/b.ndjson")
+    assert {r.source_file for r in w.records.where("id = 'c1'").collect()} == {"metrics/b.ndjson"}
+    with pytest.raises(FileExistsError):
+        w.metrics_create_file("metrics/b.ndjson")
+    w.metrics_delete_file("metrics/b.ndjson")
+    assert w.records.where("id = 'c1'").isEmpty()
+
+
+def test_edits_of_log_files(tmp_path):
+    path = str(tmp_path / "x.ndjson")
+    with open(path, "w") as f:
+        f.write("a\n\nb\nc")
+    assert mutations.edit_file(path, {3: "B", 1: None}, ["d"]) == 3
+    with open(path) as f:
+        assert f.read() == "\nB\nc\nd\n"
+    assert mutations.edit_file(path, {2: None, 3: None, 4: None}) == 0 and not os.path.exists(path)
+
+
+def test_progress():
+    from noteql.streaming.progress import FRAMES, Progress
+
+    now, seen = [0.0], []
+    p = Progress(listeners=[seen.append], clock=lambda: now[0])
+    sent = []
+    for at in (0.0, 0.1, 0.4, 0.6, 0.7):
+        now[0] = at
+        sent.append(p("notes", "running", {"add": at}))
+    assert sent == [True, False, False, True, False] and p("notes", "done") and len(seen) == 3
+    assert p.status["notes"]["state"] == "done"
+    for k in range(FRAMES + 5):
+        p(f"x{k}", "done")
+    assert len(p.frames) == FRAMES
+
+
+def test_settings_of_the_editor(root):
+    import json
+
+    os.makedirs(os.path.join(root, ".obsidian"), exist_ok=True)
+    with open(os.path.join(root, ".obsidian", "app.json"), "w") as f:
+        json.dump({"attachmentFolderPath": "Files", "userIgnoreFilters": ["Old/"]}, f)
+    with open(os.path.join(root, "noteql.toml"), "w") as f:
+        f.write('attachments = "Other"\nignored = ["Mine"]\nmetrics_root = "logs"\n')
+    s = vault.load_settings(root)
+    assert (s.attachments, s.ignored, s.metrics_root) == ("Files", ["Old", "Mine"], "logs")

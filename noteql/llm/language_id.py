@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import kept_columns, read
 
 #: Families of common languages by code; any other language is a family of its own.
 FAMILIES = {
@@ -140,17 +140,18 @@ def held_out(id_col) -> F.Column:
 
 
 def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model from at most ``per_language`` documents of each language, those of least hash among the documents that
-    are not held out, with a language and a letter in their text. None if there are no such documents."""
-    known = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    by_hash = Window.partitionBy(lang_col).orderBy("pick", id_col)
-    # Ranks within a salt come first, so that no language's rows go to one task.
-    salt = Window.partitionBy(lang_col, "salt").orderBy("pick", id_col)
-    ids = known.select(lang_col, id_col, F.xxhash64(F.lit(42), id_col).alias("pick")).withColumn("salt", F.pmod("pick", F.lit(64)))
-    ids = ids.withColumn("rank", F.row_number().over(salt)).where(F.col("rank") <= per_language)
-    ids = ids.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_language)
-    # Bounded: per_language ids a language.
-    chosen = known.join(F.broadcast(ids.select(id_col)), id_col, "left_semi").select(id_col, lang_col, text_col)
+    """A model from at most ``per_language`` documents of each language, those of least hash (of id and text) among the
+    documents that are not held out, with a language and a letter in their text; equal rows count once. None if there
+    are no such documents."""
+    known = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    known = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(42), id_col, text_col).alias("pick"))
+    picks = known.select("lang", "pick").distinct()
+    # Ranks within a salt, and then within fewer salts, come first, so that no language's rows go to one task.
+    for salts in (64, 8, 1):
+        few = Window.partitionBy("lang", F.pmod("pick", F.lit(salts))).orderBy("pick")
+        picks = picks.withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= per_language).drop("rank")
+    # Bounded: per_language hashes a language. Of equal rows one goes on.
+    chosen = known.join(F.broadcast(picks), ["lang", "pick"], "left_semi").groupBy("lang", "pick").agg(F.first("id").alias("id"), F.first("text").alias("text"))
 
     def run(batches):
         for b in batches:
@@ -159,7 +160,7 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", pe
             cols = list(zip(*rows)) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.binary()))], ["id", "lang", "x"])
 
-    rows = chosen.select(F.col(id_col).cast("long"), lang_col, text_col).mapInArrow(run, "id long, lang string, x binary").collect()
+    rows = chosen.select("id", "lang", "text").mapInArrow(run, "id long, lang string, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.id is not None, r.id, r.lang, r.x))
@@ -167,12 +168,13 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", pe
 
 
 def predict(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="text", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred and score for each row, with the columns named in ``keep`` before them.
+    """doc_id, lang_pred and score for each row, with the columns named in ``keep`` before them; one that is named like a
+    result gives way to it.
 
     A null text or one without a letter gets ``und`` and score 0, as does every text if there is no model. The whole
     text counts. Languages and ids are not looked at. Repeated rows come out alike; an empty table gives an empty result.
     """
-    columns = keep if keep is not None else [id_col]
+    columns = kept_columns(keep, ("lang_pred", "score")) if keep is not None else [id_col]
     picked = docs.select(*columns, F.col(text_col).alias("__text"))
     schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, partitions, read
 
 #: (rule, verdict): host and path; a rule holds for its host and all subdomains, and the longest rule that fits wins.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -53,35 +53,37 @@ def spelled(url: Column) -> Column:
 
 
 def grams(rows: DataFrame, keep: list[str], order: int = ORDER) -> DataFrame:
-    """One row for each gram of up to ``order`` symbols that stands in column ``s``, with the columns of ``keep``."""
-    at = F.explode(F.sequence(F.lit(1), F.char_length("s")))
-    long = rows.select(*keep, "s", at.alias("at"))
-    each = F.array(*[F.when(F.col("at") >= k, F.substring("s", F.col("at") - (k - 1), F.lit(k))) for k in range(1, order + 1)])
-    return long.select(*keep, F.explode(F.filter(each, lambda g: g.isNotNull())).alias("gram"))
+    """One row for each gram of up to ``order`` symbols that stands in column ``s``, with the columns of ``keep``. The
+    grams are put together from the symbols' array, so that a URL of any length takes time in proportion."""
+
+    def of(symbols: Column) -> Column:
+        long = lambda k: F.transform(F.sequence(F.lit(1), F.size(symbols) - (k - 1)), lambda i: F.concat(*[F.element_at(symbols, (i + j).cast("int")) for j in range(k)]))
+        none = F.array().cast("array<string>")
+        return F.flatten(F.array(*[F.when(F.size(symbols) >= k, long(k)).otherwise(none) for k in range(1, order + 1)]))
+
+    symbols = F.filter(F.split("s", ""), lambda c: c != "")
+    return rows.select(*keep, F.explode(F.flatten(F.transform(F.array(symbols), of))).alias("gram"))
 
 
 def model(labelled: DataFrame, order: int = ORDER, back_off: float = BACK_OFF) -> DataFrame:
     """(gram, value) from rows (s, good): what each occurrence of a gram adds to a URL's log-likelihood difference.
-    Counts are over all rows."""
+    Counts are over all rows. Each order is written out before the next rests on it."""
     good = F.col("good").cast("int")
     n = grams(labelled, ["good"], order).groupBy("gram").agg(F.sum(good).cast("double").alias("a"), F.sum(1 - good).cast("double").alias("r"))
-    n = n.withColumn("k", F.char_length("gram"))
+    n = materialize(n.withColumn("k", F.char_length("gram")))
     # Order 1: shares of single symbols, over all symbols equally likely.
-    total = n.where("k = 1").agg(F.sum("a").alias("ta"), F.sum("r").alias("tr"))
+    total = n.where("k = 1").agg(F.sum("a").alias("a"), F.sum("r").alias("r")).first()
     symbols = labelled.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ALPHABET))).alias("gram"))
     seen = symbols.join(n.where("k = 1"), "gram", "left").select("gram", F.lit(1).alias("k"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("r", F.lit(0.0)).alias("r"))
-    total = total.select(F.coalesce("ta", F.lit(0.0)).alias("ta"), F.coalesce("tr", F.lit(0.0)).alias("tr"))
-    level = seen.join(F.broadcast(total))
-    p = lambda x, t: (F.col(x) + F.lit(back_off / SYMBOLS)) / (F.col(t) + F.lit(back_off))
-    level = level.select("gram", "k", "a", "r", p("a", "ta").alias("pa"), p("r", "tr").alias("pr"), F.lit(0.0).alias("below"), F.lit(0.0).alias("back"))
-    levels = [level]
+    p = lambda x: (F.col(x) + F.lit(back_off / SYMBOLS)) / F.lit((total[x] or 0.0) + back_off)
+    levels = [materialize(seen.select("gram", "k", "a", "r", p("a").alias("pa"), p("r").alias("pr"), F.lit(0.0).alias("below"), F.lit(0.0).alias("back")))]
     for k in range(2, order + 1):
         lower = levels[-1].select(F.col("gram").alias("suffix"), F.col("pa").alias("qa"), F.col("pr").alias("qr"))
         context = levels[-1].select(F.col("gram").alias("context"), F.col("a").alias("na"), F.col("r").alias("nr"))
         rows = n.where(F.col("k") == k).withColumn("suffix", F.substring("gram", 2, k - 1)).withColumn("context", F.substring("gram", 1, k - 1))
         rows = rows.join(lower, "suffix").join(context, "context")
         q = lambda x, m, low: (F.col(x) + F.lit(back_off) * F.col(low)) / (F.col(m) + F.lit(back_off))
-        levels.append(rows.select("gram", "k", "a", "r", q("a", "na", "qa").alias("pa"), q("r", "nr", "qr").alias("pr"), F.log(F.col("qa") / F.col("qr")).alias("below"), F.log((F.col("nr") + back_off) / (F.col("na") + back_off)).alias("back")))
+        levels.append(materialize(rows.select("gram", "k", "a", "r", q("a", "na", "qa").alias("pa"), q("r", "nr", "qr").alias("pr"), F.log(F.col("qa") / F.col("qr")).alias("below"), F.log((F.col("nr") + back_off) / (F.col("na") + back_off)).alias("back"))))
     every = levels[0]
     for x in levels[1:]:
         every = every.unionByName(x)
@@ -94,11 +96,13 @@ def model(labelled: DataFrame, order: int = ORDER, back_off: float = BACK_OFF) -
 
 def scores(urls: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
     """(url, score) for every distinct url: the difference of log-likelihoods for each symbol."""
-    s = urls.select("url").distinct().withColumn("s", spelled(F.col("url")))
+    distinct = materialize(urls.select("url").distinct().withColumn("key", F.struct(F.xxhash64(F.lit(1), "url").alias("a"), F.xxhash64(F.lit(2), "url").alias("b"))))
+    # 128 bits of its content stand for a URL. Their rows are dealt to a set number of tasks, as each makes many grams.
+    s = distinct.select("key", spelled(F.col("url")).alias("s")).repartition(partitions(urls.sparkSession), "key")
     # The table has less than 35^4 * 1.03 rows whatever the input.
-    met = grams(s, ["url"], order).join(F.broadcast(table), "gram", "left")
-    total = met.groupBy("url").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("total"))
-    return total.select("url", (F.col("total") / F.char_length(spelled(F.col("url")))).alias("score"))
+    met = grams(s, ["key"], order).join(F.broadcast(table), "gram", "left")
+    total = met.groupBy("key").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("total"))
+    return distinct.join(total, "key").select("url", (F.col("total") / F.char_length(spelled(F.col("url")))).alias("score"))
 
 
 def judge(pages: DataFrame, id_col="page_id", url_col="url", rules=RULES, order: int = ORDER) -> DataFrame:
@@ -121,8 +125,8 @@ def judge(pages: DataFrame, id_col="page_id", url_col="url", rules=RULES, order:
     good, bad = (F.when((F.col("says") == v) & held, F.col("score")) for v in ("allow", "block"))
     fit = judged.agg(F.avg(good).alias("ga"), F.stddev_pop(good).alias("gs"), F.avg(bad).alias("ba"), F.stddev_pop(bad).alias("bs"))
     even = (F.col("ga") * (F.col("bs") + 1e-9) + F.col("ba") * (F.col("gs") + 1e-9)) / (F.col("gs") + F.col("bs") + 2e-9)
-    # One row.
-    judged = judged.join(F.broadcast(fit.select(even.alias("threshold"))))
+    # One number, by way of the driver.
+    judged = judged.withColumn("threshold", F.lit(fit.select(even.alias("threshold")).first().threshold).cast("double"))
     verdict = F.coalesce("says", F.when(F.col("score") < F.col("threshold"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", "threshold")
 

@@ -255,6 +255,16 @@ def test_url_filter(spark):
     got = {r.page_id: r for r in url_filter.judge(docs(spark, rows, "page_id long, url string")).collect()}
     assert len(got) == len(rows) and (got[100].verdict, got[101].verdict, got[103].verdict) == ("block", "allow", "allow")
     assert all(r.verdict == ("block" if i % 2 else "allow") for i, r in got.items() if i is not None and i < 80)
+    # The threshold is as many standard deviations from both kinds of the held quarter, and decides what no rule does.
+    held = {r.page_id for r in docs(spark, rows, "page_id long, url string").where(F.pmod(F.xxhash64(F.lit(5), F.coalesce("url", F.lit(""))), F.lit(4)) == 3).collect()}
+    good, bad = (np.array([r.score for i, r in got.items() if i in held and r.rule and r.verdict == v]) for v in ("allow", "block"))
+    even = (good.mean() * (bad.std() + 1e-9) + bad.mean() * (good.std() + 1e-9)) / (good.std() + bad.std() + 2e-9)
+    assert len(good) > 3 and len(bad) > 3 and all(abs(r.threshold - even) < 1e-9 for r in got.values())
+    assert all(r.verdict == ("block" if r.score < even else "allow") for r in got.values() if r.rule is None)
+    # Repeated urls, and one of 200,000 characters, which takes time in proportion to its length.
+    twice = url_filter.judge(docs(spark, rows + [(200, rows[-5][1]), (201, "http://spam3.net/" + "a/b" * 66_000)], "page_id long, url string")).collect()
+    assert len(twice) == len(rows) + 2 and {r.verdict for r in twice if r.page_id == 201} == {"block"}
+    assert len({(r.score, r.verdict) for r in twice if r.page_id in (100, 200)}) == 1
     few = url_filter.judge(docs(spark, [(1, "http://x.com/a")], "page_id long, url string")).first()
     assert few.verdict == "allow" and url_filter.judge(docs(spark, [], "page_id long, url string")).count() == 0
 
@@ -534,12 +544,72 @@ def test_lines_of_documents_that_share_an_id(spark):
 
 
 def test_stars_lose_no_link(spark):
-    """A band whose hub is near to none of two lines that are near each other, and one too large for a piece."""
+    """Bands whose hub is near to few of lines that are near each other, one of them too large for a piece."""
     a = "the quick brown fox jumps over the lazy dog and runs away from here"
-    near = [a + x for x in ("", " a", " b", " c")]
-    lines_ = {1: "nothing like the others at all", **{k + 2: x for k, x in enumerate(near)}, **{k + 100: f"{a} {a} {k:04d}" for k in range(600)}}
-    texts = spark.createDataFrame(list(lines_.items()), "h long, line string")
-    stars = [(7, 1, k) for k in range(2, 6)] + [(8, 1, 100 + k) for k in range(600)] + [(9, 2, 3)]
+    rows = [a + x for x in ("", " a", " b", " c")] + [f"{a} {a} {k:04d}" for k in range(600)] + ["nothing like the others at all"]
+    lines_ = dict(enumerate(rows, 10))
+    keys = line_dedup.bands(rows)
+    texts = spark.createDataFrame([(h, x, k.tobytes()) for (h, x), k in zip(lines_.items(), keys)], "h long, line string, keys binary")
+    met = {}
+    for h, k in zip(lines_, keys.view(np.int64).tolist()):
+        for band in k:
+            met.setdefault(band, []).append(h)
+    # The last line is made the hub of every band of others.
+    stars = [(band, lone, h) for band, hs in met.items() if len(hs) > 1 for lone in [max(lines_)] for h in hs]
     links = [(r.src, r.dst) for r in line_dedup.near_links(spark.createDataFrame(stars, "band long, src long, dst long"), texts).collect()]
-    comp = union(links, lines_)
-    assert comp[1] == 1 and {comp[k] for k in range(2, 6)} == {2} and {comp[100 + k] for k in range(600)} == {100}
+    sets = {h: line_dedup.shingles(x) for h, x in lines_.items()}
+    near = [(x, y) for hs in met.values() for x, y in itertools.combinations(hs, 2) if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+    assert union(links, lines_) == union(near, lines_) and len(set(union(near, lines_).values())) < 5
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    """Rows come out once each and alike, texts whole."""
+    import tokenizers
+
+    rnd = random.Random(14)
+    long = words(rnd, 60_000, 50_000) + " ünïcode ☃ " + "x" * 5_000
+    rows = [(1, long), (1, long), (2, "same words in both rows"), (2, "same words in both rows"), (3, None), (3, None)]
+    df = docs(spark, rows)
+    prints = fingerprints.against_edits(df).collect()
+    assert len(prints) == 6 and len({r.fingerprint for r in prints}) == 3 and {r.n_chars for r in prints} == {len(long), 23, 0}
+    sketch = spark.createDataFrame([(long,)], "t string").select(fingerprints.distinct_shingles(fingerprints.sketch(F.col("t")))).first()[0]
+    assert abs(sketch - len(shingles(long))) < 0.35 * len(shingles(long))
+    near = simhash.near_duplicates(df).collect()
+    assert len(near) == 6 and {(r.doc_id, r.fp & (1 << 64) - 1) for r in near} == {(i, simhash.fingerprint((t or "").encode())) for i, t in rows}
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    library.no_truncation()
+    library.no_padding()
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    got = bpe.digests(df).collect()
+    assert len(got) == 6 and all(r.ids_sha256 == hashlib.sha256(",".join(map(str, ids[r.doc_id])).encode()).hexdigest() for r in got)
+    told = language_id.predict(df, None).collect()
+    assert len(told) == 6 and {(r.lang_pred, r.score) for r in told} == {("und", 0.0)}
+    assert language_id.predict(docs(spark, []), None).count() == 0
+    found = licenses.scan(docs(spark, [(1, long + ". Released under the MIT License")] * 2)).collect()
+    assert [r.licenses for r in found] == [["MIT"], ["MIT"]]
+
+
+def test_language_training_and_prediction_against_a_plain_loop(spark):
+    """The sample is what a loop over all rows takes, and predictions are those of the same model, one text at a time."""
+    rnd = random.Random(15)
+    kinds = {"en": "the and with house ing water think", "de": "der und nicht haus wasser denken", "es": "el y con casa agua pensar"}
+    rows = [(i % 150, " ".join(rnd.choices(kinds[v].split(), k=rnd.randint(3, 20))), v) for i in range(180) for v in [list(kinds)[i % 3]]]
+    rows += [(500 + k, "12 -- 3", "en") for k in range(50)] + [(900, rows[0][1], None), rows[1], rows[1]]
+    df = docs(spark, rows, "doc_id long, text string, lang string")
+    hashed = {(r.doc_id, r.text): (r.pick, r.held) for r in df.select("doc_id", "text", F.xxhash64(F.lit(42), "doc_id", "text").alias("pick"), language_id.held_out(F.col("doc_id")).alias("held")).collect()}
+    sample: dict = {}
+    for i, t, v in sorted(set(r for r in rows if r[2]), key=lambda r: hashed[r[:2]][0]):
+        if not hashed[i, t][1] and any(c.isalpha() for c in t) and len(sample.setdefault(v, [])) < 20:
+            sample[v].append((i, v, language_id.profile(t).astype(np.float32).tobytes()))
+    chosen = sorted(x for part in sample.values() for x in part)
+    plain = language_id.Model.fit(np.stack([np.frombuffer(x, np.float32) for _, _, x in chosen]).astype(float), [v for _, v, _ in chosen])
+    model = language_id.train(df, per_language=20)
+    assert np.allclose(model.families.weights, plain.families.weights) and set(model.languages) == set(plain.languages)
+    got = language_id.predict(df, model, keep=["doc_id", "text"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        p = language_id.profile(r.text)
+        langs, s = plain.predict(p[None]) if p is not None else (["und"], [0.0])
+        assert r.lang_pred == langs[0] and abs(r.score - s[0]) < 1e-9
+    clash = language_id.predict(df.withColumn("score", F.lit("x")), model, keep=["doc_id", "score"])
+    assert clash.columns == ["doc_id", "lang_pred", "score"] and clash.count() == len(rows)

@@ -12,13 +12,13 @@ def connected_components(links: DataFrame, src="src", dst="dst") -> DataFrame:
     """(node, component) for every node with a link; component is the smallest node reachable. Null ends are ignored.
 
     Alternates large-star and small-star steps until the links are stars around the smallest nodes, in about the
-    logarithm of the number of nodes. Minima of neighbours are aggregated before they are shuffled; joins on a node
-    with very many links are split by adaptive execution; every step is written to the shared folder.
+    logarithm of the number of nodes. Minima of neighbours are aggregated before they are shuffled. Links and minima are
+    both read from tables where they are joined, so that adaptive execution may split the links of one node.
     """
     e = links.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).where(F.col("hi") != F.col("lo")).distinct()
     e = materialize(e)
     while True:
-        large = _star(e, both=True)
+        large = materialize(_star(e, both=True))
         small = materialize(_star(large, both=False))
         changed = small.join(e, ["hi", "lo"], "left_anti").limit(1).count() or e.join(small, ["hi", "lo"], "left_anti").limit(1).count()
         e = small
@@ -32,7 +32,7 @@ def _star(e: DataFrame, both: bool) -> DataFrame:
     """Link neighbours to the smallest node around them: larger neighbours (both) or the smaller ones and the node."""
     out = e.select(F.col("hi").alias("node"), F.col("lo").alias("near"))
     ends = out.unionByName(e.select(F.col("lo").alias("node"), F.col("hi").alias("near"))) if both else out
-    least = ends.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("m"))
+    least = materialize(ends.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("m")))
     met = ends.join(least, "node")
     if both:
         moved = met.where(F.col("near") > F.col("node")).select(F.col("near").alias("hi"), F.col("m").alias("lo"))

@@ -117,10 +117,11 @@ def near_duplicates(vectors: DataFrame, id_col="vec_id", vector_col="embedding",
     number = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
     # Components are of nodes, as a node without a vec_id carries links too.
     comp = connected_components(found.where("other is not null").select("node", "other"), "node", "other")
-    classes = nodes.select("node", "least", "copies").join(number, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = materialize(nodes.select("node", "least", "copies").join(number, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    # Tables on both sides, so that adaptive execution may split a large component, and the copies of one vector.
+    of = materialize(classes.groupBy("component").agg(F.min("least").alias("component_id")))
     classes = classes.join(of, "component").select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
-    linked = rows.select("vec_id", named.alias("node")).join(classes, "node").select("vec_id", "n_links", "component_id")
+    linked = rows.select("vec_id", named.alias("node")).join(materialize(classes), "node").select("vec_id", "n_links", "component_id")
     v = F.col(vector_col).cast("array<double>")
     rest = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
     bad = F.coalesce(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))), F.lit(True)) | F.col("label").isNull() | ~F.coalesce(F.exists("v", lambda x: x != 0.0), F.lit(False))

@@ -320,8 +320,9 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", keep: list[str] | N
     wanted = first.join(met, "h", "left_semi").withColumn("shard", doc_shard_column(F.col("doc"), shards)).repartition(parts, "shard")
     texts = materialize(placed.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_fetch, "h long, line string, keys binary"))
     comp = connected_components(near_links(stars, texts))
-    members = comp.withColumnRenamed("node", "h").join(first, "h")
-    keepers = members.groupBy("component").agg(F.min(F.struct("doc", "place", "h")).alias("keeper"))
+    members = materialize(comp.withColumnRenamed("node", "h").join(first, "h"))
+    # Tables on both sides, so that adaptive execution may split a large component.
+    keepers = materialize(members.groupBy("component").agg(F.min(F.struct("doc", "place", "h")).alias("keeper")))
     lost = materialize(members.join(keepers, "component").where(F.col("h") != F.col("keeper.h")).select("h", "doc", "place"))
 
     def packed(batches):

@@ -1,6 +1,8 @@
 """A training-corpus pipeline over ``documents``: language ID, line dedup, near-dedup, mixing, tokens.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns of documents; other
+columns of ``docs`` are not looked at and go. Texts are taken whole, of any length. Repeated rows are judged alike, and
+an empty table gives an empty one. Each stage says what becomes of nulls and ties.
 """
 
 from __future__ import annotations
@@ -17,27 +19,44 @@ MIN_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language the model knows, texts as they are."""
+    """Keeps documents in a language the model knows, texts as they are. Null and empty texts and those without a letter
+    go; a null doc_id or lang is no matter."""
     told = language_id.predict(docs, language_id.train(docs), keep=COLUMNS)
     return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated and nearly repeated lines out of the texts; documents of nothing else go."""
+    """Takes repeated and nearly repeated lines out of the texts; documents of nothing else go. Of equal lines the one of
+    the least doc_id stays, null first, then of the least line number; rows that share a doc_id keep theirs alike. Null
+    and empty texts stay as they are."""
     kept = line_dedup.dedup(docs, keep=COLUMNS)
     kept = kept.where((F.col("n_removed") == 0) | F.col("kept_text").rlike("\\S"))
     return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of every SimHash component; rows that share its doc_id stay with it."""
+    """Keeps the document of least doc_id of every SimHash component; rows that share its doc_id stay with it. Null and
+    empty texts are alike, so one of them stays. A row without doc_id goes if its component has one with, and stays
+    else."""
     near = simhash.near_duplicates(docs)
-    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select(COLUMNS)
+    kept = near.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    # Rows without an id are told by their texts' fingerprints.
+    alone = materialize(near.where("doc_id is null and component_id is null").select("fp").distinct())
+    nameless = docs.where("doc_id is null")
+    named = docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    return named if alone.isEmpty() else named.unionByName(_with_fingerprint(nameless, alone).select(COLUMNS))
+
+
+def _with_fingerprint(rows: DataFrame, fps: DataFrame) -> DataFrame:
+    """Rows whose text has one of the fingerprints."""
+    numbered = materialize(rows.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    found = simhash.fingerprints(numbered, "row").join(fps, "fp", "left_semi").select(F.col("doc_id").alias("row"))
+    return numbered.join(found, "row", "left_semi")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives every document as often as the mix takes it; where a budget ends within a document, its first words."""
+    """Gives every document as often as the mix takes it; where a budget ends within a document, its first words. Null
+    texts and those without a word are never taken; a null source is one of its own; a null doc_id is no matter."""
     mixed = mixing.mix_sources(docs, keep=COLUMNS).where("taken > 0")
     passes = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
     left = F.col("taken") - (F.col("pass") - 1) * F.col("size")
@@ -48,7 +67,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of them and of the text they decode to."""
+    """Token ids of every document, and digests of them and of the text they decode to; a null text has none."""
     return bpe.digests(docs, with_ids=True)
 
 

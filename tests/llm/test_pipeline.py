@@ -51,3 +51,30 @@ def test_run(spark, tmp_path):
     corpus(spark)[0].write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() > 100
     assert line_dedup.THRESHOLD == 0.8
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with clashing names, an empty table."""
+    docs, _ = corpus(spark)
+    rnd = random.Random(2)
+    some = [tuple(r) for r in docs.limit(40).collect()]
+    long = "\n".join(words(rnd, 900, 40) for _ in range(60))
+    rows = some + some[:3] + [(900, long, "en", "src1", 5), (None, some[4][1], "en", None, None), (None, "alone und mit keinem anderen text zu vergleichen", "de", "src0", 3), (901, None, None, None, None), (902, "", "en", "src0", 0), (903, "\n \n", "en", None, 3)]
+    awkward = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("score", "size", "fp", "row", "kept", "shard", "kind", "component_id", "lang_pred", "pass")})
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, awkward, "")
+        found = [tuple(r) for r in (out.select(pipeline.COLUMNS) if k < 4 else out.select("doc_id", "n_tokens")).collect()]
+        assert k == 4 or out.columns == pipeline.COLUMNS
+        ids = [r[0] for r in found]
+        if name == "language_id":
+            assert len(found) == len(rows) - 3 and {901, 902, 903} & set(ids) == set()
+        if name == "line_dedup":
+            assert ids.count(some[0][0]) == 2 and 901 in ids and 902 in ids
+        if name == "near_dedup":
+            texts = [r[1] for r in found if r[0] is None]
+            assert texts == ["alone und mit keinem anderen text zu vergleichen"] and ids.count(some[0][0]) == 2 and len({901, 902, 903} & set(ids)) == 1
+        if name == "mixing":
+            assert 901 not in ids and 902 not in ids and 900 in ids
+        if name == "bpe":
+            assert len(found) == len(rows) and (901, 0) in found and (902, 0) in found
+        assert stage(spark, awkward.limit(0), "").count() == 0

@@ -35,7 +35,7 @@ class Workspace:
         tell = progress or Progress()
         scopes = None if paths is None else vault.scopes(paths)
         tell("notes", "running")
-        found = vault.load_notes(vault.inventory(vault.read_vault(self.spark, self.root, settings=self.settings, subtrees=scopes)))
+        found = vault.load_notes(vault.inventory(vault.read_vault(self.spark, self.root, settings=self.settings, subtrees=scopes, distinct=True), distinct=True))
         counts = reindex(self.catalog, found, scopes, force)
         tell("notes", "done", counts)
         logs = reindex_metrics(self.catalog, self._logs(), force)

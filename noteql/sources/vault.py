@@ -78,34 +78,53 @@ def scopes(paths: list[str]) -> list[str]:
     return out
 
 
-class _Folder(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        self.folder, self.deep = folder, deep
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+#: Files of one partition.
+CHUNK = 256
 
 
 class VaultReader(DataSourceReader):
-    """One partition for each folder below the root, and one for the root's own files."""
+    """Files are listed by name, below the scopes alone if there are any, and read in partitions of a set number. With
+    ``distinct`` of several notes with one id the first by path is read."""
 
     def __init__(self, options: dict):
         self.root = options["path"]
         self.kind = options.get("kind", "notes")
         self.settings = Settings(**json.loads(options.get("settings", "{}")))
         self.scopes = json.loads(options.get("scopes", "[]")) or None
+        self.distinct = options.get("distinct", "false") == "true"
 
-    def partitions(self):
+    def listed(self) -> list[str]:
         top = self.settings.metrics_root if self.kind == "metrics" else ""
-        base = os.path.join(self.root, top)
-        if not os.path.isdir(base):
-            return []
-        with os.scandir(base) as entries:
-            folders = sorted(e.name for e in entries if e.is_dir(follow_symlinks=False))
-        rel = [os.path.join(top, f) if top else f for f in folders]
-        return [_Folder(top, False), *(_Folder(f, True) for f in rel if self.kind == "metrics" or not skipped_folder(f, self.settings))]
+        found: set[str] = set()
+        for scope in [top] if self.scopes is None or "" in self.scopes else self.scopes:
+            if top and scope != top and not scope.startswith(top + "/"):
+                scope = top if top.startswith(scope + "/") else None
+            if scope is None or any(self._skipped(scope[:k]) for k, c in enumerate(scope) if c == "/"):
+                continue
+            full = os.path.join(self.root, scope)
+            if os.path.isdir(full) and not os.path.islink(full) and (scope == top or not self._skipped(scope)):
+                found.update(self._walk(scope))
+            elif os.path.isfile(full) and not os.path.islink(full) and self._wanted(scope):
+                found.add(scope)
+        paths = sorted(found)
+        if self.distinct:
+            first: dict[str, str] = {}
+            for path in paths:
+                first.setdefault(_id_of(path), path)
+            paths = list(first.values())
+        return paths
+
+    def partitions(self):
+        paths = self.listed()
+        return [_Files(paths[at : at + CHUNK]) for at in range(0, len(paths), CHUNK)]
 
     def read(self, partition):
-        for path in self.walk(partition.folder, partition.deep):
-            if self.scopes and not any(s == "" or path == s or path.startswith(s + "/") for s in self.scopes):
-                continue
+        for path in partition.paths:
             full = os.path.join(self.root, path)
             try:
                 st = os.stat(full)
@@ -116,16 +135,20 @@ class VaultReader(DataSourceReader):
             born = getattr(st, "st_birthtime", None)
             yield self.kind, path, pd.Timestamp(st.st_mtime_ns // 1000, unit="us", tz="UTC").to_pydatetime(), None if born is None else pd.Timestamp(int(born * 1e6), unit="us", tz="UTC").to_pydatetime(), raw
 
-    def walk(self, folder: str, deep: bool):
-        suffix = ".md" if self.kind == "notes" else self.settings.metrics_suffix.lower()
-        with os.scandir(os.path.join(self.root, folder)) as found:
-            entries = sorted(found, key=lambda e: e.name)
-        for e in entries:
-            rel = f"{folder}/{e.name}" if folder else e.name
-            if e.is_file(follow_symlinks=False) and e.name.lower().endswith(suffix):
-                yield rel
-            elif deep and e.is_dir(follow_symlinks=False) and (self.kind == "metrics" or not skipped_folder(rel, self.settings)):
-                yield from self.walk(rel, True)
+    def _skipped(self, folder: str) -> bool:
+        return self.kind != "metrics" and skipped_folder(folder, self.settings)
+
+    def _wanted(self, path: str) -> bool:
+        return path.lower().endswith(".md" if self.kind == "notes" else self.settings.metrics_suffix.lower())
+
+    def _walk(self, folder: str):
+        with os.scandir(os.path.join(self.root, folder)) as entries:
+            for e in entries:
+                rel = f"{folder}/{e.name}" if folder else e.name
+                if e.is_file(follow_symlinks=False) and self._wanted(rel):
+                    yield rel
+                elif e.is_dir(follow_symlinks=False) and not self._skipped(rel):
+                    yield from self._walk(rel)
 
 
 class VaultSource(DataSource):
@@ -142,9 +165,10 @@ class VaultSource(DataSource):
         return VaultReader(dict(self.options))
 
 
-def read_vault(spark: SparkSession, root: str, kind: str = "notes", settings: Settings | None = None, subtrees: list[str] | None = None) -> DataFrame:
+def read_vault(spark: SparkSession, root: str, kind: str = "notes", settings: Settings | None = None, subtrees: list[str] | None = None, distinct: bool = False) -> DataFrame:
+    """Files as INVENTORY has them; ``distinct`` settles notes of one id where files are listed, without a shuffle."""
     spark.dataSource.register(VaultSource)
-    reader = spark.read.format("vault").option("path", root).option("kind", kind)
+    reader = spark.read.format("vault").option("path", root).option("kind", kind).option("distinct", str(distinct).lower())
     reader = reader.option("settings", json.dumps(vars(settings or load_settings(root))))
     return (reader.option("scopes", json.dumps(scopes(subtrees))) if subtrees is not None else reader).load()
 
@@ -153,12 +177,20 @@ def note_id(path):
     return F.trim(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"\.[^./]*$", ""))
 
 
-def inventory(files: DataFrame) -> DataFrame:
-    """Files with note_id; of several with one id the first by path."""
-    from noteql.operators.links import first_per
+def _id_of(path: str) -> str:
+    """The same in Python."""
+    return re.sub(r"\.[^./]*$", "", path.replace("\\", "/")).strip(" ")
+
 
+def inventory(files: DataFrame, distinct: bool = False) -> DataFrame:
+    """Files with note_id; of several with one id the first by path. Paths alone are ranked, and the texts of notes whose
+    id is there twice are all that is left out. ``distinct`` says that the reader has done so."""
     named = files.withColumn("note_id", note_id(F.col("relative_path")))
-    return first_per(named, ["note_id"], [F.col("relative_path")])
+    if distinct:
+        return named
+    first = named.groupBy("note_id").agg(F.min("relative_path").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("note_id", "first")
+    later = named.select("note_id", "relative_path").join(first, "note_id").where("relative_path <> first").select("relative_path")
+    return named.join(later, "relative_path", "left_anti")
 
 
 def parse_yaml(text: str) -> dict | None:

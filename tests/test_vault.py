@@ -247,3 +247,24 @@ def test_settings_of_the_editor(root):
         f.write('attachments = "Other"\nignored = ["Mine"]\nmetrics_root = "logs"\n')
     s = vault.load_settings(root)
     assert (s.attachments, s.ignored, s.metrics_root) == ("Files", ["Old", "Mine"], "logs")
+
+
+def test_scopes_are_walked_alone(spark, root, tmp_path):
+    """Below scopes, in skipped folders too, the reader lists what a walk over everything would keep of them."""
+    for name in ("a/b/c.md", "a/d.md", "a/d.MD", "Templates/x/y.md", "a/.h/z.md"):
+        full = os.path.join(root, name)
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        with open(full, "w") as f:
+            f.write(name)
+    options = {"path": root, "settings": '{"ignored": ["Templates"]}'}
+    import json
+
+    every = vault.VaultReader(options).listed()
+    for scopes in (["a"], ["a/b", "Hub.md"], ["Templates"], ["Templates/x/y.md"], ["a/.h"], ["missing"], [""], ["a/d.md", "sub"]):
+        got = vault.VaultReader(options | {"scopes": json.dumps(scopes)}).listed()
+        assert got == [p for p in every if any(s == "" or p == s or p.startswith(s + "/") for s in scopes)]
+    once = vault.VaultReader(options | {"distinct": "true"}).listed()
+    assert set(every) - set(once) == {"a/d.md"}
+    files = vault.read_vault(spark, root, settings=vault.Settings(ignored=["Templates"]))
+    assert {r.relative_path for r in vault.inventory(files).collect()} == set(once)
+    assert vault.VaultReader(options | {"kind": "metrics", "scopes": '["metrics"]'}).listed() == ["metrics/a.ndjson"]

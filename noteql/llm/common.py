@@ -82,7 +82,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """Word (bytes) to a 64-bit hash, remembered while the table is small."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -38,7 +38,8 @@ def inline_tags(text: Column) -> Column:
 
 
 def listed_tags(values: Column) -> Column:
-    """Tags of a metadata value (array of strings): each split at commas and white space; # signs stay."""
+    """Tags of a metadata value (array of strings, nested ones flattened): each split at commas and white space; # signs
+    stay."""
     parts = F.flatten(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.split(v, r"[,\s]+")))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda t: t != "")))
 
@@ -134,22 +135,38 @@ def preview(text: Column, size: int = 240) -> Column:
     return F.when(F.char_length(t) > size, F.concat(F.left(t, F.lit(size)), F.lit("..."))).otherwise(t)
 
 
+def best_window(hits: list[tuple[int, str]], tokens: int, size: int) -> int:
+    """Where a window of ``size`` tokens begins that shows the most different words, then the most hits, of those that
+    begin at a hit, the hits in its middle. ``hits``: place and word, in order."""
+    best, start = -1, 0
+    for k, (first, _) in enumerate(hits):
+        inside = [h for h in hits[k:] if h[0] < first + size]
+        score = 1000 * len({w for _, w in inside}) + len(inside)
+        if score > best:
+            best, start = score, max(0, min(first - (size - (inside[-1][0] - first) - 1) // 2, tokens - size))
+    return start
+
+
 @F.pandas_udf(StringType())
 def snippet(text: pd.Series, words: pd.Series) -> pd.Series:
-    """About 20 tokens around the first query word (words: joined by spaces), which is put in brackets."""
+    """20 tokens of a text around its best hits of the query words (words or stems, joined by spaces), which are put in
+    brackets; its first tokens if there is no hit."""
     import regex
 
+    from .text import fold, porter
+
     def one(t, w):
         want = set((w or "").lower().split())
         spans = [m.span() for m in regex.finditer(r"[\p{L}\p{N}]+", t or "")]
-        hits = [k for k, (a, b) in enumerate(spans) if t[a:b].lower() in want]
         if not spans:
             return t or ""
-        first = max(0, (hits[0] if hits else 0) - 5)
+        named = [(t[a:b].lower(), porter(fold(t[a:b].lower()))) for a, b in spans] if want else []
+        hits = [(k, x if x in want else y) for k, (x, y) in enumerate(named) if x in want or y in want]
+        first, at_hit = best_window(hits, len(spans), 20), {k for k, _ in hits}
         shown = spans[first : first + 20]
         out, at = "", shown[0][0]
         for k, (a, b) in enumerate(shown, first):
-            out += t[at:a] + (f"[[{t[a:b]}]]" if k in set(hits) else t[a:b])
+            out += t[at:a] + (f"[[{t[a:b]}]]" if k in at_hit else t[a:b])
             at = b
         return ("..." if first else "") + out + ("..." if first + 20 < len(spans) else "")
 

@@ -290,7 +290,9 @@ def load_notes(files: DataFrame) -> DataFrame:
     n = files.withColumn("block", extract.frontmatter(F.col("raw"))).withColumn("parsed", yaml_json("block"))
     n = n.withColumn("metadata_json", F.coalesce("parsed", F.lit("{}"))).withColumn("content", F.when(F.col("parsed").isNotNull(), extract.body(F.col("raw"))).otherwise(F.col("raw")))
     v = F.try_parse_json("metadata_json")
-    listed = lambda name: F.coalesce(F.try_variant_get(v, f"$.{name}", "array<string>"), F.when(F.try_variant_get(v, f"$.{name}", "string").isNotNull(), F.array(F.try_variant_get(v, f"$.{name}", "string"))))
+    texts = lambda x, path: F.coalesce(F.try_variant_get(x, path, "array<string>"), F.array(F.try_variant_get(x, path, "string")))
+    # A value, an array, or an array with arrays in it.
+    listed = lambda name: F.array_compact(F.coalesce(F.flatten(F.transform(F.try_variant_get(v, f"$.{name}", "array<variant>"), lambda x: texts(x, "$"))), texts(v, f"$.{name}")))
     return n.select(
         "note_id",
         extract.title(F.try_variant_get(v, "$.title", "string"), F.col("content")).alias("title"),

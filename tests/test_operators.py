@@ -267,3 +267,18 @@ def test_related_notes(spark):
     assert [r.note_id for r in vectors.related_notes("semantic", "a", 5, n, e).collect()] == ["c", "b"]
     with pytest.raises(QueryError):
         vectors.related_notes("odd", "a", 1, n, e)
+
+
+def test_snippets(spark):
+    rows = [
+        ("a " * 30 + "running dog " + "b " * 30 + "dog runs dogs " + "c " * 30, "run dog"),
+        ("Short text.", "none"),
+        ("", "x"),
+        (None, "x"),
+        ("one Two three", "two"),
+        ("z " * 40, "q"),
+    ]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, w string").select(extract.snippet(F.coalesce("t", F.lit("")), F.col("w"))).collect()]
+    assert got[0].startswith("...") and got[0].endswith("...") and "[[dog]] [[runs]] [[dogs]]" in got[0] and len(got[0].strip(".").split()) == 20
+    assert got[1:5] == ["Short text", "", "", "one [[Two]] three"] and got[5] == "z " * 19 + "z..."
+    assert extract.best_window([(5, "a"), (50, "a"), (52, "b")], 100, 20) == 42 and extract.best_window([(99, "a")], 100, 20) == 80

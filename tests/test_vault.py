@@ -268,3 +268,11 @@ def test_scopes_are_walked_alone(spark, root, tmp_path):
     files = vault.read_vault(spark, root, settings=vault.Settings(ignored=["Templates"]))
     assert {r.relative_path for r in vault.inventory(files).collect()} == set(once)
     assert vault.VaultReader(options | {"kind": "metrics", "scopes": '["metrics"]'}).listed() == ["metrics/a.ndjson"]
+
+
+def test_tags_and_aliases_of_metadata(spark):
+    blocks = {"a": "tags: [x, [y, 'z w'], 3]\naliases: [A, ' ']", "b": "tags: one, two", "c": "tags: null", "d": "other: 1", "e": "tags: []\naliases: B"}
+    rows = [(k, f"---\n{b}\n---\nbody", f"{k}.md", None, None) for k, b in blocks.items()]
+    files = spark.createDataFrame(rows, "note_id string, raw string, relative_path string, file_modified_at timestamp, created_at timestamp")
+    got = {r.note_id: (r.tags, r.aliases) for r in vault.load_notes(files).collect()}
+    assert got == {"a": (["3", "w", "x", "y", "z"], ["A"]), "b": (["one", "two"], None), "c": ([], None), "d": ([], None), "e": ([], ["B"])}

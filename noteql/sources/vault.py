@@ -121,7 +121,7 @@ class VaultReader(DataSourceReader):
 
     def partitions(self):
         paths = self.listed()
-        return [_Files(paths[at : at + CHUNK]) for at in range(0, len(paths), CHUNK)]
+        return [_Files(paths[at : at + CHUNK]) for at in range(0, len(paths), CHUNK)] or [_Files([])]
 
     def read(self, partition):
         for path in partition.paths:

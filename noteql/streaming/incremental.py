@@ -231,12 +231,14 @@ def reindex(catalog: Catalog, notes: DataFrame, scopes: list[str] | None = None,
         after = apply(index, notes, actions)
         old = catalog.table("edges")
         everywhere = old is None or targets_changed(index, after)
-        if everywhere:
+        if old is None:
             edges = links.edges_of(after)
         else:
-            edges = here(old, "source_id").join(actions.select(F.col("note_id").alias("source_id")), "source_id", "left_anti")
-            fresh = after.join(actions.where("action <> 'remove'").select("note_id"), "note_id", "left_semi")
-            edges = edges.unionByName(links.resolve(links.extract_links(fresh), after))
+            # Links of notes that did not change are as they were written, though they may lead elsewhere now.
+            kept = (old if everywhere else here(old, "source_id")).join(actions.select(F.col("note_id").alias("source_id")), "source_id", "left_anti")
+            edited = after.join(actions.where("action <> 'remove'").select("note_id"), "note_id", "left_semi")
+            made = links.resolve(links.extract_links(edited), after)
+            edges = (links.refresh(kept, after)[0] if everywhere else kept).select(*made.columns).unionByName(made)
         changed = {} if first else {n: parts for n in ("notes", "postings", "lengths", *([] if everywhere else ["edges"]))}
         # Terms of changed notes are made anew, those of their neighbours in a part are taken over.
         fresh = after.join(actions.where("action in ('add', 'update')").select("note_id"), "note_id", "left_semi")

@@ -36,9 +36,10 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: The byte-level pre-tokenizer's word pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Words, and runs between spaces, whose ids are remembered.
-CACHE_WORDS, CACHE_RUNS = 150_000, 600_000
-#: States of the byte table that are kept; it is begun anew beyond, which costs time alone.
-TABLE_STATES = 300_000
+CACHE_WORDS, CACHE_RUNS = 100_000, 300_000
+#: States of the byte table that are kept. Others are made for a word and dropped after it, and when that has been done
+#: for so many states that the kept ones must be of other words, the table is begun anew. Both cost time alone.
+TABLE_STATES, DROPPED_STATES = 200_000, 800_000
 START = -1
 
 
@@ -119,6 +120,23 @@ class Automaton:
         #: Of each state the arcs under way, place * 2^32 + state left + 1.
         self.under_way: list[tuple[int, ...]] = [()]
         self.numbers: dict[tuple, int] = {}
+        #: Entries made since the table was full: state, byte, and the key of a state that is new.
+        self.passing: list[tuple[int, int, tuple | None]] = []
+        self.dropped = 0
+
+    def _drop(self) -> None:
+        """Take the entries made since the table was full out again."""
+        for number, byte, key in self.passing:
+            if number < TABLE_STATES:
+                self.table[number].pop(byte, None)
+            if key is not None:
+                del self.numbers[key]
+                self.dropped += 1
+        for of_states in (self.table, self.token, self.under_way):
+            del of_states[TABLE_STATES:]
+        self.passing.clear()
+        if self.dropped > DROPPED_STATES:
+            self._begin_table()
 
     def _step(self, number: int, byte: int) -> int:
         """Make the table's entry for a state and a byte."""
@@ -137,18 +155,19 @@ class Automaton:
             raise ValueError("a byte is not in the vocabulary")
         key = (ended, tuple(moved))
         found = self.numbers.get(key)
-        if found is None:
+        new = found is None
+        if new:
             found = self.numbers[key] = len(self.table)
             self.table.append({})
             self.token.append(ended)
             self.under_way.append(key[1])
         self.table[number][byte] = found
+        if found >= TABLE_STATES or number >= TABLE_STATES:
+            self.passing.append((number, byte, key if new else None))
         return found
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         """The one accepted path that spells ``word``."""
-        if len(self.table) > TABLE_STATES:
-            self._begin_table()
         table, at, states = self.table, 0, []
         for byte in word:
             to = table[at].get(byte)
@@ -159,6 +178,8 @@ class Automaton:
             t = token[states[end - 1]]
             path.append(t)
             end -= length[t]
+        if self.passing:
+            self._drop()
         return tuple(reversed(path))
 
     def decode(self, ids) -> bytes:
@@ -196,6 +217,12 @@ class Encoder:
         added = sorted(automaton.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
 
+    def forget(self) -> None:
+        """Give back what was remembered: a worker lives on after its tasks, beside those of other stages."""
+        self.words.clear()
+        self.runs.clear()
+        self.automaton._begin_table()
+
     def _words(self, text: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.words.__getitem__, self.find(text))))
 
@@ -242,6 +269,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col="doc_id", text
         for b in batches:
             ids = [enc.encode(t.decode()) for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        enc.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -276,6 +304,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None, id_col="doc_id", tex
             n, a, d, i = zip(*rows) if rows else ((),) * 4
             made = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
             yield pa.RecordBatch.from_arrays(made + [pa.array(i, pa.list_(pa.int32()))] * with_ids, names)
+        enc.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]

@@ -613,3 +613,21 @@ def test_language_training_and_prediction_against_a_plain_loop(spark):
         assert r.lang_pred == langs[0] and abs(r.score - s[0]) < 1e-9
     clash = language_id.predict(df.withColumn("score", F.lit("x")), model, keep=["doc_id", "score"])
     assert clash.columns == ["doc_id", "lang_pred", "score"] and clash.count() == len(rows)
+
+
+def test_a_full_table_changes_no_result(monkeypatch):
+    """States beyond the kept ones are made for a word and dropped, and the table is begun anew at last."""
+    rnd = random.Random(16)
+    some = ["".join(rnd.choices("abcdeé ☃xyz", k=rnd.randint(1, 14))).encode() for _ in range(400)]
+    want = [bpe.encoder(bpe.default_path()).automaton.encode_word(w) for w in some]
+    small = bpe.Automaton.load(bpe.default_path())
+    monkeypatch.setattr(bpe, "TABLE_STATES", 50)
+    monkeypatch.setattr(bpe, "DROPPED_STATES", 300)
+    begun, sizes = [], []
+    monkeypatch.setattr(small, "_begin_table", lambda f=small._begin_table: (begun.append(1), f())[1])
+    for w, ids in zip(some, want):
+        assert small.encode_word(w) == ids
+        sizes.append(len(small.table))
+        assert len(small.table) == len(small.token) == len(small.under_way) <= 50 and len(small.numbers) <= 50
+        assert all(to < 50 for entries in small.table for to in entries.values())
+    assert begun and max(sizes) == 50

@@ -8,6 +8,7 @@ tokens into one string a column, and a boolean tree is one predicate on the scan
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -119,18 +120,19 @@ def rank(indexed: DataFrame | Kept, node, stem: bool = False, excludes: list = (
     for k, t in enumerate(terms):
         tf = tf.withColumn(f"tf{k}", frequency(t, stem, kept).cast("double"))
     hits = [F.sum((F.col(f"tf{k}") > 0).cast("int")).cast("double").alias(f"n{k}") for k in range(len(terms))]
-    # One row each.
+    # A few numbers, by way of the driver.
     if kept:
-        stats = indexed.statistics().crossJoin(F.broadcast(tf.agg(*hits)))
+        stats = indexed.statistics().first().asDict() | tf.agg(*hits).first().asDict()
     else:
-        stats = tf.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *hits)
-    found = tf.where(_by_frequency(node, iter(range(len(terms))))).where(~excluded(list(excludes), stem, kept)).join(F.broadcast(stats))
+        stats = tf.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *hits).first().asDict()
+    found = tf.where(_by_frequency(node, iter(range(len(terms))))).where(~excluded(list(excludes), stem, kept))
     total = F.lit(0.0)
     for k in range(len(terms)):
-        idf = F.log((F.col("n") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-        total = total + idf * F.col(f"tf{k}") * (K1 + 1) / (F.col(f"tf{k}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return found.withColumn("rank", -total).drop("n", "avgdl", *[f"{x}{k}" for x in ("tf", "n") for k in range(len(terms))])
+        have = stats[f"n{k}"] or 0.0
+        odds = ((stats["n"] or 0.0) - have + 0.5) / (have + 0.5)
+        idf = math.log(odds) if odds > 1 else 1e-6
+        total = total + F.lit(idf * (K1 + 1)) * F.col(f"tf{k}") / (F.col(f"tf{k}") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
+    return found.withColumn("rank", -total).drop(*[f"tf{k}" for k in range(len(terms))])
 
 
 def _by_frequency(node, numbers) -> Column:

@@ -10,6 +10,8 @@ from .language_id import op8_language_id
 from .licenses import op7_licenses
 from .licenses import oracle as op7_sql
 from .line_dedup import op10_lines
+from .merkle import ORACLE as OP12_SQL
+from .merkle import op12_merkle
 from .mixing import op9_mixing
 from .simhash import op3_simhash
 from .substring_dedup import ORACLE as OP1_SQL
@@ -27,9 +29,10 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_lines": op10_lines,
+    "op12_merkle": op12_merkle,
 }
 #: Hashes, models and random keys are beyond SQL; those operators are tested against brute force.
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op4_embeddings": OP4_SQL, "op7_licenses": op7_sql()}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op4_embeddings": OP4_SQL, "op7_licenses": op7_sql(), "op12_merkle": OP12_SQL}
 
 
 def queries() -> dict:

@@ -13,6 +13,7 @@ from .line_dedup import op10_lines
 from .merkle import ORACLE as OP12_SQL
 from .merkle import op12_merkle
 from .mixing import op9_mixing
+from .periodic_runs import op11_periodic_runs
 from .simhash import op3_simhash
 from .substring_dedup import ORACLE as OP1_SQL
 from .substring_dedup import op1_substring_dedup
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_lines": op10_lines,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_merkle": op12_merkle,
 }
 #: Hashes, models and random keys are beyond SQL; those operators are tested against brute force.

@@ -17,6 +17,7 @@ from .periodic_runs import op11_periodic_runs
 from .simhash import op3_simhash
 from .substring_dedup import ORACLE as OP1_SQL
 from .substring_dedup import op1_substring_dedup
+from .toxicity import op13_toxicity
 from .url_filter import op5_url_filter
 
 QUERIES = {
@@ -32,6 +33,7 @@ QUERIES = {
     "op10_lines": op10_lines,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_merkle": op12_merkle,
+    "op13_toxicity": op13_toxicity,
 }
 #: Hashes, models and random keys are beyond SQL; those operators are tested against brute force.
 ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op4_embeddings": OP4_SQL, "op7_licenses": op7_sql(), "op12_merkle": OP12_SQL}

@@ -13,7 +13,7 @@ from noteql.functions import extract
 from noteql.functions.dates import QueryError
 from noteql.operators import context, fts, links, metrics, mutations, notes, vectors
 from noteql.plans.query import clean_for_embedding
-from noteql.sources import vault
+from noteql.sources import files, vault
 from noteql.streaming.incremental import Catalog, kept_index, reindex, reindex_metrics, watch
 from noteql.streaming.progress import Progress
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +38,7 @@ class Workspace:
         found = vault.load_notes(vault.inventory(vault.read_vault(self.spark, self.root, settings=self.settings, subtrees=scopes, distinct=True), distinct=True))
         counts = reindex(self.catalog, found, scopes, force)
         tell("notes", "done", counts)
-        logs = reindex_metrics(self.catalog, self._logs(), force)
+        logs = self._reindex_logs(force)
         tell("metrics", "done", logs)
         if counts:
             tell("vectors", "running")
@@ -47,7 +47,10 @@ class Workspace:
         return counts
 
     def _logs(self) -> DataFrame:
-        return vault.read_vault(self.spark, self.root, "metrics", self.settings).select("relative_path", "file_modified_at", "raw")
+        return vault.list_vault(self.spark, self.root, "metrics", self.settings)
+
+    def _reindex_logs(self, force: bool = False) -> dict[str, int]:
+        return reindex_metrics(self.catalog, self._logs(), self.root, force)
 
     def _embed(self) -> None:
         current = self.notes.withColumn("indexed_at", F.coalesce("file_modified_at", F.lit(datetime(1970, 1, 1, tzinfo=UTC))))
@@ -93,9 +96,9 @@ class Workspace:
         return metrics.records(self.parsed)
 
     def knowledge(self) -> context.Knowledge:
-        files = self.catalog.table("metric_files")
-        files = None if files is None else files.withColumnRenamed("source_file", "relative_path")
-        return context.Knowledge(self.notes, self.records, self.edges, self.catalog.table("vectors"), metrics.issues(self.parsed), files)
+        logs = self.catalog.table("metric_files")
+        logs = None if logs is None else logs.withColumnRenamed("source_file", "relative_path")
+        return context.Knowledge(self.notes, self.records, self.edges, self.catalog.table("vectors"), metrics.issues(self.parsed), logs, self.catalog.table("metric_days"))
 
     # Search
 
@@ -202,8 +205,7 @@ class Workspace:
         return mutations.exclusive(os.path.join(self.root, self.settings.internal, "metrics.lock"))
 
     def _lines(self) -> DataFrame:
-        files = self._logs().select(F.col("relative_path").alias("path"), F.col("raw").alias("value"))
-        return metrics.read_lines(files).select("source_file", F.col("source_line").cast("int"), "raw_line")
+        return files.read_ranges(files.log_ranges(self._logs(), self.root), self.root)
 
     def _store(self, before: DataFrame, after: DataFrame) -> None:
         """Write what differs; changed rows alone come to the driver."""
@@ -214,7 +216,7 @@ class Workspace:
         for name in sorted({f for f, _ in gone} | {f for f, _, _ in new}):
             changed = {line: None for f, line in gone if f == name} | {line: text for f, line, text in new if f == name and (f, line) in gone}
             mutations.edit_file(os.path.join(self.root, name), changed, [text for f, line, text in sorted(new) if f == name and (f, line) not in gone])
-        reindex_metrics(self.catalog, self._logs())
+        self._reindex_logs()
 
     def metrics_create(self, source_file: str, record: dict) -> None:
         with self._changing():
@@ -242,17 +244,17 @@ class Workspace:
     def metrics_create_file(self, name: str) -> None:
         with self._changing():
             vault.create_file(self.root, name)
-            reindex_metrics(self.catalog, self._logs())
+            self._reindex_logs()
 
     def metrics_rename_file(self, old: str, new: str) -> None:
         with self._changing():
             vault.rename_file(self.root, old, new)
-            reindex_metrics(self.catalog, self._logs())
+            self._reindex_logs()
 
     def metrics_delete_file(self, name: str) -> None:
         with self._changing():
             vault.delete_file(self.root, name)
-            reindex_metrics(self.catalog, self._logs())
+            self._reindex_logs()
 
     # Context
 
@@ -281,7 +283,8 @@ class Workspace:
                 raise QueryError(f"no record is called {target!r}")
             key = found.key
         rows = metrics.search(k.records, f'key:"{key}"' + (f" date:{dates}" if dates else ""), None, now)
-        return context.metric_view(k, rows, name=target, span=dates, **limits)
+        parts = k.days.where(F.lower("key") == key.lower()) if k.days is not None and not dates else None
+        return context.metric_view(k, rows, name=target, span=dates, parts=parts, **limits)
 
     def context_source(self, source: str, **limits) -> dict[str, DataFrame]:
         return context.source_view(self.knowledge(), source, **limits)

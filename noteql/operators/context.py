@@ -33,7 +33,8 @@ SOURCE_SUFFIXES = ("-health-log", "_health_log", "-log", "_log")
 class Knowledge:
     """notes: note_id, title, content, relative_path, file_modified_at, created_at, and any more (metadata_json counts
     among what a note says). records and edges as made by the metrics and links operators; vectors, issues of metric
-    rows and files (relative_path, file_modified_at, and any more) are optional. noise: names of files that instruct
+    rows files (relative_path, file_modified_at, and any more) and days,
+    the daily parts of the records (``metrics.daily_parts``), are optional. noise: names of files that instruct
     programs."""
 
     notes: DataFrame
@@ -42,6 +43,7 @@ class Knowledge:
     vectors: DataFrame | None = None
     issues: DataFrame | None = None
     files: DataFrame | None = None
+    days: DataFrame | None = None
     noise: tuple[str, ...] = extract.NOISE
 
 
@@ -533,15 +535,15 @@ def note_view(k: Knowledge, note_id: str, note_limit: int = NOTE_LIMIT, metric_l
     return out | _attached(k, found, links.forward_links(k.edges, note_id)) | {"pivots": note_pivots(note_id, days, near, found)}
 
 
-def metric_view(k: Knowledge, target: DataFrame, note_limit: int = NOTE_LIMIT, metric_limit: int = METRIC_LIMIT, name: str | None = None, span: str | None = None) -> dict:
-    """Records of a metric: roll-ups over all of them, the newest, notes by evidence, and keys recorded beside it."""
+def metric_view(k: Knowledge, target: DataFrame, note_limit: int = NOTE_LIMIT, metric_limit: int = METRIC_LIMIT, name: str | None = None, span: str | None = None, parts: DataFrame | None = None) -> dict:
+    """Records of a metric: roll-ups over all of them (or of their daily parts), the newest, notes by evidence, and keys recorded beside it."""
     if target.isEmpty():
         raise QueryError(f"metric {name!r} was not found" if name else "no record of that metric was found")
     newest = target.orderBy(*record_order()).limit(metric_limit)
     here = name or newest.first().key
     found = notes_for_metric(k, newest, note_limit)
     days, related = record_days(newest), metrics.co_recorded(k.records, newest, metric_limit)
-    rollups = metrics.target_rollups(target, min(metric_limit, ROLLUP_BUCKETS))
+    rollups = metrics.target_rollups(target if parts is None else parts, min(metric_limit, ROLLUP_BUCKETS), parts is not None)
     made = link_rows(newest, "structural", _at("metric", "id"), _at("source", "source"), "Metric record source").unionByName(evidence_links(found, _at("note", "note_id"), here))
     out = {"records": newest, "rollups": rollups, "notes": found, "days": days, "co_recorded": related, "activity": metrics.activity_window(target), "sources": metrics.distinct_values(newest, "source"), "links": made}
     return out | _attached(k, newest) | {"pivots": metric_pivots(here, newest, found, days, related, rollups, span)}
@@ -553,7 +555,8 @@ def source_view(k: Knowledge, source: str, note_limit: int = NOTE_LIMIT, metric_
         raise QueryError(f"source {source!r} was not found")
     newest = target.orderBy(*record_order()).limit(metric_limit)
     found, days = notes_for_source(k, source, newest, note_limit), record_days(newest)
-    rollups = metrics.window_rollups(target, min(metric_limit, ROLLUP_GROUPS), min(metric_limit, ROLLUP_BUCKETS))
+    parts = None if k.days is None else k.days.where(F.lower("source") == source.lower())
+    rollups = metrics.window_rollups(target if parts is None else parts, min(metric_limit, ROLLUP_GROUPS), min(metric_limit, ROLLUP_BUCKETS), parts is not None)
     made = link_rows(newest, "structural", f"source:{source}", _at("metric", "id"), "Metric record belongs to the requested source").unionByName(evidence_links(found, _at("note", "note_id"), f"source:{source}"))
     out = {"records": newest, "rollups": rollups, "notes": found, "days": days, "metrics": latest_per_key(target, metric_limit), "keys": metrics.distinct_values(target, "key"), "activity": metrics.activity_window(target), "links": made}
     return out | _attached(k, target) | {"pivots": source_pivots(source, newest, found, days, rollups, span)}

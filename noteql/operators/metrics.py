@@ -7,6 +7,7 @@ from functools import reduce
 
 from noteql.functions.dates import QueryError
 from noteql.plans.metrics_query import MetricsQuery, parse
+from noteql.scratch import stored
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +36,10 @@ ISSUE = "struct<severity:string,code:string,field:string,message:string>"
 
 
 def read_lines(files: DataFrame) -> DataFrame:
-    """(source_file, source_line, raw_line) of the lines that are not blank, from (path, value) of whole files."""
+    """(source_file, source_line, raw_line) of the lines that are not blank, from (path, value) of whole files that are
+    at hand as texts. ``sources.files`` reads logs of any size in ranges."""
     lines = files.select(F.col("path").alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "raw_line"))
-    return lines.where(F.trim("raw_line") != "").select("source_file", (F.col("pos") + 1).alias("source_line"), "raw_line")
+    return lines.where(~F.col("raw_line").rlike(r"^\s*$")).select("source_file", (F.col("pos") + 1).alias("source_line"), "raw_line")
 
 
 def fingerprint(raw: Column) -> Column:
@@ -109,10 +111,12 @@ def parse_lines(lines: DataFrame, units: dict[str, list[str]] = UNITS) -> DataFr
     unknown = F.transform(F.coalesce("extra", F.array().cast("array<string>")), lambda k: F.struct(F.lit("warning").alias("severity"), F.lit("unknown_field").alias("code"), k.alias("field"), F.lit("unknown field").alias("message")))
     whole = [_bad(F.col("v").isNull(), "invalid_json", None, "not JSON"), _bad(F.col("v").isNotNull() & ~obj, "invalid_row_type", None, "not an object")]
     r = r.withColumn("issues", F.concat(F.array_compact(F.array(*whole, *checks)), unknown))
-    r = r.join(_duplicates(lines), ["source_file", "source_line"], "left")
+    twice = repeated(lines)
     for name, severity in (("id", "error"), ("origin_id", "warning")):
-        more = F.when(F.col(f"twice_{name}"), F.array(_issue(severity, f"duplicate_{name}", name, f"{name} is there more than once in the file"))).otherwise(F.array().cast(f"array<{ISSUE}>"))
-        r = r.withColumn("issues", F.concat("issues", more))
+        known = twice.where(F.col("name") == name).select("source_file", F.col("text").alias(name), F.lit(True).alias("__twice"))
+        r = r.join(known, ["source_file", name], "left")
+        more = F.when(F.col("__twice"), F.array(_issue(severity, f"duplicate_{name}", name, f"{name} is there more than once in the file"))).otherwise(F.array().cast(f"array<{ISSUE}>"))
+        r = r.withColumn("issues", F.concat("issues", more)).drop("__twice")
     r = r.withColumn("status", F.when(F.exists("issues", lambda x: x["severity"] == "error"), "invalid").when(F.size("issues") > 0, "warning").otherwise("valid"))
     extra = F.when(F.size("extra") > 0, F.to_json(F.map_filter(F.from_json("raw_line", "map<string,string>"), lambda k, _: F.array_contains("extra", k))))
     r = r.withColumn("tags_json", F.when(F.size("tags") > 0, F.to_json("tags"))).withColumn("extra_fields_json", extra)
@@ -120,16 +124,16 @@ def parse_lines(lines: DataFrame, units: dict[str, list[str]] = UNITS) -> DataFr
     return r.select(*keep)
 
 
-def _duplicates(lines: DataFrame) -> DataFrame:
-    """(source_file, source_line, twice_id, twice_origin_id) of the lines that share an id with others of their file. A
-    narrow pass of its own: counts are aggregated before they are shuffled, and few lines are joined to the rest."""
-    v = F.try_parse_json("raw_line")
-    text = lambda name: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING", F.nullif(F.trim(F.try_variant_get(v, f"$.{name}", "string")), F.lit("")))
+def repeated(lines: DataFrame) -> DataFrame:
+    """(source_file, name, text) of the ids and origin ids that several lines of a file have. Two fields are read for it,
+    and counts are aggregated before they are shuffled. The table is stored, so its size decides how lines are joined to
+    it: as a rule it is small and sent to them, and no line is shuffled."""
+    v = lines.select("source_file", F.try_parse_json("raw_line").alias("v"))
+    field = lambda name: F.try_variant_get("v", f"$.{name}", "variant")
+    text = lambda name: F.when(F.schema_of_variant(field(name)) == "STRING", F.nullif(F.trim(F.try_variant_get(field(name), "$", "string")), F.lit("")))
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), text(n).alias("text")) for n in ("id", "origin_id")])
-    narrow = lines.select("source_file", "source_line", F.inline(pairs)).where("text is not null")
-    twice = narrow.groupBy("source_file", "name", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = narrow.join(twice, ["source_file", "name", "text"], "left_semi")
-    return met.groupBy("source_file", "source_line").agg(*[F.max(F.col("name") == n).alias(f"twice_{n}") for n in ("id", "origin_id")])
+    each = v.select("source_file", F.inline(pairs)).where("text is not null")
+    return stored(each.groupBy("source_file", "name", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
 
 
 def records(parsed: DataFrame) -> DataFrame:
@@ -152,9 +156,16 @@ def bucket() -> Column:
     return F.coalesce(F.col("date"), F.try_to_date(F.substr("ts", F.lit(1), F.lit(10))))
 
 
+def clustered(rows: DataFrame) -> DataFrame:
+    """Rows with what an index orders them by."""
+    return rows.withColumn("key_lower", F.lower("key")).withColumn("day", bucket())
+
+
 def search(recs: DataFrame, query: str | MetricsQuery, limit: int | None = None, now: datetime | None = None) -> DataFrame:
+    """Records that a question asks for, newest first up to a limit. Of kept rows few are read for it."""
     q = parse(query, now) if isinstance(query, str) else query
-    found = recs.where(q.predicate())
+    found = recs.where(q.pruning()) if {"key_lower", "day"} <= set(recs.columns) else recs
+    found = found.where(q.predicate())
     if limit is None:
         return found
     at = F.coalesce(F.unix_micros(F.col("date").cast("timestamp")), F.unix_micros("ts_utc"))
@@ -183,6 +194,10 @@ def rollups(recs: DataFrame, by: list[str], buckets: int | None = None) -> DataF
     """Daily buckets of each group of ``by``: day, total, count, with active_days, record_total and newest of the group.
     Groups of more than one unit (none counts as one) are left out; totals are taken before buckets are cut."""
     day = recs.withColumn("bucket", bucket()).groupBy(*by, "bucket").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"), F.min(F.coalesce("unit", F.lit("\0"))).alias("u0"), F.max(F.coalesce("unit", F.lit("\0"))).alias("u1"))
+    return _of_one_unit(day, by, buckets)
+
+
+def _of_one_unit(day: DataFrame, by: list[str], buckets: int | None) -> DataFrame:
     # One row a day and group from here on.
     w = Window.partitionBy(*by)
     out = day.withColumn("active_days", F.count("bucket").over(w)).withColumn("record_total", F.sum("n").over(w)).withColumn("newest", F.max("bucket").over(w))
@@ -192,21 +207,35 @@ def rollups(recs: DataFrame, by: list[str], buckets: int | None = None) -> DataF
     return out.withColumn("unit", F.nullif("__a", F.lit("\0"))).drop("u0", "u1", "__a", "__b")
 
 
+def daily_parts(recs: DataFrame) -> DataFrame:
+    """(source_file, key, source, unit, day, total, n): what each log adds to a day's sums. Parts of several logs are
+    added, those of a changed log replaced, so roll-ups of kept parts never read records."""
+    by = ["source_file", "key", "source", "unit"]
+    return recs.groupBy(*by, bucket().alias("day")).agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def rollups_of_parts(parts: DataFrame, by: list[str], buckets: int | None = None) -> DataFrame:
+    """``rollups`` of the records that the parts are of."""
+    unit = F.coalesce("unit", F.lit("\0"))
+    day = parts.groupBy(*by, F.col("day").alias("bucket")).agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.min(unit).alias("u0"), F.max(unit).alias("u1"))
+    return _of_one_unit(day, by, buckets)
+
+
 def rollup_order() -> list[Column]:
     return [F.col("active_days").desc(), F.col("record_total").desc(), F.col("newest").desc(), F.col("key"), F.col("source")]
 
 
-def window_rollups(recs: DataFrame, groups: int, buckets: int) -> DataFrame:
-    """Roll-ups by key and source of the most active groups."""
-    made = rollups(recs, ["key", "source"], buckets)
+def window_rollups(recs: DataFrame, groups: int, buckets: int, parts: bool = False) -> DataFrame:
+    """Roll-ups by key and source of the most active groups; of records, or of daily parts."""
+    made = (rollups_of_parts if parts else rollups)(recs, ["key", "source"], buckets)
     top = made.select("key", "source", "active_days", "record_total", "newest").distinct().orderBy(*rollup_order()).limit(groups)
     return made.join(F.broadcast(top.select("key", "source")), ["key", "source"], "left_semi")
 
 
-def target_rollups(recs: DataFrame, buckets: int) -> DataFrame:
-    """One roll-up if there is at most one source, else one a source."""
+def target_rollups(recs: DataFrame, buckets: int, parts: bool = False) -> DataFrame:
+    """One roll-up if there is at most one source, else one a source; of records, or of daily parts."""
     several = recs.agg(F.countDistinct("source").alias("n")).first().n > 1
-    return rollups(recs, ["key", "source"] if several else ["key"], buckets)
+    return (rollups_of_parts if parts else rollups)(recs, ["key", "source"] if several else ["key"], buckets)
 
 
 def prefix_length(a: Column, b: Column) -> Column:

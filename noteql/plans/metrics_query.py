@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from noteql.functions.dates import DateRange, QueryError, range_of
 from pyspark.sql import Column
@@ -34,6 +34,19 @@ class MetricsQuery:
             test = test & self.dates.contains(F.coalesce(F.col("date").cast("timestamp"), F.col("ts_utc")))
         return test
 
+    def pruning(self) -> Column:
+        """What must hold of kept rows, which come by ``key_lower`` and ``day``: whole files and row groups are passed
+        over by it. A day may be one off the instant it is of, by the time zone of a record."""
+        test = F.lit(True)
+        for v in self.keys:
+            test = test & (F.col("key_lower") == v.lower())
+        if self.dates is not None:
+            for bound, sign in ((self.dates.start, -1), (self.dates.end, 1)):
+                if bound is not None:
+                    day = F.lit((bound.at + timedelta(days=sign)).date())
+                    test = test & (F.col("day") >= day if sign < 0 else F.col("day") <= day)
+        return test
+
 
 def _like(column: Column, term: str) -> Column:
     return F.lower(column).like("%" + term.lower().replace("\\", "\\\\") + "%")

@@ -5,12 +5,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 from datetime import UTC, date, datetime
 
+from noteql import scratch
 from noteql.functions import extract, text
 from noteql.operators import context, fts, links, metrics, notes, vectors
 from noteql.plans import query as note_query
+from noteql.sources import files
 from noteql.streaming import incremental
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,18 +53,29 @@ def note_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> fts.Kept:
-    """The search index of the documents, kept in the shared folder under the state of their files: it is built for the
-    first question and read by all others."""
-    files = incremental.file_states(spark, f"{sf_dir}/documents.parquet")
-    catalog = incremental.Catalog(spark, f"{incremental.shared_folder(spark)}/noteql-index-{files}", parts=max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
-    if catalog.table("lengths") is None:
-        meta = _metadata_words()
-        postings, lengths = fts.build(note_table(spark, sf_dir), F.col("content"), meta)
+def kept(spark: SparkSession, path: str, name: str, tables: Callable[[], dict[str, DataFrame]]) -> incremental.Catalog:
+    """An index in the shared folder, named by the state of the files it is of and what makes it: it is built for the
+    first question and read by all others. Indexes of the same name of files that are no more go."""
+    folder, top = incremental.shared_folder(spark), f"noteql-index-{name}-{hashlib.sha256(path.encode()).hexdigest()[:12]}"
+    state = f"{incremental.file_states(spark, path)}-{incremental.SCHEMA_VERSION}"
+    catalog = incremental.Catalog(spark, f"{folder}/{top}/{state}", parts=max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+    if catalog.version == 0:
         try:
-            catalog.commit({"postings": postings, "lengths": lengths}, based_on=0)
+            catalog.commit(tables(), based_on=0)
         except incremental.Conflict:  # built by somebody else meanwhile
             pass
+        catalog.remove_others(f"{folder}/{top}")
+    return catalog
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> fts.Kept:
+    """The search index of the documents."""
+
+    def made():
+        postings, lengths = fts.build(note_table(spark, sf_dir), F.col("content"), _metadata_words())
+        return {"postings": postings, "lengths": lengths}
+
+    catalog = kept(spark, f"{sf_dir}/documents.parquet", "notes", made)
     return fts.Kept(catalog.table("postings"), catalog.table("lengths"))
 
 
@@ -375,6 +390,34 @@ def metrics_search(spark, d):
     return metrics.search(event_records(spark, d), "key:WEB.click source:u3 date:2024-01-05..2024-01-12", 50, NOW).select("id", "key", "source")
 
 
+def kept_records(spark, d) -> DataFrame:
+    """The records of the events, kept by key and day."""
+    catalog = kept(spark, f"{d}/events.parquet", "records", lambda: {"metric_rows": metrics.clustered(event_records(spark, d))})
+    return catalog.table("metric_rows")
+
+
+@register("metrics_search_kept", f"WITH {RECS} SELECT id, key, source FROM recs WHERE key = 'web.click' AND source = 'u3' AND t_at >= TIMESTAMP '2024-01-05' AND t_at <= TIMESTAMP '2024-01-12' ORDER BY t_at DESC, source_file, event_id LIMIT 50")
+def metrics_search_kept(spark, d):
+    return metrics.search(kept_records(spark, d), "key:WEB.click source:u3 date:2024-01-05..2024-01-12", 50, NOW).select("id", "key", "source")
+
+
+#: Events in a log of their own for so many of them, by id.
+EVENTS_A_LOG = 40_000
+
+
+@register("log_lines", f"SELECT event_id // {EVENTS_A_LOG} AS log, event_id, row_number() OVER (PARTITION BY event_id // {EVENTS_A_LOG} ORDER BY event_id) * 2 - 1 AS source_line FROM events")
+def log_lines(spark, d):
+    """Logs of the events, every line followed by a blank one, written as files and read again in ranges."""
+    log = F.floor(F.col("event_id") / EVENTS_A_LOG)
+    text = F.concat(F.to_json(F.struct("event_id", "event_type", "props")), F.lit("\r\n  "))
+    rows = table(spark, d, "events").select(log.alias("log"), "event_id", text.alias("value"))
+    folder = f"{scratch.shared_folder(spark)}/{scratch.RUN}-{uuid.uuid4().hex}"
+    rows.repartition("log").sortWithinPartitions("log", "event_id").select("log", "value").write.partitionBy("log").text(folder)
+    ranges = files.log_ranges(files.listing(spark, folder, files.Rules(".txt")), folder, 256 << 10)
+    read = files.read_ranges(ranges, folder)
+    return read.select(F.regexp_extract("source_file", r"log=(\d+)/", 1).cast("long").alias("log"), F.get_json_object("raw_line", "$.event_id").cast("long").alias("event_id"), F.col("source_line").cast("long").alias("source_line"))
+
+
 @register("metrics_text_search", f"WITH {RECS} SELECT id FROM recs WHERE lower(props) LIKE '%\"k\": 42%'")
 def metrics_text_search(spark, d):
     return metrics.search(event_records(spark, d), "'\"k\": 42'", None, NOW).select("id")
@@ -399,6 +442,12 @@ def rollup_by_key_source(spark, d):
     return metrics.rollups(event_records(spark, d), ["key", "source"]).select("key", "source", F.col("bucket").cast("string"), F.round("total", 4).alias("total"), "n", "active_days", "record_total")
 
 
+@register("rollup_of_daily_parts", f"WITH {RECS}, d AS ({_ROLL}) SELECT key, source, CAST(bucket AS VARCHAR) AS bucket, round(total, 4) AS total, n, count(*) OVER w AS active_days, CAST(sum(n) OVER w AS BIGINT) AS record_total FROM d WINDOW w AS (PARTITION BY key, source)")
+def rollup_of_daily_parts(spark, d):
+    parts = metrics.daily_parts(event_records(spark, d))
+    return metrics.rollups_of_parts(parts, ["key", "source"]).select("key", "source", F.col("bucket").cast("string"), F.round("total", 4).alias("total"), "n", "active_days", "record_total")
+
+
 @register("rollup_top_buckets", f"WITH {RECS}, d AS ({_ROLL}), r AS (SELECT *, row_number() OVER (PARTITION BY key, source ORDER BY bucket DESC) AS k FROM d) SELECT key, source, CAST(bucket AS VARCHAR) AS bucket, round(total, 4) AS total FROM r WHERE k <= 3")
 def rollup_top_buckets(spark, d):
     return metrics.rollups(event_records(spark, d), ["key", "source"], 3).select("key", "source", F.col("bucket").cast("string"), F.round("total", 4).alias("total"))
@@ -473,7 +522,7 @@ def context_day_created(spark, d):
     return context.day_view(k, date(2024, 1, 2))["created"].select("note_id")
 
 
-@register("context_week_metrics", f"WITH {RECS} SELECT id, key FROM recs WHERE t_at >= TIMESTAMP '2024-01-08' AND t_at <= TIMESTAMP '2024-01-14' ORDER BY t_at DESC, source_file, event_id LIMIT 10")
+@register("context_week_metrics", f"WITH {RECS} SELECT id, key FROM recs WHERE t_at >= TIMESTAMP '2024-01-08' AND t_at <= TIMESTAMP '2024-01-14' ORDER BY ts DESC, source_file, event_id LIMIT 10")
 def context_week_metrics(spark, d):
     k = context.Knowledge(note_table(spark, d), event_records(spark, d), page_edges(spark, d))
     return context.week_view(k, date(2024, 1, 10))["metrics"].select("id", "key")

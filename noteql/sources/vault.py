@@ -1,4 +1,4 @@
-"""Markdown collections and metric logs on disk, as a Python data source; note loading; note files."""
+"""Markdown collections and metric logs: which files there are, note loading, note files."""
 
 from __future__ import annotations
 
@@ -10,10 +10,10 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from noteql.functions import extract
+from noteql.sources import files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 INVENTORY = "kind string, relative_path string, file_modified_at timestamp, created_at timestamp, raw string"
 
@@ -78,114 +78,38 @@ def scopes(paths: list[str]) -> list[str]:
     return out
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-
-#: Files of one partition.
-CHUNK = 256
-
-
-class VaultReader(DataSourceReader):
-    """Files are listed by name, below the scopes alone if there are any, and read in partitions of a set number. With
-    ``distinct`` of several notes with one id the first by path is read."""
-
-    def __init__(self, options: dict):
-        self.root = options["path"]
-        self.kind = options.get("kind", "notes")
-        self.settings = Settings(**json.loads(options.get("settings", "{}")))
-        self.scopes = json.loads(options.get("scopes", "[]")) or None
-        self.distinct = options.get("distinct", "false") == "true"
-
-    def listed(self) -> list[str]:
-        top = self.settings.metrics_root if self.kind == "metrics" else ""
-        found: set[str] = set()
-        for scope in [top] if self.scopes is None or "" in self.scopes else self.scopes:
-            if top and scope != top and not scope.startswith(top + "/"):
-                scope = top if top.startswith(scope + "/") else None
-            if scope is None or any(self._skipped(scope[:k]) for k, c in enumerate(scope) if c == "/"):
-                continue
-            full = os.path.join(self.root, scope)
-            if os.path.isdir(full) and not os.path.islink(full) and (scope == top or not self._skipped(scope)):
-                found.update(self._walk(scope))
-            elif os.path.isfile(full) and not os.path.islink(full) and self._wanted(scope):
-                found.add(scope)
-        paths = sorted(found)
-        if self.distinct:
-            first: dict[str, str] = {}
-            for path in paths:
-                first.setdefault(_id_of(path), path)
-            paths = list(first.values())
-        return paths
-
-    def partitions(self):
-        paths = self.listed()
-        return [_Files(paths[at : at + CHUNK]) for at in range(0, len(paths), CHUNK)] or [_Files([])]
-
-    def read(self, partition):
-        for path in partition.paths:
-            full = os.path.join(self.root, path)
-            try:
-                st = os.stat(full)
-                with open(full, encoding="utf-8", errors="replace", newline="") as f:
-                    raw = f.read()
-            except FileNotFoundError:
-                continue
-            born = getattr(st, "st_birthtime", None)
-            yield self.kind, path, pd.Timestamp(st.st_mtime_ns // 1000, unit="us", tz="UTC").to_pydatetime(), None if born is None else pd.Timestamp(int(born * 1e6), unit="us", tz="UTC").to_pydatetime(), raw
-
-    def _skipped(self, folder: str) -> bool:
-        return self.kind != "metrics" and skipped_folder(folder, self.settings)
-
-    def _wanted(self, path: str) -> bool:
-        return path.lower().endswith(".md" if self.kind == "notes" else self.settings.metrics_suffix.lower())
-
-    def _walk(self, folder: str):
-        with os.scandir(os.path.join(self.root, folder)) as entries:
-            for e in entries:
-                rel = f"{folder}/{e.name}" if folder else e.name
-                if e.is_file(follow_symlinks=False) and self._wanted(rel):
-                    yield rel
-                elif e.is_dir(follow_symlinks=False) and not self._skipped(rel):
-                    yield from self._walk(rel)
-
-
-class VaultSource(DataSource):
-    """``spark.read.format("vault")`` with options path, kind (notes or metrics), settings and scopes (JSON)."""
-
-    @classmethod
-    def name(cls):
-        return "vault"
-
-    def schema(self):
-        return INVENTORY
-
-    def reader(self, schema):
-        return VaultReader(dict(self.options))
+def rules(settings: Settings, kind: str = "notes") -> files.Rules:
+    """Notes lie outside the folders that are left out; metric logs anywhere below their own folder."""
+    return files.Rules(settings.metrics_suffix) if kind == "metrics" else files.Rules(".md", lambda folder: skipped_folder(folder, settings))
+
+
+def list_vault(spark: SparkSession, root: str, kind: str = "notes", settings: Settings | None = None, subtrees: list[str] | None = None, distinct: bool = False) -> DataFrame:
+    """(relative_path, size, file_modified_at, created_at) of notes or metric logs, in subtrees alone if there are any;
+    with ``distinct`` of several notes with one id the first by path, settled on the names."""
+    settings = settings or load_settings(root)
+    top = settings.metrics_root if kind == "metrics" else ""
+    below = scopes(subtrees) if subtrees is not None else None
+    if top:
+        below = [top] if below is None else scopes([s if s == top or s.startswith(top + "/") else top for s in below if s == "" or s == top or s.startswith(top + "/") or top.startswith(s + "/")])
+    found = files.listing(spark, root, rules(settings, kind), below)
+    if distinct:
+        found = found.withColumn("note_id", note_id(F.col("relative_path"))).groupBy("note_id").agg(F.min(F.struct(*found.columns)).alias("f")).select("f.*")
+    return found
 
 
 def read_vault(spark: SparkSession, root: str, kind: str = "notes", settings: Settings | None = None, subtrees: list[str] | None = None, distinct: bool = False) -> DataFrame:
-    """Files as INVENTORY has them; ``distinct`` settles notes of one id where files are listed, without a shuffle."""
-    spark.dataSource.register(VaultSource)
-    reader = spark.read.format("vault").option("path", root).option("kind", kind).option("distinct", str(distinct).lower())
-    reader = reader.option("settings", json.dumps(vars(settings or load_settings(root))))
-    return (reader.option("scopes", json.dumps(scopes(subtrees))) if subtrees is not None else reader).load()
+    """Files as INVENTORY has them."""
+    return files.whole(list_vault(spark, root, kind, settings, subtrees, distinct), root, kind)
 
 
 def note_id(path):
     return F.trim(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"\.[^./]*$", ""))
 
 
-def _id_of(path: str) -> str:
-    """The same in Python."""
-    return re.sub(r"\.[^./]*$", "", path.replace("\\", "/")).strip(" ")
-
-
-def inventory(files: DataFrame, distinct: bool = False) -> DataFrame:
+def inventory(found: DataFrame, distinct: bool = False) -> DataFrame:
     """Files with note_id; of several with one id the first by path. Paths alone are ranked, and the texts of notes whose
-    id is there twice are all that is left out. ``distinct`` says that the reader has done so."""
-    named = files.withColumn("note_id", note_id(F.col("relative_path")))
+    id is there twice are all that is left out. ``distinct`` says that the listing has done so."""
+    named = found.withColumn("note_id", note_id(F.col("relative_path")))
     if distinct:
         return named
     first = named.groupBy("note_id").agg(F.min("relative_path").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("note_id", "first")
@@ -284,10 +208,10 @@ def yaml_json(block: pd.Series) -> pd.Series:
     return block.map(one, na_action="ignore")
 
 
-def load_notes(files: DataFrame) -> DataFrame:
+def load_notes(found: DataFrame) -> DataFrame:
     """note_id, title, metadata_json, content, relative_path, file_modified_at, created_at, tags, aliases from an
     inventory. A block that is no YAML stays in the body, and the note has no metadata."""
-    n = files.withColumn("block", extract.frontmatter(F.col("raw"))).withColumn("parsed", yaml_json("block"))
+    n = found.withColumn("block", extract.frontmatter(F.col("raw"))).withColumn("parsed", yaml_json("block"))
     n = n.withColumn("metadata_json", F.coalesce("parsed", F.lit("{}"))).withColumn("content", F.when(F.col("parsed").isNotNull(), extract.body(F.col("raw"))).otherwise(F.col("raw")))
     v = F.try_parse_json("metadata_json")
     texts = lambda x, path: F.coalesce(F.try_variant_get(x, path, "array<string>"), F.array(F.try_variant_get(x, path, "string")))

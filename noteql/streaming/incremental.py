@@ -10,21 +10,24 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from noteql.functions import extract
 from noteql.functions.dates import QueryError
 from noteql.operators import fts, links, metrics
+from noteql.scratch import shared_folder, stored
+from noteql.sources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 #: Parts of every table of a new index.
 PARTS = 32
+#: How the rows of a part come, so that a scan for a term, or for a key and a span of days, reads few row groups.
+ORDER = ("term", "key_lower", "key", "day", "note_id")
 #: Versions whose files stay for readers that are still at them.
 KEPT_VERSIONS = 4
 
@@ -89,8 +92,8 @@ class Catalog:
             folder = f"{name}-{uuid.uuid4().hex}"
             by = next(c for c in ("note_id", "source_id", "source_file") if c in df.columns)
             placed = df.drop("part").withColumn("part", F.pmod(F.xxhash64(by), F.lit(current["parts"])).cast("int"))
-            order = [c for c in ("term", by) if c in df.columns]
-            # A part goes to a few tasks, and terms come in order, so that a scan for some reads few row groups.
+            order = [c for c in ORDER if c in df.columns] or [by]
+            # A part goes to a few tasks, each of which sorts its rows.
             placed = placed.repartition("part", F.pmod(F.xxhash64(F.lit(3), *order), F.lit(4))).sortWithinPartitions("part", *order)
             placed.write.partitionBy("part").parquet(f"{self.path}/{folder}")
             made = {f.getPath().getName()[5:]: f"{folder}/{f.getPath().getName()}" for f in self._fs.globStatus(self._at(folder, "part=*")) or ()}
@@ -116,6 +119,14 @@ class Catalog:
             self._fs.delete(draft, False)
             raise Conflict(f"version {current['version']} was committed by another writer")
 
+    def remove_others(self, folder: str) -> int:
+        """Remove what else is in the folder that this index is in; returns how many."""
+        top = self._jvm.org.apache.hadoop.fs.Path(folder)
+        others = [f.getPath() for f in self._fs.listStatus(top) if f.getPath().getName() != self._at().getName()]
+        for path in others:
+            self._fs.delete(path, True)
+        return len(others)
+
     def vacuum(self, keep: int = KEPT_VERSIONS) -> int:
         """Remove the version files but the last ones and the folders that those do not name; returns how many."""
         versions = self._versions()
@@ -128,17 +139,6 @@ class Catalog:
         return len(old)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session of one process, as in tests, may name none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise QueryError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + os.path.join(tempfile.gettempdir(), "noteql-shared")
-    return path.rstrip("/")
-
-
 def file_states(spark: SparkSession, path: str) -> str:
     """A name for the files at a path as they are now: their paths, sizes and times of change, hashed."""
     jvm = spark.sparkContext._jvm
@@ -254,35 +254,36 @@ def reindex(catalog: Catalog, notes: DataFrame, scopes: list[str] | None = None,
         actions.unpersist()
 
 
-def reindex_metrics(catalog: Catalog, files: DataFrame, force: bool = False) -> dict[str, int]:
-    """The same for metric logs, from files (relative_path, file_modified_at, raw): a log is parsed again if its
-    fingerprint differs or that is forced. Tables metric_files (source_file, fingerprint, file_modified_at, counts) and
-    metric_rows, the parsed rows with their issues."""
+def reindex_metrics(catalog: Catalog, logs: DataFrame, root: str, force: bool = False, size: int = files.RANGE) -> dict[str, int]:
+    """The same for metric logs, from their listing (relative_path, size, file_modified_at): a log is parsed again if its
+    bytes differ or that is forced. All logs are read in ranges of ``size`` bytes, whose hashes tell what changed; the
+    ranges of changed logs are read again as lines. Tables metric_files (source_file, fingerprint, file_modified_at,
+    counts), metric_rows, the parsed rows with their issues, by key and day, and metric_days, what every log adds to the
+    sums of a day."""
     version = catalog.version
-    now = files.select(F.col("relative_path").alias("source_file"), metrics.fingerprint(F.col("raw")).alias("fingerprint"), "file_modified_at")
-    old, rows = catalog.table("metric_files"), catalog.table("metric_rows")
+    ranges = files.log_ranges(logs, root, size)
+    now = logs.select(F.col("relative_path").alias("source_file"), "file_modified_at").join(files.log_states(ranges), "source_file")
+    old, rows, days = (catalog.table(n) for n in ("metric_files", "metric_rows", "metric_days"))
     before = now.limit(0) if old is None else old.select("source_file", "fingerprint", "file_modified_at")
     both = now.alias("a").join(before.alias("b"), "source_file", "full").select("source_file", F.col("a.fingerprint").alias("f1"), F.col("b.fingerprint").alias("f0"))
     action = F.when(F.col("f1").isNull(), "remove").when(F.col("f0").isNull(), "add").when(F.lit(force) | (F.col("f1") != F.col("f0")), "update")
-    actions = both.select("source_file", action.alias("action")).where("action is not null").persist()
-    try:
-        counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
-        if not counts:
-            return {}
-        parts = [r.part for r in actions.select(catalog.part("source_file").alias("part")).distinct().collect()]
-        touched = actions.select("source_file")
-        fresh = files.withColumnRenamed("relative_path", "source_file").join(actions.where("action <> 'remove'").select("source_file"), "source_file", "left_semi")
-        parsed = metrics.parse_lines(metrics.read_lines(fresh.select(F.col("source_file").alias("path"), F.col("raw").alias("value"))))
-        summary = now.join(fresh.select("source_file"), "source_file", "left_semi").join(metrics.file_summary(parsed), "source_file", "left")
-        changed = None
-        if old is not None and rows is not None:
-            here = lambda df: df.where(catalog.part("source_file").isin(parts)).join(touched, "source_file", "left_anti")
-            parsed, summary = here(rows).unionByName(parsed), here(old).unionByName(summary)
-            changed = {"metric_files": parts, "metric_rows": parts}
-        catalog.commit({"metric_files": summary, "metric_rows": parsed}, changed, version)
-        return counts
-    finally:
-        actions.unpersist()
+    actions = stored(both.select("source_file", action.alias("action")).where("action is not null"))
+    counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
+    if not counts:
+        return {}
+    parts = [r.part for r in actions.select(catalog.part("source_file").alias("part")).distinct().collect()]
+    touched, changed = actions.select("source_file"), actions.where("action <> 'remove'").select("source_file")
+    # Lines are read and parsed once, as three tables are made of them.
+    parsed = stored(metrics.clustered(metrics.parse_lines(files.read_ranges(ranges.join(changed, "source_file", "left_semi"), root))))
+    summary = now.join(changed, "source_file", "left_semi").join(metrics.file_summary(parsed), "source_file", "left").na.fill(0)
+    sums = metrics.daily_parts(metrics.records(parsed))
+    only = None
+    if old is not None and rows is not None and days is not None:
+        here = lambda df: df.where(catalog.part("source_file").isin(parts)).join(touched, "source_file", "left_anti")
+        parsed, summary, sums = here(rows).unionByName(parsed), here(old).unionByName(summary), here(days).unionByName(sums)
+        only = {n: parts for n in ("metric_files", "metric_rows", "metric_days")}
+    catalog.commit({"metric_files": summary, "metric_rows": parsed, "metric_days": sums}, only, version)
+    return counts
 
 
 def kept_index(catalog: Catalog) -> fts.Kept | None:

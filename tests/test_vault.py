@@ -2,9 +2,10 @@ import os
 import time
 
 import pytest
+from noteql import scratch
 from noteql.functions import extract
 from noteql.operators import fts, links, metrics, mutations
-from noteql.sources import vault
+from noteql.sources import files, vault
 from noteql.streaming import incremental
 from pyspark.sql import functions as F
 
@@ -158,18 +159,21 @@ def test_old_versions_go(spark, tmp_path):
 def test_metric_logs_are_kept_in_the_index(spark, root, tmp_path):
     """A log is parsed again when its text changes, whatever its time says."""
     c = incremental.Catalog(spark, str(tmp_path / "c"))
-    logs = lambda: vault.read_vault(spark, root, "metrics").select("relative_path", "file_modified_at", "raw")
-    first = incremental.reindex_metrics(c, logs())
-    assert first["add"] >= 1 and incremental.reindex_metrics(c, logs()) == {}
+    pass_ = lambda: incremental.reindex_metrics(c, vault.list_vault(spark, root, "metrics"), root, size=50)
+    first = pass_()
+    assert first["add"] >= 1 and pass_() == {}
     path = os.path.join(root, "metrics/a.ndjson")
     stat, before = os.stat(path), c.table("metric_rows").where("source_file = 'metrics/a.ndjson'").count()
     with open(path, "a") as f:
         f.write('{"id":"77","ts":"2024-04-01T01:00:00Z","key":"body.weight","value":1.5,"source":"s"}\n')
     os.utime(path, ns=(stat.st_atime_ns, stat.st_mtime_ns))
-    assert incremental.reindex_metrics(c, logs()) == {"update": 1}
+    assert pass_() == {"update": 1}
     assert c.table("metric_rows").where("source_file = 'metrics/a.ndjson'").count() == before + 1
+    kept, made = c.table("metric_days"), metrics.rollups(metrics.records(c.table("metric_rows")), ["key"])
+    assert sorted(map(str, metrics.rollups_of_parts(kept, ["key"]).select(made.columns).collect())) == sorted(map(str, made.collect())) and not kept.isEmpty()
+    assert [r.id for r in metrics.search(metrics.records(c.table("metric_rows")), "key:Body.Weight date:2024-04-01", 5).collect()] == ["77"]
     os.remove(path)
-    assert incremental.reindex_metrics(c, logs())["remove"] == 1 and c.table("metric_rows").where("source_file = 'metrics/a.ndjson'").isEmpty()
+    assert pass_()["remove"] == 1 and c.table("metric_days").isEmpty() and c.table("metric_rows").where("source_file = 'metrics/a.ndjson'").isEmpty()
 
 
 def test_metric_fingerprint(spark):
@@ -256,18 +260,69 @@ def test_scopes_are_walked_alone(spark, root, tmp_path):
         os.makedirs(os.path.dirname(full), exist_ok=True)
         with open(full, "w") as f:
             f.write(name)
-    options = {"path": root, "settings": '{"ignored": ["Templates"]}'}
-    import json
+    settings = vault.Settings(ignored=["Templates"])
+    listed = lambda subtrees=None, kind="notes", where=root, **kw: sorted(r.relative_path for r in vault.list_vault(spark, where, kind, settings, subtrees, **kw).collect())
 
-    every = vault.VaultReader(options).listed()
-    for scopes in (["a"], ["a/b", "Hub.md"], ["Templates"], ["Templates/x/y.md"], ["a/.h"], ["missing"], [""], ["a/d.md", "sub"]):
-        got = vault.VaultReader(options | {"scopes": json.dumps(scopes)}).listed()
-        assert got == [p for p in every if any(s == "" or p == s or p.startswith(s + "/") for s in scopes)]
-    once = vault.VaultReader(options | {"distinct": "true"}).listed()
+    every = listed()
+    for scopes in (["a"], ["a/b", "Hub.md"], ["Templates"], ["Templates/x/y.md"], ["a/.h"], ["missing"], [""], ["a/d.md", "sub"], [".hidden.md"]):
+        assert listed(scopes) == [p for p in every if any(s == "" or p == s or p.startswith(s + "/") for s in scopes)]
+    once = listed(distinct=True)
     assert set(every) - set(once) == {"a/d.md"}
-    files = vault.read_vault(spark, root, settings=vault.Settings(ignored=["Templates"]))
-    assert {r.relative_path for r in vault.inventory(files).collect()} == set(once)
-    assert vault.VaultReader(options | {"kind": "metrics", "scopes": '["metrics"]'}).listed() == ["metrics/a.ndjson"]
+    found = vault.read_vault(spark, root, settings=settings)
+    assert {r.relative_path for r in vault.inventory(found).collect()} == set(once)
+    assert listed(["metrics"], "metrics") == listed(None, "metrics") == listed(["metrics/a.ndjson", "sub"], "metrics") == ["metrics/a.ndjson"]
+    assert listed(where=f"file://{root}") == every
+
+
+def test_a_deep_and_wide_tree_is_listed_in_steps(spark, root, monkeypatch):
+    """Folders that one task leaves are dealt out again; links lead nowhere; nothing is walked on the driver."""
+    want = set()
+    for k in range(12):
+        for name in (f"w/{k}/n.md", f"w/{k}/x/{k}.md", "w/" + "/".join("d" for _ in range(k + 1)) + f"/{k}.md"):
+            full = os.path.join(root, name)
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            with open(full, "w") as f:
+                f.write(name)
+            want.add(name)
+    os.symlink(os.path.join(root, "sub"), os.path.join(root, "w/link"))
+    os.symlink(os.path.join(root, "Hub.md"), os.path.join(root, "w/link.md"))
+    rules = vault.rules(vault.Settings())
+    one = files.listing(spark, root, rules, ["w"])
+    walked = lambda *args: pytest.fail("the driver walks")
+    steps = []
+    monkeypatch.setattr(files, "stored", lambda df: steps.append(1) or scratch.stored(df))
+    with monkeypatch.context() as m:
+        m.setattr(os, "walk", walked)
+        many = files.listing(spark, root, rules, ["w"], walk=2)
+    rows = lambda df: sorted((r.relative_path, r.size, r.file_modified_at) for r in df.collect())
+    assert {r[0] for r in rows(one)} == want and rows(many) == rows(one) and len(steps) > 3
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 64, 1 << 20])
+def test_lines_of_ranges_are_those_of_the_file(spark, tmp_path, size, monkeypatch):
+    texts = {"a.ndjson": b'{"id":"1"}\r\n\r\n \t\n{"id":"2"}\n\xc3\xa9\r\nlast\r', "b.ndjson": b"", "c.ndjson": b"\n\n", "sub/_d.NDJSON": b"one", "e.ndjson": b"x\n" * 5 + b"y" * 40 + b"\n\r\nz\n", "no.txt": b"no"}
+    for name, data in texts.items():
+        full = tmp_path / "l" / name
+        full.parent.mkdir(parents=True, exist_ok=True)
+        full.write_bytes(data)
+    want = []
+    for name, data in texts.items():
+        if name == "no.txt":
+            continue
+        lines = data.decode().split("\n")
+        tail = lines.pop()
+        lines = [x[:-1] if x.endswith("\r") else x for x in lines] + [tail]
+        want += [(name, k, x) for k, x in enumerate(lines, 1) if x.strip()]
+    root = f"file://{tmp_path}/l"
+    listed = files.listing(spark, root, files.Rules(".ndjson"))
+    ranges = files.log_ranges(listed, root, size)
+    got = sorted(map(tuple, files.read_ranges(ranges, root).collect()))
+    assert got == sorted(want)
+    states = {r.source_file: r.fingerprint for r in files.log_states(ranges).collect()}
+    assert len(states) == 5 and states == {r.source_file: r.fingerprint for r in files.log_states(files.log_ranges(listed, root, size)).collect()}
+    (tmp_path / "l/c.ndjson").write_bytes(b" \n")
+    again = {r.source_file: r.fingerprint for r in files.log_states(files.log_ranges(listed, root, size)).collect()}
+    assert {k for k in states if states[k] != again[k]} == {"c.ndjson"}
 
 
 def test_tags_and_aliases_of_metadata(spark):

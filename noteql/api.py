@@ -13,8 +13,9 @@ from noteql.functions import extract
 from noteql.functions.dates import QueryError
 from noteql.operators import context, fts, links, metrics, mutations, notes, vectors
 from noteql.plans.query import clean_for_embedding
+from noteql.scratch import stored
 from noteql.sources import files, vault
-from noteql.streaming.incremental import Catalog, kept_index, reindex, reindex_metrics, watch
+from noteql.streaming.incremental import Catalog, kept_index, model_changed, reindex, reindex_metrics, watch
 from noteql.streaming.progress import Progress
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,10 @@ class Workspace:
         tell = progress or Progress()
         scopes = None if paths is None else vault.scopes(paths)
         tell("notes", "running")
-        found = vault.load_notes(vault.inventory(vault.read_vault(self.spark, self.root, settings=self.settings, subtrees=scopes, distinct=True), distinct=True))
-        counts = reindex(self.catalog, found, scopes, force)
+        listed = vault.list_vault(self.spark, self.root, settings=self.settings, subtrees=scopes, distinct=True)
+        load = lambda some: vault.load_notes(vault.inventory(files.whole(some, self.root, "notes"), distinct=True))
+        named = listed.withColumn("note_id", vault.note_id(F.col("relative_path")))
+        counts = reindex(self.catalog, load(listed), scopes, force, lambda ids: load(named.join(ids, "note_id", "left_semi").drop("note_id")))
         tell("notes", "done", counts)
         logs = self._reindex_logs(force)
         tell("metrics", "done", logs)
@@ -53,22 +56,34 @@ class Workspace:
         return reindex_metrics(self.catalog, self._logs(), self.root, force)
 
     def _embed(self) -> None:
+        """Vectors of this model for notes that changed or have none, in the parts of those notes alone; vectors of other
+        models stay beside them. A model that is not what it was loses all of its own."""
+        described = {"preset": self.model, "repository": type(self.embedder).__name__, "dimension": len(self.embedder("dimension"))}
+        models = self.catalog.note("models") or {}
         current = self.notes.withColumn("indexed_at", F.coalesce("file_modified_at", F.lit(datetime(1970, 1, 1, tzinfo=UTC))))
-        old = self.catalog.table("vectors")
-        if old is None:
-            old = self.spark.createDataFrame([], "note_id string, vector array<float>, model string, indexed_at timestamp")
-        stale = vectors.stale(current, old, self.model)
-        fresh = current.join(stale, "note_id", "left_semi")
+        stored_ = self.catalog.table("vectors")
+        every = self.spark.createDataFrame([], "note_id string, vector array<float>, model string, indexed_at timestamp") if stored_ is None else stored_
+        old = every.where(F.col("model") == self.model)
+        if model_changed(models.get(self.model), described):
+            old = old.limit(0)
+        touched = stored(vectors.stale(current, old, self.model).withColumn("stale", F.lit(True)).unionByName(every.select("note_id").join(current, "note_id", "left_anti").distinct().withColumn("stale", F.lit(False))))
+        parts = None if stored_ is None else sorted(r.part for r in touched.select(self.catalog.part("note_id").alias("part")).distinct().collect())
+        if parts == []:
+            return
         fields = F.from_json("metadata_json", "map<string,string>")
         lines = F.transform(F.map_entries(F.map_filter(fields, lambda k, v: v.isNotNull() & ~k.isin("title", "tags"))), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
         text = extract.embedding_text(F.col("title"), F.coalesce(lines, F.array().cast("array<string>")), F.col("tags"), F.col("content"))
-        made = vectors.embed_notes(fresh, text, self.embedder, self.model, F.col("indexed_at"))
-        kept = vectors.collect_garbage(old.where(F.col("model") == self.model).join(stale, "note_id", "left_anti"), current)
-        self.catalog.commit({"vectors": kept.unionByName(made)})
+        made = vectors.embed_notes(current.join(touched.where("stale"), "note_id", "left_semi"), text, self.embedder, self.model, F.col("indexed_at"))
+        kept = every if parts is None else self.catalog.table("vectors", parts)
+        kept = kept.join(touched.select("note_id", F.when(F.col("stale"), F.lit(self.model)).alias("of")), (kept.note_id == touched.note_id) & F.coalesce(kept.model == F.col("of"), F.lit(True)), "left_anti")
+        self.catalog.commit({"vectors": kept.unionByName(made)}, None if parts is None else {"vectors": parts}, notes={"models": models | {self.model: described}})
+
+    def _vectors(self) -> DataFrame:
+        return self._table("vectors").where(F.col("model") == self.model)
 
     def watch(self, checkpoint: str, trigger: dict | None = None):
         """A stream that reindexes what changes on disk."""
-        return watch(self.spark, self.root, lambda paths: self.reindex(paths), checkpoint, trigger)
+        return watch(self.spark, self.root, lambda paths: self.reindex(paths), checkpoint, trigger, self.catalog)
 
     def _table(self, name: str) -> DataFrame:
         found = self.catalog.table(name)
@@ -114,9 +129,9 @@ class Workspace:
             found = fts.search(self._indexed(), query, limit, now, dates)
         elif mode == "semantic":
             q = fts.parse(query, now)
-            found = vectors.semantic_search(self._indexed(), self._table("vectors"), self.embedder(clean_for_embedding(query)), limit, q.filters, q.excludes, dates, stem=True)
+            found = vectors.semantic_search(self._indexed(), self._vectors(), self.embedder(clean_for_embedding(query)), limit, q.filters, q.excludes, dates, stem=True)
         elif mode == "hybrid":
-            found = vectors.hybrid_search(self._indexed(), self._table("vectors"), query, self.embedder, limit, now, dates)
+            found = vectors.hybrid_search(self._indexed(), self._vectors(), query, self.embedder, limit, now, dates)
         else:
             raise QueryError(f"unknown mode {mode!r}")
         words = F.lit(" ".join(sorted(fts.words_of([fts.parse(query, now).expr]))))
@@ -126,7 +141,7 @@ class Workspace:
         return out.orderBy(F.col("score" if "score" in found.columns else "similarity").desc(), "note_id")
 
     def related(self, note: str, strategy: str = "auto", limit: int = fts.DEFAULT_LIMIT) -> DataFrame:
-        found = self.catalog.table("vectors")
+        found = None if self.catalog.table("vectors") is None else self._vectors()
         indexed = None if found is None else self._indexed()
         return vectors.related_notes(strategy, self.resolve(note), limit, self.notes, self.edges, indexed, found, self.embedder, metadata_dates=vault.metadata_dates(self.notes))
 

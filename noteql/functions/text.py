@@ -18,6 +18,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def _folding() -> tuple[str, str]:
+    """Letters with marks that a mark may be taken off, and what is left of each: the canonical decompositions of the
+    letters below U+2000 that begin with one letter and go on with marks."""
+    pairs = [(chr(c), d[0]) for c in range(0xC0, 0x2000) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isalpha() and all(map(unicodedata.combining, d[1:]))]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, PLAIN = _folding()
+MARKS = r"[\u0300-\u036f]+"
+
+
+def folded_tokens(text: Column) -> Column:
+    """Tokens without accents, as an index has them: letters with marks count as the letters, and marks that stand by
+    themselves after a letter do not end a token."""
+    low = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN)
+    return F.regexp_extract_all(F.regexp_replace(low, MARKS, ""), F.lit(TOKEN), F.lit(0))
+
+
 def term_string(toks: Column) -> Column:
     """Tokens joined so that every one stands between two spaces of its own; ``find`` counts phrases in it."""
     return F.when(F.size(toks) == 0, "").otherwise(F.concat(F.lit(" "), F.array_join(toks, "  "), F.lit(" ")))
@@ -33,30 +51,32 @@ def occurrences(terms: Column, words: list[str]) -> Column:
     return ((F.length(terms) - F.length(F.replace(terms, F.lit(pattern), F.lit("")))) / F.lit(len(pattern))).cast("int")
 
 
+_FOLD = str.maketrans(MARKED, PLAIN)
+
+
 def fold(text: str) -> str:
-    """Without combining marks: what the index's tokenizer makes of accented letters."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    """The same in Python, for lower-cased text."""
+    return regex.sub(MARKS, "", text.translate(_FOLD))
 
 
 def tokenize(text: str, stem: bool = False) -> list[str]:
     """The tokens of a query literal, as the index has them."""
-    words = regex.findall(TOKEN, text.lower())
-    return [porter(fold(w)) for w in words] if stem else words
+    words = regex.findall(TOKEN, fold(text.lower()))
+    return [porter(w) for w in words] if stem else words
+
+
+@F.pandas_udf(StringType())
+def stem_of(words: pd.Series) -> pd.Series:
+    """Porter stems of folded tokens; meant for tables of distinct ones."""
+    return words.map(porter, na_action="ignore")
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def stems(toks: pd.Series) -> pd.Series:
-    """Porter stems of token arrays, accents folded; each distinct token is stemmed once a batch."""
+    """Porter stems of arrays of folded tokens, for texts that are not indexed; each distinct token is stemmed once a
+    batch."""
     known: dict[str, str] = {}
-    out = []
-    for row in toks:
-        made = []
-        for w in row if row is not None else ():
-            if w not in known:
-                known[w] = porter(fold(w))
-            made.append(known[w])
-        out.append(made)
-    return pd.Series(out)
+    return toks.map(lambda row: [known[w] if w in known else known.setdefault(w, porter(w)) for w in (row if row is not None else ())])
 
 
 _VOWELS = frozenset("aeiou")

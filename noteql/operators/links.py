@@ -20,16 +20,38 @@ def lookup_key(text: Column) -> Column:
     return F.lower(F.replace(F.trim(text), F.lit("\\"), F.lit("/")))
 
 
+def target_keys(notes: DataFrame) -> DataFrame:
+    """(kind, target_key, note_id): what links can name the notes (note_id, title, aliases) by, folded: id, title, alias."""
+    row = lambda kind, name: F.struct(F.lit(kind).alias("kind"), lookup_key(name).alias("target_key"))
+    named = F.concat(F.array(row("id", F.col("note_id")), row("title", F.col("title"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: row("alias", x)))
+    return notes.select(F.inline(named), "note_id").where("target_key is not null").distinct()
+
+
+def sets_of(keys: DataFrame) -> dict[str, DataFrame]:
+    """Look-up tables from target keys: by exact id, by folded id, by title, by alias, one row a key."""
+    of = lambda kind: keys.where(F.col("kind") == kind)
+    one = lambda kind: of(kind).groupBy(F.col("target_key").alias("k")).agg(F.min("note_id").alias(f"{kind}_id"), F.countDistinct("note_id").alias(f"{kind}_n"))
+    return {"exact": of("id").select(F.col("note_id").alias("k"), F.col("note_id").alias("exact_id")).distinct()} | {kind: one(kind) for kind in ("id", "title", "alias")}
+
+
 def target_sets(notes: DataFrame) -> dict[str, DataFrame]:
-    """Look-up tables from notes (note_id, title, aliases): by folded id, by title, by alias that one note claims."""
-    titled = notes.where(F.col("title").isNotNull()).select(lookup_key(F.col("title")).alias("k"), "note_id")
-    named = notes.select(F.explode("aliases").alias("alias"), "note_id").select(lookup_key(F.col("alias")).alias("k"), "note_id")
-    return {
-        "exact": notes.select(F.col("note_id").alias("k"), F.col("note_id").alias("exact_id")).distinct(),
-        "id": notes.select(lookup_key(F.col("note_id")).alias("k"), "note_id").groupBy("k").agg(F.min("note_id").alias("id_id"), F.countDistinct("note_id").alias("id_n")),
-        "title": titled.groupBy("k").agg(F.min("note_id").alias("title_id"), F.countDistinct("note_id").alias("title_n")),
-        "alias": named.groupBy("k").agg(F.min("note_id").alias("alias_id"), F.countDistinct("note_id").alias("alias_n")),
-    }
+    return sets_of(target_keys(notes))
+
+
+def link_key(target: Column) -> Column:
+    """What links are kept by: every link that a note's id, title or alias may decide has the key that ``moved_keys`` gives
+    for it."""
+    return F.coalesce(lookup_key(normalise_target(target)), lookup_key(target), F.lit(""))
+
+
+def looked_for(links: DataFrame, target: str = "target") -> DataFrame:
+    """(target_key): all that links may be decided by."""
+    return links.select(F.explode(F.array_compact(F.array(lookup_key(normalise_target(F.col(target))), lookup_key(F.col(target))))).alias("target_key")).distinct()
+
+
+def moved_keys(keys: DataFrame) -> DataFrame:
+    """(link_key) of the links that target keys may decide: an id is compared with a link's path, the others with its text."""
+    return keys.select(F.when(F.col("kind") == "id", F.col("target_key")).otherwise(link_key(F.col("target_key"))).alias("link_key")).distinct()
 
 
 def _looked_up(links: DataFrame, sets: dict[str, DataFrame], target: str) -> DataFrame:
@@ -39,10 +61,11 @@ def _looked_up(links: DataFrame, sets: dict[str, DataFrame], target: str) -> Dat
     return out
 
 
-def resolve(links: DataFrame, notes: DataFrame, target: str = "target") -> DataFrame:
+def resolve(links: DataFrame, notes: DataFrame | None, target: str = "target", sets: dict[str, DataFrame] | None = None) -> DataFrame:
     """``links`` with target_id and reason: an exact id, an id by folded case (least), a title (least), an alias that
-    exactly one note claims, or unresolved. All are equality joins on tables of one row a key."""
-    out = _looked_up(links, target_sets(notes), target)
+    exactly one note claims, or unresolved. All are equality joins on tables of one row a key, made of
+    the notes or given as ``sets``."""
+    out = _looked_up(links, sets or target_sets(notes), target)
     alias = F.when(F.col("alias_n") == 1, F.col("alias_id"))
     out = out.withColumn("target_id", F.coalesce("exact_id", "id_id", "title_id", alias))
     reason = F.when(F.coalesce("exact_id", "id_id").isNotNull(), "direct").when(F.col("title_id").isNotNull(), "title").when(alias.isNotNull(), "alias").otherwise("unresolved")

@@ -75,24 +75,30 @@ def parse_lines(lines: DataFrame, units: dict[str, list[str]] = UNITS) -> DataFr
     """
     r = lines.withColumn("v", F.try_parse_json("raw_line")).withColumn("top", F.schema_of_variant("v"))
     obj = F.startswith("top", F.lit("OBJECT"))
-    for name in FIELDS:
-        r = r.withColumn(f"k_{name}", F.when(obj, _kind(name)))
+    # Few steps, each of many columns: a plan is analysed anew for every step.
+    r = r.withColumns({f"k_{name}": F.when(obj, _kind(name)) for name in FIELDS})
     none = lambda n: F.col(f"k_{n}").isNull() | (F.col(f"k_{n}") == "VOID")
-    for name in ("id", "key", "source", "unit", "origin_id", "note", "ts", "date"):
-        r = r.withColumn(name, F.nullif(_string(name), F.lit("")))
     numeric = F.col("k_value").rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
-    r = r.withColumn("value", F.when(numeric, F.try_variant_get("v", "$.value", "double")))
-    r = r.withColumn("ts_utc", F.when(F.col("ts").rlike(TIMESTAMP), F.try_to_timestamp(F.upper("ts"))))
-    r = r.withColumn("date_text", F.col("date")).withColumn("date", F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("date")))
-    r = r.withColumn("context_json", F.when(F.startswith("k_context", F.lit("OBJECT")), F.to_json(F.try_variant_get("v", "$.context", "variant"))))
     tags = F.when(F.startswith("k_tags", F.lit("ARRAY")), F.try_variant_get("v", "$.tags", "array<variant>"))
-    r = r.withColumn("tags_v", tags)
+    allowed = F.create_map(*[x for k, v in units.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    r = r.withColumns(
+        {name: F.nullif(_string(name), F.lit("")) for name in ("id", "key", "source", "unit", "origin_id", "note", "ts", "date")}
+        | {
+            "value": F.when(numeric, F.try_variant_get("v", "$.value", "double")),
+            "context_json": F.when(F.startswith("k_context", F.lit("OBJECT")), F.to_json(F.try_variant_get("v", "$.context", "variant"))),
+            "tags_v": tags,
+            "extra": F.when(obj, F.array_sort(F.array_except(F.json_object_keys("raw_line"), F.array(*map(F.lit, FIELDS))))),
+        }
+    )
     tags_ok = ~F.exists("tags_v", lambda x: F.coalesce(F.schema_of_variant(x), F.lit("")) != "STRING")
     texts = F.transform("tags_v", lambda x: F.trim(F.try_variant_get(x, "$", "string")))
-    r = r.withColumn("tags", F.when(tags_ok, F.array_sort(F.array_distinct(F.filter(texts, lambda t: t != "")))))
-    r = r.withColumn("extra", F.when(obj, F.array_sort(F.array_except(F.json_object_keys("raw_line"), F.array(*map(F.lit, FIELDS))))))
-    allowed = F.create_map(*[x for k, v in units.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    r = r.withColumn("units", F.try_element_at(allowed, F.col("key")))
+    r = r.withColumns({
+        "ts_utc": F.when(F.col("ts").rlike(TIMESTAMP), F.try_to_timestamp(F.upper("ts"))),
+        "date_text": F.col("date"),
+        "date": F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("date")),
+        "tags": F.when(tags_ok, F.array_sort(F.array_distinct(F.filter(texts, lambda t: t != "")))),
+        "units": F.try_element_at(allowed, F.col("key")),
+    })
     checks = []
     for name, code in (("id", "invalid_id"), ("ts", "invalid_ts"), ("key", "invalid_key"), ("value", "invalid_value"), ("source", "invalid_source")):
         checks.append(_bad(obj & none(name), code, name, f"missing required field {name}"))

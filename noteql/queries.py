@@ -53,7 +53,7 @@ def note_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def kept(spark: SparkSession, path: str, name: str, tables: Callable[[], dict[str, DataFrame]]) -> incremental.Catalog:
+def kept(spark: SparkSession, path: str, name: str, tables: Callable[[Callable], dict[str, DataFrame]]) -> incremental.Catalog:
     """An index in the shared folder, named by the state of the files it is of and what makes it: it is built for the
     first question and read by all others. Indexes of the same name of files that are no more go."""
     folder, top = incremental.shared_folder(spark), f"noteql-index-{name}-{hashlib.sha256(path.encode()).hexdigest()[:12]}"
@@ -61,7 +61,7 @@ def kept(spark: SparkSession, path: str, name: str, tables: Callable[[], dict[st
     catalog = incremental.Catalog(spark, f"{folder}/{top}/{state}", parts=max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     if catalog.version == 0:
         try:
-            catalog.commit(tables(), based_on=0)
+            catalog.commit(tables(catalog.part), based_on=0)
         except incremental.Conflict:  # built by somebody else meanwhile
             pass
         catalog.remove_others(f"{folder}/{top}")
@@ -71,12 +71,12 @@ def kept(spark: SparkSession, path: str, name: str, tables: Callable[[], dict[st
 def indexed(spark: SparkSession, sf_dir: str) -> fts.Kept:
     """The search index of the documents."""
 
-    def made():
-        postings, lengths = fts.build(note_table(spark, sf_dir), F.col("content"), _metadata_words())
-        return {"postings": postings, "lengths": lengths}
+    def made(part):
+        postings, lengths = map(scratch.stored, fts.build(note_table(spark, sf_dir), F.col("content"), _metadata_words()))
+        terms, corpus = fts.summaries(postings, lengths, part("note_id"))
+        return {"postings": postings, "lengths": lengths, "terms": terms, "corpus": corpus}
 
-    catalog = kept(spark, f"{sf_dir}/documents.parquet", "notes", made)
-    return fts.Kept(catalog.table("postings"), catalog.table("lengths"))
+    return incremental.kept_index(kept(spark, f"{sf_dir}/documents.parquet", "notes", made), stem=False)
 
 
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def _metadata_words():
 #: The index in SQL: note_id, c and m (term strings), dl, modified.
 IDX = r"""idx AS (SELECT note_id, coalesce(array_to_string(list_transform(ct, lambda x: ' ' || x || ' '), ''), '') AS c,
  coalesce(array_to_string(list_transform(mt, lambda x: ' ' || x || ' '), ''), '') AS m, len(ct) + len(mt) AS dl, modified, doc_id FROM (
- SELECT CAST(doc_id AS VARCHAR) AS note_id, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ct,
+ SELECT CAST(doc_id AS VARCHAR) AS note_id, doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS ct,
  regexp_extract_all(lower('lang:' || lang || ' ' || lang || ' source:' || source || ' ' || source), '[\p{L}\p{N}]+') AS mt,
  to_timestamp(1704067200 + doc_id * 600) AS modified FROM documents))"""
 
@@ -392,7 +392,7 @@ def metrics_search(spark, d):
 
 def kept_records(spark, d) -> DataFrame:
     """The records of the events, kept by key and day."""
-    catalog = kept(spark, f"{d}/events.parquet", "records", lambda: {"metric_rows": metrics.clustered(event_records(spark, d))})
+    catalog = kept(spark, f"{d}/events.parquet", "records", lambda _: {"metric_rows": metrics.clustered(event_records(spark, d))})
     return catalog.table("metric_rows")
 
 

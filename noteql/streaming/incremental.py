@@ -10,26 +10,32 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from noteql.functions import extract
 from noteql.functions.dates import QueryError
 from noteql.operators import fts, links, metrics
 from noteql.scratch import shared_folder, stored
 from noteql.sources import files
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 5
 #: Parts of every table of a new index.
 PARTS = 32
 #: How the rows of a part come, so that a scan for a term, or for a key and a span of days, reads few row groups.
-ORDER = ("term", "key_lower", "key", "day", "note_id")
-#: Versions whose files stay for readers that are still at them.
-KEPT_VERSIONS = 4
+ORDER = ("term", "cls", "link_key", "target_key", "key_lower", "key", "day", "note_id")
+#: What the part of a row is told by: the first of these columns that there is.
+BY = ("link_key", "target_key", "note_id", "source_id", "source_file")
+#: Versions whose files stay for readers that are still at them, and how long those of no version stay that another
+#: commit may be writing.
+KEPT_VERSIONS, KEPT_MS = 4, 24 * 3600 * 1000
 
 
 class Conflict(QueryError):
@@ -72,52 +78,88 @@ class Catalog:
         """The part that rows with this id belong to."""
         return F.pmod(F.xxhash64(F.col(name)), F.lit(self._pointer()["parts"])).cast("int")
 
-    def table(self, name: str) -> DataFrame | None:
+    def table(self, name: str, parts: list[int] | None = None) -> DataFrame | None:
+        """A table, or some of its parts; files of the others are not looked at."""
         current = self._pointer()["tables"].get(name)
-        if current is None:
-            return None
-        schema = StructType.fromJson(current["schema"])
-        reader = self.spark.read.schema(schema)
-        folders = sorted(f"{self.path}/{f}" for f in current["parts"].values())
-        return reader.parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-
-    def commit(self, tables: dict[str, DataFrame], changed: dict[str, list[int]] | None = None, based_on: int | None = None) -> int:
-        """A new version with these tables. For tables named in ``changed`` only those parts are written, of the rows
-        given, and the others stay; other tables are written whole. Raises Conflict if the version is not the one after
-        ``based_on``, or if another writer was first."""
+        return None if current is None else self.read(current, parts)
+
+    def read(self, entry: dict, parts: list[int] | None = None) -> DataFrame:
+        schema = StructType.fromJson(entry["schema"])
+        folders = sorted(f"{self.path}/{f}" for p, f in entry["parts"].items() if parts is None or int(p) in set(parts))
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def write(self, name: str, df: DataFrame, parts: list[int] | None = None) -> dict:
+        """Writes a table, or some parts of it, of the rows given; the others stay as they are. What it returns becomes
+        the table by a commit, and can be read before."""
+        current, folder = self._pointer(), f"{name}-{uuid.uuid4().hex}"
+        by = next((c for c in BY if c in df.columns), "part")
+        placed = df if by == "part" else df.drop("part").withColumn("part", F.pmod(F.xxhash64(by), F.lit(current["parts"])).cast("int"))
+        order = [c for c in ORDER if c in df.columns] or [by]
+        # A large part goes to several tasks and small ones share one, by their bytes; each task sorts its rows.
+        placed = placed.hint("rebalance", F.col("part")).sortWithinPartitions("part", *order)
+        placed.write.partitionBy("part").parquet(f"{self.path}/{folder}")
+        made = {f.getPath().getName()[5:]: f"{folder}/{f.getPath().getName()}" for f in self._fs.globStatus(self._at(folder, "part=*")) or ()}
+        before = current["tables"].get(name, {"parts": {}})["parts"]
+        kept = {} if parts is None else {p: f for p, f in before.items() if int(p) not in set(parts)}
+        return {"parts": kept | made, "schema": df.drop("part").schema.jsonValue()}
+
+    def commit(self, tables: dict[str, DataFrame | dict], changed: dict[str, list[int]] | None = None, based_on: int | None = None, notes: dict | None = None) -> int:
+        """A new version with these tables, given as rows or as ``write`` returned them. For tables named in ``changed``
+        only those parts are written, of the rows given, and the others stay; other tables are written whole. ``notes``
+        are kept in the version, by name. Raises Conflict if the version is not the one after ``based_on``, or if
+        another writer was first; what was written for it goes then."""
         current = self._pointer()
-        if based_on is not None and current["version"] != based_on:
-            raise Conflict(f"version {current['version']} was committed meanwhile")
-        for name, df in tables.items():
-            folder = f"{name}-{uuid.uuid4().hex}"
-            by = next(c for c in ("note_id", "source_id", "source_file") if c in df.columns)
-            placed = df.drop("part").withColumn("part", F.pmod(F.xxhash64(by), F.lit(current["parts"])).cast("int"))
-            order = [c for c in ORDER if c in df.columns] or [by]
-            # A part goes to a few tasks, each of which sorts its rows.
-            placed = placed.repartition("part", F.pmod(F.xxhash64(F.lit(3), *order), F.lit(4))).sortWithinPartitions("part", *order)
-            placed.write.partitionBy("part").parquet(f"{self.path}/{folder}")
-            made = {f.getPath().getName()[5:]: f"{folder}/{f.getPath().getName()}" for f in self._fs.globStatus(self._at(folder, "part=*")) or ()}
-            only = (changed or {}).get(name)
-            before = current["tables"].get(name, {"parts": {}})["parts"]
-            kept = {} if only is None else {p: f for p, f in before.items() if int(p) not in set(only)}
-            current["tables"][name] = {"parts": kept | made, "schema": df.drop("part").schema.jsonValue()}
-        current["version"] += 1
-        self._write(current)
+        base, made = current["version"], []
+        try:
+            if based_on is not None and base != based_on:
+                raise Conflict(f"version {base} was committed meanwhile")
+            for name, df in tables.items():
+                entry = df if isinstance(df, dict) else self.write(name, df, (changed or {}).get(name))
+                before = set(current["tables"].get(name, {"parts": {}})["parts"].values())
+                made += [f.split("/")[0] for f in entry["parts"].values() if f not in before]
+                current["tables"][name] = entry
+            current["version"] = base + 1
+            current["notes"] = current.get("notes", {}) | (notes or {})
+            self._publish(current)
+        except Conflict:
+            for folder in set(made):
+                self._fs.delete(self._at(folder), True)
+            raise
         self.vacuum()
         return current["version"]
 
-    def _write(self, current: dict) -> None:
-        """The version file appears at once, by a rename that fails if another writer was first."""
-        draft, final = self._at(f"draft-{uuid.uuid4().hex}"), self._at(f"version-{current['version']:012d}.json")
+    def note(self, name: str):
+        """What the current version keeps by a name, if anything."""
+        return self._pointer().get("notes", {}).get(name)
+
+    def _publish(self, current: dict) -> None:
+        """The version file is created where none is: one of several writers succeeds, whatever they see before it."""
+        final, text = self._at(f"version-{current['version']:012d}.json"), json.dumps(current).encode()
         self._fs.mkdirs(self._at())
-        stream = self._fs.create(draft, False)
+        lost = Conflict(f"version {current['version']} was committed by another writer")
+        where = self._fs.makeQualified(final).toUri()
+        if where.getScheme() == "file":
+            # Complete under a name of its own first; a link to it is made at once, and fails if there is one.
+            draft = f"{where.getPath()}.{uuid.uuid4().hex}"
+            with open(draft, "xb") as f:
+                f.write(text)
+            try:
+                os.link(draft, where.getPath())
+            except FileExistsError:
+                raise lost from None
+            finally:
+                os.remove(draft)
+            return
         try:
-            stream.write(bytearray(json.dumps(current).encode()))
-        finally:
-            stream.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise Conflict(f"version {current['version']} was committed by another writer")
+            stream = self._fs.createFile(final).overwrite(False).build()
+            try:
+                stream.write(bytearray(text))
+            finally:
+                stream.close()
+        except Py4JJavaError as e:
+            if self._fs.exists(final):
+                raise lost from e
+            raise
 
     def remove_others(self, folder: str) -> int:
         """Remove what else is in the folder that this index is in; returns how many."""
@@ -127,13 +169,15 @@ class Catalog:
             self._fs.delete(path, True)
         return len(others)
 
-    def vacuum(self, keep: int = KEPT_VERSIONS) -> int:
-        """Remove the version files but the last ones and the folders that those do not name; returns how many."""
+    def vacuum(self, keep: int = KEPT_VERSIONS, age_ms: int = KEPT_MS) -> int:
+        """Remove the version files but the last ones, the folders that those of the removed alone name, and folders of
+        no version that are older than ``age_ms``, which commits that failed have left; returns how many."""
         versions = self._versions()
-        named = {f.split("/")[0] for v in versions[-keep:] for t in self._pointer(v)["tables"].values() for f in t["parts"].values()}
-        old = [self._at(f"version-{v:012d}.json") for v in versions[:-keep]]
-        used = {f.split("/")[0] for v in versions[:-keep] for t in self._pointer(v)["tables"].values() for f in t["parts"].values()}
-        old += [self._at(f) for f in used - named]
+        folders = lambda some: {f.split("/")[0] for v in some for t in self._pointer(v)["tables"].values() for f in t["parts"].values()}
+        named, used = folders(versions[-keep:]), folders(versions[:-keep])
+        now = self._jvm.java.lang.System.currentTimeMillis()
+        stray = [f.getPath() for f in self._fs.listStatus(self._at()) if f.isDirectory() and re.fullmatch(r"[a-z_]+-[0-9a-f]{32}", f.getPath().getName()) and f.getPath().getName() not in named | used and now - f.getModificationTime() > age_ms]
+        old = [self._at(f"version-{v:012d}.json") for v in versions[:-keep]] + [self._at(f) for f in used - named] + stray
         for path in old:
             self._fs.delete(path, True)
         return len(old)
@@ -203,55 +247,83 @@ def remove_note(index: DataFrame, edges: DataFrame, vectors: DataFrame, note_id:
     return index.where(F.col("note_id") != note_id), kept, vectors.where(F.col("note_id") != note_id)
 
 
-def targets_changed(before: DataFrame, after: DataFrame) -> bool:
-    """Whether what links can lead to (ids, titles, aliases) differs."""
-    cols = ["note_id", "title", "aliases"]
-    a, b = before.select(cols), after.select(cols)
-    return not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty())
+def _parts(catalog: Catalog, **columns: Column | DataFrame) -> dict[str, list[int]]:
+    """The parts that the rows of each table (of one column) are in. One job; at most as many rows as there are parts."""
+    every = None
+    for name, df in columns.items():
+        rows = df.select(F.lit(name).alias("name"), catalog.part(df.columns[0]).alias("part"))
+        every = rows if every is None else every.unionByName(rows)
+    found = every.distinct().collect()
+    return {name: sorted(r.part for r in found if r.name == name) for name in columns}
 
 
-def reindex(catalog: Catalog, notes: DataFrame, scopes: list[str] | None = None, force: bool = False) -> dict[str, int]:
-    """One pass: plan, apply, and resolve links anew if their targets changed, else those of changed notes alone. The
-    notes, links, terms and lengths of the parts that changed notes are in are written anew, all else stays.
+def reindex(catalog: Catalog, notes: DataFrame, scopes: list[str] | None = None, force: bool = False, again: Callable[[DataFrame], DataFrame] | None = None, marks: dict | None = None) -> dict[str, int]:
+    """One pass: what is to be added, updated and removed, and a commit of the parts that this touches.
+
+    Notes, terms and lengths are rewritten in the parts of changed notes. Links are kept by their look-up keys, and so is
+    what they can lead to: keys that changed notes gain or lose are a delta, and the links of those keys, found in
+    their parts alone, are resolved again, as are those of changed notes. ``again`` reads the notes of some ids (column
+    note_id) anew, so that of the others nothing but their fingerprints is made. ``marks`` are kept in the version.
     Returns the number of notes by action; nothing is written if nothing is to be done."""
-    notes = fingerprinted(notes)
-    version = catalog.version
-    index = catalog.table("notes")
+    states = fingerprinted(notes)
+    version, index = catalog.version, catalog.table("notes")
     first = index is None
+    actions = stored(plan(states, states.limit(0) if first else index, scopes, force))
+    counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
+    if not counts:
+        return {}
+    ids, changed = actions.select("note_id"), actions.where("action <> 'remove'").select("note_id")
+    fresh = fingerprinted(again(changed)) if again is not None else states.join(changed, "note_id", "left_semi")
+    parts = None if first else _parts(catalog, notes=ids)["notes"]
+    here = lambda name: catalog.table(name, parts)
     if first:
-        index = notes.limit(0)
-    actions = plan(notes, index, scopes, force).persist()
-    try:
-        counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
-        if not counts:
-            return {}
-        # At most as many as there are parts.
-        parts = [r.part for r in actions.select(catalog.part("note_id").alias("part")).distinct().collect()]
-        here = lambda df, name="note_id": df.where(catalog.part(name).isin(parts))
-        after = apply(index, notes, actions)
-        old = catalog.table("edges")
-        everywhere = old is None or targets_changed(index, after)
-        if old is None:
-            edges = links.edges_of(after)
-        else:
-            # Links of notes that did not change are as they were written, though they may lead elsewhere now.
-            kept = (old if everywhere else here(old, "source_id")).join(actions.select(F.col("note_id").alias("source_id")), "source_id", "left_anti")
-            edited = after.join(actions.where("action <> 'remove'").select("note_id"), "note_id", "left_semi")
-            made = links.resolve(links.extract_links(edited), after)
-            edges = (links.refresh(kept, after)[0] if everywhere else kept).select(*made.columns).unionByName(made)
-        changed = {} if first else {n: parts for n in ("notes", "postings", "lengths", *([] if everywhere else ["edges"]))}
-        # Terms of changed notes are made anew, those of their neighbours in a part are taken over.
-        fresh = after.join(actions.where("action in ('add', 'update')").select("note_id"), "note_id", "left_semi")
-        postings, lengths = fts.build(fresh, extract.content_document(F.col("note_id"), F.col("title"), F.col("content")), extract.metadata_document(F.col("metadata_json")), stem=True)
-        postings, lengths = postings.drop("part"), lengths.drop("part")
-        if not first and catalog.table("postings") is not None:
-            gone = actions.select("note_id")
-            postings = here(catalog.table("postings")).join(gone, "note_id", "left_anti").unionByName(postings)
-            lengths = here(catalog.table("lengths")).join(gone, "note_id", "left_anti").unionByName(lengths)
-        catalog.commit({"notes": after if first else here(after), "edges": edges, "postings": postings, "lengths": lengths}, changed, version)
-        return counts
-    finally:
-        actions.unpersist()
+        entry = {"notes": catalog.write("notes", fresh)}
+    else:
+        was = stored(here("notes").join(ids, "note_id", "left_semi"))
+        born = was.select("note_id", F.col("created_at").alias("born"))
+        fresh = fresh.join(born, "note_id", "left").withColumn("created_at", F.coalesce("born", "created_at")).drop("born")
+        entry = {"notes": catalog.write("notes", here("notes").join(ids, "note_id", "left_anti").unionByName(fresh.select(*index.columns)), parts)}
+    # From here on changed notes are read as they were written.
+    fresh = catalog.read(entry["notes"], parts).join(changed, "note_id", "left_semi")
+    # Links and terms have nothing to do with each other, so their jobs run side by side.
+    with ThreadPoolExecutor(2) as pool:
+        made = [pool.submit(_link_tables, catalog, None if first else was, fresh, ids), pool.submit(_term_tables, catalog, fresh, ids, parts)]
+        for m in made:
+            entry |= m.result()
+    catalog.commit(entry, None, version, marks)
+    return counts
+
+
+def _link_tables(catalog: Catalog, was: DataFrame | None, fresh: DataFrame, ids: DataFrame) -> dict[str, dict]:
+    """Target keys and links with changed notes as they are now instead of as they were."""
+    found = stored(links.extract_links(fresh).withColumn("link_key", links.link_key(F.col("target"))))
+    if was is None:
+        targets = catalog.write("targets", links.target_keys(fresh))
+        return {"targets": targets, "edges": catalog.write("edges", links.resolve(found, None, sets=links.sets_of(catalog.read(targets))))}
+    before, after = links.target_keys(was), links.target_keys(fresh)
+    delta = stored(before.exceptAll(after).unionByName(after.exceptAll(before)))
+    left = links.extract_links(was).select(links.link_key(F.col("target")).alias("link_key"))
+    moved = links.moved_keys(delta)
+    at = _parts(catalog, targets=delta.select("target_key"), edges=left.unionByName(found.select("link_key")).unionByName(moved))
+    kept = catalog.table("targets", at["targets"]).join(ids, "note_id", "left_anti")
+    mine = after.where(catalog.part("target_key").isin(at["targets"]))
+    targets = catalog.write("targets", kept.unionByName(mine.select(kept.columns)), at["targets"])
+    others = catalog.table("edges", at["edges"]).join(ids.withColumnRenamed("note_id", "source_id"), "source_id", "left_anti")
+    again = stored(others.join(moved, "link_key", "left_semi").select(found.columns).unionByName(found))
+    keys = catalog.read(targets, _parts(catalog, keys=links.looked_for(again))["keys"])
+    resolved = links.resolve(again, None, sets=links.sets_of(keys))
+    return {"targets": targets, "edges": catalog.write("edges", others.join(moved, "link_key", "left_anti").select(resolved.columns).unionByName(resolved), at["edges"])}
+
+
+def _term_tables(catalog: Catalog, fresh: DataFrame, ids: DataFrame, parts: list[int] | None) -> dict[str, dict]:
+    """Terms of changed notes are made anew, those of their neighbours in a part are taken over."""
+    postings, lengths = fts.build(fresh, extract.content_document(F.col("note_id"), F.col("title"), F.col("content")), extract.metadata_document(F.col("metadata_json")), stem=True)
+    if parts is not None:
+        kept = lambda name: catalog.table(name, parts).join(ids, "note_id", "left_anti")
+        postings, lengths = kept("postings").unionByName(postings), kept("lengths").unionByName(lengths)
+    out = {"postings": catalog.write("postings", postings, parts), "lengths": catalog.write("lengths", lengths, parts)}
+    terms, corpus = fts.summaries(catalog.read(out["postings"], parts), catalog.read(out["lengths"], parts), catalog.part("note_id"))
+    return out | {"terms": catalog.write("terms", terms, parts), "corpus": catalog.write("corpus", corpus, parts)}
 
 
 def reindex_metrics(catalog: Catalog, logs: DataFrame, root: str, force: bool = False, size: int = files.RANGE) -> dict[str, int]:
@@ -286,9 +358,9 @@ def reindex_metrics(catalog: Catalog, logs: DataFrame, root: str, force: bool =
     return counts
 
 
-def kept_index(catalog: Catalog) -> fts.Kept | None:
-    postings, lengths = catalog.table("postings"), catalog.table("lengths")
-    return None if postings is None or lengths is None else fts.Kept(postings, lengths, stem=True)
+def kept_index(catalog: Catalog, stem: bool = True) -> fts.Kept | None:
+    tables = [catalog.table(n) for n in ("postings", "lengths", "terms", "corpus")]
+    return None if any(t is None for t in tables) else fts.Kept(*tables, stem=stem)
 
 
 def model_changed(meta: dict | None, model: dict) -> bool:
@@ -371,17 +443,57 @@ class ChangeSource(DataSource):
         return _ChangeReader(dict(self.options))
 
 
-def watch(spark: SparkSession, root: str, handle: Callable[[list[str]], None], checkpoint: str, trigger: dict | None = None):
-    """Calls ``handle`` with the changed paths of every batch. A batch that fails is reported and the stream goes on."""
+FAILED = "relative_path string, error string, tries int"
+
+
+def watch(spark: SparkSession, root: str, handle: Callable[[list[str]], None], checkpoint: str, trigger: dict | None = None, catalog: Catalog | None = None):
+    """Calls ``handle`` with the changed paths of every batch.
+
+    With a catalogue each batch counts once: its number is kept in a version of the index, and a batch that comes again
+    after that, as its stream was stopped before it could say that it was done, does nothing. The paths of a batch that
+    fails are kept as issues (table ``failed``: relative_path, error, tries), the stream goes on, and they are tried
+    again with the next batch."""
     spark.dataSource.register(ChangeSource)
 
     def batch(df: DataFrame, number: int) -> None:
-        paths = [r.relative_path for r in df.dropDuplicates().collect()]
-        if paths:
-            try:
-                handle(paths)
-            except Exception as e:  # noqa: BLE001  the stream outlives a bad batch
-                print(f"batch {number} failed: {e}")
+        run_batch(catalog, handle, checkpoint, number, [r.relative_path for r in df.dropDuplicates().collect()])
 
     writer = spark.readStream.format("changes").option("path", root).option("state", os.path.join(checkpoint, "snapshots")).load().writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """The name of a stream for its batches: the id that its checkpoint folder gives it, which a new one would not have."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint, "metadata")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return checkpoint
+    stream = fs.open(path)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["id"]
+    finally:
+        stream.close()
+
+
+def run_batch(catalog: Catalog | None, handle: Callable[[list[str]], None], checkpoint: str, number: int, paths: list[str]) -> bool:
+    """One batch of a stream; returns whether it was handled now."""
+    if catalog is None:
+        if paths:
+            handle(paths)
+        return bool(paths)
+    name = f"batch:{stream_name(catalog.spark, checkpoint)}"
+    done, failed = catalog.note(name), catalog.table("failed")
+    if done is not None and done >= number:
+        return False
+    open_ = {} if failed is None else {r.relative_path: r.tries for r in failed.collect()}
+    todo = sorted({*paths, *open_})
+    if not todo:
+        return False
+    try:
+        handle(todo)
+        rows, handled = [], True
+    except Exception as e:  # noqa: BLE001  the stream outlives a bad batch
+        rows, handled = [(p, f"{type(e).__name__}: {e}"[:2000], open_.get(p, 0) + 1) for p in todo], False
+    tables = {"failed": catalog.spark.createDataFrame(rows, FAILED).withColumn("part", F.lit(0))} if rows or open_ else {}
+    catalog.commit(tables, notes={name: number})
+    return handled

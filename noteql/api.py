@@ -113,7 +113,7 @@ class Workspace:
     def knowledge(self) -> context.Knowledge:
         logs = self.catalog.table("metric_files")
         logs = None if logs is None else logs.withColumnRenamed("source_file", "relative_path")
-        return context.Knowledge(self.notes, self.records, self.edges, self.catalog.table("vectors"), metrics.issues(self.parsed), logs, self.catalog.table("metric_days"))
+        return context.Knowledge(self.notes, self.records, self.edges, self.catalog.table("vectors"), metrics.issues(self.parsed), logs, self.catalog.table("metric_days"), kept_index(self.catalog))
 
     # Search
 

@@ -12,7 +12,7 @@ from datetime import date, datetime, timedelta
 from noteql.functions import extract
 from noteql.functions.dates import Bound, DateRange, QueryError, add_months, day_range, midnight
 from noteql.functions.text import has_phrase
-from noteql.operators import links, metrics
+from noteql.operators import fts, links, metrics
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +34,8 @@ class Knowledge:
     """notes: note_id, title, content, relative_path, file_modified_at, created_at, and any more (metadata_json counts
     among what a note says). records and edges as made by the metrics and links operators; vectors, issues of metric
     rows files (relative_path, file_modified_at, and any more) and days,
-    the daily parts of the records (``metrics.daily_parts``), are optional. noise: names of files that instruct
+    the daily parts of the records (``metrics.daily_parts``), are optional, and so is the kept index of the notes'
+    ``extract.content_document`` and ``metadata_document``, by which notes that mention something are found. noise: names of files that instruct
     programs."""
 
     notes: DataFrame
@@ -44,6 +45,7 @@ class Knowledge:
     issues: DataFrame | None = None
     files: DataFrame | None = None
     days: DataFrame | None = None
+    index: fts.Kept | None = None
     noise: tuple[str, ...] = extract.NOISE
 
 
@@ -141,6 +143,24 @@ def attention(issue_rows: DataFrame, edges: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+#: So many notes are read by their ids; if there are more, they are joined.
+CANDIDATES = 2000
+
+
+def may_say(k: Knowledge, notes: DataFrame, phrases: list[str]) -> DataFrame:
+    """Notes that may say one of the phrases, words that follow each other, in any case or inflection: by the words' positions in the kept index, so that
+    no other texts are read; all notes, if there is no index. Notes with marks or signs that the index and a literal
+    reading take apart differently are always among them. What they do say is for the caller to look up in their texts."""
+    terms = [t for t in map(fts.Term, phrases) if fts.words_of([t], k.index.stem)] if k.index is not None else []
+    if k.index is None:
+        return notes
+    rows = k.index.rows(fts.words_of(terms, k.index.stem) | {fts.IRREGULAR})
+    test = metrics.any_of([F.map_contains_key("hits", F.lit(fts.IRREGULAR)), *[fts.frequency(t, k.index.stem, True) > 0 for t in terms]])
+    ids = rows.where(test).select("note_id")
+    few = [r.note_id for r in ids.limit(CANDIDATES + 1).collect()]
+    return notes.where(F.col("note_id").isin(few)) if len(few) <= CANDIDATES else notes.join(ids, "note_id", "left_semi")
+
+
 def _tiers(tiers: list) -> DataFrame:
     """Rows (note_id, times, kind, tier, reason, confidence) of several (notes, kind, reason, confidence)."""
     every = None
@@ -161,10 +181,15 @@ def _note_evidence(tiers: list, target: DataFrame, limit: int) -> DataFrame:
     return prune(best_evidence(every, "note_id", "file_modified_at"), "note_id", "file_modified_at", limit).drop("tier")
 
 
-def _mentioned(notes: DataFrame, text: Column, what: DataFrame, found: Column) -> DataFrame:
-    """(note_id, ref): what of the distinct ``ref`` in ``what`` each note mentions. Ids alone are shuffled."""
-    refs = notes.select("note_id", "file_modified_at", "created_at", F.explode(found).alias("ref"))
-    return refs.join(what.select("ref").distinct(), "ref", "left_semi")
+def _mentioned(k: Knowledge, notes: DataFrame, what: DataFrame, kind: str) -> DataFrame:
+    """(note_id, ref): what of the distinct ``ref`` in ``what`` each note mentions, ``kind`` being that of the index's terms.
+    The index knows it; without one it is looked for in the texts. Ids alone are shuffled."""
+    if k.index is None:
+        said_ = said(notes, True)
+        refs = notes.select("note_id", "file_modified_at", "created_at", F.explode(extract.metric_keys(said_) if kind == fts.KEY else extract.metric_refs(said_)).alias("ref"))
+        return refs.join(what.select("ref").distinct(), "ref", "left_semi")
+    refs = k.index.postings.where(F.startswith("term", F.lit(kind))).select("note_id", F.substring("term", len(kind) + 1, 1 << 30).alias("ref"))
+    return refs.join(what.select("ref").distinct(), "ref", "left_semi").join(notes.select("note_id", "file_modified_at", "created_at"), "note_id")
 
 
 def notes_for_metric(k: Knowledge, target: DataFrame, limit: int = NOTE_LIMIT) -> DataFrame:
@@ -175,14 +200,13 @@ def notes_for_metric(k: Knowledge, target: DataFrame, limit: int = NOTE_LIMIT) -
     key = target.agg(F.min("key").alias("key")).first().key
     if key is None or limit < 1:
         return _note_evidence([(notes.limit(0), EXPLICIT, F.lit(""), None)], target, max(1, limit))
-    everything = said(notes, True)
-    by_ref = _mentioned(notes, everything, target.select(F.col("id").alias("ref")), extract.metric_refs(everything))
-    by_key = notes.where(F.array_contains(extract.metric_keys(everything), key.lower()))
+    by_ref = _mentioned(k, notes, target.select(F.col("id").alias("ref")), fts.REFERENCE)
+    by_key = _mentioned(k, notes, target.limit(1).select(F.lit(key.lower()).alias("ref")), fts.KEY)
     tiers = [
         (by_ref, EXPLICIT, F.concat(F.lit("Note explicitly references matching metric record `metric:"), "ref", F.lit("`")), None),
         (by_key, EXPLICIT, F.lit(f"Note explicitly mentions metric key `{key}`"), None),
         (daily_notes(notes, target.select(F.col("date").alias("day")).where("day is not null")), STRUCTURAL, F.lit("Same day as metric activity"), None),
-        (notes.where(has_phrase(said(notes), F.lit(key))), INFERRED, F.lit("Note text matches metric key"), 0.35),
+        (may_say(k, notes, [key]).where(has_phrase(said(notes), F.lit(key))), INFERRED, F.lit("Note text matches metric key"), 0.35),
     ]
     return _note_evidence(tiers, target, limit)
 
@@ -191,11 +215,9 @@ def notes_for_source(k: Knowledge, source: str, target: DataFrame, limit: int =
     """Notes that mention a source, notes of a date it has records for, and notes that mention one of its keys, the last
     within 45 days of the records if there is any stronger evidence."""
     notes = without_noise(k.notes, k.noise)
-    everything = said(notes, True)
-    keys = target.select(F.lower("key").alias("ref"))
-    mention = _mentioned(notes, everything, keys, extract.metric_keys(everything))
+    mention = _mentioned(k, notes, target.select(F.lower("key").alias("ref")), fts.KEY)
     tiers = [
-        (notes.where(has_phrase(said(notes), F.lit(source))), EXPLICIT, F.lit(f"Note explicitly mentions source `{source}`"), None),
+        (may_say(k, notes, [source]).where(has_phrase(said(notes), F.lit(source))), EXPLICIT, F.lit(f"Note explicitly mentions source `{source}`"), None),
         (daily_notes(notes, target.select(F.col("date").alias("day")).where("day is not null")), STRUCTURAL, F.lit("Same day as source metric activity"), None),
         (mention, INFERRED, F.concat(F.lit("Note text mentions metric key `"), "ref", F.lit(f"` emitted by source `{source}`")), 0.3),
     ]

@@ -18,7 +18,7 @@ from functools import reduce
 
 from noteql.functions import extract
 from noteql.functions.dates import DateRange, QueryError
-from noteql.functions.text import folded_tokens, occurrences, stem_of, stems, term_string, tokenize, tokens
+from noteql.functions.text import MARKS, folded_tokens, occurrences, stem_of, stems, term_string, tokenize, tokens
 from noteql.plans.query import And, Or, ParsedQuery, Term, parse
 from noteql.scratch import stored
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,9 @@ K1, B = 1.2, 0.75
 DEFAULT_LIMIT = 10
 COLUMNS = ("content_terms", "metadata_terms")
 FIELDS = ("content", "metadata")
+#: Terms that are no tokens: of notes with marks, or signs of private use, that tokens keep together; and of the metric
+#: keys and records that a note mentions, which patterns find whatever stands around them.
+IRREGULAR, KEY, REFERENCE = "\0", "\0key:", "\0ref:"
 #: Classes of note lengths for every doubling.
 CLASSES = 4
 
@@ -91,13 +94,19 @@ class Kept:
         return out
 
 
-def build(notes: DataFrame, content: Column, metadata: Column, stem: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of notes (note_id, file_modified_at, created_at). A note's text is shuffled once, whole, and
+def mentions(said: Column) -> Column:
+    """The terms of what a text mentions."""
+    return F.concat(F.transform(extract.metric_keys(said), lambda x: F.concat(F.lit(KEY), x)), F.transform(extract.metric_refs(said), lambda x: F.concat(F.lit(REFERENCE), x)))
+
+
+def build(notes: DataFrame, content: Column, metadata: Column, stem: bool = False, said: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of notes (note_id, file_modified_at, created_at); ``said`` is the text whose mentions count. A note's text is shuffled once, whole, and
     its tokens are grouped where it is. Stems are made of the distinct terms, in a table of their own."""
-    placed = notes.repartition("note_id").select("note_id", "file_modified_at", "created_at", folded_tokens(content).alias("content"), folded_tokens(metadata).alias("metadata"))
+    odd = F.when(F.concat_ws(" ", content, metadata).rlike(MARKS + r"|\p{Co}"), F.array(F.lit(IRREGULAR))).otherwise(F.array().cast("array<string>"))
+    placed = notes.repartition("note_id").select("note_id", "file_modified_at", "created_at", F.concat(odd, mentions(F.coalesce(said, F.lit("")) if said is not None else F.lit(""))).alias("odd"), folded_tokens(content).alias("content"), folded_tokens(metadata).alias("metadata"))
     lengths = placed.select("note_id", (F.size("content") + F.size("metadata")).alias("dl"), "file_modified_at", "created_at")
     of_note = ("note_id", "dl", "file_modified_at", "created_at")
-    fields = F.explode(F.create_map(F.lit("content"), "content", F.lit("metadata"), "metadata")).alias("field", "tokens")
+    fields = F.explode(F.create_map(F.lit("content"), "content", F.lit("metadata"), "metadata", F.lit("odd"), "odd")).alias("field", "tokens")
     each = placed.withColumn("dl", F.size("content") + F.size("metadata")).select(*of_note, fields).select(*of_note, "field", F.posexplode("tokens").alias("position", "term"))
     at = lambda c: F.sort_array(F.collect_list(F.when(F.col("field") == c, F.col("position")))).alias(c)
     postings = each.groupBy("note_id", "term").agg(*[F.first(c).alias(c) for c in of_note[1:]], *map(at, FIELDS))

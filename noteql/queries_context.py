@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from datetime import date
 
+from noteql import scratch
 from noteql.functions import extract, text
 from noteql.functions.dates import Bound, DateRange, midnight
 from noteql.operators import context, fts, links, metrics, mutations, notes, vectors
 from noteql.plans import query as note_query
-from noteql.queries import EDGES, IDX, NOW, PARSED, RECS, _bm25, event_lines, event_records, indexed, note_table, page_edges, page_notes, register, table, vector_table
+from noteql.queries import EDGES, IDX, NOW, PARSED, RECS, _bm25, event_lines, event_records, indexed, kept, note_table, page_edges, page_notes, register, table, vector_table
 from noteql.sources import vault
 from noteql.streaming import incremental
 from pyspark.sql import DataFrame
@@ -48,6 +49,21 @@ def knowledge(spark, d) -> context.Knowledge:
     return context.Knowledge(diary(spark, d), event_records(spark, d), page_edges(spark, d))
 
 
+def indexed_knowledge(spark, d) -> context.Knowledge:
+    """The same with the diary and its index kept, so that mentions are found by their positions."""
+
+    def made(part):
+        notes_ = diary(spark, d)
+        postings, lengths = map(scratch.stored, fts.build(notes_, extract.content_document(F.col("note_id"), F.col("title"), F.col("content")), F.lit(""), stem=True, said=context.said(notes_)))
+        terms, corpus = fts.summaries(postings, lengths, part("note_id"))
+        return {"notes": notes_, "postings": postings, "lengths": lengths, "terms": terms, "corpus": corpus}
+
+    catalog = kept(spark, f"{d}/documents.parquet", "diary", made)
+    k = knowledge(spark, d)
+    k.notes, k.index = catalog.table("notes"), incremental.kept_index(catalog)
+    return k
+
+
 #: Evidence (note_id, kind, tier, reason, day), pruned to at most %d rows; ``span`` has the target's first and last day.
 PRUNED = """, strong AS (SELECT count(*) AS n FROM ev WHERE kind < 2), best AS (SELECT * FROM ev, span, strong WHERE kind < 2 OR n = 0 OR day BETWEEN a - 45 AND b + 45 OR TRY_CAST(note_id AS DATE) BETWEEN a - 45 AND b + 45
  QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY kind, tier, reason) = 1), m AS (SELECT least(count(*), {limit}) AS s FROM best WHERE kind < 2),
@@ -62,7 +78,7 @@ PRUNED = """, strong AS (SELECT count(*) AS n FROM ev WHERE kind < 2), best AS (
  UNION ALL SELECT note_id, 1, 2, 'Same day as metric activity', NULL, day FROM diary WHERE doc_id < 30 AND TRY_CAST(note_id AS DATE) IN (SELECT bucket FROM target WHERE dated)
  UNION ALL SELECT note_id, 2, 3, 'Note text matches metric key', 0.35, day FROM diary WHERE contains(words, ' web click ')){PRUNED.format(limit=200)}""")
 def context_metric_notes(spark, d):
-    k = knowledge(spark, d)
+    k = indexed_knowledge(spark, d)
     return context.notes_for_metric(k, k.records.where("key = 'web.click' AND source = 'u1'"), 200).select("note_id", "kind", "reason", "confidence")
 
 
@@ -70,7 +86,7 @@ def context_metric_notes(spark, d):
  ev AS (SELECT note_id, 2 AS kind, 3 AS tier, 'Note text matches metric key' AS reason, 0.35::DOUBLE AS confidence, day FROM diary WHERE contains(words, ' one web ')){PRUNED.format(limit=5)}""")
 def context_metric_notes_inferred(spark, d):
     """Without stronger evidence inferred notes of any day may stay, two at most."""
-    k = knowledge(spark, d)
+    k = indexed_knowledge(spark, d)
     target = k.records.where("key = 'web.click' AND source = 'u1'").withColumns({"id": F.concat(F.lit("x"), "id"), "key": F.lit("one.web"), "date": F.lit(None).cast("date")})
     return context.notes_for_metric(k, target, 5).select("note_id", "kind", "reason", "confidence")
 
@@ -80,7 +96,7 @@ def context_metric_notes_inferred(spark, d):
  UNION ALL SELECT note_id, 1, 1, 'Same day as source metric activity', NULL, day FROM diary WHERE doc_id < 30 AND TRY_CAST(note_id AS DATE) IN (SELECT bucket FROM target WHERE dated)
  UNION ALL SELECT note_id, 2, 2, 'Note text mentions metric key `' || key || '` emitted by source `u3`', 0.3, day FROM diary JOIN (SELECT DISTINCT key FROM target) ON ((doc_id % 31 = 5 OR doc_id = 4) AND key = 'web.click') OR (doc_id = 40 AND key IN ('web.view', 'web.error'))){PRUNED.format(limit=400)}""")
 def context_source_notes(spark, d):
-    k = knowledge(spark, d)
+    k = indexed_knowledge(spark, d)
     return context.notes_for_source(k, "u3", k.records.where("source = 'u3'"), 400).select("note_id", "kind", "reason", "confidence")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
-SCHEMA_VERSION = 5
+SCHEMA_VERSION = 7
 #: Parts of every table of a new index.
 PARTS = 32
 #: How the rows of a part come, so that a scan for a term, or for a key and a span of days, reads few row groups.
@@ -47,7 +47,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
         self.spark, self.path, self.parts = spark, path, parts
-        self._jvm = spark.sparkContext._jvm
+        self._jvm, self._known = spark.sparkContext._jvm, {}
         self._fs = self._at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _at(self, *names: str):
@@ -61,11 +61,14 @@ class Catalog:
         versions = self._versions()
         if not versions:
             return {"schema": SCHEMA_VERSION, "version": 0, "parts": self.parts, "tables": {}}
-        stream = self._fs.open(self._at(f"version-{version or versions[-1]:012d}.json"))
-        try:
-            current = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        version = version or versions[-1]
+        if version not in self._known:  # a version never changes
+            stream = self._fs.open(self._at(f"version-{version:012d}.json"))
+            try:
+                self._known[version] = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+        current = json.loads(self._known[version])
         if current["schema"] > SCHEMA_VERSION:
             raise QueryError("the index is of a newer version than this program")
         return current if current["schema"] == SCHEMA_VERSION else current | {"schema": SCHEMA_VERSION, "parts": self.parts, "tables": {}}
@@ -317,7 +320,7 @@ def _link_tables(catalog: Catalog, was: DataFrame | None, fresh: DataFrame, ids:
 
 def _term_tables(catalog: Catalog, fresh: DataFrame, ids: DataFrame, parts: list[int] | None) -> dict[str, dict]:
     """Terms of changed notes are made anew, those of their neighbours in a part are taken over."""
-    postings, lengths = fts.build(fresh, extract.content_document(F.col("note_id"), F.col("title"), F.col("content")), extract.metadata_document(F.col("metadata_json")), stem=True)
+    postings, lengths = fts.build(fresh, extract.content_document(F.col("note_id"), F.col("title"), F.col("content")), extract.metadata_document(F.col("metadata_json")), stem=True, said=F.concat_ws("\n", "note_id", "title", "content", "metadata_json"))
     if parts is not None:
         kept = lambda name: catalog.table(name, parts).join(ids, "note_id", "left_anti")
         postings, lengths = kept("postings").unionByName(postings), kept("lengths").unionByName(lengths)

@@ -211,3 +211,28 @@ def test_batches_count_once_and_failed_ones_are_tried_again(spark, tmp_path):
     with pytest.raises(KeyboardInterrupt):
         incremental.run_batch(c, killed, str(tmp_path / "ck"), 3, ["d.md"])
     assert run(3, "d.md") and handled[-1] == ["d.md"] and not run(3, "d.md")
+
+
+# Evidence
+
+
+def test_mentions_are_found_in_the_index_alone(spark, tmp_path):
+    """The evidence of an index is that of the texts: glued words, marks, other cases, quotes in metadata."""
+    from noteql.functions import extract
+    from noteql.operators import context
+
+    texts = ["éweb.click", "web.clické too", "symmetric:e1.", "metric:e2", "Web-Click!", "web click", "wéb click", "web click", "webs clicking", "all of WEB.Click", "x.web.click", "the fit log", "fit́ log", "other", "u1 says", "nothing"]
+    rows = [(f"n{i:02}", None if i % 3 else f"T {i}", t, f"n{i:02}.md") for i, t in enumerate(texts)] + [("2024-05-01", None, "a day", "d.md"), ("AGENTS", None, "web.click", "AGENTS.md")]
+    notes = spark.createDataFrame(rows, "note_id string, title string, content string, relative_path string").withColumn("metadata_json", F.when(F.col("note_id") == "n13", F.lit('{"ref":"metric:e3","k":"web.click"}')).otherwise(F.lit("{}")))
+    notes = notes.withColumn("file_modified_at", F.lit("2024-05-02 00:00:00").cast("timestamp")).withColumn("created_at", F.col("file_modified_at"))
+    c = incremental.Catalog(spark, str(tmp_path / "k"), parts=3)
+    postings, lengths = fts.build(notes, extract.content_document(F.col("note_id"), F.col("title"), F.col("content")), F.lit(""), True, context.said(notes, True))
+    terms, corpus = fts.summaries(postings, lengths, c.part("note_id"))
+    c.commit({"notes": notes, "postings": postings, "lengths": lengths, "terms": terms, "corpus": corpus})
+    records = spark.createDataFrame([(f"e{i}", "web.click", f"2024-05-0{i}T00:00:00Z", "u1") for i in range(1, 4)], "id string, key string, ts string, source string").selectExpr("*", "to_date(ts) date", "timestamp(ts) ts_utc", "'f' source_file", "1 source_line", "1.0D value", "cast(null as string) unit")
+    plain = context.Knowledge(notes, records, None)
+    kept = context.Knowledge(c.table("notes"), records, None, index=incremental.kept_index(c))
+    for found in (lambda k: context.notes_for_metric(k, records, 99), lambda k: context.notes_for_source(k, "u1", records, 99), lambda k: context.notes_for_source(k, "fit", records.withColumn("key", F.lit("no.key")), 99)):
+        rows_ = lambda k: sorted(map(str, found(k).select("note_id", "kind", "reason", "confidence").collect()))  # noqa: B023, E731
+        assert rows_(kept) == rows_(plain) and len(rows_(plain)) > 1
+    assert len(context.notes_for_metric(plain, records, 99).collect()) > 4

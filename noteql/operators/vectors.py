@@ -77,11 +77,15 @@ def knn(vectors: DataFrame, query: list[float], k: int, notes: DataFrame | None
     return near.where(F.col("similarity") >= threshold)
 
 
+def of_note(vectors: DataFrame, note_id, model: str | None = None) -> DataFrame:
+    """A note's stored vectors, of one model or of all."""
+    rows = vectors.where(F.col("note_id") == note_id)
+    return rows if model is None else rows.where(F.col("model") == model)
+
+
 def vector_of(vectors: DataFrame, note_id, model: str | None = None) -> list[float] | None:
     """One stored vector, to the driver."""
-    rows = vectors.where(F.col("note_id") == note_id)
-    rows = rows if model is None else rows.where(F.col("model") == model)
-    found = rows.select("vector").limit(1).collect()
+    found = of_note(vectors, note_id, model).select("vector").limit(1).collect()
     return None if not found else [float(x) for x in found[0].vector]
 
 

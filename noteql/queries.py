@@ -150,6 +150,12 @@ def fts_dated(spark, d):
     return _ranked(fts.search(indexed(spark, d), "the modified:2024-01-02", 10, NOW))
 
 
+@register("fts_two_ranges", _bm25([("the", "cm")], "t0 > 0", 10, "AND modified >= TIMESTAMPTZ '2024-01-02 00:00:00+00' AND modified <= TIMESTAMPTZ '2024-01-03 00:00:00+00'"))
+def fts_two_ranges(spark, d):
+    """Ranges of one field are cut with each other; a day as an end is its midnight."""
+    return _ranked(fts.search(indexed(spark, d), "the modified:>=2024-01-02 modified:<=2024-01-03", 10, NOW))
+
+
 @register("fts_all_ids", f"WITH {IDX} SELECT note_id FROM idx WHERE {_tf('und')} > 0 AND {_tf('der')} > 0")
 def fts_all_ids(spark, d):
     return fts.matching_ids(indexed(spark, d), "und der", NOW)
@@ -234,9 +240,9 @@ def vector_staleness(spark, d):
     return vectors.stale(n, vector_table(spark, d), "m")
 
 
-@register("vector_gc", "SELECT CAST(vec_id AS VARCHAR) AS note_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)")
+@register("vector_gc", "SELECT CAST(vec_id AS VARCHAR) AS note_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")
 def vector_gc(spark, d):
-    return vectors.collect_garbage(vector_table(spark, d), note_table(spark, d).where("note_id % 3 <> 0")).select("note_id")
+    return vectors.collect_garbage(vector_table(spark, d), note_table(spark, d)).select("note_id")
 
 
 def page_notes(spark, d) -> DataFrame:
@@ -284,9 +290,9 @@ def forward_links(spark, d):
     return links.forward_links(page_edges(spark, d), "Page 1").select("raw", "target_id", "reason")
 
 
-@register("orphans", f"WITH {EDGES} SELECT note_id FROM pn WHERE note_id NOT IN (SELECT source_id FROM edges WHERE target_id IS NOT NULL AND raw LIKE '%.md') AND note_id NOT IN (SELECT target_id FROM edges WHERE target_id IS NOT NULL AND raw LIKE '%.md')")
+@register("orphans", f"WITH {EDGES} SELECT note_id FROM pn WHERE note_id NOT IN (SELECT source_id FROM edges WHERE target_id IS NOT NULL) AND note_id NOT IN (SELECT target_id FROM edges WHERE target_id IS NOT NULL)")
 def orphans(spark, d):
-    return links.orphans(page_notes(spark, d), page_edges(spark, d).where("raw like '%.md'"))
+    return links.orphans(page_notes(spark, d), page_edges(spark, d))
 
 
 @register("unresolved", f"WITH {EDGES} SELECT source_id, raw FROM edges WHERE target_id IS NULL")
@@ -418,6 +424,38 @@ def log_lines(spark, d):
     return read.select(F.regexp_extract("source_file", r"log=(\d+)/", 1).cast("long").alias("log"), F.get_json_object("raw_line", "$.event_id").cast("long").alias("event_id"), F.col("source_line").cast("long").alias("source_line"))
 
 
+@register("metrics_named_day", f"WITH {RECS} SELECT id, key FROM recs WHERE t_at >= TIMESTAMP '2024-01-19' AND t_at < TIMESTAMP '2024-01-20'")
+def metrics_named_day(spark, d):
+    return metrics.search(event_records(spark, d), "date:yesterday", None, NOW).select("id", "key")
+
+
+@register("metrics_optional_fields", """SELECT 'm' || event_id AS id, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%d') END AS date, CASE WHEN event_id % 2 = 0 THEN '["' || event_type || '","zz"]' END AS tags_json,
+ CASE WHEN event_id % 5 <> 0 THEN props END AS context, 'o' || event_id AS origin_id, CASE WHEN event_id % 4 = 0 THEN 'seen by ' || user_id END AS note FROM events""")
+def metrics_optional_fields(spark, d):
+    """Records of lines with a day, tags in any order and more than once, a context, an origin and a note."""
+    i = F.col("event_id")
+    lines = table(spark, d, "events").select(
+        F.lit("f").alias("source_file"), i.cast("int").alias("source_line"), F.col("props"),
+        F.concat(
+            F.lit('{"id":"m'), i.cast("string"), F.date_format("ts", "'\",\"ts\":\"'yyyy-MM-dd'T'HH:mm:ss'Z\"'"), F.lit(',"key":"own.thing","value":1,"source":"s","origin_id":" o'), i.cast("string"), F.lit('"'),
+            F.when(i % 3 == 0, F.date_format("ts", "',\"date\":\"'yyyy-MM-dd'\"'")).otherwise(""), F.when(i % 2 == 0, F.concat(F.lit(',"tags":["zz"," ","'), "event_type", F.lit('","zz"]'))).otherwise(""),
+            F.when(i % 5 != 0, F.concat(F.lit(',"context":'), "props")).otherwise(""), F.when(i % 4 == 0, F.concat(F.lit(',"note":"seen by '), F.col("user_id").cast("string"), F.lit(' "'))).otherwise(""), F.lit("}"),
+        ).alias("raw_line"),
+    )
+    r = metrics.records(metrics.parse_lines(lines.drop("props"))).join(lines.select("source_line", "props"), "source_line")
+    same = F.col("context_json").eqNullSafe(F.to_json(F.parse_json(F.when(F.col("source_line") % 5 != 0, F.col("props")))))
+    return r.select("id", F.col("date").cast("string").alias("date"), "tags_json", F.when(F.col("context_json").isNotNull() & same, F.col("props")).alias("context"), "origin_id", "note")
+
+
+@register("metrics_fingerprints", """WITH l AS (SELECT event_id // 500 AS log, event_id - (event_id // 500) * 500 AS k, 'e' || event_id || ' ' || event_type AS line FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY k) AS number FROM l)
+ SELECT log, sha256(unhex(string_agg(printf('%02x%02x', number & 255, number >> 8) || '000000000000' || hex(encode(line)) || '0A', '' ORDER BY number))) AS fingerprint FROM n GROUP BY log""")
+def metrics_fingerprints(spark, d):
+    """Of logs of 500 events each."""
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 500).alias("log"), "event_id", F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(" "), "event_type").alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n")
+    return e.groupBy("log").agg(text.alias("raw")).select("log", metrics.fingerprint(F.col("raw")).alias("fingerprint"))
+
+
 @register("metrics_text_search", f"WITH {RECS} SELECT id FROM recs WHERE lower(props) LIKE '%\"k\": 42%'")
 def metrics_text_search(spark, d):
     return metrics.search(event_records(spark, d), "'\"k\": 42'", None, NOW).select("id")

@@ -166,10 +166,9 @@ _UNITS = "(key, source) IN (SELECT (key, source) FROM recs GROUP BY key, source
 
 @register("window_rollups", f"""WITH {RECS}, d AS (SELECT key, source, bucket, sum(value) AS total, count(*) AS n FROM recs WHERE {_UNITS} AND t_at >= TIMESTAMP '2024-01-08' AND t_at <= TIMESTAMP '2024-01-14' GROUP BY ALL),
  g AS (SELECT key, source FROM d GROUP BY ALL ORDER BY count(*) DESC, sum(n) DESC, max(bucket) DESC, key, source LIMIT 4), r AS (SELECT *, row_number() OVER (PARTITION BY key, source ORDER BY bucket DESC) AS k FROM d WHERE (key, source) IN (SELECT (key, source) FROM g))
- SELECT key, source, CAST(bucket AS VARCHAR) AS bucket, round(total, 4) AS total, n FROM r WHERE k <= 5""".replace(_UNITS, "unit = '~' AND key <> 'web.error'"))
+ SELECT key, source, CAST(bucket AS VARCHAR) AS bucket, round(total, 4) AS total, n FROM r WHERE k <= 5""".replace(_UNITS, "(key, source) IN (SELECT (key, source) FROM recs WHERE t_at >= TIMESTAMP '2024-01-08' AND t_at <= TIMESTAMP '2024-01-14' GROUP BY key, source HAVING count(DISTINCT unit) = 1)"))
 def window_rollups(spark, d):
     k = knowledge(spark, d)
-    k.records = k.records.where("key <> 'web.error'")
     return context.week_view(k, date(2024, 1, 10))["rollups"].select("key", "source", F.col("bucket").cast("string"), F.round("total", 4).alias("total"), "n")
 
 
@@ -296,11 +295,11 @@ def links_around(spark, d):
     return links.around(page_edges(spark, d), "Page 3").select("direction", "source_id", "raw")
 
 
-@register("links_refresh", f"WITH {EDGES} SELECT source_id, raw FROM edges WHERE target_id = 'Page 14' AND raw LIKE '%.md'")
+@register("links_refresh", f"WITH {EDGES} SELECT source_id, raw FROM edges WHERE target_id = 'Page 14' AND reason = 'direct'")
 def links_refresh(spark, d):
     """Links that lead elsewhere once a page is gone and no other has its id, title or alias."""
     n = page_notes(spark, d).withColumn("title", F.concat(F.lit("only "), "note_id")).withColumn("aliases", F.array(F.concat(F.lit("alias "), "note_id")))
-    every = links.resolve(page_edges(spark, d).select("source_id", "raw", F.col("raw").alias("target")).where("raw like '%.md'"), n)
+    every = links.resolve(page_edges(spark, d).select("source_id", "raw", F.col("raw").alias("target")), n)
     return links.refresh(every, n.where("note_id <> 'Page 14'"))[1].select("source_id", "raw")
 
 
@@ -395,7 +394,7 @@ def similarity_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", extract.similarity_text(F.col("lang"), F.array("source"), F.col("text")).alias("words"))
 
 
-@register("metadata_kinds", "SELECT 'a' AS field, 'number,string' AS kinds UNION ALL SELECT 'b', 'array,null,object'")
+@register("metadata_kinds", "SELECT field, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM (SELECT 'a' AS field, CASE WHEN doc_id % 2 = 0 THEN 'string' ELSE 'number' END AS kind FROM documents UNION ALL SELECT 'b', CASE doc_id % 3 WHEN 0 THEN 'array' WHEN 1 THEN 'null' ELSE 'object' END FROM documents) GROUP BY field")
 def metadata_kinds(spark, d):
     i = F.col("doc_id")
     eav = table(spark, d, "documents").select(F.explode(F.create_map(F.lit("a"), F.when(i % 2 == 0, F.lit('"x"')).otherwise(F.lit("1.5")), F.lit("b"), F.when(i % 3 == 0, F.lit("[1]")).when(i % 3 == 1, F.lit("null")).otherwise(F.lit("{}")))).alias("key", "value_json"))
@@ -419,8 +418,7 @@ def fts_enriched(spark, d):
 
 @register("vector_fetch", "SELECT CAST(vec_id AS VARCHAR) AS note_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings WHERE vec_id = 5")
 def vector_fetch(spark, d):
-    found = vectors.vector_of(vector_table(spark, d), "5", "m")
-    return spark.createDataFrame([("5", round(found[0], 6))], "note_id string, first double")
+    return vectors.of_note(vector_table(spark, d), "5", "m").select("note_id", F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
 
 
 @register("lists_by_day", "SELECT CAST(o_orderdate AS DATE)::VARCHAR || '-' || o_orderkey AS note_id FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-03-01' AND DATE '1995-03-31'")

@@ -12,8 +12,9 @@ def connected_components(links: DataFrame, src="src", dst="dst") -> DataFrame:
     """(node, component) for every node with a link; component is the smallest node reachable. Null ends are ignored.
 
     Alternates large-star and small-star steps until the links are stars around the smallest nodes, in about the
-    logarithm of the number of nodes. Minima of neighbours are aggregated before they are shuffled; joins on a node
-    with very many links are split by adaptive execution; every step is written to the shared folder.
+    logarithm of the number of nodes. Minima of neighbours are aggregated before they are shuffled; the links of a node
+    meet its minimum in one task, as a minimum is no plain exchange that adaptive execution could split; every step is
+    written to the shared folder.
     """
     e = links.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).where(F.col("hi") != F.col("lo")).distinct()
     e = materialize(e)

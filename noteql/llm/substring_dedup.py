@@ -1,6 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of first occurrences, in blocks.
+"""Substring dedup by windows of 20 words looked up in blocks, in the place of relative Lempel-Ziv parsing.
 
-Where every word run of 20 words (a window) that stands earlier must go, a document's parse is all that is needed:
+No match is extended greedily against reference text here. Equal windows have equal anchors, so looking anchors,
+phrases and windows up by equality finds every repeated window, and factors are made of those afterwards.
+
+Where every word run of 20 words (a window) that stands earlier must go, a document's repeated windows are all that is needed:
 
 1. Reference index. Every window designates one anchor, the six-word gram in it with the least hash (leftmost of
    equals), so equal windows designate equal anchors. Consecutive windows with one anchor make a phrase, and a

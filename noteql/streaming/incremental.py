@@ -14,16 +14,17 @@ import re
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 
 from noteql.functions import extract
 from noteql.functions.dates import QueryError
 from noteql.operators import fts, links, metrics
-from noteql.scratch import shared_folder, stored
+from noteql.scratch import scope, stored
 from noteql.sources import files
+from noteql.streaming import changes
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 SCHEMA_VERSION = 7
@@ -32,7 +33,7 @@ PARTS = 32
 #: How the rows of a part come, so that a scan for a term, or for a key and a span of days, reads few row groups.
 ORDER = ("term", "cls", "link_key", "target_key", "key_lower", "key", "day", "note_id")
 #: What the part of a row is told by: the first of these columns that there is.
-BY = ("link_key", "target_key", "note_id", "source_id", "source_file")
+BY = ("link_key", "target_key", "note_id", "source_id", "source_file", "relative_path")
 #: Versions whose files stay for readers that are still at them, and how long those of no version stay that another
 #: commit may be writing.
 KEPT_VERSIONS, KEPT_MS = 4, 24 * 3600 * 1000
@@ -290,7 +291,8 @@ def reindex(catalog: Catalog, notes: DataFrame, scopes: list[str] | None = None,
     fresh = catalog.read(entry["notes"], parts).join(changed, "note_id", "left_semi")
     # Links and terms have nothing to do with each other, so their jobs run side by side.
     with ThreadPoolExecutor(2) as pool:
-        made = [pool.submit(_link_tables, catalog, None if first else was, fresh, ids), pool.submit(_term_tables, catalog, fresh, ids, parts)]
+        side = lambda f, *args: pool.submit(copy_context().run, f, *args)  # noqa: E731  tables of both are of one scope
+        made = [side(_link_tables, catalog, None if first else was, fresh, ids), side(_term_tables, catalog, fresh, ids, parts)]
         for m in made:
             entry |= m.result()
     catalog.commit(entry, None, version, marks)
@@ -371,98 +373,58 @@ def model_changed(meta: dict | None, model: dict) -> bool:
     return meta is None or any(meta.get(k) != model.get(k) for k in ("preset", "repository", "dimension"))
 
 
-class _ChangeReader(SimpleDataSourceStreamReader):
-    """Differences between snapshots of (path, mtime, size) of a folder: edits, deletions and renames alike. An offset is
-    a snapshot's number; the snapshots are files of the ``state`` folder, those before the last committed one removed.
-    Without that folder an offset holds its snapshot."""
-
-    def __init__(self, options: dict):
-        self.root, self.state = options["path"], options.get("state")
-
-    def _snapshot(self) -> dict:
-        out = {}
-        for folder, dirs, files in os.walk(self.root):
-            dirs[:] = sorted(d for d in dirs if not d.startswith("."))
-            for f in sorted(files):
-                full = os.path.join(folder, f)
-                try:
-                    st = os.stat(full)
-                except FileNotFoundError:
-                    continue
-                out[os.path.relpath(full, self.root)] = [st.st_mtime_ns, st.st_size]
-        return out
-
-    def _file(self, n: int) -> str:
-        return os.path.join(self.state, f"snapshot-{n}.json")
-
-    def _load(self, offset: dict) -> dict:
-        if "files" in offset or not offset["n"]:
-            return json.loads(offset.get("files", "{}"))
-        with open(self._file(offset["n"]), encoding="utf-8") as f:
-            return json.load(f)
-
-    def _save(self, n: int, files: dict) -> dict:
-        if not self.state:
-            return {"n": n, "files": json.dumps(files)}
-        os.makedirs(self.state, exist_ok=True)
-        with open(self._file(n) + ".new", "w", encoding="utf-8") as f:
-            json.dump(files, f)
-        os.replace(self._file(n) + ".new", self._file(n))
-        return {"n": n}
-
-    def initialOffset(self):
-        return {"n": 0}
-
-    def read(self, start):
-        before, now = self._load(start), self._snapshot()
-        changed = _differences(before, now)
-        return iter([(p,) for p in changed]), self._save(start["n"] + 1, now) if changed else start
-
-    def readBetweenOffsets(self, start, end):
-        return iter([(p,) for p in _differences(self._load(start), self._load(end))])
-
-    def commit(self, end):
-        for n in range(end["n"] - 1, 0, -1) if self.state else ():
-            if not os.path.exists(self._file(n)):
-                break
-            os.remove(self._file(n))
-
-
-def _differences(before: dict, now: dict) -> list[str]:
-    return sorted({*before, *now} - {p for p in before if now.get(p) == before[p]})
-
-
-class ChangeSource(DataSource):
-    """``spark.readStream.format("changes")`` with option path: one row for each changed path."""
-
-    @classmethod
-    def name(cls):
-        return "changes"
-
-    def schema(self):
-        return "relative_path string"
+FAILED = "relative_path string, error string, tries int"
+#: How often a folder is looked at.
+TICK = {"processingTime": "1 second"}
 
-    def simpleStreamReader(self, schema):
-        return _ChangeReader(dict(self.options))
 
+def watch(spark: SparkSession, root: str, handle: Callable[[list[str]], None], checkpoint: str, trigger: dict | None = None, catalog: Catalog | None = None, limit: int = changes.PATHS):
+    """Calls ``handle`` with the changed paths of every batch: files, or folders that stand for more than ``limit`` files.
 
-FAILED = "relative_path string, error string, tries int"
+    At every tick the folder is listed by tasks and compared with its listing of the last batch that counted, which is
+    kept in the catalogue (one in the checkpoint folder if none is given) in parts. Both may be in any store. Batches
+    count once, and failed ones are tried again: see ``look``."""
+    catalog = catalog or Catalog(spark, f"{checkpoint.rstrip('/')}/seen")
 
+    def batch(_: DataFrame, number: int) -> None:
+        with scope(spark):
+            look(catalog, root, handle, checkpoint, number, limit)
 
-def watch(spark: SparkSession, root: str, handle: Callable[[list[str]], None], checkpoint: str, trigger: dict | None = None, catalog: Catalog | None = None):
-    """Calls ``handle`` with the changed paths of every batch.
+    # The source counts the triggers, so that each is a batch; what it is about is in the folder.
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or TICK)).start()
 
-    With a catalogue each batch counts once: its number is kept in a version of the index, and a batch that comes again
-    after that, as its stream was stopped before it could say that it was done, does nothing. The paths of a batch that
-    fails are kept as issues (table ``failed``: relative_path, error, tries), the stream goes on, and they are tried
-    again with the next batch."""
-    spark.dataSource.register(ChangeSource)
 
-    def batch(df: DataFrame, number: int) -> None:
-        run_batch(catalog, handle, checkpoint, number, [r.relative_path for r in df.dropDuplicates().collect()])
+def look(catalog: Catalog, root: str, handle: Callable[[list[str]], None], checkpoint: str, number: int, limit: int = changes.PATHS) -> bool:
+    """One batch: what changed below a folder since the last one that counted; returns whether it was handled now.
 
-    writer = spark.readStream.format("changes").option("path", root).option("state", os.path.join(checkpoint, "snapshots")).load().writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(**trigger) if trigger else writer).start()
+    The new listing is committed with the batch's number, in the parts that changed, after the changes were handled: a
+    batch that is stopped before that finds them again. Where the old listing is lost, or the folder cannot be listed,
+    nobody knows what changed, and the whole folder (the empty path) is told; in the latter case as an issue, with the
+    next batch, and the old listing stays."""
+    name = f"batch:{stream_name(catalog.spark, checkpoint)}"
+    done = catalog.note(name)
+    if done is not None and done >= number:
+        return False
+    try:
+        now = stored(changes.snapshot(catalog.spark, root))
+    except Exception as e:  # noqa: BLE001  a store that does not answer is no folder without files
+        return _settle(catalog, name, number, {"": f"{type(e).__name__}: {e}"}, {}, limit=limit)
+    try:
+        seen = catalog.table("seen")
+        found = stored(changes.differences(seen, now))
+        lost = seen is None and done is not None
+    except Exception:  # noqa: BLE001  files of the listing are gone or cannot be read
+        seen, found, lost = None, stored(changes.differences(None, now)), True
+    moved = not found.isEmpty()
+    paths = [""] if lost else [r.relative_path for r in changes.told(found, limit).select("relative_path").collect()] if moved else []
+    tables, parts = {}, {}
+    if seen is None and (moved or lost):
+        tables = {"seen": now}
+    elif moved:
+        parts = {"seen": _parts(catalog, seen=found.select("relative_path"))["seen"]}
+        tables = {"seen": now.where(catalog.part("relative_path").isin(parts["seen"]))}
+    return run_batch(catalog, handle, checkpoint, number, paths, tables, parts, limit)
 
 
 def stream_name(spark: SparkSession, checkpoint: str) -> str:
@@ -478,25 +440,44 @@ def stream_name(spark: SparkSession, checkpoint: str) -> str:
         stream.close()
 
 
-def run_batch(catalog: Catalog | None, handle: Callable[[list[str]], None], checkpoint: str, number: int, paths: list[str]) -> bool:
-    """One batch of a stream; returns whether it was handled now."""
-    if catalog is None:
-        if paths:
-            handle(paths)
-        return bool(paths)
+def run_batch(catalog: Catalog, handle: Callable[[list[str]], None], checkpoint: str, number: int, paths: list[str], tables: dict[str, DataFrame] | None = None, changed: dict[str, list[int]] | None = None, limit: int = changes.PATHS) -> bool:
+    """Handles the paths of one batch of a stream, and those of batches that failed; returns whether that was done now.
+
+    A batch counts once: its number is kept in a version of the index, with the ``tables`` given (and the parts of them
+    that ``changed``), and one that comes again after that does nothing. The paths of a batch that fails are kept as
+    issues (table ``failed``: relative_path, error, tries) and are tried again with the next batch; of more than
+    ``limit`` their folders are."""
     name = f"batch:{stream_name(catalog.spark, checkpoint)}"
     done, failed = catalog.note(name), catalog.table("failed")
     if done is not None and done >= number:
         return False
     open_ = {} if failed is None else {r.relative_path: r.tries for r in failed.collect()}
-    todo = sorted({*paths, *open_})
-    if not todo:
+    stands = changes.fold(sorted({*paths, *open_}), limit)
+    todo = sorted(set(stands.values()))
+    if not todo and not tables:
         return False
+    errors = {}
     try:
-        handle(todo)
-        rows, handled = [], True
+        if todo:
+            handle(todo)
     except Exception as e:  # noqa: BLE001  the stream outlives a bad batch
-        rows, handled = [(p, f"{type(e).__name__}: {e}"[:2000], open_.get(p, 0) + 1) for p in todo], False
-    tables = {"failed": catalog.spark.createDataFrame(rows, FAILED).withColumn("part", F.lit(0))} if rows or open_ else {}
-    catalog.commit(tables, notes={name: number})
-    return handled
+        errors = dict.fromkeys(todo, f"{type(e).__name__}: {e}")
+    tries = {}
+    for path, n in open_.items():
+        tries[stands[path]] = max(n, tries.get(stands[path], 0))
+    return _settle(catalog, name, number, errors, tries, tables, changed, limit) if errors or open_ or tables or todo else False
+
+
+def _settle(catalog: Catalog, name: str, number: int, errors: dict[str, str], tries: dict[str, int], tables: dict[str, DataFrame] | None = None, changed: dict[str, list[int]] | None = None, limit: int = changes.PATHS) -> bool:
+    """Commits a batch with the paths that stay open; returns whether none does."""
+    failed = catalog.table("failed")
+    kept = {}
+    if "" in errors and not tries and failed is not None:  # the folder could not be listed: what was open stays so
+        kept = {r.relative_path: (r.relative_path, r.error, r.tries) for r in failed.collect()}
+        tries = {p: r[2] for p, r in kept.items()}
+    rows = list((kept | {p: (p, e[:2000], tries.get(p, 0) + 1) for p, e in errors.items()}).values())
+    tables = dict(tables or {})
+    if rows or failed is not None and not failed.isEmpty():
+        tables["failed"] = catalog.spark.createDataFrame(rows, FAILED)
+    catalog.commit(tables, changed, notes={name: number})
+    return not errors

@@ -9,17 +9,26 @@ from __future__ import annotations
 import os
 from datetime import UTC, date, datetime
 
+import numpy as np
 from noteql.functions import extract
 from noteql.functions.dates import QueryError
-from noteql.operators import context, fts, links, metrics, mutations, notes, vectors
+from noteql.operators import clusters, context, fts, links, metrics, mutations, notes, vectors
 from noteql.plans.query import clean_for_embedding
 from noteql.scratch import stored
 from noteql.sources import files, vault
-from noteql.streaming.incremental import Catalog, kept_index, model_changed, reindex, reindex_metrics, watch
+from noteql.streaming.incremental import Catalog, kept_index, kept_vectors, model_changed, reindex, reindex_metrics, watch
 from noteql.streaming.progress import Progress
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Vectors of a model are put in new clusters when there are so many times as many as when its centres were fitted.
+GROWTH = 4
+
+
+def _near(rows: DataFrame) -> DataFrame:
+    """Vectors as they are kept by cluster."""
+    return rows.select(F.col("placed").alias("cluster"), "note_id", "model", "vector", "cosine")
+
 
 class Workspace:
     def __init__(self, spark: SparkSession, root: str, index: str | None = None, settings: vault.Settings | None = None, embedder: vectors.Embedder | None = None, model: str = "hashing"):
@@ -62,7 +71,7 @@ class Workspace:
         models = self.catalog.note("models") or {}
         current = self.notes.withColumn("indexed_at", F.coalesce("file_modified_at", F.lit(datetime(1970, 1, 1, tzinfo=UTC))))
         stored_ = self.catalog.table("vectors")
-        every = self.spark.createDataFrame([], "note_id string, vector array<float>, model string, indexed_at timestamp") if stored_ is None else stored_
+        every = self.spark.createDataFrame([], "note_id string, vector array<float>, model string, indexed_at timestamp, placed int, cosine double") if stored_ is None else stored_
         old = every.where(F.col("model") == self.model)
         if model_changed(models.get(self.model), described):
             old = old.limit(0)
@@ -73,13 +82,60 @@ class Workspace:
         fields = F.from_json("metadata_json", "map<string,string>")
         lines = F.transform(F.map_entries(F.map_filter(fields, lambda k, v: v.isNotNull() & ~k.isin("title", "tags"))), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
         text = extract.embedding_text(F.col("title"), F.coalesce(lines, F.array().cast("array<string>")), F.col("tags"), F.col("content"))
-        made = vectors.embed_notes(current.join(touched.where("stale"), "note_id", "left_semi"), text, self.embedder, self.model, F.col("indexed_at"))
-        kept = every if parts is None else self.catalog.table("vectors", parts)
-        kept = kept.join(touched.select("note_id", F.when(F.col("stale"), F.lit(self.model)).alias("of")), (kept.note_id == touched.note_id) & F.coalesce(kept.model == F.col("of"), F.lit(True)), "left_anti")
-        self.catalog.commit({"vectors": kept.unionByName(made)}, None if parts is None else {"vectors": parts}, notes={"models": models | {self.model: described}})
-
-    def _vectors(self) -> DataFrame:
-        return self._table("vectors").where(F.col("model") == self.model)
+        made = stored(vectors.embed_notes(current.join(touched.where("stale"), "note_id", "left_semi"), text, self.embedder, self.model, F.col("indexed_at")))
+        known = self.catalog.table("clusters")
+        ours = None if known is None else known.where(F.col("model") == self.model)
+        size, fitted = old.count() + made.count(), models.get(self.model, {}).get("fitted", 0)
+        if ours is None or self.catalog.table("near") is None or old.isEmpty() or size > GROWTH * fitted:
+            entry, fitted = self._place_all(every, made, touched, known), size
+        else:
+            entry = self._place(parts, made, touched, known, ours)
+        self.catalog.commit(entry, notes={"models": models | {self.model: described | {"fitted": fitted}}})
+
+    def _staying(self, rows: DataFrame, touched: DataFrame, how: str = "left_anti") -> DataFrame:
+        """Vectors of notes that are gone go, and those of this model whose notes changed."""
+        of = touched.select("note_id", F.when(F.col("stale"), F.lit(self.model)).alias("of"))
+        return rows.join(of, (rows.note_id == of.note_id) & F.coalesce(rows.model == F.col("of"), F.lit(True)), how)
+
+    def _place_all(self, every: DataFrame, made: DataFrame, touched: DataFrame, known: DataFrame | None) -> dict:
+        """All vectors of this model by new centres."""
+        staying, columns = self._staying(every, touched), made.columns
+        mine = stored(staying.where(F.col("model") == self.model).select(columns).unionByName(made))
+        centres = clusters.fit(mine)
+        placed = clusters.placed(mine, centres).withColumnRenamed("cluster", "placed")
+        others = staying.where(F.col("model") != self.model)
+        entry = {"vectors": self.catalog.write("vectors", others.unionByName(placed))}
+        rows = self.catalog.read(entry["vectors"])
+        entry["near"] = self.catalog.write("near", _near(rows))
+        counted = clusters.summary(_near(rows.where(F.col("model") == self.model)))
+        return entry | self._clusters(clusters.described(counted, centres), known)
+
+    def _place(self, parts: list[int] | None, made: DataFrame, touched: DataFrame, known: DataFrame, ours: DataFrame) -> dict:
+        """New vectors by the centres there are: the parts of their notes, and of the clusters they leave and enter."""
+        centres = {r.id: r.centre for r in ours.select("id", "centre").collect() if r.centre is not None}
+        table = np.zeros((max(centres, default=-1) + 1, len(next(iter(centres.values()), []))))
+        for cluster, centre in centres.items():
+            table[cluster] = centre
+        here = self.catalog.table("vectors", parts)
+        placed = clusters.placed(made, table).withColumnRenamed("cluster", "placed")
+        entry = {"vectors": self.catalog.write("vectors", self._staying(here, touched).unionByName(placed), parts)}
+        fresh = self.catalog.read(entry["vectors"], parts).where(F.col("model") == self.model).join(touched.where("stale"), "note_id", "left_semi")
+        left = self._staying(here, touched, "left_semi")
+        both = left.select("placed").unionByName(fresh.select("placed")).distinct().collect()  # cluster numbers
+        at = self.catalog.parts_of([r.placed for r in both])
+        entry["near"] = self.catalog.write("near", self._staying(self.catalog.table("near", at), touched).unionByName(_near(fresh)), at)
+        return entry | self._clusters(clusters.described(clusters.summary(_near(fresh)), table, ours), known)
+
+    def _clusters(self, mine: DataFrame, known: DataFrame | None) -> dict:
+        """The table of clusters with this model's rows as given; it has one part."""
+        mine = mine.withColumn("model", F.lit(self.model))
+        return {"clusters": self.catalog.write("clusters", (mine if known is None else known.where(F.col("model") != self.model).unionByName(mine)).withColumn("part", F.lit(0)))}
+
+    def _vectors(self) -> clusters.Clustered:
+        found = kept_vectors(self.catalog, self.model)
+        if found is None:
+            raise QueryError("nothing is indexed yet")
+        return found
 
     def watch(self, checkpoint: str, trigger: dict | None = None):
         """A stream that reindexes what changes on disk."""
@@ -141,7 +197,7 @@ class Workspace:
         return out.orderBy(F.col("score" if "score" in found.columns else "similarity").desc(), "note_id")
 
     def related(self, note: str, strategy: str = "auto", limit: int = fts.DEFAULT_LIMIT) -> DataFrame:
-        found = None if self.catalog.table("vectors") is None else self._vectors()
+        found = kept_vectors(self.catalog, self.model)
         indexed = None if found is None else self._indexed()
         return vectors.related_notes(strategy, self.resolve(note), limit, self.notes, self.edges, indexed, found, self.embedder, metadata_dates=vault.metadata_dates(self.notes))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,9 @@ from noteql.operators import fts
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from noteql.operators.clusters import Clustered
+
 RELATED_THRESHOLD = 0.3
 FUSED_THRESHOLD = 0.3
 TEXT_WEIGHT, VECTOR_WEIGHT = 0.7, 0.5
@@ -67,9 +71,15 @@ def similarity(v: Column, query: list[float]) -> Column:
     return F.when(n > 0, F.greatest(dot(v, literal) / n, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def knn(vectors: DataFrame, query: list[float], k: int, notes: DataFrame | None = None, threshold: float = 0.0, model: str | None = None) -> DataFrame:
+def knn(vectors: DataFrame | Clustered, query: list[float], k: int, notes: DataFrame | None = None, threshold: float = 0.0, model: str | None = None) -> DataFrame:
     """(note_id, similarity) of the k nearest vectors, of one model if it is named; ids without a note row are dropped after the look-up, so fewer
-    may come back."""
+    may come back. Vectors kept by cluster (``clusters.Clustered``, of one model) give the same from those clusters alone that can
+    hold a neighbour."""
+    if not isinstance(vectors, DataFrame):
+        near = vectors.nearest(query, k)
+        if notes is not None:
+            near = near.join(notes.select("note_id"), "note_id", "left_semi")
+        return near.where(F.col("similarity") >= threshold)
     vectors = vectors if model is None else vectors.where(F.col("model") == model)
     near = vectors.select("note_id", similarity(F.col("vector"), query).alias("similarity")).orderBy(F.col("similarity").desc(), "note_id").limit(k)
     if notes is not None:
@@ -89,16 +99,18 @@ def vector_of(vectors: DataFrame, note_id, model: str | None = None) -> list[flo
     return None if not found else [float(x) for x in found[0].vector]
 
 
-def related(vectors: DataFrame, anchor, limit: int, notes: DataFrame | None = None, threshold: float = RELATED_THRESHOLD) -> DataFrame:
-    """Notes near a stored note, itself left out: twice the limit is looked up first."""
-    query = vector_of(vectors, anchor)
+def related(vectors: DataFrame | Clustered, anchor, limit: int, notes: DataFrame | None = None, threshold: float = RELATED_THRESHOLD, of: DataFrame | None = None) -> DataFrame:
+    """Notes near a stored note, itself left out: twice the limit is looked up first. ``of`` has the vectors by note, if
+    they are not in ``vectors``."""
+    rows = of if of is not None else vectors if isinstance(vectors, DataFrame) else vectors.read(None)
+    query = vector_of(rows, anchor)
     if query is None:
         raise QueryError(f"note {anchor!r} has no vector")
     near = knn(vectors, query, 2 * limit, notes, threshold).where(F.col("note_id") != anchor)
     return near.orderBy(F.col("similarity").desc(), "note_id").limit(limit)
 
 
-def semantic_search(indexed: DataFrame | fts.Kept, vectors: DataFrame, query: list[float], limit: int, filters=None, excludes=(), metadata_dates=None, stem: bool = False) -> DataFrame:
+def semantic_search(indexed: DataFrame | fts.Kept, vectors: DataFrame | Clustered, query: list[float], limit: int, filters=None, excludes=(), metadata_dates=None, stem: bool = False) -> DataFrame:
     """Nearest notes; filters and exclusions come after twice the limit is looked up, so fewer may come back."""
     near = knn(vectors, query, 2 * limit)
     kept = fts.passing(indexed, filters or {}, list(excludes), metadata_dates, stem)
@@ -118,7 +130,7 @@ def fuse(text_hits: DataFrame, vector_hits: DataFrame, limit: int) -> DataFrame:
     return kept.orderBy(F.col("score").desc(), "note_id").limit(limit).select("note_id", "score", "reason", "f", "s")
 
 
-def hybrid_search(indexed: DataFrame | fts.Kept, vectors: DataFrame, query: str, embedder: Embedder, limit: int, now=None, metadata_dates=None, stem: bool = False) -> DataFrame:
+def hybrid_search(indexed: DataFrame | fts.Kept, vectors: DataFrame | Clustered, query: str, embedder: Embedder, limit: int, now=None, metadata_dates=None, stem: bool = False) -> DataFrame:
     """Both searches at three times the limit, fused."""
     from noteql.plans.query import clean_for_embedding, parse
 
@@ -129,7 +141,7 @@ def hybrid_search(indexed: DataFrame | fts.Kept, vectors: DataFrame, query: str,
     return fuse(text_hits, near.join(kept.select("note_id"), "note_id", "left_semi"), limit)
 
 
-def related_notes(strategy: str, anchor, limit: int, notes: DataFrame, edges: DataFrame, indexed: DataFrame | fts.Kept | None = None, vectors: DataFrame | None = None, embedder: Embedder | None = None, now=None, metadata_dates=None, stem: bool = False) -> DataFrame:
+def related_notes(strategy: str, anchor, limit: int, notes: DataFrame, edges: DataFrame, indexed: DataFrame | fts.Kept | None = None, vectors: DataFrame | Clustered | None = None, embedder: Embedder | None = None, now=None, metadata_dates=None, stem: bool = False) -> DataFrame:
     """(note_id, score, reason) by one of auto, semantic, graph and hybrid.
 
     Semantic and hybrid search for a text made of the anchor's title, tags and first words, twice the limit, the anchor

@@ -12,10 +12,10 @@ from datetime import UTC, date, datetime
 
 from noteql import scratch
 from noteql.functions import extract, text
-from noteql.operators import context, fts, links, metrics, notes, vectors
+from noteql.operators import clusters, context, fts, links, metrics, notes, vectors
 from noteql.plans import query as note_query
 from noteql.sources import files
-from noteql.streaming import incremental
+from noteql.streaming import changes, incremental
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +56,7 @@ def note_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept(spark: SparkSession, path: str, name: str, tables: Callable[[Callable], dict[str, DataFrame]]) -> incremental.Catalog:
     """An index in the shared folder, named by the state of the files it is of and what makes it: it is built for the
     first question and read by all others. Indexes of the same name of files that are no more go."""
-    folder, top = incremental.shared_folder(spark), f"noteql-index-{name}-{hashlib.sha256(path.encode()).hexdigest()[:12]}"
+    folder, top = scratch.shared_folder(spark), f"noteql-index-{name}-{hashlib.sha256(path.encode()).hexdigest()[:12]}"
     state = f"{incremental.file_states(spark, path)}-{incremental.SCHEMA_VERSION}"
     catalog = incremental.Catalog(spark, f"{folder}/{top}/{state}", parts=max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     if catalog.version == 0:
@@ -210,6 +210,28 @@ def related_to_anchor(spark, d):
     return vectors.related(vector_table(spark, d), "2", 10, threshold=0.1).withColumn("similarity", F.round("similarity", 6))
 
 
+def clustered(spark, d) -> clusters.Clustered:
+    """The vectors kept by cluster."""
+
+    def made(_):
+        v = vector_table(spark, d).select("note_id", "vector", "model")
+        centres = clusters.fit(v)
+        near = scratch.stored(clusters.placed(v, centres))
+        return {"near": near, "clusters": clusters.described(clusters.summary(near), centres).withColumn("model", F.lit("m")).withColumn("part", F.lit(0))}
+
+    return incremental.kept_vectors(kept(spark, f"{d}/embeddings.parquet", "vectors", made), "m")
+
+
+@register("knn_clustered", f"SELECT CAST(e.vec_id AS VARCHAR) AS note_id, round({_SIM}, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY {_SIM} DESC, note_id LIMIT 25")
+def knn_clustered(spark, d):
+    return vectors.knn(clustered(spark, d), vectors.vector_of(vector_table(spark, d), "7"), 25).withColumn("similarity", F.round("similarity", 6))
+
+
+@register("related_clustered", f"SELECT note_id, round(s, 6) AS similarity FROM (SELECT CAST(e.vec_id AS VARCHAR) AS note_id, {_SIM} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 11) q ORDER BY s DESC, note_id LIMIT 30) WHERE s >= 0.3 AND note_id <> '11' ORDER BY s DESC, note_id LIMIT 15")
+def related_clustered(spark, d):
+    return vectors.related(clustered(spark, d), "11", 15, of=vector_table(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
 @register("semantic_post_filter", f"WITH {IDX}, near AS (SELECT CAST(e.vec_id AS VARCHAR) AS note_id, {_SIM} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY s DESC, note_id LIMIT 40) SELECT near.note_id, round(s, 6) AS similarity FROM near JOIN idx USING (note_id) WHERE NOT ({_tf('und')} > 0) ORDER BY s DESC, note_id LIMIT 20")
 def semantic_post_filter(spark, d):
     v = vector_table(spark, d)
@@ -554,6 +576,31 @@ def snapshot_diff_plan(spark, d):
     return incremental.plan(f.where(i != 1), old.where(i != 0))
 
 
+#: Files of documents; by a hash of their numbers some are added, changed or removed since the listing before.
+_FILES = "d AS (SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id || '.md' AS p, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) AS h, coalesce(n_chars, 0) AS n FROM documents WHERE doc_id IS NOT NULL)"
+_CHANGES = f"{_FILES}, ch AS (SELECT DISTINCT p, CASE h WHEN '0' THEN 'added' WHEN '1' THEN 'changed' WHEN '2' THEN 'removed' END AS change FROM d WHERE h < '3')"
+
+
+def _listings(spark, d) -> tuple[DataFrame, DataFrame]:
+    i, none = F.col("doc_id").cast("string"), F.lit("none")
+    path = F.concat_ws("/", F.coalesce("source", none), F.coalesce("lang", none), F.concat(i, F.lit(".md")))
+    rows = table(spark, d, "documents").where("doc_id is not null").select(path.alias("relative_path"), F.substring(F.md5(i), 1, 1).alias("h"), F.coalesce("n_chars", F.lit(0)).alias("size"))
+    rows = rows.groupBy("relative_path", "h").agg(F.max("size").alias("size")).withColumn("file_modified_at", F.lit(NOW))
+    return rows.where("h <> '0'").withColumn("size", F.col("size") + (F.col("h") == "1").cast("int")).drop("h"), rows.where("h <> '2'").drop("h")
+
+
+@register("change_rows", f"WITH {_CHANGES} SELECT p AS relative_path, change FROM ch")
+def change_rows(spark, d):
+    return changes.differences(*_listings(spark, d))
+
+
+@register("change_scopes", f"""WITH {_CHANGES}, k AS (SELECT count(*) AS n3, count(DISTINCT (split_part(p, '/', 1), split_part(p, '/', 2))) AS n2, count(DISTINCT split_part(p, '/', 1)) AS n1 FROM ch),
+ s AS (SELECT change, CASE WHEN n3 <= 50 THEN p WHEN n2 <= 50 THEN split_part(p, '/', 1) || '/' || split_part(p, '/', 2) WHEN n1 <= 50 THEN split_part(p, '/', 1) ELSE '' END AS scope, n3 <= 50 AS single FROM ch, k)
+ SELECT scope AS relative_path, CASE WHEN single THEN change ELSE 'reconcile' END AS change, count(*) AS files FROM s GROUP BY ALL""")
+def change_scopes(spark, d):
+    return changes.told(scratch.stored(changes.differences(*_listings(spark, d))), 50)
+
+
 @register("context_day_created", "SELECT CAST(doc_id AS VARCHAR) AS note_id FROM documents WHERE doc_id * 600 >= 86400 AND doc_id * 600 < 2 * 86400 AND doc_id % 10 <> 0 ORDER BY doc_id DESC, note_id LIMIT 5")
 def context_day_created(spark, d):
     k = context.Knowledge(note_table(spark, d), event_records(spark, d), page_edges(spark, d))

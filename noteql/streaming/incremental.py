@@ -18,7 +18,7 @@ from contextvars import copy_context
 
 from noteql.functions import extract
 from noteql.functions.dates import QueryError
-from noteql.operators import fts, links, metrics
+from noteql.operators import clusters, fts, links, metrics
 from noteql.scratch import scope, stored
 from noteql.sources import files
 from noteql.streaming import changes
@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-SCHEMA_VERSION = 7
+SCHEMA_VERSION = 8
 #: Parts of every table of a new index.
 PARTS = 32
 #: How the rows of a part come, so that a scan for a term, or for a key and a span of days, reads few row groups.
-ORDER = ("term", "cls", "link_key", "target_key", "key_lower", "key", "day", "note_id")
+ORDER = ("cluster", "term", "cls", "link_key", "target_key", "key_lower", "key", "day", "note_id")
 #: What the part of a row is told by: the first of these columns that there is.
-BY = ("link_key", "target_key", "note_id", "source_id", "source_file", "relative_path")
+BY = ("cluster", "link_key", "target_key", "note_id", "source_id", "source_file", "relative_path")
 #: Versions whose files stay for readers that are still at them, and how long those of no version stay that another
 #: commit may be writing.
 KEPT_VERSIONS, KEPT_MS = 4, 24 * 3600 * 1000
@@ -82,6 +82,12 @@ class Catalog:
         """The part that rows with this id belong to."""
         return F.pmod(F.xxhash64(F.col(name)), F.lit(self._pointer()["parts"])).cast("int")
 
+    def parts_of(self, values: list) -> list[int]:
+        """The parts that rows with these values are in."""
+        kind = "int" if all(isinstance(v, int) for v in values) else "string"
+        rows = self.spark.createDataFrame([(v,) for v in values], f"value {kind}")
+        return sorted(r.part for r in rows.select(self.part("value").alias("part")).distinct().collect())
+
     def table(self, name: str, parts: list[int] | None = None) -> DataFrame | None:
         """A table, or some of its parts; files of the others are not looked at."""
         current = self._pointer()["tables"].get(name)
@@ -368,6 +374,20 @@ def kept_index(catalog: Catalog, stem: bool = True) -> fts.Kept | None:
     return None if any(t is None for t in tables) else fts.Kept(*tables, stem=stem)
 
 
+def kept_vectors(catalog: Catalog, model: str) -> clusters.Clustered | None:
+    """A model's vectors by cluster (tables ``near`` and ``clusters``); a look-up opens the parts of its clusters alone."""
+    known = catalog.table("clusters")
+    if known is None or catalog.table("near") is None:
+        return None
+
+    def read(some: list[int] | None) -> DataFrame:
+        if some is None:
+            return catalog.table("near").where(F.col("model") == model)
+        return catalog.table("near", catalog.parts_of(some)).where((F.col("model") == model) & F.col("cluster").isin(some))
+
+    return clusters.load(known.where(F.col("model") == model), read)
+
+
 def model_changed(meta: dict | None, model: dict) -> bool:
     """Whether stored vectors are of another preset, repository or dimension, and must all go."""
     return meta is None or any(meta.get(k) != model.get(k) for k in ("preset", "repository", "dimension"))

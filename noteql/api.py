@@ -137,9 +137,13 @@ class Workspace:
             raise QueryError("nothing is indexed yet")
         return found
 
-    def watch(self, checkpoint: str, trigger: dict | None = None):
-        """A stream that reindexes what changes on disk."""
-        return watch(self.spark, self.root, lambda paths: self.reindex(paths), checkpoint, trigger, self.catalog)
+    def watch(self, checkpoint: str, trigger: dict | None = None, progress: Progress | None = None, name: str = "watch"):
+        """A stream that reindexes what changes on disk. ``progress`` is told of its batches and of the phases of each; the
+        listener that tells of batches stays until ``spark.streams.removeListener`` (it is the query's ``listener``)."""
+        listener = None if progress is None else progress.follow(self.spark, name)
+        query = watch(self.spark, self.root, lambda paths: self.reindex(paths, progress=progress), checkpoint, trigger, self.catalog, name=None if progress is None else name)
+        query.listener = listener
+        return query
 
     def _table(self, name: str) -> DataFrame:
         found = self.catalog.table(name)

@@ -398,12 +398,13 @@ FAILED = "relative_path string, error string, tries int"
 TICK = {"processingTime": "1 second"}
 
 
-def watch(spark: SparkSession, root: str, handle: Callable[[list[str]], None], checkpoint: str, trigger: dict | None = None, catalog: Catalog | None = None, limit: int = changes.PATHS):
+def watch(spark: SparkSession, root: str, handle: Callable[[list[str]], None], checkpoint: str, trigger: dict | None = None, catalog: Catalog | None = None, limit: int = changes.PATHS, name: str | None = None):
     """Calls ``handle`` with the changed paths of every batch: files, or folders that stand for more than ``limit`` files.
 
     At every tick the folder is listed by tasks and compared with its listing of the last batch that counted, which is
     kept in the catalogue (one in the checkpoint folder if none is given) in parts. Both may be in any store. Batches
-    count once, and failed ones are tried again: see ``look``."""
+    count once, and failed ones are tried again: see ``look``. Tables that a batch stores go at its end. ``name`` is the
+    query's, by which ``Progress.follow`` knows it."""
     catalog = catalog or Catalog(spark, f"{checkpoint.rstrip('/')}/seen")
 
     def batch(_: DataFrame, number: int) -> None:
@@ -412,7 +413,8 @@ def watch(spark: SparkSession, root: str, handle: Callable[[list[str]], None], c
 
     # The source counts the triggers, so that each is a batch; what it is about is in the folder.
     ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
-    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or TICK)).start()
+    writer = ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.queryName(name) if name else writer).trigger(**(trigger or TICK)).start()
 
 
 def look(catalog: Catalog, root: str, handle: Callable[[list[str]], None], checkpoint: str, number: int, limit: int = changes.PATHS) -> bool:

@@ -1,4 +1,5 @@
 import os
+import threading
 import time
 
 import pytest
@@ -241,6 +242,54 @@ def test_progress():
     assert len(p.frames) == FRAMES
 
 
+def test_readers_of_progress():
+    """A fast reader gets every frame; a slow one the present state of all phases, and what follows."""
+    from noteql.streaming.progress import Progress
+
+    p = Progress()
+    p("notes", "done", {"add": 1})
+    fast, slow = p.reader(), p.reader(size=3)
+    got = []
+    thread = threading.Thread(target=lambda: got.extend(fast))
+    thread.start()
+    for k in range(20):
+        p(f"step{k % 2}", "done", {"n": k})
+    p.leave(fast)
+    thread.join(30)
+    assert [f["counts"] for f in got] == [{"add": 1}] + [{"n": k} for k in range(20)]
+    lagged = slow.get(0)
+    assert (lagged["state"], lagged["counts"]) == ("lagged", {"missed": 21})
+    assert {k: f["counts"] for k, f in lagged["status"].items()} == {"notes": {"add": 1}, "step0": {"n": 18}, "step1": {"n": 19}}
+    assert slow.get(0) is None
+    p("step0", "failed")
+    assert slow.get(0)["state"] == "failed" and slow.get(0.01) is None
+    p.leave(slow)
+    p("step0", "done")
+    assert slow.get() is None and list(slow) == []
+
+
+def test_frames_of_a_running_pass(spark, root, tmp_path):
+    from noteql.api import Workspace
+    from noteql.streaming.progress import Progress
+
+    p = Progress()
+    reader = p.reader()
+    query = Workspace(spark, root, settings=vault.Settings(ignored=["Templates"])).watch(str(tmp_path / "ck"), {"availableNow": True}, p)
+    frames = []
+    try:
+        assert query.awaitTermination(180) and query.exception() is None
+        while (frame := reader.get(30)) is not None:
+            frames.append((frame["phase"], frame["state"]))
+            if frames[-1] == ("watch", "done"):
+                break
+    finally:
+        spark.streams.removeListener(query.listener)
+    phases = [f for f in frames if f[0] != "watch"]
+    assert phases == [("notes", "running"), ("notes", "done"), ("metrics", "done"), ("vectors", "running"), ("vectors", "done")]
+    assert frames.index(("watch", "running")) < frames.index(("watch", "done")) == len(frames) - 1
+    assert p.status["notes"]["counts"] == {"add": 7} and p.status["watch"]["state"] == "done"
+
+
 def test_settings_of_the_editor(root):
     import json
 

@@ -32,8 +32,8 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B)))
 class Rules:
     """Which files of a folder are wanted, and which folders are walked. ``skipped`` gets a folder's relative path."""
 
-    def __init__(self, suffix: str, skipped=None):
-        self.suffix, self._skipped = suffix.lower(), skipped
+    def __init__(self, suffix: str | tuple[str, ...], skipped=None):
+        self.suffix, self._skipped = suffix.lower() if isinstance(suffix, str) else tuple(x.lower() for x in suffix), skipped
 
     def wanted(self, path: str) -> bool:
         return path.lower().endswith(self.suffix)

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from noteql.functions import extract
-from noteql.sources import files
+from noteql.sources import conventions, files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -26,8 +26,9 @@ class Settings:
     ignored: list[str] = field(default_factory=list)
     internal: str = ".noteql"
     metrics_root: str = "metrics"
-    metrics_suffix: str = ".ndjson"
+    metrics_suffix: str | tuple[str, ...] = ".ndjson"
     daily_format: str | None = None
+    metrics: conventions.Conventions | None = None
 
 
 def _json(path: str) -> dict:
@@ -40,22 +41,25 @@ def _json(path: str) -> dict:
 
 
 def load_settings(root: str, editor_dir: str = ".obsidian") -> Settings:
-    """Settings from ``<editor_dir>/{app,daily-notes,metrics}.json`` and ``noteql.toml``; the metrics plugin's come
-    first, then the workspace's, then defaults."""
-    app, daily, plugin = (_json(os.path.join(root, editor_dir, f"{n}.json")) for n in ("app", "daily-notes", "metrics"))
+    """Settings from ``<editor_dir>/{app,daily-notes}.json`` and ``noteql.toml``; those of metric logs are the plugin's,
+    or else the workspace's (``metrics_root``, ``metrics_suffix``, or a table ``metrics``), or else defaults."""
+    app, daily = (_json(os.path.join(root, editor_dir, f"{n}.json")) for n in ("app", "daily-notes"))
     try:
         with open(os.path.join(root, "noteql.toml"), "rb") as f:
             own = tomllib.load(f)
     except (OSError, tomllib.TOMLDecodeError):
         own = {}
     default = Settings()
+    workspace = {k: own[n] for k, n in (("root", "metrics_root"), ("extensions", "metrics_suffix")) if n in own} | (own.get("metrics") if isinstance(own.get("metrics"), dict) else {})
+    logs = conventions.load(os.path.join(root, editor_dir), workspace, default.metrics_root, default.metrics_suffix, f"All{default.metrics_suffix}")
     return Settings(
         attachments=app.get("attachmentFolderPath") or own.get("attachments"),
         ignored=[x.strip("/") for x in [*app.get("userIgnoreFilters", []), *own.get("ignored", [])]],
         internal=own.get("internal", default.internal),
-        metrics_root=plugin.get("root") or own.get("metrics_root") or default.metrics_root,
-        metrics_suffix=plugin.get("suffix") or own.get("metrics_suffix") or default.metrics_suffix,
+        metrics_root=logs.root,
+        metrics_suffix=logs.extensions,
         daily_format=daily.get("format"),
+        metrics=logs,
     )
 
 

@@ -302,6 +302,30 @@ def test_settings_of_the_editor(root):
     assert (s.attachments, s.ignored, s.metrics_root) == ("Files", ["Old", "Mine"], "logs")
 
 
+def test_conventions_of_metric_logs(tmp_path):
+    """The plugin's settings come before the workspace's, as a whole; names, kinds and values that do not fit are skipped."""
+    import json
+
+    root, plugin = str(tmp_path), tmp_path / ".obsidian/plugins/metrics-lens/data.json"
+    plugin.parent.mkdir(parents=True)
+    default = vault.load_settings(root).metrics
+    assert (default.source, default.root, default.write_file, default.reference_prefix, default.week_start, default.day_start_hour) == ("default", "metrics", "metrics/All.ndjson", "metric:", "monday", 0)
+    (tmp_path / "noteql.toml").write_text('[metrics]\nroot = "Work"\nday_start_hour = 24\nextensions = ["a", ".A", " "]\n')
+    own = vault.load_settings(root)
+    assert (own.metrics.source, own.metrics_root, own.metrics_suffix, own.metrics.day_start_hour) == ("workspace", "Work", (".a",), 0)
+    plugin.write_text(json.dumps({"metricsRoot": "Plug", "supportedExtensions": [".plugin.ndjson", "LOG"], "defaultWriteFile": "Plug/In.plugin.ndjson", "recordReferencePrefix": "plugin-metric:", "weekStartsOn": 2, "dayStartHour": 6}))
+    s = vault.load_settings(root)
+    assert (s.metrics_root, s.metrics_suffix, s.metrics.write_file, s.metrics.reference_prefix, s.metrics.week_start, s.metrics.day_start_hour) == ("Plug", (".plugin.ndjson", ".log"), "Plug/In.plugin.ndjson", "plugin-metric:", "tuesday", 6)
+    assert s.metrics.source == str(plugin) and files.Rules(s.metrics_suffix).wanted("Plug/x.Log") and not files.Rules(s.metrics_suffix).wanted("Plug/x.a")
+    plugin.write_text(json.dumps({"metricsRoot": 5, "metrics": {"root": "Nested"}, "weekStart": 9, "calendar": {"weekStartDay": "Sunday", "dayStartHour": True}, "defaultFile": "../out"}))
+    n = vault.load_settings(root).metrics
+    assert (n.root, n.extensions, n.write_file, n.week_start, n.day_start_hour) == ("Nested", (".ndjson",), "Nested/All.ndjson", "sunday", 0)
+    plugin.write_text("[]")
+    assert vault.load_settings(root).metrics.root == "metrics", "it leaves everything out"
+    plugin.write_text("{")
+    assert vault.load_settings(root).metrics_root == "Work"
+
+
 def test_scopes_are_walked_alone(spark, root, tmp_path):
     """Below scopes, in skipped folders too, the reader lists what a walk over everything would keep of them."""
     for name in ("a/b/c.md", "a/d.md", "a/d.MD", "Templates/x/y.md", "a/.h/z.md"):

@@ -5,6 +5,7 @@ import random
 import subprocess
 import sys
 import uuid
+from pathlib import Path
 
 import pytest
 from noteql.functions import text
@@ -236,3 +237,16 @@ def test_mentions_are_found_in_the_index_alone(spark, tmp_path):
         rows_ = lambda k: sorted(map(str, found(k).select("note_id", "kind", "reason", "confidence").collect()))  # noqa: B023, E731
         assert rows_(kept) == rows_(plain) and len(rows_(plain)) > 1
     assert len(context.notes_for_metric(plain, records, 99).collect()) > 4
+
+
+def test_evidence_of_tables_writes_no_copy_of_the_texts(spark):
+    """A question asked once of a table builds no index of it: nothing but Spark's own shuffles goes to disk."""
+    import __spark_entry__
+    from noteql import scratch
+
+    shared = Path(scratch.shared_folder(spark).removeprefix("file://"))
+    there = lambda: {str(p) for p in shared.rglob("*.parquet")}
+    before = there()
+    for name in ("context_metric_notes_inferred",):
+        assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+        assert there() == before, name

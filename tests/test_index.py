@@ -247,6 +247,6 @@ def test_evidence_of_tables_writes_no_copy_of_the_texts(spark):
     shared = Path(scratch.shared_folder(spark).removeprefix("file://"))
     there = lambda: {str(p) for p in shared.rglob("*.parquet")}
     before = there()
-    for name in ("context_metric_notes_inferred", "context_source_notes"):
+    for name in ("context_metric_notes", "context_metric_notes_inferred", "context_source_notes"):
         assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
         assert there() == before, name

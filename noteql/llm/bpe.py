@@ -12,19 +12,19 @@ is the token that ends at this byte and the set of arcs under way, each with the
 the tokens' spellings. Exactly one arc under way ends at every byte, as every string has one tokenization. The table's
 entries are made when they are first stepped on, as in any lazy subset construction, and stay.
 
-Encoding cuts a text into words as the vocabulary's pre-tokenizer does and steps through the table, one entry a byte; the
-tokens that end at the last byte, where that token began, and so on are the word's. Decoding emits the arc labels, the
-tokens' bytes.
+Encoding cuts texts into words as the vocabulary's pre-tokenizer does and steps through the table, one entry a byte; the
+tokens that end at the last byte, where that token began, and so on are the word's. The distinct words of some texts step
+side by side, so an entry that many of them need is looked up once. Decoding emits the arc labels, the tokens' bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +35,9 @@ from .common import read, text_bytes
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The byte-level pre-tokenizer's word pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Words, and runs between spaces, whose ids are remembered.
-CACHE_WORDS, CACHE_RUNS = 100_000, 300_000
+#: Bytes of texts that are encoded together (or one text), and bytes of words that step side by side; longer words
+#: step by themselves.
+SLICE, ABREAST, LONG = 1 << 22, 1 << 17, 64
 #: States of the byte table that are kept. Others are made for a word and dropped after it, and when that has been done
 #: for so many states that the kept ones must be of other words, the table is begun anew. Both cost time alone.
 TABLE_STATES, DROPPED_STATES = 200_000, 800_000
@@ -85,6 +86,10 @@ class Automaton:
                 at = self.spelled[at][byte]
             self.ends[at] = token
         self.length = {token: len(self.label[token]) for token in self.states - {START}}
+        most = max(self.label, default=-1) + 1
+        self.lengths = np.array([self.length.get(i, 0) for i in range(most)], np.int64)
+        self.labels = pa.array([self.label.get(i) for i in range(most)], pa.binary())
+        self.decimals = pa.array(map(str, range(most)), pa.string())
         self._begin_table()
 
     @classmethod
@@ -182,66 +187,167 @@ class Automaton:
             self._drop()
         return tuple(reversed(path))
 
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The accepted paths of many words, one after another, and how many tokens each has."""
+        paths, counts, at = [], [], 0
+        while at < len(words):
+            end, size = at, 0
+            while end < len(words) and len(words[end]) <= LONG and size < ABREAST:
+                size += len(words[end])
+                end += 1
+            if end > at:
+                path, count = self._abreast(words[at:end])
+            else:
+                end, path = at + 1, np.array(self.encode_word(words[at]), np.int32)
+                count = np.array([len(path)])
+            paths.append(path)
+            counts.append(count)
+            at = end
+        return (np.concatenate(paths), np.concatenate(counts)) if paths else (np.empty(0, np.int32), np.empty(0, np.int64))
+
+    def _abreast(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        table, token = self.table, self.token
+        size = np.array([len(w) for w in words])
+        order = np.argsort(-size, kind="stable")
+        left = size[order]  # longest first, so that the words that reach a place are the first ones
+        begin = (np.cumsum(size) - size)[order]
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        reach = np.searchsorted(-left, -np.arange(left[0]), side="left")
+        at, ended = np.zeros(len(words), np.int64), []
+        for place, n in enumerate(reach.tolist()):
+            keys, which = np.unique(at[:n] << 8 | data[begin[:n] + place], return_inverse=True)
+            to = [table[k >> 8].get(k & 255) or self._step(k >> 8, k & 255) for k in keys.tolist()]
+            at = np.array(to)[which]
+            ended.append(np.array([token[t] for t in to], np.int32)[which])
+        ended, row = np.concatenate([*ended, np.empty(0, np.int32)]), np.cumsum(reach) - reach
+        rows, count, found = np.flatnonzero(left), np.zeros(len(words), np.int64), []
+        while len(rows):  # from the last token to the first
+            t = ended[row[left[rows] - 1] + rows]
+            found.append((rows, t))
+            count[rows] += 1
+            left[rows] -= self.lengths[t]
+            rows = rows[left[rows] > 0]
+        counts = np.empty_like(count)
+        counts[order] = count
+        last = np.cumsum(counts)[order] - 1
+        path = np.empty(count.sum(), np.int32)
+        for k, (rows, t) in enumerate(found):
+            path[last[rows] - k] = t
+        if self.passing:
+            self._drop()
+        return path, counts
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """``decode`` of many lists of ids, one after another, each with its end."""
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.labels.take(pa.array(ids)))
+        return [x.decode("utf-8", "replace").encode() for x in pc.binary_join(listed, pa.scalar(b"", pa.binary())).to_pylist()]
+
     def decode(self, ids) -> bytes:
         """The labels of ``ids``, as text in UTF-8: bytes that are no text become U+FFFD."""
         data = b"".join(map(self.label.__getitem__, ids))
         return data.decode("utf-8", "replace").encode()
 
 
-class Memory(dict):
-    """Answers of ``work``, remembered while they are few."""
+def _ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each of some stretches, ``count`` each."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
-    def __init__(self, work, most: int):
-        super().__init__()
-        self.work, self.most = work, most
 
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        found = self[key] = self.work(key)
-        return found
+def _expand(which: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``which`` its stretch of ``values``, and how many that are; ``counts`` are those of the stretches."""
+    many = counts[which]
+    return values[_ragged((np.cumsum(counts) - counts)[which], many)], many
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sums of stretches of ``values``."""
+    return np.diff(np.append(0, np.cumsum(values))[np.append(0, np.cumsum(counts))])
 
 
 class Encoder:
-    """Cuts texts into words and remembers the ids of recent words and of recent runs between single spaces.
+    """Cuts texts into words and encodes each distinct word of a slice of texts once.
 
     No word goes on across a space, and a space between two characters that are no white space belongs to the word after
-    it. So the ids of what stands between such spaces do not depend on what is around it."""
+    it. So what stands between such spaces is cut into words once, whatever is around it."""
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
-        self.words = Memory(lambda word: automaton.encode_word(word.encode()), CACHE_WORDS)
-        self.runs = Memory(lambda run: self._words(" " + run), CACHE_RUNS)
         self.find = regex.compile(PATTERN).findall
         self.wide = regex.compile(f" [{SPACE}]|[{SPACE}] |^ | $").search
         added = sorted(automaton.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
 
     def forget(self) -> None:
-        """Give back what was remembered: a worker lives on after its tasks, beside those of other stages."""
-        self.words.clear()
-        self.runs.clear()
+        """Give the table back: a worker lives on after its tasks, beside those of other stages."""
         self.automaton._begin_table()
 
-    def _words(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.words.__getitem__, self.find(text))))
-
-    def _plain(self, text: str):
-        if self.wide(text):
-            return self._words(text)
-        first, *runs = text.split(" ")
-        return chain(self._words(first), chain.from_iterable(map(self.runs.__getitem__, runs)))
-
-    def encode(self, text: str) -> list[int]:
-        if self.added is None or not any(a in text for a in self.automaton.added):
-            return list(self._plain(text))
-        out: list[int] = []
-        for part in self.added.split(text):
+    def _pieces(self, text: str):
+        """The words of a text, and for added tokens their ids."""
+        for part in self.added.split(text) if self.added is not None else [text]:
             if part in self.automaton.added:
-                out.append(self.automaton.added[part])
+                yield self.automaton.added[part]
             else:
-                out.extend(self._plain(part))
-        return out
+                yield from self.find(part)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after another, and how many each has."""
+        odd = [not t or self.wide(t) is not None or any(a in t for a in self.automaton.added) for t in texts]
+        runs = pc.split_pattern(pa.array([t for t, o in zip(texts, odd) if not o], pa.large_string()), " ")
+        n_runs = pc.list_value_length(runs).to_numpy().astype(np.int64)
+        runs = runs.flatten()
+        # A text's first run has no space before it.
+        heads = np.cumsum(n_runs) - n_runs
+        inner = np.ones(len(runs), bool)
+        inner[heads] = False
+        rest, firsts = runs.filter(pa.array(inner)).dictionary_encode(), runs.take(pa.array(heads)).dictionary_encode()
+        known = rest.dictionary.to_pylist()
+        units = np.empty(len(runs), np.int64)
+        units[inner], units[heads] = rest.indices.to_numpy(), len(known) + firsts.indices.to_numpy().astype(np.int64)
+        words = self.find(" " + " ".join(known)) if known else []
+        begun = np.flatnonzero([w[0] == " " for w in words])
+        n_words = [np.diff(np.append(begun, len(words)))]
+        for first in firsts.dictionary.to_pylist():
+            mine = self.find(first)
+            words += mine
+            n_words.append([len(mine)])
+        # Of the other texts every piece is a unit of its own.
+        others: dict[str | int, int] = {}
+        listed = [[others.setdefault(x, len(others)) for x in self._pieces(t)] for t, o in zip(texts, odd) if o]
+        more = np.array([x for one in listed for x in one], np.int64) + len(known) + len(firsts.dictionary)
+        words += [x if isinstance(x, str) else "" for x in others]
+        n_words.append(np.ones(len(others), np.int64))
+        distinct = pa.array(words, pa.large_string()).dictionary_encode()
+        path, counts = self.automaton.encode_words(distinct.dictionary.cast(pa.large_binary()).to_pylist())
+        n_words = np.concatenate(n_words).astype(np.int64)
+        ids, n_ids = _expand(distinct.indices.to_numpy(), path, counts)
+        n_ids = _sums(n_ids, n_words)
+        tokens = [x for x in others if not isinstance(x, str)]
+        if tokens:  # an added token is a unit whose word is empty
+            empty = len(n_ids) - len(others) + np.flatnonzero([not isinstance(x, str) for x in others])
+            ids = np.insert(ids, np.cumsum(n_ids)[empty], tokens)
+            n_ids[empty] = 1
+        # The units of each text, in the texts' order.
+        many = np.empty(len(texts), np.int64)
+        is_odd = np.array(odd, bool)
+        many[~is_odd], many[is_odd] = n_runs, [len(one) for one in listed]
+        begin = np.empty(len(texts), np.int64)
+        begin[~is_odd], begin[is_odd] = heads, len(units) + np.cumsum(many[is_odd]) - many[is_odd]
+        ids, of_unit = _expand(np.concatenate([units, more])[_ragged(begin, many)], ids, n_ids)
+        return ids, _sums(of_unit, many)
+
+    def slices(self, column):
+        """(rows, ids, ends): the rows of an Arrow column of texts in slices, their ids one after another, and where those
+        of each end, beginning with 0."""
+        texts = text_bytes(column)
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
+                size += len(texts[end])
+                end += 1
+            ids, many = self.encode([t.decode() for t in texts[at:end]])
+            yield slice(at, end), ids, np.append(0, np.cumsum(many))
+            at = end
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -260,6 +366,10 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _listed(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id and ids (array of int) for each row; a null or empty text has no ids. Repeated rows stay apart."""
     path = vocabulary or default_path()
@@ -267,8 +377,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col="doc_id", text
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            ids = [enc.encode(t.decode()) for t in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for rows, ids, ends in enc.slices(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0)[rows], _listed(ids, ends)], ["doc_id", "ids"])
         enc.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -293,17 +403,14 @@ def digests(docs: DataFrame, vocabulary: str | None = None, id_col="doc_id", tex
 
     def run(batches):
         enc = encoder(path)
-        shown = {i: str(i) for i in enc.automaton.label}
-        sha = hashlib.sha256
+        a, sha = enc.automaton, hashlib.sha256
         for b in batches:
-            rows = []
-            for t in text_bytes(b.column(1)):
-                ids = enc.encode(t.decode())
-                listed = ",".join(map(shown.__getitem__, ids))
-                rows.append((len(ids), sha(listed.encode()).hexdigest(), sha(enc.automaton.decode(ids)).hexdigest(), np.array(ids, np.int32) if with_ids else None))
-            n, a, d, i = zip(*rows) if rows else ((),) * 4
-            made = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
-            yield pa.RecordBatch.from_arrays(made + [pa.array(i, pa.list_(pa.int32()))] * with_ids, names)
+            for rows, ids, ends in enc.slices(b.column(1)):
+                shown = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), a.decimals.take(pa.array(ids)))
+                listed = pc.binary_join(shown, ",").cast(pa.binary()).to_pylist()
+                digest = lambda texts: pa.array([sha(x).hexdigest() for x in texts], pa.string())
+                made = [b.column(0)[rows], pa.array(np.diff(ends), pa.int64()), digest(listed), digest(a.decode_all(ids, ends))]
+                yield pa.RecordBatch.from_arrays(made + [_listed(ids, ends)] * with_ids, names)
         enc.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

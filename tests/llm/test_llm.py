@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from noteql.llm import bpe, components, embedding_dedup, fingerprints, language_id, licenses, line_dedup, mixing, simhash, substring_dedup, url_filter
 from pyspark.sql import functions as F
@@ -631,3 +632,27 @@ def test_a_full_table_changes_no_result(monkeypatch):
         assert len(small.table) == len(small.token) == len(small.under_way) <= 50 and len(small.numbers) <= 50
         assert all(to < 50 for entries in small.table for to in entries.values())
     assert begun and max(sizes) == 50
+
+
+def test_words_that_step_side_by_side_get_their_own_paths(monkeypatch):
+    """Whatever words are encoded together, also with a full table and long words among them; texts as the library."""
+    rnd = random.Random(17)
+    some = ["".join(rnd.choices("abcdeé ☃xyz", k=rnd.choice([1, 3, 14, 90]))).encode() for _ in range(300)]
+    one = bpe.Automaton.load(bpe.default_path())
+    want = [one.encode_word(w) for w in some]
+    monkeypatch.setattr(bpe, "ABREAST", 200)
+    for states in (bpe.TABLE_STATES, 50):
+        monkeypatch.setattr(bpe, "TABLE_STATES", states)
+        many = bpe.Automaton.load(bpe.default_path())
+        path, counts = many.encode_words(some)
+        assert [tuple(x.tolist()) for x in np.split(path, np.cumsum(counts)[:-1])] == want
+        assert len(many.table) <= states
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    texts = [" ".join(rnd.choices(["ab", "x's", "'s", "12a", "é!", "!\n", "\nq", "a\n\nb", "", "<|endoftext|>"], k=rnd.randint(0, 6))) for _ in range(400)]
+    texts[0] = "<|endoftext|>"
+    monkeypatch.setattr(bpe, "SLICE", 500)
+    fresh = bpe.Encoder(bpe.Automaton.load(bpe.default_path()))
+    for rows, ids, ends in itertools.chain(fresh.slices(pa.array(texts)), fresh.slices(pa.array(texts[:1])), fresh.slices(pa.array([], pa.string()))):
+        assert [x.tolist() for x in np.split(ids, ends[1:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts[rows]]

@@ -656,3 +656,16 @@ def test_words_that_step_side_by_side_get_their_own_paths(monkeypatch):
     fresh = bpe.Encoder(bpe.Automaton.load(bpe.default_path()))
     for rows, ids, ends in itertools.chain(fresh.slices(pa.array(texts)), fresh.slices(pa.array(texts[:1])), fresh.slices(pa.array([], pa.string()))):
         assert [x.tolist() for x in np.split(ids, ends[1:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts[rows]]
+
+
+def test_shingles_as_numbers_are_compared_as_strings_are():
+    """For lines of one-byte characters, others, both, short ones and ones with zero characters."""
+    rnd = random.Random(18)
+    some = ["", "a", "ab", "ab\0", "\0", "abcdefg", "abcdefg\0"] + ["".join(rnd.choices(letters, k=rnd.randint(1, 40))) for letters in ("ab", "aé\0", "aбÿ", "日本a") for _ in range(30)]
+    some += [x + rnd.choice("abб") * rnd.randint(1, 3) for x in some]
+    numbers = [line_dedup._numbered(x) for x in some]
+    assert {type(x) for x in numbers} == {set, np.ndarray}
+    for a, x in zip(some, numbers):
+        for b, y in zip(some, numbers):
+            both, all_ = len(line_dedup.shingles(a) & line_dedup.shingles(b)), len(line_dedup.shingles(a) | line_dedup.shingles(b))
+            assert line_dedup._near(x, y) == (both >= line_dedup.THRESHOLD * all_ - 1e-9)
